@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from decisa.llm.chat_format import chat_examples, read_examples
+from decisa.llm.decontaminate import judge
 from decisa.llm.jaccard_join import jaccard_components
+from decisa.llm.mixing import mix_sources
+from decisa.llm.url_filter import filter_urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,8 +18,43 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    talks = read_examples(chat_examples(rows.unionByName(more)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    losses = F.array_join("losses", "")
+    return talks.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length(losses).cast("long").alias("loss_chars"), F.sha2(losses.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_mix_sources": op3_mix_sources,
+    "op6_url_filter": op6_url_filter,
+    "op7_chat_format": op7_chat_format,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES = {
@@ -31,5 +71,58 @@ links AS (
 ), reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) m ON m.x = s.doc_id
+""",
+    "op3_mix_sources": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS h FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
+    [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS weight FROM d GROUP BY source
+), o AS (
+  SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST) AS k FROM s
+), l AS (
+  SELECT *, cap / weight AS stops, (1.5 * (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(p.cap) FROM o p WHERE p.k < o.k), 0))
+    / ((SELECT sum(weight) FROM s) - coalesce((SELECT sum(p.weight) FROM o p WHERE p.k < o.k), 0)) AS level FROM o
+), t AS (
+  SELECT source, source_size, CASE WHEN w IS NULL OR stops < w THEN cap ELSE weight * w END AS target
+  FROM l, (SELECT min_by(level, k) AS w FROM l WHERE level <= stops)
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS full_copies FROM t
+), c AS (
+  SELECT d.*, r.source_size, r.target, r.full_copies, r.target - r.full_copies * r.source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), b AS (SELECT source, min(h) AS cut FROM c WHERE upto > rest GROUP BY source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(size * (full_copies + CASE WHEN cut IS NULL THEN (rest > 0)::INT WHEN h < cut THEN 1 WHEN h = cut AND upto - rest < rest - (upto - own) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source
+""",
+    "op6_url_filter": f"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(map(repr, RULES))}),
+p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{LOWER}') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
+), m AS (
+  SELECT p.*, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE k = 1
+""",
+    "op7_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(k)
+), e AS (
+  SELECT *, 14 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<#:]', '', 'g')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM c
+), r AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e
+)
+SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
 """,
 }
