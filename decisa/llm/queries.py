@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decisa.llm import language_id, quality
 from decisa.llm.chat_format import chat_examples, read_examples
 from decisa.llm.decontaminate import judge
 from decisa.llm.jaccard_join import jaccard_components
@@ -22,6 +23,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _fold(folds: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs.select(F.col("doc_id").alias("key"), "text"), quality.learnable(labels))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
@@ -49,7 +62,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    learn = docs.filter(_fold(3) != 1).select(F.col("doc_id").alias("key"), "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(learn))
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op10_language_id": op10_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op1_jaccard_join": op1_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
     "op6_url_filter": op6_url_filter,
