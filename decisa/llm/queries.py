@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisa.llm import language_id, quality
+from decisa.llm import language_id, quality, repair
 from decisa.llm.chat_format import chat_examples, read_examples
 from decisa.llm.decontaminate import judge
 from decisa.llm.jaccard_join import jaccard_components
@@ -35,6 +35,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """The file of the byte-level BPE that op8 and the pipeline use, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.encode_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
@@ -76,6 +87,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op8_token_output": op8_token_output,
     "op9_decontaminate": op9_decontaminate,
 }
 
