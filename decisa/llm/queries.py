@@ -10,7 +10,9 @@ from decisa.llm.chat_format import chat_examples, read_examples
 from decisa.llm.decontaminate import judge
 from decisa.llm.jaccard_join import jaccard_components
 from decisa.llm.mixing import mix_sources
+from decisa.llm.multi_index import nearest
 from decisa.llm.url_filter import filter_urls
+from decisa.llm.warc import archive_pages
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,6 +21,15 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -84,7 +95,9 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_warc": op2_warc,
     "op3_mix_sources": op3_mix_sources,
+    "op4_nearest": op4_nearest,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_token_output": op8_token_output,
