@@ -8,7 +8,9 @@ How it is spread over a cluster, without losing a link:
    part lengthened by c. So only these prefixes travel: packed and sorted, a row for each batch and hash range, each
    token once a batch. A class with too few shared prefix tokens can link with nothing and is done.
 3. The remaining classes meet in blocks: a prefix token's block is named by its smallest class, so the many tokens
-   that the same classes share make one block, not one each. Large blocks are split into chunks of bounded size.
+   that the same classes share make one block, not one each. Here prefixes put the corpus's most frequent tokens
+   last (any one order of tokens loses nothing), so a passage that many texts share brings few of them together.
+   Large blocks are split into chunks of bounded size.
 4. In a chunk, a signature tree joins itself by dual traversal; candidate pairs are verified on whole sets, and only
    the links that connect (a forest) leave the task. Between chunks of one block, sets already linked with the
    block's first class need no more comparing with each other; the others' trees are joined with every chunk.
@@ -30,14 +32,20 @@ from decisa.llm.signature_tree import forest_edges
 from decisa.llm.words import U64, fingerprint, shingle_sets
 from decisa.session import materialize
 
-MANY = 0xFFFFFFFF
+#: Marks a token that several texts of a batch hold; the other bits count them. Else they are its text's place.
+MANY = 1 << 31
 BATCH_TOKENS = 1 << 20
 #: Sets in one chunk of a block.
 CHUNK = 512
 #: Class ids up to this count (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Tokens that prefixes put last: those with FREQUENT texts or more, the most frequent HOT_TOKENS of them (12 bytes
+#: each go to every task). Which ones they are changes the work, never the links.
+FREQUENT, HOT_TOKENS = 24, 200_000
+SPREAD = 0xD1342543DE82EF95  # spreads the smallest hashes over all ranges
+UNSPREAD = pow(SPREAD, -1, 1 << 64)
 
-PASS_ONE = "fp binary, doc_id long, n long, batch long, pos int, own int, need int, bucket int, tokens binary, places binary"
+PASS_ONE = "fp binary, doc_id long, key string, n long, batch long, pos int, own int, need int, bucket int, tokens binary, places binary"
 
 
 def _prefix(n: int, num: int, den: int) -> int:
@@ -52,31 +60,31 @@ def _reach(n: int, num: int, den: int) -> tuple[int, int]:
 
 def _pass_one(width: int, num: int, den: int, buckets: int):
     shift = U64(64 - (buckets.bit_length() - 1))
-    schema = pa.schema([("fp", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("batch", pa.int64()), ("pos", pa.int32()), ("own", pa.int32()), ("need", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("places", pa.binary())])
+    schema = pa.schema([("fp", pa.binary()), ("doc_id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("batch", pa.int64()), ("pos", pa.int32()), ("own", pa.int32()), ("need", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("places", pa.binary())])
 
     def flush(batch: int, rows: list, seen: dict) -> list[dict]:
         out = []
         heads = [x[:y] for x, y in seen.values()]
         own = np.zeros(len(heads), np.int64)
         if heads:
-            tokens = np.concatenate(heads) * U64(0xD1342543DE82EF95)  # spreads the smallest hashes over all ranges
+            tokens = np.concatenate(heads) * U64(SPREAD)
             places = np.repeat(np.arange(len(heads), dtype=np.uint32), [len(x) for x in heads])
             order = np.argsort(tokens, kind="stable")
             tokens, places = tokens[order], places[order]
             first = np.ones(len(tokens), bool)
             first[1:] = tokens[1:] != tokens[:-1]
             at = np.flatnonzero(first)
-            many = np.diff(np.append(at, len(tokens))) > 1
-            np.add.at(own, places[np.repeat(many, np.diff(np.append(at, len(tokens))))], 1)
-            tokens, places = tokens[at], np.where(many, np.uint32(MANY), places[at])
+            times = np.diff(np.append(at, len(tokens)))
+            own += np.bincount(places[np.repeat(times > 1, times)], minlength=len(heads))
+            tokens, places = tokens[at], np.where(times > 1, MANY + times, places[at]).astype(np.uint32)
             cut = np.searchsorted(tokens >> shift, np.arange(buckets + 1, dtype=U64))
             for k in range(buckets):
                 if cut[k] < cut[k + 1]:
                     out.append({"batch": batch, "bucket": k, "tokens": tokens[cut[k] : cut[k + 1]].tobytes(), "places": places[cut[k] : cut[k + 1]].tobytes()})
         index = {fp: i for i, fp in enumerate(seen)}
-        for fp, doc, n in rows:
+        for fp, doc, key, n in rows:
             i = index.get(fp)
-            out.append({"fp": fp, "doc_id": doc, "n": n, "batch": batch, "pos": i, "own": int(own[i]) if i is not None else 0, "need": _reach(n, num, den)[1]})
+            out.append({"fp": fp, "doc_id": doc, "key": key, "n": n, "batch": batch, "pos": i, "own": int(own[i]) if i is not None else 0, "need": _reach(n, num, den)[1]})
         return out
 
     def run(batches):
@@ -84,11 +92,11 @@ def _pass_one(width: int, num: int, den: int, buckets: int):
 
         batch, rows, seen, size = TaskContext.get().partitionId() << 24, [], {}, 0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts, keys = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for a in range(0, len(texts), 256):
-                for doc, s in zip(ids[a : a + 256], shingle_sets(texts[a : a + 256], width), strict=True):
+                for doc, key, s in zip(ids[a : a + 256], keys[a : a + 256], shingle_sets(texts[a : a + 256], width), strict=True):
                     fp = fingerprint(s) if len(s) else None
-                    rows.append((fp, doc, len(s)))
+                    rows.append((fp, doc, key, len(s)))
                     if len(s) and fp not in seen:
                         reach = _reach(len(s), num, den)[0]
                         seen[fp] = (s[:reach].copy(), reach)
@@ -103,23 +111,32 @@ def _pass_one(width: int, num: int, den: int, buckets: int):
 
 
 def _shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: for each batch, how many tokens of each place other batches or places hold too."""
+    """Of one hash range: for each batch, how many tokens of each place other texts hold too; frequent tokens with
+    their numbers of texts in a row without a batch."""
     tokens = np.concatenate([np.frombuffer(x, U64) for x in rows["tokens"]])
     places = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["places"]])
     batch = np.repeat(rows["batch"].to_numpy(), [len(x) // 8 for x in rows["tokens"]])
     order = np.argsort(tokens, kind="stable")
     tokens, places, batch = tokens[order], places[order], batch[order]
-    same = tokens[1:] == tokens[:-1]
-    shared = np.zeros(len(tokens), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    shared &= places != MANY
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    at = np.flatnonzero(first)
+    texts = np.add.reduceat(np.where(places >= MANY, places.astype(np.int64) - MANY, 1), at)
+    hot = texts >= FREQUENT
+    out = [(None, (tokens[at][hot] * U64(UNSPREAD)).tobytes(), texts[hot].astype(np.uint32).tobytes())]
+    shared = np.repeat(texts > 1, np.diff(np.append(at, len(tokens)))) & (places < MANY)
     places, batch = places[shared], batch[shared]
-    out = []
     for k in np.unique(batch):
         at, n = np.unique(places[batch == k], return_counts=True)
         out.append((int(k), at.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()))
-    return pd.DataFrame(out, columns=["batch", "places", "counts"])
+    return pd.DataFrame(out, columns=["batch", "places", "counts"]).astype({"batch": "Int64"})
+
+
+def _frequent_tokens(batches):
+    schema = pa.schema([("token", pa.int64()), ("texts", pa.int64())])
+    for b in batches:
+        for tokens, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens, np.int64)), pa.array(np.frombuffer(texts, np.uint32).astype(np.int64))], schema=schema)
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,13 +166,17 @@ def _sets(width: int):
     return run
 
 
-def _postings(num: int, den: int):
+def _postings(num: int, den: int, hot: np.ndarray, level: np.ndarray):
+    """(token, fp) of each set's prefix, in the order of (how frequent a hot token is, hash)."""
     schema = pa.schema([("token", pa.int64()), ("fp", pa.binary())])
 
     def run(batches):
         for b in batches:
             for fp, n, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                head = np.frombuffer(tokens, np.int64)[: _prefix(n, num, den)]
+                tokens = np.frombuffer(tokens, np.int64)
+                at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+                late = np.where(hot[at] == tokens, level[at], 0) if len(hot) else np.zeros(n, np.int8)
+                head = tokens[np.argsort(late, kind="stable")[: _prefix(n, num, den)]]
                 yield pa.RecordBatch.from_arrays([pa.array(head), pa.array([fp] * len(head), pa.binary())], schema=schema)
 
     return run
@@ -195,9 +216,12 @@ def _across(num: int, den: int):
     return run
 
 
-def _links(sets: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
+def _links(sets: DataFrame, frequent: list, num: int, den: int, chunk: int) -> DataFrame:
     """Edges (a, b) between classes that connect exactly the classes that links connect."""
-    postings = sets.select("fp", "n", "tokens").mapInArrow(_postings(num, den), "token long, fp binary")
+    frequent = sorted((r["token"], r["texts"]) for r in frequent)
+    hot = np.array([t for t, _ in frequent], np.int64)
+    level = np.log2([max(1, n) for _, n in frequent]).astype(np.int8) if frequent else np.zeros(0, np.int8)
+    postings = sets.select("fp", "n", "tokens").mapInArrow(_postings(num, den, hot, level), "token long, fp binary")
     centers = postings.groupBy("token").agg(F.min("fp").alias("center"), F.count("*").alias("k")).filter("k > 1").drop("k")
     members = materialize(postings.join(centers, "token").select("center", "fp").distinct(), "members")
     sizes = members.groupBy("center").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
@@ -220,24 +244,26 @@ def _links(sets: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, component, key) for every row of docs (doc_id, text).
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is num/den or more; component_id is
     the smallest doc_id that links reach. Null and empty texts, and texts of white space, have no shingles and no
     link. Repeated rows come back as often as they came in; a null doc_id takes part in links and never names a
-    component unless nothing else is there. Other columns are not read. An empty table gives an empty one.
+    component unless nothing else is there. component is a binary name of the component itself (null without
+    shingles), key the md5 of the text. Other columns are not read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     if buckets is None:
         buckets = 1 << max(5, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 2)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = texts.withColumn("key", F.md5("text"))
     seen = materialize(texts.mapInArrow(_pass_one(width, num, den, buckets), PASS_ONE), "shingles")
-    rows = seen.filter("bucket is null").select("fp", "doc_id", "n", "batch", "pos", "own", "need")
-    shared = (
-        seen.filter("bucket is not null").select("bucket", "batch", "tokens", "places")
-        .groupBy("bucket").applyInPandas(_shared_tokens, "batch long, places binary, counts binary")
-        .groupBy("batch").applyInPandas(_summed, "batch long, pos int, shared long")
-    )
+    rows = seen.filter("bucket is null").select("fp", "doc_id", "key", "n", "batch", "pos", "own", "need")
+    ranges = seen.filter("bucket is not null").select("bucket", "batch", "tokens", "places").groupBy("bucket")
+    counted = materialize(ranges.applyInPandas(_shared_tokens, "batch long, places binary, counts binary"), "counted")
+    shared = counted.filter("batch is not null").groupBy("batch").applyInPandas(_summed, "batch long, pos int, shared long")
+    tokens = counted.filter("batch is null").select("places", "counts").mapInArrow(_frequent_tokens, "token long, texts long")
+    frequent = tokens.orderBy(F.desc("texts"), "token").limit(HOT_TOKENS).collect()  # at most HOT_TOKENS rows
     alive = rows.filter("fp is not null").join(shared, ["batch", "pos"], "left").filter(F.coalesce("shared", F.lit(0)) + F.col("own") >= F.col("need"))
     classes = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     alive = materialize(alive.select("fp").distinct().join(classes, "fp"), "alive")
@@ -247,8 +273,30 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, width: int =
     kept = texts.join(keys, texts["doc_id"].eqNullSafe(keys["doc_id"]), "leftsemi").select("text")
     sets = kept.mapInArrow(_sets(width), "fp binary, n long, tokens binary").join(wanted, "fp", "leftsemi")
     sets = materialize(sets.dropDuplicates(["fp"]), "sets")
-    labels = connected_components(_links(sets, num, den, chunk))
+    labels = connected_components(_links(sets, frequent, num, den, chunk))
     named = labels.join(classes, labels["node"] == classes["fp"], "left").select("node", "component", "least")
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id")
-    of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("node").alias("fp"), "component", "component_id")
+    of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    out = rows.join(of_class, "fp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", "key")
+
+
+def first_of_components(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, without those that link to a kept one: of each component the row
+    with the smallest doc_id (null last; then the smallest md5 of its text) stays. Texts without words all stay."""
+    rows = materialize(jaccard_components(docs, num, den, width), "rows").filter("component is not null")
+    each = rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("times"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    each = materialize(each.join(first, "component").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))), "kept")
+    gone, again = each.filter("not kept"), each.filter("kept and times > 1")
+
+    def on(table: DataFrame):
+        keys = table.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+        keys = F.broadcast(keys) if table.count() <= BROADCAST_ROWS else keys
+        return keys, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.md5(docs["text"].cast("binary")) == F.col("_key"))
+
+    left = docs.join(*on(gone), "leftanti")
+    if again.isEmpty():
+        return left
+    once = docs.join(*on(again), "leftsemi").dropDuplicates(["doc_id", "text"])
+    return left.join(*on(again), "leftanti").unionByName(once)
