@@ -59,23 +59,21 @@ def _joined(rows: DataFrame, table: DataFrame, count: int, how: str = "inner") -
     return rows.withColumn("of", key).join(table, "of", how).drop("of")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source).
+def _digest() -> Column:
+    return F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, sum(LEVELS))
 
-    size counts words (null text: 0); taken is size times the row's number of copies in the mix. Rows of one doc_id
-    fall on the same side of a threshold. Null sources are one source; sources of size 0 get target 0. Rows whose
-    hash is in the last, finest bucket are taken when that brings the source nearer to its target. Empty in, empty
-    out; other columns are not read.
-    """
-    digest = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, sum(LEVELS))
-    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), digest.alias("hash"))
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan). rows: doc_id, source, size and hash of every row. plan, a row a source: source_size, target,
+    full copies of every row, and the threshold below which the hash of a row gives it one copy more."""
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _digest().alias("hash"))
     rows = materialize(rows, "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("full", full).withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
     targets = materialize(targets, "targets")
     n = targets.count()
-    open_ = targets.select("source", F.col("left").alias("left"), F.lit("").alias("prefix"))
+    open_ = targets.select("source", "left", F.lit("").alias("prefix"))
     digits = 0
     for step in LEVELS:
         digits += step
@@ -88,6 +86,34 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         open_ = materialize(found, "thresholds")
     # below the threshold: all; in the last bucket: all of it where that is nearer; no threshold: the whole source fits
     cut = open_.select("source", F.col("prefix").alias("at"), (F.col("within") - F.col("left") < F.col("left")).alias("nearer"))
-    both = _joined(_joined(rows, targets, n), cut, n, "left")
-    more = F.when(F.col("at").isNull(), F.col("left") > 0).otherwise((F.col("hash") < F.col("at")) | ((F.col("hash") == F.col("at")) & F.col("nearer")))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("full") + more.cast("long"))).alias("taken"))
+    return rows, materialize(_joined(targets, cut, n, "left"), "plan")
+
+
+def _copies(hash_: Column, plan: str = "") -> Column:
+    full, left, at, nearer = (F.col(plan + c) for c in ("full", "left", "at", "nearer"))
+    more = F.when(at.isNull(), left > 0).otherwise((hash_ < at) | ((hash_ == at) & nearer))
+    return full + more.cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source).
+
+    size counts words (null text: 0); taken is size times the row's number of copies in the mix. Rows of one doc_id
+    fall on the same side of a threshold. Null sources are one source; sources of size 0 get target 0. Rows whose
+    hash is in the last, finest bucket are taken when that brings the source nearer to its target. Empty in, empty
+    out; other columns are not read.
+    """
+    rows, plan = mix_plan(docs, weights, share, most)
+    both = _joined(rows, plan, plan.count())
+    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("hash"))).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns. Texts are not shuffled."""
+    _, plan = mix_plan(docs, weights, share, most)
+    n = plan.count()
+    key = F.struct(docs["source"].isNull(), F.coalesce(docs["source"].cast("string"), F.lit("")))
+    plan = plan.select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_of"), F.struct("full", "left", "at", "nearer").alias("_plan"))
+    both = docs.withColumn("_key", key).withColumn("_hash", _digest()).join(F.broadcast(plan) if n <= BROADCAST_SOURCES else plan, F.col("_key") == F.col("_of"))
+    copies = _copies(F.col("_hash"), "_plan.").cast("int")
+    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")

@@ -136,16 +136,28 @@ def scorer(model: dict[str, np.ndarray]):
     return score
 
 
-def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """docs with score: the probability of good quality from the whole text alone. Null and empty texts get the
-    model's score of no features. A column named score is replaced; other columns and repeated rows stay."""
+def score_of(text, model: dict[str, np.ndarray]):
+    """A column: the probability of good quality from the whole text alone."""
     score = scorer(model)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(score(texts.tolist()))
 
-    return docs.drop("score").withColumn("score", of(F.col("text").cast("binary")))
+    return of(text.cast("binary"))
+
+
+def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """docs with score. Null and empty texts get the model's score of no features. A column named score is replaced;
+    other columns and repeated rows stay; an empty table stays empty."""
+    return docs.drop("score").withColumn("score", score_of(F.col("text"), model))
+
+
+def accepted(docs: DataFrame, model: dict[str, np.ndarray], keep: float = KEEP) -> DataFrame:
+    """The rows of docs that score keep or more, with just their own columns. Null and empty texts stay: there is
+    nothing in them to reject."""
+    empty = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
+    return docs.filter(empty | (score_of(F.col("text"), model) >= keep))
 
 
 def learnable(labels: DataFrame, column: str = "quality", folds: int = 4, out: int = 2) -> DataFrame:
