@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from decisa.plans import panel_queries  # noqa: F401
+from decisa.plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "pit_asof_decile_spread"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
