@@ -1,0 +1,177 @@
+"""Event-time state machines with a batch form and a Structured Streaming form of the same fold.
+
+`fold_*` functions are pure: they take a state and a time-ordered frame and give rows and the next state. The batch
+form applies one to each key's whole history; the streaming form keeps the state between micro-batches.
+"""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LEDGER = "asset long, day long, event string, price double, held int, ret double"
+
+
+def fold_positions(state: dict, rows: pd.DataFrame, hold: int = 5, fee: float = 0.0005) -> tuple[list[tuple], dict]:
+    """A flat/long machine. Flat: enter when score >= 0.6 and the gate is on. Long: exit when the gate is off or after
+    `hold` bars; an exit bar stays flat. The exit's return is net of both fees."""
+    out, entry, held = [], state.get("entry"), state.get("held", 0)
+    for asset, day, price, score, gate in rows[["asset", "day", "price", "score", "gate"]].itertuples(index=False, name=None):
+        if entry is None:
+            if score is not None and score == score and score >= 0.6 and gate:
+                entry, held = price, 0
+                out.append((asset, day, "enter", price, 0, None))
+        else:
+            held += 1
+            if not gate or held >= hold:
+                out.append((asset, day, "exit", price, held, price / entry - 1 - 2 * fee))
+                entry, held = None, 0
+    return out, {"entry": entry, "held": held}
+
+
+def replay_positions(panel: DataFrame, hold: int = 5, fee: float = 0.0005) -> DataFrame:
+    """Batch: each asset's (asset, day, price, score, gate) history in day order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, _ = fold_positions({}, pdf.sort_values("day"), hold, fee)
+        return pd.DataFrame(out, columns=["asset", "day", "event", "price", "held", "ret"])
+
+    return panel.select("asset", "day", "price", "score", "gate").groupBy("asset").applyInPandas(run, LEDGER)
+
+
+def stream_positions(panel: DataFrame, hold: int = 5, fee: float = 0.0005) -> DataFrame:
+    """Streaming: the same machine with its state kept per asset; each micro-batch's rows must not be older than those
+    before, as a replay in day order gives them."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, frames, state):
+        now = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values("day")
+        out, now = fold_positions(now, rows, hold, fee)
+        state.update((json.dumps(now),))
+        yield pd.DataFrame(out, columns=["asset", "day", "event", "price", "held", "ret"])
+
+    grouped = panel.select("asset", "day", "price", "score", "gate").groupBy("asset")
+    return grouped.applyInPandasWithState(run, LEDGER, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def fold_orders(rows: pd.DataFrame, latency: int, fee: float, window: int, most_orders: int, most_turnover: float) -> list[tuple]:
+    """An account's order clock: rows are quotes and decisions by time, quotes first on ties.
+
+    A decision becomes an order `latency` later and fills at the first quote of its asset at or after that, up to the
+    quote's size; the rest stays open until filled or replaced by the asset's next decision. Risk looks at orders and
+    turnover of (now - window, now]: past a limit the order is blocked, over the remaining turnover it is reduced;
+    blocked orders don't count. Every fill moves cash, position and fees."""
+    out, open_, sent = [], {}, []
+    cash = fees = 0.0
+    position: dict = {}
+    price: dict = {}
+    for t, kind, asset, value, size in rows[["t", "kind", "asset", "value", "size"]].itertuples(index=False, name=None):
+        if kind == "quote":
+            price[asset] = value
+            if asset in open_ and t >= open_[asset][0]:
+                due, left = open_[asset]
+                take = min(abs(left), size) * (1 if left > 0 else -1)
+                if take:
+                    cost = abs(take) * value * fee
+                    cash, fees = cash - take * value - cost, fees + cost
+                    position[asset] = position.get(asset, 0.0) + take
+                    out.append((t, asset, "fill", take, value, cash, position[asset], fees))
+                open_[asset] = (due, left - take)
+                if abs(left - take) < 1e-12:
+                    del open_[asset]
+        else:
+            sent = [(a, b) for a, b in sent if a > t - window]
+            want, at = value, price.get(asset)
+            verdict = "order"
+            if at is None or len(sent) >= most_orders:
+                verdict = "blocked"
+            else:
+                room = most_turnover - sum(b for _, b in sent)
+                if room <= 0:
+                    verdict = "blocked"
+                elif abs(want) * at > room:
+                    verdict, want = "reduced", room / at * (1 if want > 0 else -1)
+            if verdict != "blocked":
+                sent.append((t, abs(want) * at))
+                open_[asset] = (t + latency, want)
+            out.append((t, asset, verdict, want, at, cash, position.get(asset, 0.0), fees))
+    return out
+
+
+ORDERS = "account long, t long, asset string, event string, quantity double, price double, cash double, position double, fees double"
+
+
+def replay_orders(events: DataFrame, latency: int = 60, fee: float = 0.0005, window: int = 86_400, most_orders: int = 5, most_turnover: float = 2000.0) -> DataFrame:
+    """Batch order simulator: (account, t, kind quote|decision, asset, value, size); an account is one fold, as its
+    cash and limits couple all its assets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.assign(_k=(pdf["kind"] != "quote").astype(int)).sort_values(["t", "_k", "asset", "value"])
+        out = fold_orders(rows, latency, fee, window, most_orders, most_turnover)
+        return pd.DataFrame([(pdf["account"].iloc[0], *r) for r in out], columns=[c.split()[0] for c in ORDERS.split(", ")])
+
+    return events.groupBy("account").applyInPandas(run, ORDERS)
+
+
+def conservation(ledger: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(account, cash, expected, ok): cash recomputed from fills alone against the ledger's last cash."""
+    fills = ledger.filter("event = 'fill'")
+    g = fills.groupBy("account").agg(F.max_by("cash", F.struct("t", "fees")).alias("cash"), F.sum(-F.col("quantity") * F.col("price")).alias("flow"), F.max("fees").alias("fees"))
+    g = g.withColumn("expected", F.col("flow") - F.col("fees"))
+    return g.select("account", "cash", "expected", (F.abs(F.col("cash") - F.col("expected")) <= tolerance * F.greatest(F.lit(1.0), F.abs("expected"))).alias("ok"))
+
+
+def fold_campaign(rows: pd.DataFrame, trail: float = 0.08, longest: int = 30, add_at: float = 0.03, fee: float = 0.0005) -> list[tuple]:
+    """One campaign at a time over a day-ordered panel (day, asset, price, score, gate): enter the best score (ties by
+    asset) with all cash, but not the asset left that day; add half the quantity, twice at most, each 3 % above the
+    average price, on credit of the gain; leave when the asset has no bar, the gate is off, the price trails its highest
+    close, or after `longest` days."""
+    out, cash, held = [], 1.0, None
+    for day, now in rows.groupby("day", sort=True):
+        bars = {a: (p, s, g) for a, p, s, g in now[["asset", "price", "score", "gate"]].itertuples(index=False, name=None)}
+        left = None
+        if held:
+            bar = bars.get(held["asset"])
+            price = bar[0] if bar else held["last"]
+            held["top"], held["days"], held["last"] = max(held["top"], price), held["days"] + 1, price
+            why = "no_bar" if not bar else "gate" if not bar[2] else "trail" if price <= held["top"] * (1 - trail) else "age" if held["days"] >= longest else None
+            if why:
+                cash += held["qty"] * price * (1 - fee)
+                out.append((int(day), held["asset"], f"exit_{why}", price, held["qty"], cash))
+                left, held = held["asset"], None
+            elif held["adds"] < 2 and price >= held["avg"] * (1 + add_at):
+                more = held["qty"] * 0.5
+                held["avg"] = (held["avg"] * held["qty"] + price * more) / (held["qty"] + more)
+                cash -= more * price * (1 + fee)
+                held["qty"], held["adds"] = held["qty"] + more, held["adds"] + 1
+                out.append((int(day), held["asset"], "add", price, more, cash))
+        if not held:
+            fit = sorted((-s, a) for a, (p, s, g) in bars.items() if g and s == s and s is not None and a != left)
+            if fit:
+                asset = fit[0][1]
+                price = bars[asset][0]
+                qty = cash / (price * (1 + fee))
+                held = {"asset": asset, "qty": qty, "avg": price, "top": price, "days": 0, "adds": 0, "last": price}
+                cash = 0.0
+                out.append((int(day), asset, "enter", price, qty, cash))
+    if held:
+        cash += held["qty"] * held["last"] * (1 - fee)
+        out.append((int(rows["day"].max()), held["asset"], "exit_end", held["last"], held["qty"], cash))
+    return out
+
+
+CAMPAIGN = "book long, day long, asset long, event string, price double, quantity double, cash double"
+
+
+def replay_campaigns(panel: DataFrame) -> DataFrame:
+    """Campaigns of independent books (column book): each is one sequential fold, books run in parallel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = fold_campaign(pdf.sort_values(["day", "asset"]))
+        return pd.DataFrame([(pdf["book"].iloc[0], *r) for r in out], columns=[c.split()[0] for c in CAMPAIGN.split(", ")])
+
+    return panel.select("book", "day", "asset", "price", "score", "gate").groupBy("book").applyInPandas(run, CAMPAIGN)
