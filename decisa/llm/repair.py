@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisa.llm.words import groups
 from decisa.session import fresh_path
 
 #: Nonterminals start here; vocabularies are smaller.
@@ -63,18 +64,20 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, known: dict[str, bytes | None], want: set[str], prefix: str) -> None:
-        new = want - known.keys()
-        if len(known) + len(new) > CACHE:
+        new = [x for x in want if x not in known]
+        if len(known) + len(new) > CACHE:  # what comes up again stays, the rare rest goes
+            again = {x: known[x] for x in want if x in known}
             known.clear()
-            new = set(want)
-        new = list(new)
+            known.update(again)
         joined = "\n".join(new)
         odd: set[str] = set()
         if len("".join(joined.split())) != len(joined) - len(new) + 1 or "" in new:  # white space other than the joints
             odd = {x for x in new if not x or any(c.isspace() for c in x)}
             known.update(dict.fromkeys(odd))
         marked = [x for x in new if x[-1:] in self.marks and x[:-1].isalpha()]
-        fine = list({x[:-1] for x in marked} - known.keys() | set(new) - odd - set(marked))
+        fine = {x for x in new if not (x[-1:] in self.marks and x[:-1].isalpha())} - odd
+        fine.update([x[:-1] for x in marked if x[:-1] not in known])
+        fine = list(fine)
         for a in range(0, len(fine), 8192):  # line ends keep the pieces of one text apart
             texts = ["\n".join([prefix + x for x in fine[k : k + 256]]) for k in range(a, min(a + 8192, len(fine)), 256)]
             for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
@@ -205,8 +208,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
         encode, part, shard, ids, texts, size = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             some, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a in range(0, len(some), 512):
-                for i, t in zip(some[a : a + 512], encode([t or "" for t in whole[a : a + 512]]), strict=True):
+            for a, z in groups(whole, 4 << 20):
+                for i, t in zip(some[a:z], encode(whole[a:z]), strict=True):
                     ids.append(i)
                     texts.append(t)
                     size += len(t) // 4 + 1
