@@ -20,10 +20,10 @@ from decisa.session import materialize
 
 #: Vectors that the codebooks are fitted on at most: those with the smallest hashed ids.
 SAMPLE = 20_000
-CENTROIDS = 32
+CENTROIDS = 128
 ROUNDS = 12
 #: A query visits cells until they hold this share of all vectors, and LEAST vectors at least.
-SHARE, LEAST = 0.2, 2000
+SHARE, LEAST = 0.4, 2000
 #: Vectors of a block, and queries that one task compares with it.
 BLOCK, QUERIES = 4096, 4096
 MARGIN = 1e-9
@@ -73,9 +73,13 @@ def _search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
         order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
         ids, cells = rows["vec_id"].to_numpy()[order], rows["cell"].to_numpy()[order]
         x = np.stack(rows["vector"].to_list())[order].astype(np.float64)
+        visit = np.zeros(int(cells.max()) + 1, bool)
         for query, qv, visited in zip(queries["vec_id"], queries["vector"], queries["cells"], strict=True):
-            qv = np.asarray(qv, np.float64)
-            at = np.flatnonzero(np.isin(cells, visited) & (ids != query))
+            qv, visited = np.asarray(qv, np.float64), np.asarray(visited, np.int64)
+            visited = visited[visited < len(visit)]
+            visit[visited] = True
+            at = np.flatnonzero(visit[cells] & (ids != query))
+            visit[visited] = False
             if not len(at):
                 continue
             rough = x[at] @ qv
@@ -136,29 +140,31 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     sizes = np.zeros(len(first) * len(second), np.int64)
     for r in placed.groupBy("cell").count().collect():  # a row a cell
         sizes[r["cell"]] = r["count"]
-    # cells in order fill blocks; a cell larger than a block is split over several by hash
+    # cells in order fill blocks; a cell larger than a block has its own, several ones, and is split over them by hash
     block, parts, held, at = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
     for c, n in enumerate(sizes.tolist()):
         if held and held + n > BLOCK:
             at, held = at + int(parts[c - 1]), 0
         block[c], parts[c], held = at, max(1, -(-n // BLOCK)), held + n
     where = fine.sparkSession.createDataFrame([(c, int(block[c]), int(parts[c])) for c in np.flatnonzero(sizes).tolist()], "cell int, block long, parts long")
-    enough = max(LEAST, int(share * total))
+    enough, cell_sizes = max(LEAST, int(share * total)), sizes.tolist()
 
-    @F.pandas_udf("array<int>")
-    def cells_to_visit(vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<block: bigint, parts: bigint, cells: array<int>>>")
+    def blocks_to_visit(vectors: pd.Series) -> pd.Series:
         q = np.stack(vectors.to_list())
-        a, b = -(q[:, :half] @ first.T), -(q[:, half:] @ second.T)
-        return pd.Series([visit_order(a[i], b[i], sizes, enough) for i in range(len(q))])
-
-    queries = fine.filter(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).withColumn("cells", cells_to_visit("vector"))
-    queries = materialize(queries, "queries")
+        far_a, far_b, out = -(q[:, :half] @ first.T), -(q[:, half:] @ second.T), []
+        for i in range(len(q)):
+            cells = np.sort(np.array(visit_order(far_a[i], far_b[i], cell_sizes, enough), np.int64))  # blocks hold cells in order
+            cut = np.flatnonzero(np.diff(block[cells])) + 1
+            out.append([{"block": int(block[c[0]]), "parts": int(parts[c].max()), "cells": c.astype(np.int32)} for c in np.split(cells, cut)])
+        return pd.Series(out)
+
+    queries = fine.filter(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
     turns = max(1, -(-queries.count() // QUERIES))
     rows_side = placed.join(F.broadcast(where), "cell").withColumn("block", F.col("block") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")))
     rows_side = rows_side.select("vec_id", "vector", "cell", "block", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
-    visits = queries.select("vec_id", F.explode("cells").alias("cell")).join(F.broadcast(where), "cell")
-    visits = visits.select("vec_id", "cell", F.explode(F.sequence(F.col("block"), F.col("block") + F.col("parts") - 1)).alias("block"))
-    visits = visits.groupBy("vec_id", "block").agg(F.collect_set("cell").alias("cells")).join(queries.select("vec_id", "vector"), "vec_id")
+    visits = queries.select("vec_id", "vector", F.inline(blocks_to_visit("vector")))
+    visits = visits.select("vec_id", "vector", "cells", F.explode(F.sequence(F.col("block"), F.col("block") + F.col("parts") - 1)).alias("block"))
     visits = visits.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(turns)).cast("int"))
     found = rows_side.groupBy("block", "turn").cogroup(visits.groupBy("block", "turn")).applyInPandas(lambda x, q: _search_block(x, q, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
