@@ -20,9 +20,12 @@ from decisa.llm.words import U64, Block, groups, mix, segments
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 16
 DIM = 8
-EPOCHS = 5
+#: Steps of the descent: small samples are gone through more often.
+STEPS = 20_000
 RATE = 0.5
 GRAMS = (2, 3, 4)
+#: Bytes of text whose features are in memory at once, about 150 bytes for each byte.
+PIECE = 1 << 19
 REPEATS = 3
 #: Texts that score less are rejected.
 KEEP = 0.7
@@ -50,14 +53,14 @@ def _features(b: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_text(texts: list[bytes | None]):
     """(features, text index of each) in blocks; bigrams and repeats don't cross blocks of long texts."""
-    for a, z in groups(texts):
+    for a, z in groups(texts, PIECE):
         pieces, owner = [], []
         for i in range(a, z):
-            for piece in segments(texts[i] or b""):
+            for piece in segments(texts[i] or b"", PIECE):
                 pieces.append(piece)
                 owner.append(i)
         size = sum(map(len, pieces))
-        for lo, hi in ((0, len(pieces)),) if size <= 4 << 20 else ((k, k + 1) for k in range(len(pieces))):
+        for lo, hi in ((0, len(pieces)),) if size <= 2 * PIECE else ((k, k + 1) for k in range(len(pieces))):
             b = Block(pieces[lo:hi], lower=False)
             f, at = _features(b)
             yield f.astype(np.int32), np.asarray(owner[lo:hi])[np.searchsorted(b.offsets, at, "right") - 1]
@@ -77,8 +80,9 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int = 2, seed: int =
     usable = [i for i, d in enumerate(docs) if d is not None]
     vectors = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     layer, bias = np.zeros((DIM, classes), np.float32), np.zeros(classes, np.float32)
-    steps, done = EPOCHS * len(usable), 0
-    for _ in range(EPOCHS):
+    epochs, done = max(1, -(-STEPS // max(1, len(usable)))), 0
+    steps = epochs * len(usable)
+    for _ in range(epochs):
         for i in rng.permutation(usable):
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
@@ -97,6 +101,11 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int = 2, seed: int =
     return {"vectors": vectors, "layer": layer, "bias": bias}
 
 
+def constant(good: bool) -> dict[str, np.ndarray]:
+    """The model of a table with one class or none."""
+    return {"vectors": np.zeros((1, DIM), np.float32), "layer": np.zeros((DIM, 2), np.float32), "bias": np.array([0, 9 if good else -9], np.float32)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Train on the texts of a bounded sample of labels (key, label), in one task; the model is about 2 MB.
 
@@ -111,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str
         table = pa.concat_tables(tables) if tables else None
         table = table and table.sort_by("key")
         texts, labels = (table.column("text").to_pylist(), table.column("label").to_numpy().astype(int)) if table else ([], np.zeros(0, int))
-        model = train(texts, labels) if len(set(labels.tolist())) > 1 else {"vectors": np.zeros((1, DIM), np.float32), "layer": np.zeros((DIM, 2), np.float32), "bias": np.array([0, 9 if not len(labels) or labels.mean() else -9], np.float32)}
+        model = train(texts, labels) if len(set(labels.tolist())) > 1 else constant(not len(labels) or labels[0] == 1)
         yield pa.RecordBatch.from_pylist([{"name": k, "shape": list(v.shape), "data": v.astype(np.float32).tobytes()} for k, v in model.items()], schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("data", pa.binary())]))
 
     got = sample.select("key", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(run, "name string, shape array<long>, data binary").collect()
-    return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in got}
+    return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in got} or constant(True)
 
 
 def scorer(model: dict[str, np.ndarray]):
