@@ -31,7 +31,7 @@ PAIRS_A_ROUND = 512
 LEAST = 64
 #: Distinct pieces that a worker remembers, about 200 bytes each.
 CACHE = 900_000
-HASH_BITS = 20
+HASH_BITS = 18
 
 SHARD = "part int, shard int, docs int, tokens long, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary, rules binary, lengths binary, symbols binary"
 
@@ -74,10 +74,15 @@ class Encoder:
         if len("".join(joined.split())) != len(joined) - len(new) + 1 or "" in new:  # white space other than the joints
             odd = {x for x in new if not x or any(c.isspace() for c in x)}
             known.update(dict.fromkeys(odd))
-        marked = [x for x in new if x[-1:] in self.marks and x[:-1].isalpha()]
-        fine = {x for x in new if not (x[-1:] in self.marks and x[:-1].isalpha())} - odd
-        fine.update([x[:-1] for x in marked if x[:-1] not in known])
-        fine = list(fine)
+        marked, fine, marks = [], set(), self.marks
+        for x in new:
+            if x[-1:] in marks and (stem := x[:-1]).isalpha():
+                marked.append(x)
+                if stem not in known:
+                    fine.add(stem)
+            else:
+                fine.add(x)
+        fine = list(fine - odd)
         for a in range(0, len(fine), 8192):  # line ends keep the pieces of one text apart
             texts = ["\n".join([prefix + x for x in fine[k : k + 256]]) for k in range(a, min(a + 8192, len(fine)), 256)]
             for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
