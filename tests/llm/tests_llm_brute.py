@@ -1,0 +1 @@
+from test_jaccard_join import brute as components  # noqa: F401
