@@ -44,3 +44,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most `rows` rows a batch to Python workers from now on, as whole texts are long: a worker and its task
+    hold a few MB of text at a time, not the 10,000 rows of the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
