@@ -100,9 +100,10 @@ def read_zipped_bars(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, counts of good and malformed lines): a bad line is counted, never fatal."""
-    rows = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    kept = rows.filter("_corrupt is null").drop("_corrupt")
-    return kept, spark.read.text(path).filter("length(trim(value)) > 0").select(F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).groupBy(F.col("r._corrupt").isNotNull().alias("malformed")).agg(F.count("*").alias("n"))
+    parsed = F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(parsed.alias("r"))
+    good = rows.filter("r._corrupt is null").select("r.*").drop("_corrupt")
+    return good, rows.groupBy(F.col("r._corrupt").isNotNull().alias("malformed")).agg(F.count("*").alias("n"))
 
 
 MESSAGES = "messages array<struct<role: string, content: string>>"
