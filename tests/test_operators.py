@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decisa.functions import probs, stats, text, windows
-from decisa.operators import asof, corpus, joins, panel, resample, validate
+from decisa.operators import asof, corpus, joins, panel, removal, resample, validate, walkforward
 from decisa.sources import readers, sinks
 
 
@@ -225,3 +225,37 @@ def test_validators(spark):
     assert [r[0] for r in q.select(validate.question_reason("kind", "criteria")).collect()] == [None, "criteria_count", "blank_criterion", None, "unknown_type"]
     links = spark.createDataFrame([(1, 0, "call", "x"), (1, 1, "result", "x"), (2, 0, "result", "y"), (2, 1, "call", "y"), (3, 0, "call", "z")], "g int, pos int, kind string, id string")
     assert rows(validate.tool_link_reason(links, ["g"], "pos", "kind", "id"), "g", "reason") == [(1, None), (2, "orphan_result"), (3, "pending_call")]
+
+
+def test_walk_forward_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    d = np.repeat(np.arange(20), 15)
+    x = rng.normal(size=(300, 2))
+    y = 0.5 + x @ [1.0, -2.0] + 0.1 * rng.normal(size=300)
+    df = spark.createDataFrame([(int(a), i % 15, float(p), float(q), float(t)) for i, (a, (p, q), t) in enumerate(zip(d, x, y, strict=True))], "d long, k int, x1 double, x2 double, y double")
+
+    def ridge(rows, lam):
+        a = np.column_stack([np.ones(rows.sum()), x[rows]])
+        return np.linalg.solve(a.T @ a + lam * np.diag([0, 1, 1]), a.T @ y[rows])
+
+    got = {(r["d"] if "d" in r else r["day"], r["k"]): r["pred"] for r in walkforward.scored_ledger(df, "d", "k", ["x1", "x2"], "y", 10, 1.0).collect()}
+    for i in np.flatnonzero(d >= 10):
+        b = ridge(d < d[i], 1.0)
+        assert abs(got[(int(d[i]), int(i % 15))] - (b[0] + x[i] @ b[1:])) < 1e-6
+    lam = walkforward.select_lambda(df, "d", ["x1", "x2"], "y", [0.0, 1e6])
+    assert [r["chosen"] for r in lam.orderBy("lam").collect()] == [True, False]
+    fold = walkforward.evaluate_fold(df, "d", "k", ["x1", "x2"], "y", 12, 1.0).first()
+    assert fold["mse_ratio"] < 0.05 and fold["rho"] > 0.9
+    policies = {r["policy"]: r for r in walkforward.refit_policies(df, "d", ["x1", "x2"], "y", 10, 5, 10, 1.0).collect()}
+    assert policies["frozen"]["drift"] == 0.0 and policies["rolling"]["n"] == 150
+    z = spark.createDataFrame([(float(a), int(b > 0)) for a, b in zip(x[:, 0], x[:, 0] + 0.3 * x[:, 1], strict=True)], "x1 double, y int")
+    assert {r["name"]: r["coefficient"] for r in walkforward.fit_logistic(z, ["x1"], "y", 20, 1.0).collect()}["x1"] > 1
+
+
+def test_removal_and_packing(spark):
+    df = spark.createDataFrame([(1, k, "t" * (k + 1) if k != 3 else None) for k in range(7)], "g int, pos int, text string")
+    assert tuple(removal.prove(df, "g", "pos", "text", F.col("pos") % 2 == 1).first()) == (1, True, 3, 7)
+    costs = df.withColumn("c", F.lit(4))
+    assert [(r["first"], r["last"], r["used"]) for r in removal.pack(costs, "g", "pos", "c", 9).orderBy("row").collect()] == [(0, 1, 8), (2, 3, 8), (4, 5, 8), (6, 6, 4)]
