@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisa.operators.components import connected_components
+from decisa.session import materialize
+
 
 def lagged_join(left: DataFrame, right: DataFrame, by: list[str], time: str, lag: int, value: str, out: str) -> DataFrame:
     """left with right's value exactly `lag` units later on the shared grid; gaps give no row (not lag(), which skips them)."""
@@ -151,8 +154,6 @@ def overlay_labels(rows: DataFrame, labels: DataFrame, key: str, shared: list[st
 
 def closure(edges: DataFrame, seeds: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", group: str = "group") -> DataFrame:
     """(group, node): what seeds reach along edges within their group, seeds included; ends when no round adds a node."""
-    from decisa.session import materialize
-
     known = materialize(seeds.select(group, node).distinct(), "closure")
     fresh, e = known, edges.select(group, F.col(src).alias(node), F.col(dst).alias("_to")).distinct()
     while True:
@@ -163,23 +164,6 @@ def closure(edges: DataFrame, seeds: DataFrame, node: str = "node", src: str = "
         known = materialize(known.unionByName(fresh), "closure")
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable from each node of an edge table, by alternating star steps with
-    pre-aggregated minima; each round is a written table."""
-    from decisa.session import materialize
-
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
-    nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
-    state = None
-    for _ in range(rounds):
-        both = e.union(e.select("b", "a")).toDF("a", "b")
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        e = materialize(small.filter("a <> b").distinct(), "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the smallest node reachable from each node of an edge table."""
+    return connected_components(edges, a, b)
