@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisa.llm.components import connected_components
 from decisa.llm.signature_tree import forest_edges
-from decisa.llm.words import U64, fingerprint, shingle_sets
-from decisa.session import materialize
+from decisa.llm.words import U64, fingerprint, release_caches, shingle_sets
+from decisa.operators.components import connected_components
+from decisa.session import materialize, short_batches
 
 #: Marks a token that several texts of a batch hold; the other bits count them. Else they are its text's place.
 MANY = 1 << 31
@@ -90,11 +90,12 @@ def _pass_one(width: int, num: int, den: int, buckets: int):
     def run(batches):
         from pyspark import TaskContext
 
+        release_caches()
         batch, rows, seen, size = TaskContext.get().partitionId() << 24, [], {}, 0
         for b in batches:
-            ids, texts, keys = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for a in range(0, len(texts), 256):
-                for doc, key, s in zip(ids[a : a + 256], keys[a : a + 256], shingle_sets(texts[a : a + 256], width), strict=True):
+            for a in range(0, len(b), 256):
+                some = b.slice(a, 256)
+                for doc, s, key in zip(some.column(0).to_pylist(), shingle_sets(some.column(1).to_pylist(), width), some.column(2).to_pylist(), strict=True):
                     fp = fingerprint(s) if len(s) else None
                     rows.append((fp, doc, key, len(s)))
                     if len(s) and fp not in seen:
@@ -151,12 +152,12 @@ def _sets(width: int):
     schema = pa.schema([("fp", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
+        release_caches()
         seen = set()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for a in range(0, len(texts), 256):
+            for a in range(0, len(b), 256):
                 out = []
-                for s in shingle_sets(texts[a : a + 256], width):
+                for s in shingle_sets(b.slice(a, 256).column(0).to_pylist(), width):
                     if len(s) and (fp := fingerprint(s)) not in seen:
                         seen.add(fp)
                         out.append({"fp": fp, "n": len(s), "tokens": s.tobytes()})
@@ -253,6 +254,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, width: int =
     shingles), key the md5 of the text. Other columns are not read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     if buckets is None:
         buckets = 1 << max(5, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 2)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))

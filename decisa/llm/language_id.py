@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisa.llm.words import U64, Block, blocks
+from decisa.session import short_batches
 
 #: Labelled rows that a language is fitted on at most: those whose hashed ids are smallest.
 SAMPLE_ROWS = 1500
@@ -145,6 +146,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score. A null text or one without a letter is `und` with score 1; so is every text when
     nothing was learnt. Columns of these names are replaced; other columns and repeated rows stay."""
+    short_batches(docs.sparkSession)
     names, predict = predictor(model)
     has_letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     if not names:

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisa.llm.words import U64, Block, groups, mix, segments
+from decisa.llm.words import U64, Block, groups, mix, release_caches, segments
+from decisa.session import short_batches
 
 #: Labelled rows that a model is fitted on at most: those whose hashed ids are smallest, so any size of table gives
 #: the same kind of sample. Their whole texts are about 13 MB here.
@@ -151,6 +152,7 @@ def score_of(text, model: dict[str, np.ndarray]):
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        release_caches()
         return pd.Series(score(texts.tolist()))
 
     return of(text.cast("binary"))
@@ -159,12 +161,14 @@ def score_of(text, model: dict[str, np.ndarray]):
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """docs with score. Null and empty texts get the model's score of no features. A column named score is replaced;
     other columns and repeated rows stay; an empty table stays empty."""
+    short_batches(docs.sparkSession)
     return docs.drop("score").withColumn("score", score_of(F.col("text"), model))
 
 
 def accepted(docs: DataFrame, model: dict[str, np.ndarray], keep: float = KEEP) -> DataFrame:
     """The rows of docs that score keep or more, with just their own columns. Null and empty texts stay: there is
     nothing in them to reject."""
+    short_batches(docs.sparkSession)
     empty = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
     return docs.filter(empty | (score_of(F.col("text"), model) >= keep))
 

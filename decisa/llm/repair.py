@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.llm.words import groups
-from decisa.session import fresh_path
+from decisa.llm.words import CACHES, groups, release_caches
+from decisa.session import fresh_path, short_batches
 
 #: Nonterminals start here; vocabularies are smaller.
 BASE = 1 << 17
@@ -210,6 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
     def run(batches):
         from pyspark import TaskContext
 
+        release_caches(_encoders)
         encode, part, shard, ids, texts, size = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             some, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -224,12 +225,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(part, shard, ids, texts)], schema)
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(run, SHARD).write.parquet(path)
 
 
 _encoders: dict[str, Encoder] = {}
+CACHES.append(_encoders)
 
 
 def _encoder(path: str) -> Encoder:

@@ -23,6 +23,20 @@ _lowered[65:91] = _codes[97:123]
 _powers = {"n": 0}
 
 
+#: What operators keep in a Python worker between tasks. Spark uses a worker again for other operators' tasks.
+CACHES: list[dict] = []
+
+
+def release_caches(keep: dict | None = None) -> None:
+    """Empty the caches of other operators, and give unused Arrow memory back; called where an operator's task starts."""
+    import pyarrow as pa
+
+    for cache in CACHES:
+        if cache is not keep:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
