@@ -21,32 +21,26 @@ AGREE = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of bytes outside 0x20 and 0x09-0x0D; none for null."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", -1)
-    first, last = F.element_at(parts, 1) == "", (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
-    start, drop = F.when(first, 2).otherwise(1), F.when(first, 1).otherwise(0) + F.when(last, 1).otherwise(0)
-    return F.slice(parts, start, F.size(parts) - drop)
-
+def with_codes(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the hashes of the text's lower-cased words, runs of bytes outside 0x20 and 0x09-0x0D; none for null.
 
-def word_codes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+    The split is a column of its own, as several expressions use it and a lambda's arguments aren't shared."""
+    df = df.withColumn("_parts", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", -1))
+    first, last = F.element_at("_parts", 1) == "", (F.size("_parts") > 1) & (F.element_at("_parts", -1) == "")
+    start, drop = F.when(first, 2).otherwise(1), F.when(first, 1).otherwise(0) + F.when(last, 1).otherwise(0)
+    return df.withColumn(out, F.transform(F.slice("_parts", start, F.size("_parts") - drop), lambda w: F.xxhash64(w))).drop("_parts")
 
 
 def seeds(table: DataFrame, codes: str, *keep: str) -> DataFrame:
-    """keep, seed and place (from 0) for every mask and position; shorter sequences than any mask give one whole seed."""
-    span = max(map(len, MASKS))
-    shifted = table.select(*keep, F.inline(F.arrays_zip(*[F.slice(codes, F.lit(k + 1), F.greatest(F.size(codes) - k, F.lit(0))).alias(f"w{k}") for k in range(span)], F.sequence(F.lit(0), F.size(codes) - 1).alias("place"))))
-    shifted = shifted.toDF(*keep, *[f"w{k}" for k in range(span)], "place")
+    """keep, seed and place (from 0) for every mask and position; a sequence that no mask fits gives one seed of all of it."""
+    span, least = max(map(len, MASKS)), min(map(len, MASKS))
+    shifted = table.select(*keep, F.inline(F.arrays_zip(*[F.slice(codes, F.lit(k + 1), F.greatest(F.size(codes) - k, F.lit(0))) for k in range(span)], F.sequence(F.lit(0), F.size(codes) - 1))))
+    shifted = shifted.toDF(*keep, *[f"w{k}" for k in range(span)], "place").filter("w0 is not null")
     each = [F.when(F.col(f"w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w{k}") for k, bit in enumerate(m) if bit == "1"])) for i, m in enumerate(MASKS)]
+    each[0] = F.when(F.col(f"w{least - 1}").isNotNull(), each[0]).when(F.col("place") == 0, F.xxhash64(F.lit(-1), *[F.col(f"w{k}") for k in range(least - 1)]))
     return shifted.select(*keep, "place", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
 
 
-def whole_seed(codes: str) -> Column:
-    """For sequences that no mask fits: a hash of all of it."""
-    return F.when(F.size(codes).between(1, min(map(len, MASKS)) - 1), F.xxhash64(F.lit(-1), F.col(codes)))
-
-
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -57,22 +51,20 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     docs needs text, benchmark item_id and text. Null and empty texts on either side match nothing. Items of one id
     are separate items; a null item_id is kept in items as -1.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), word_codes(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
-    items = materialize(items, "items")
-    item_seeds = seeds(items, "item", "item_id", "item").select("seed", "item_id", "item", F.col("place").alias("item_place"))
-    whole = items.select(whole_seed("item").alias("seed"), "item_id", "item", F.lit(0).alias("item_place")).filter("seed is not null")
-    item_seeds = materialize(item_seeds.unionByName(whole).select("seed", "item_id", F.xxhash64("item").alias("item_hash"), "item_place"), "item-seeds")
+    items = with_codes(benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text"), "text", "item")
+    items = materialize(items.select("item_id", "item").filter(F.size("item") > 0).distinct(), "items")
+    item_seeds = seeds(items, "item", "item_id", "item").select("seed", "item_id", F.xxhash64("item").alias("item_hash"), F.col("place").alias("item_place"))
+    item_seeds = materialize(item_seeds, "item-seeds")
     item_seeds = _small(item_seeds, item_seeds.count())
 
-    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), word_codes(F.col("text")).alias("codes")).filter(F.size("codes") > 0)
-    long, short = seeds(texts, "codes", "key"), texts.select("key", F.lit(0).alias("place"), whole_seed("codes").alias("seed")).filter("seed is not null")
-    hits = long.join(item_seeds, "seed").unionByName(short.join(item_seeds, "seed"))
+    texts = with_codes(docs.select(F.md5(F.col("text").cast("binary")).alias("key"), "text"), "text", "codes")
+    hits = seeds(texts, "codes", "key").join(item_seeds, "seed")
     hits = hits.select("key", "item_id", "item_hash", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = materialize(hits.distinct(), "hits")
 
     n = hits.select("key").distinct().count()
     found = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), "text").join(_small(hits.select("key").distinct(), n), "key", "leftsemi")
-    found = found.dropDuplicates(["key"]).select("key", word_codes(F.col("text")).alias("codes"))
+    found = with_codes(found.dropDuplicates(["key"]), "text", "codes").select("key", "codes")
     pairs = hits.join(found, "key").join(items.withColumn("item_hash", F.xxhash64("item")), ["item_id", "item_hash"])
     place = lambda k: k + F.col("shift")
     same = F.transform("item", lambda w, k: F.when((place(k) >= 0) & (place(k) < F.size("codes")), F.coalesce(F.get("codes", place(k)) == w, F.lit(False)).cast("int")).otherwise(0))
