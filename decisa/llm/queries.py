@@ -43,7 +43,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.select(F.col("doc_id").alias("key"), "text"), quality.learnable(labels))
     scored = quality.score_quality(docs, model)
-    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
 def tokenizer_path() -> str:
@@ -88,7 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     learn = docs.filter(_fold(3) != 1).select(F.col("doc_id").alias("key"), "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(learn))
-    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {
