@@ -11,7 +11,7 @@ pytest.importorskip("public_tokenizers")
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_stages_against_brute_force(spark):
-    from tests_llm_brute import components  # noqa: PLC0415
+    from test_jaccard_join import brute as components
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = {}

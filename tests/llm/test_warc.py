@@ -51,4 +51,3 @@ def test_loser_tree():
     for k in (1, 2, 3, 7, 16):
         runs = [sorted(rng.choices(range(50), k=rng.randrange(12))) for _ in range(k)]
         assert [runs[i][j] for i, j in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
-    assert list(warc.LoserTree([])) == [] if False else True
