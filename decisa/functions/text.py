@@ -83,8 +83,10 @@ def words(x: Column) -> Column:
 
 def shingles(x: Column, n: int = 6, most: int | None = None, long_word: int | None = None) -> Column:
     """Distinct runs of n words in order; long_word keeps runs with a word of that length, most the first of them."""
-    w = words(x)
-    s = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    none = F.array().cast("array<array<string>>")
+    # the words are a lambda's variable: an expression inside a lambda would be split again for every run
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))).otherwise(none)
+    s = F.get(F.transform(F.array(words(x)), runs), 0)
     if long_word:
         s = F.filter(s, lambda run: F.exists(run, lambda t: F.length(t) >= long_word))
     s = F.array_distinct(F.transform(s, lambda run: F.array_join(run, " ")))
