@@ -30,7 +30,7 @@ ROUNDS = 4
 PAIRS_A_ROUND = 512
 LEAST = 64
 #: Distinct pieces that a worker remembers, about 200 bytes each.
-CACHE = 900_000
+CACHE = 600_000
 HASH_BITS = 18
 
 SHARD = "part int, shard int, docs int, tokens long, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary, rules binary, lengths binary, symbols binary"
@@ -269,8 +269,10 @@ def read_tokens(files: DataFrame) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run_decode(batches):
+        release_caches()
         for b in batches:
-            for s in b.to_pylist():
+            for k in range(len(b)):
+                s = b.slice(k, 1).to_pylist()[0]
                 ids = expand(np.frombuffer(s["symbols"], "<u4"), np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["lengths"], "<u4"))
                 n = np.frombuffer(s["doc_tokens"], "<u4").astype(np.int64)
                 data, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(n)
