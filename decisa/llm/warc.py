@@ -9,6 +9,7 @@ cuts of one range with a loser tree, so ranges in order are one globally ordered
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import pandas as pd
@@ -21,6 +22,8 @@ from decisa.session import fresh_path, materialize
 RECORD_END = "\r\n\r\n"
 #: Records in a file at most; a reader holds one file of a task in memory.
 FILE_RECORDS = 2000
+#: Digests of repeated payloads (40 bytes each) up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 RUN_ROWS = "page_id long, url_key string, timestamp string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long"
 RUN_SCHEMA = pa.schema([("page_id", pa.int64()), ("url_key", pa.string()), ("timestamp", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
 ORDER = ("url_key", "timestamp", "page_id")
@@ -51,7 +54,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\n", "%0A"), "\r", "%0D").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html").cast("binary"))})
     firsts = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1")
-    rows = rows.join(firsts.drop("times"), "digest", "left")
+    firsts = materialize(firsts.drop("times"), "repeated-payloads")
+    rows = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "digest", "left")
     rows = rows.withColumn("revisit", F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))))
     own = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
     head = F.concat_ws(
@@ -164,10 +168,13 @@ def merge_runs(runs: DataFrame, ranges: int, sample: int = 100_000) -> DataFrame
     some = runs.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(sample)
     cut = some.withColumn("tile", F.ntile(ranges).over(Window.orderBy("key"))).groupBy("tile").agg(F.min("key").alias("bound")).filter("tile > 1")
     bounds = [tuple(r["bound"]) for r in cut.orderBy("tile").collect()]  # fewer than ranges rows
-    spark = runs.sparkSession
-    table = spark.createDataFrame([(sorted(set(bounds)),)], "bounds array<struct<url_key string, timestamp string, page_id long>>")
-    placed = runs.withColumn("key", key).join(F.broadcast(table))
-    placed = placed.withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("key")))).drop("bounds", "key")
+    bounds = sorted(set(bounds))
+
+    @F.pandas_udf("int")
+    def range_of(urls: pd.Series, times: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, k) for k in zip(urls.fillna(""), times.fillna(""), ids.fillna(-1), strict=True)], dtype="int32")
+
+    placed = runs.withColumn("range", range_of("url_key", "timestamp", "page_id"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         keys = pd.DataFrame({"u": rows["url_key"].fillna(""), "t": rows["timestamp"].fillna(""), "p": rows["page_id"].fillna(-1)})
