@@ -32,15 +32,17 @@ REPEATS = 3
 KEEP = 0.7
 
 
-def _features(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a block, and the place in bytes that each one starts at."""
-    words = b.words()
+def _features(b: Block, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a block, and the place in bytes that each one starts at. owner is the text of each piece;
+    bigrams and repeats take both words from one text."""
+    words, text = b.words(), np.repeat(owner, b.counts)
     out, at = [words + U64(1)], [b.starts]
     if len(words) > 1:
-        out.append(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:] + U64(2))
-        at.append(b.starts[:-1])
+        pair = np.flatnonzero(text[1:] == text[:-1])
+        out.append(words[pair] * U64(0x9E3779B97F4A7C15) + words[pair + 1] + U64(2))
+        at.append(b.starts[pair])
     for k in range(1, REPEATS + 1):
-        again = np.flatnonzero(words[k:] == words[:-k]) + k
+        again = np.flatnonzero((words[k:] == words[:-k]) & (text[k:] == text[:-k])) + k
         out.append(np.full(len(again), k, U64))
         at.append(b.starts[again])
     inside = np.concatenate(([0], np.cumsum(b.space)))
@@ -62,9 +64,9 @@ def _by_text(texts: list[bytes | None]):
                 owner.append(i)
         size = sum(map(len, pieces))
         for lo, hi in ((0, len(pieces)),) if size <= 2 * PIECE else ((k, k + 1) for k in range(len(pieces))):
-            b = Block(pieces[lo:hi], lower=False)
-            f, at = _features(b)
-            yield f.astype(np.int32), np.asarray(owner[lo:hi])[np.searchsorted(b.offsets, at, "right") - 1]
+            b, of = Block(pieces[lo:hi], lower=False), np.asarray(owner[lo:hi])
+            f, at = _features(b, of)
+            yield f.astype(np.int32), of[np.searchsorted(b.offsets, at, "right") - 1]
 
 
 def train(texts: list[bytes], labels: np.ndarray, classes: int = 2, seed: int = 1) -> dict[str, np.ndarray]:

@@ -47,6 +47,22 @@ def test_quality_without_labels(spark):
     assert quality.score_quality(docs, model).first()["score"] > 0.9
 
 
+def test_a_text_scores_the_same_between_any_neighbours():
+    model = quality.train([t.encode() for _, _, _, t in rows(200)], np.array([q for _, _, q, _ in rows(200)]))
+    score = quality.scorer(model)
+    texts = [b"", None, b"a", b"a b", b"b a", b" b\n", b"spam spam", b"x " * 300_000, b"he", *[t.encode() for _, _, _, t in rows(60)]]
+    alone = [score([t])[0] for t in texts]
+    rng = random.Random(5)
+    for _ in range(5):
+        order = rng.choices(range(len(texts)), k=100)
+        assert score([texts[i] for i in order]).tolist() == [alone[i] for i in order]
+
+
+def test_training_keeps_texts_apart():
+    bags = lambda texts: [sorted(f[owner == i].tolist()) for f, owner in quality._by_text(texts) for i in range(len(texts))]
+    assert bags([b"a b", b"b a c", b"c"]) == bags([b"a b"]) + bags([b"b a c"]) + bags([b"c"])
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_language(spark, empty):
     data = [] if empty else rows(500)
