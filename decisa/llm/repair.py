@@ -2,7 +2,8 @@
 
 Token ids are written in shards of about SHARD_TOKENS ids. In a shard, frequent pairs of neighbouring ids are replaced
 by nonterminals, again and again: each round counts all pairs, takes the most frequent ones that can be replaced
-side by side, and gives each a rule. A rule never crosses a document's end, so any document can be decoded alone from
+side by side, and gives each a rule, until no pair is left LEAST times. A pair of equal ids is counted and replaced
+from left to right without overlaps. A rule never crosses a document's end, so any document can be decoded alone from
 its range of symbols; each rule's expansion length is stored, so its place in the output is known without expanding.
 
 A shard is one row: part, shard (order of the file), docs, tokens, doc_ids (int64; missing ones are flagged in
@@ -26,7 +27,6 @@ from decisa.session import fresh_path, short_batches
 #: Nonterminals start here; vocabularies are smaller.
 BASE = 1 << 17
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
 PAIRS_A_ROUND = 512
 LEAST = 64
 #: Distinct pieces that a worker remembers, about 200 bytes each.
@@ -116,37 +116,55 @@ def _cut(ids: np.ndarray, at: int) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *[s + 4 for s in stops]], [*stops, len(data)], strict=True)]
 
 
+def _places(symbols: np.ndarray, stop: np.ndarray, floor: int, spot: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs from buckets of `floor` or more, and the pairs; none over a document's end. In a run of one
+    symbol, every other place counts, from its left."""
+    a, b = symbols[:-1], symbols[1:]
+    at = np.flatnonzero((hot >= floor)[spot])
+    at = at[~stop[at]]
+    equal = a[at] == b[at]
+    if equal.any():
+        n = np.arange(len(at))
+        follows = np.zeros(len(at), bool)
+        follows[1:] = equal[1:] & equal[:-1] & (at[1:] == at[:-1] + 1)
+        odd = (n - np.maximum.accumulate(np.where(follows, 0, n))) % 2 == 1
+        at = at[~odd]
+    return at, (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+
+
 def _frequent(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent pairs that may be replaced together, where no symbol both ends one and begins another; then
-    the places that may hold one, and their pairs. Pairs are counted by hash first, then exactly in the full buckets."""
+    the places that may hold one, and their pairs. Pairs are counted by hash first, then exactly in the full buckets;
+    none is chosen only when no pair is there LEAST times."""
     a, b = symbols[:-1], symbols[1:]
     spot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
-    hot = np.bincount(spot, minlength=1 << HASH_BITS)
-    floor = max(LEAST, np.partition(hot, -2 * PAIRS_A_ROUND)[-2 * PAIRS_A_ROUND])
-    at = np.flatnonzero((hot >= floor)[spot])
-    at = at[~stop[at] & (a[at] != b[at])]
-    key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-    pairs, counts = np.unique(key, return_counts=True)
-    heads, tails, chosen = set(), set(), []
-    for k in np.argsort(-counts, kind="stable").tolist():
-        if counts[k] < LEAST or len(chosen) == PAIRS_A_ROUND:
+    hot = np.bincount(spot[~stop[:-1]], minlength=1 << HASH_BITS)
+    chosen: list[int] = []
+    for floor in sorted({LEAST, max(LEAST, int(np.partition(hot, -2 * PAIRS_A_ROUND)[-2 * PAIRS_A_ROUND]))}, reverse=True):
+        at, key = _places(symbols, stop, floor, spot, hot)
+        pairs, counts = np.unique(key, return_counts=True)
+        heads, tails = set(), set()
+        for k in np.argsort(-counts, kind="stable").tolist():
+            if counts[k] < LEAST or len(chosen) == PAIRS_A_ROUND:
+                break
+            x, y = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
+            if x not in tails and y not in heads:
+                heads.add(x)
+                tails.add(y)
+                chosen.append(int(pairs[k]))
+        if chosen:
             break
-        x, y = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
-        if x not in tails and y not in heads:
-            heads.add(x)
-            tails.add(y)
-            chosen.append(int(pairs[k]))
     return np.sort(np.array(chosen, np.uint64)), at, key
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rules, expansion lengths) of ids, whose documents end before `ends`."""
-    symbols, rules = ids.astype(np.uint32), []
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, rules, expansion lengths) of ids, whose documents end before `ends`; after
+    `rounds` rounds, or when no pair is left to replace."""
+    symbols, rules, done = ids.astype(np.uint32), [], 0
     stop = np.zeros(len(symbols), bool)
     stop[ends - 1] = True
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1 and done != rounds:
+        done += 1
         chosen, places, key = _frequent(symbols, stop)
         if not len(chosen):
             break

@@ -48,6 +48,32 @@ def test_grammar_round_trip(monkeypatch):
         assert repair.decode_document(shard, k).tolist() == [*np.frombuffer(texts[k], "<u4").tolist(), 0]
 
 
+def pair_counts(symbols, of_doc):
+    """Occurrences of each pair without overlaps, from left to right, none over a document's end."""
+    counts = {}
+    for doc in np.split(symbols, np.cumsum(of_doc)[:-1]):
+        last = {}
+        for i, pair in enumerate(zip(doc.tolist(), doc[1:].tolist(), strict=False)):
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:
+                counts[pair] = counts.get(pair, 0) + 1
+                last[pair] = i
+    return counts
+
+
+PASSAGE = np.random.default_rng(3).integers(0, 50_000, 700)
+
+
+@pytest.mark.parametrize(("doc", "copies", "most"), [([7] * 4095, 3, 200), ([7, 9] * 3000, 3, 200), ([*[7] * 5, 8] * 500, 2, 200), (PASSAGE, 90, 200), ([*PASSAGE, *[7] * 33], 90, 300)])
+def test_no_frequent_pair_is_left(doc, copies, most):
+    texts = [np.array(doc, "<u4").tobytes()] * copies + [b"", np.array([7, 7, 7], "<u4").tobytes()]
+    shard = repair._shard(0, 0, list(range(len(texts))), texts)
+    symbols, of_doc = np.frombuffer(shard["symbols"], "<u4"), np.frombuffer(shard["doc_symbols"], "<u4")
+    assert max(pair_counts(symbols, of_doc.astype(int)).values()) < repair.LEAST and len(symbols) < most + 2 * copies
+    assert np.frombuffer(shard["lengths"], "<u4").max() > 16
+    for k, t in enumerate(texts):
+        assert repair.decode_document(shard, k).tolist() == [*np.frombuffer(t, "<u4").tolist(), 0]
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 40])
 def test_files(spark, monkeypatch, shard):
     rng = random.Random(2)
