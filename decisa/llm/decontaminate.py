@@ -3,11 +3,14 @@
 A mask is laid over every position of a text; the words under its 1s are hashed together, those under its 0s may
 differ. Test items and training texts meet on equal hashes; each hit fixes an alignment, and the words aligned around
 it are compared: a text is contaminated when some stretch of WINDOW aligned words (the whole item, if shorter) agrees
-in at least AGREE of them. Items too short for any mask count only where they are a text's whole word sequence.
+in at least AGREE of them. The masks miss no such stretch. Items of less than six words count only where they are a
+text's whole word sequence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from decisa.session import materialize
 
 #: Fixed masks of six words each; between them they leave out single words and pairs at most places of a stretch.
 MASKS = ("111111", "1110111", "11011011", "110100111")
+#: Further masks for items of some lengths, for the substitutions that MASKS leave out there: with them, every stretch of
+#: 6 to WINDOW words that agrees in AGREE of its words has a seed. Texts are seeded with those of the lengths there are.
+SHORT = {6: ("1111", "11011"), 7: ("11111", "1101011"), 10: ("101001011",), 11: ("11111",), 15: ("11111",)}
 WINDOW = 20
 AGREE = 0.8
 #: Rows (16 to 24 bytes) up to this number are broadcast; more are joined by a shuffle.
@@ -31,13 +37,22 @@ def with_codes(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(F.slice("_parts", start, F.size("_parts") - drop), lambda w: F.xxhash64(w))).drop("_parts")
 
 
-def seeds(table: DataFrame, codes: str, *keep: str) -> DataFrame:
-    """keep, seed and place (from 0) for every mask and position; a sequence that no mask fits gives one seed of all of it."""
+def seeds(table: DataFrame, codes: str, *keep: str, short: Iterable[int] = (), own: bool = False) -> DataFrame:
+    """keep, seed and place (from 0) for every mask and position; a sequence that none of MASKS fits gives one seed of
+    all of it. The further masks are those for items of `short` words; with `own`, only sequences of that length have them."""
     span, least = max(map(len, MASKS)), min(map(len, MASKS))
-    shifted = table.select(*keep, F.inline(F.arrays_zip(*[F.slice(codes, F.lit(k + 1), F.greatest(F.size(codes) - k, F.lit(0))) for k in range(span)], F.sequence(F.lit(0), F.size(codes) - 1))))
-    shifted = shifted.toDF(*keep, *[f"w{k}" for k in range(span)], "place").filter("w0 is not null")
+    of_length: dict[str, list[int]] = {}
+    for n in sorted(set(short) & set(SHORT)):
+        for m in SHORT[n]:
+            of_length.setdefault(m, []).append(n)
+    sized = [F.size(codes).alias("n")] if own else []
+    shifted = table.select(*keep, *sized, F.inline(F.arrays_zip(*[F.slice(codes, F.lit(k + 1), F.greatest(F.size(codes) - k, F.lit(0))) for k in range(span)], F.sequence(F.lit(0), F.size(codes) - 1))))
+    shifted = shifted.toDF(*keep, *["n" for _ in sized], *[f"w{k}" for k in range(span)], "place").filter("w0 is not null")
     each = [F.when(F.col(f"w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w{k}") for k, bit in enumerate(m) if bit == "1"])) for i, m in enumerate(MASKS)]
     each[0] = F.when(F.col(f"w{least - 1}").isNotNull(), each[0]).when(F.col("place") == 0, F.xxhash64(F.lit(-1), *[F.col(f"w{k}") for k in range(least - 1)]))
+    for m, n in of_length.items():
+        fits = F.col(f"w{len(m) - 1}").isNotNull() & (F.col("n").isin(n) if own else F.lit(True))
+        each.append(F.when(fits, F.xxhash64(F.lit(m), *[F.col(f"w{k}") for k, bit in enumerate(m) if bit == "1"])))
     return shifted.select(*keep, "place", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
 
 
@@ -53,12 +68,13 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     items = with_codes(benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text"), "text", "item")
     items = materialize(items.select("item_id", "item").filter(F.size("item") > 0).distinct(), "items")
-    item_seeds = seeds(items, "item", "item_id", "item").select("seed", "item_id", F.xxhash64("item").alias("item_hash"), F.col("place").alias("item_place"))
+    short = [r["n"] for r in items.select(F.size("item").alias("n")).filter(F.col("n").isin(*SHORT)).distinct().collect()]  # of five lengths
+    item_seeds = seeds(items, "item", "item_id", "item", short=short, own=True).select("seed", "item_id", F.xxhash64("item").alias("item_hash"), F.col("place").alias("item_place"))
     item_seeds = materialize(item_seeds, "item-seeds")
     item_seeds = _small(item_seeds, item_seeds.count())
 
     texts = with_codes(docs.select(F.md5(F.col("text").cast("binary")).alias("key"), "text"), "text", "codes")
-    hits = seeds(texts, "codes", "key").join(item_seeds, "seed")
+    hits = seeds(texts, "codes", "key", short=short).join(item_seeds, "seed")
     hits = hits.select("key", "item_id", "item_hash", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = materialize(hits.distinct(), "hits")
 

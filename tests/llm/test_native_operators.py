@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -78,6 +79,30 @@ def test_decontamination(spark):
     assert decontaminate.judge(df, bench.limit(0)).filter("contaminated").collect() == []
 
 
+def unseeded(n, masks):
+    """Sets of at most 20 % substituted places, of n, under which no mask fits."""
+    spots = [frozenset(p + k for k, bit in enumerate(m) if bit == "1") for m in masks for p in range(n - len(m) + 1)]
+    return [bad for size in range(n // 5 + 1) for bad in map(set, itertools.combinations(range(n), size)) if all(bad & s for s in spots)]
+
+
+def test_masks_cover_every_substitution():
+    assert [n for n in range(6, decontaminate.WINDOW + 1) if unseeded(n, decontaminate.MASKS + decontaminate.SHORT.get(n, ()))] == []
+
+
+def test_near_copies_of_short_items(spark):
+    items, docs = {}, []
+    for n in (6, 7, 10, 11, 15):
+        items[n] = [f"i{n}w{k}" for k in range(n)]
+        for bad in unseeded(n, decontaminate.MASKS):
+            copy = ["other" if k in bad else w for k, w in enumerate(items[n])]
+            docs += [(len(docs), n, " ".join(["before", *copy, "after"])), (len(docs) + 1, n, " ".join(copy))]
+    assert len(docs) == 2 * (6 + 4 + 4 + 1 + 2)
+    docs += [(len(docs) + k, None, " ".join(items[n][: n - n // 5 - 1])) for k, n in enumerate(items)]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = decontaminate.judge(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: r["items"] for r in got} == {i: [] if n is None else [n] for i, n, _ in docs}
+
+
 def test_no_python_in_native_plans(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").cache()
     df.count()
