@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.llm.words import U64, Block, blocks
+from decisa.llm.words import U64, Block, blocks, mix
 from decisa.session import short_batches
 
 #: Labelled rows that a language is fitted on at most: those whose hashed ids are smallest.
@@ -51,13 +51,15 @@ def _table(keys: list[np.ndarray], langs: list[np.ndarray], k: int, most: int) -
 def train(texts: list[bytes], langs: list[str]) -> dict:
     names = sorted(set(langs))
     code = np.array([names.index(x) for x in langs])
-    words, of_words = [], []
+    words, of_words, counted = [], [], np.zeros(0, U64)
     grams: dict[int, tuple[list, list]] = {n: ([], []) for n in ORDERS}
     for b, owner in blocks(texts, lower=True):
         lang = np.repeat(code[owner], b.counts)
         words.append(b.words())
         of_words.append(lang)
-        _, first = np.unique(words[-1], return_index=True)  # n-grams count once for each distinct word of a block
+        pairs, first = np.unique(mix(words[-1] + lang.astype(U64)), return_index=True)
+        first = first[~np.isin(pairs, counted, assume_unique=True)]  # n-grams count once for each word of a language
+        counted = np.union1d(counted, pairs)
         for n in ORDERS:
             grams[n][0].append(_grams(b, b.starts[first], b.ends[first], n))
             grams[n][1].append(np.repeat(lang[first], np.maximum(b.ends[first] - b.starts[first] - n + 1, 0)))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from decisa.llm import language_id, quality
+from decisa.llm.words import Block, blocks
 
 VOICES = {"en": "th he in er an re on at", "fr": "eau oi que ai ou el ent", "de": "sch ein ung ich keit \u00fc"}
 
@@ -85,3 +86,17 @@ def test_unseen_words_use_shorter_grams():
     names, predict = language_id.predictor(language_id.train(texts, ["a", "z"] * 5))
     best, p = predict([b"aaaq", b"zzzzzzzq", b"", b"qqqq"])
     assert [names[b] for b in best[:2]] == ["a", "z"] and (p[:2] > 0.5).all() and p[2] == 0.5
+
+
+def test_grams_count_for_every_language_of_a_word_in_any_order(monkeypatch):
+    texts, langs = [b"shared apple", b"shared zebra", b"shared shared yak"], ["a", "z", "z"]
+    model = language_id.train(texts, langs)
+    for order in ([0, 1, 2], [2, 1, 0]):
+        for block in (1 << 20, 8):
+            monkeypatch.setattr(language_id, "blocks", lambda t, lower, block=block: blocks(t, lower, block))
+            again = language_id.train([texts[i] for i in order], [langs[i] for i in order])
+            for n in map(str, language_id.ORDERS):
+                assert all(np.array_equal(x, y) for x, y in zip(model[n], again[n], strict=True))
+    whole = language_id._find(model["5"], language_id._grams(b := Block([b"shared"], True), b.starts, b.ends, 5))
+    counts = np.exp(model["5"][1][whole])
+    assert (whole >= 0).all() and (counts.min(axis=1) > 2 * np.exp(model["5"][1].min(axis=0)).max()).all()
