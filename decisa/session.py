@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,13 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is
+    local (tests). On a cluster without the setting it raises an error, as executors can't see each other's folders."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="decisa-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -46,9 +51,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most `rows` rows a batch to Python workers from now on, as whole texts are long: a worker and its task
-    hold a few MB of text at a time, not the 10,000 rows of the default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    hold a few MB of text at a time, not the 10,000 rows of the default. For tables that are returned unwritten: the
+    setting must still hold when their reader writes them. own_batches() is for an operator's own writes."""
+    if int(spark.conf.get(BATCH_ROWS)) > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+@contextmanager
+def own_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """short_batches() for what is written inside, and the caller's setting again after it."""
+    before = spark.conf.get(BATCH_ROWS)
+    short_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
