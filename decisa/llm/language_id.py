@@ -8,6 +8,7 @@ Counts come from a bounded sample of labelled rows; every whole text is scored.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.llm.words import U64, Block, blocks, mix
+from decisa.llm.words import U64, Block, blocks, mix, tidy
 from decisa.session import short_batches
 
 #: Labelled rows that a language is fitted on at most: those whose hashed ids are smallest.
@@ -141,7 +142,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
         model = train(table.column("text").to_pylist(), table.column("lang").to_pylist()) if table else train([], [])
         yield pa.RecordBatch.from_pylist([{"model": pickle.dumps(model)}], schema=pa.schema([("model", pa.binary())]))
 
-    got = sample.select("key", F.col("text").cast("binary").alias("text"), "lang").repartition(1).mapInArrow(run, "model binary").first()
+    got = sample.select("key", F.col("text").cast("binary").alias("text"), "lang").repartition(1).mapInArrow(tidy(run), "model binary").first()
     return pickle.loads(got["model"]) if got else train([], [])
 
 
@@ -154,10 +155,14 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     if not names:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(1.0)})
 
+    def run(batches):
+        for texts in batches:
+            best, p = predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": np.array(names, object)[best], "score": p})
+
     @F.pandas_udf("lang_pred string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        best, p = predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": np.array(names, object)[best], "score": p})
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
 
     docs = docs.drop("lang_pred", "score").withColumn("_got", of(F.col("text").cast("binary")))
     return docs.withColumns({

@@ -7,13 +7,15 @@ together by numpy stochastic gradient descent on a bounded sample of labelled ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisa.llm.words import U64, Block, groups, mix, release_caches, segments
+from decisa.llm.words import U64, Block, groups, mix, segments, tidy
 from decisa.session import short_batches
 
 #: Labelled rows that a model is fitted on at most: those whose hashed ids are smallest, so any size of table gives
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str
         model = train(texts, labels) if len(set(labels.tolist())) > 1 else constant(not len(labels) or labels[0] == 1)
         yield pa.RecordBatch.from_pylist([{"name": k, "shape": list(v.shape), "data": v.astype(np.float32).tobytes()} for k, v in model.items()], schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("data", pa.binary())]))
 
-    got = sample.select("key", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(run, "name string, shape array<long>, data binary").collect()
+    got = sample.select("key", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(tidy(run), "name string, shape array<long>, data binary").collect()
     return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in got} or constant(True)
 
 
@@ -152,10 +154,13 @@ def score_of(text, model: dict[str, np.ndarray]):
     """A column: the probability of good quality from the whole text alone."""
     score = scorer(model)
 
+    def run(batches):
+        for texts in batches:
+            yield pd.Series(score(texts.tolist()))
+
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        release_caches()
-        return pd.Series(score(texts.tolist()))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
     return of(text.cast("binary"))
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.llm.words import CACHES, groups, release_caches
-from decisa.session import fresh_path, short_batches
+from decisa.llm.words import CACHES, groups, tidy
+from decisa.session import fresh_path, own_batches
 
 #: Nonterminals start here; vocabularies are smaller.
 BASE = 1 << 17
@@ -228,7 +228,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
     def run(batches):
         from pyspark import TaskContext
 
-        release_caches(_encoders)
         encode, part, shard, ids, texts, size = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             some, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -243,10 +242,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(part, shard, ids, texts)], schema)
 
-    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(run, SHARD).write.parquet(path)
+    with own_batches(docs.sparkSession):
+        ranged.mapInArrow(tidy(run, _encoders), SHARD).write.parquet(path)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -287,7 +286,6 @@ def read_tokens(files: DataFrame) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run_decode(batches):
-        release_caches()
         for b in batches:
             for k in range(len(b)):
                 s = b.slice(k, 1).to_pylist()[0]
@@ -298,7 +296,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 doc_ids = pa.array(np.frombuffer(s["doc_ids"], "<i8"), mask=np.frombuffer(s["doc_null"], bool))
                 yield pa.RecordBatch.from_arrays([pa.array([s["part"]] * len(n), pa.int32()), pa.array([s["shard"]] * len(n), pa.int32()), doc_ids, pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
 
-    docs = files.mapInArrow(run_decode, "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(tidy(run_decode), "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     out = docs.join(sizes, ["part", "shard"])
     return out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

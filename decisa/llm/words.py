@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -20,21 +20,40 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _lowered = _codes.copy()
 _lowered[65:91] = _codes[97:123]
-_powers = {"n": 0}
+_powers: dict = {}
 
 
 #: What operators keep in a Python worker between tasks. Spark uses a worker again for other operators' tasks.
-CACHES: list[dict] = []
+CACHES: list[dict] = [_powers]
 
 
 def release_caches(keep: dict | None = None) -> None:
-    """Empty the caches of other operators, and give unused Arrow memory back; called where an operator's task starts."""
+    """Empty the caches of other operators, and give unused memory of Arrow and of the C library back to the system."""
+    import ctypes
+
     import pyarrow as pa
 
     for cache in CACHES:
         if cache is not keep:
             cache.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run, keep: dict | None = None):
+    """run, a task's function over batches, that starts and leaves its Python worker without other memory than `keep`:
+    idle workers stay beside an executor's later tasks."""
+
+    def tidied(batches):
+        release_caches(keep)
+        try:
+            yield from run(batches)
+        finally:
+            release_caches(keep)
+
+    return tidied
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,13 +65,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, kept for the next call."""
-    if _powers["n"] < n:
-        size = max(n, BLOCK + 1024)
+    if len(_powers.get("up", ())) < n:
         for key, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, U64)
+            p = np.full(max(n, BLOCK + 1024), base, U64)
             p[0] = 1
             _powers[key] = np.multiply.accumulate(p)
-        _powers["n"] = size
     return _powers["up"][:n], _powers["down"][:n]
 
 
