@@ -3,8 +3,7 @@
 A mask is laid over every position of a text; the words under its 1s are hashed together, those under its 0s may
 differ. Test items and training texts meet on equal hashes; each hit fixes an alignment, and the words aligned around
 it are compared: a text is contaminated when some stretch of WINDOW aligned words (the whole item, if shorter) agrees
-in at least AGREE of them. The masks miss no such stretch. Items of less than six words count only where they are a
-text's whole word sequence.
+in at least AGREE of them. The masks miss no such stretch. Items of less than six words are found word for word only.
 """
 
 from __future__ import annotations
@@ -21,6 +20,10 @@ MASKS = ("111111", "1110111", "11011011", "110100111")
 #: Further masks for items of some lengths, for the substitutions that MASKS leave out there: with them, every stretch of
 #: 6 to WINDOW words that agrees in AGREE of its words has a seed. Texts are seeded with those of the lengths there are.
 SHORT = {6: ("1111", "11011"), 7: ("11111", "1101011"), 10: ("101001011",), 11: ("11111",), 15: ("11111",)}
+#: Items of fewer words have one mask, all their words.
+LEAST = 6
+#: Words of a piece that seeds are taken from at once.
+PIECE = 2048
 WINDOW = 20
 AGREE = 0.8
 #: Rows (16 to 24 bytes) up to this number are broadcast; more are joined by a shuffle.
@@ -38,22 +41,33 @@ def with_codes(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def seeds(table: DataFrame, codes: str, *keep: str, short: Iterable[int] = (), own: bool = False) -> DataFrame:
-    """keep, seed and place (from 0) for every mask and position; a sequence that none of MASKS fits gives one seed of
-    all of it. The further masks are those for items of `short` words; with `own`, only sequences of that length have them."""
-    span, least = max(map(len, MASKS)), min(map(len, MASKS))
+    """keep, seed and place (from 0) for every mask and position of non-empty sequences. The further masks are those for
+    items of `short` words; with `own`, only sequences of that length have them. Sequences are cut into pieces of PIECE
+    words that overlap by a mask first, so a very long text costs no more memory than its words."""
+    span = max(map(len, MASKS))
     of_length: dict[str, list[int]] = {}
-    for n in sorted(set(short) & set(SHORT)):
-        for m in SHORT[n]:
+    for n in sorted(set(short)):
+        for m in further_masks(n):
             of_length.setdefault(m, []).append(n)
     sized = [F.size(codes).alias("n")] if own else []
-    shifted = table.select(*keep, *sized, F.inline(F.arrays_zip(*[F.slice(codes, F.lit(k + 1), F.greatest(F.size(codes) - k, F.lit(0))) for k in range(span)], F.sequence(F.lit(0), F.size(codes) - 1))))
-    shifted = shifted.toDF(*keep, *["n" for _ in sized], *[f"w{k}" for k in range(span)], "place").filter("w0 is not null")
-    each = [F.when(F.col(f"w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w{k}") for k, bit in enumerate(m) if bit == "1"])) for i, m in enumerate(MASKS)]
-    each[0] = F.when(F.col(f"w{least - 1}").isNotNull(), each[0]).when(F.col("place") == 0, F.xxhash64(F.lit(-1), *[F.col(f"w{k}") for k in range(least - 1)]))
-    for m, n in of_length.items():
-        fits = F.col(f"w{len(m) - 1}").isNotNull() & (F.col("n").isin(n) if own else F.lit(True))
-        each.append(F.when(fits, F.xxhash64(F.lit(m), *[F.col(f"w{k}") for k, bit in enumerate(m) if bit == "1"])))
-    return shifted.select(*keep, "place", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
+    starts = F.sequence(F.lit(0), F.size(codes) - 1, F.lit(PIECE))
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("base"), F.slice(codes, at + 1, F.lit(PIECE + span - 1)).alias("part")))
+    cut = table.filter(F.size(codes) > 0).select(*keep, *sized, F.inline(pieces))
+    shifted = cut.select(*keep, *[F.col("n") for _ in sized], "base", F.inline(F.arrays_zip(*[F.slice("part", F.lit(k + 1), F.greatest(F.size("part") - k, F.lit(0))) for k in range(span)], F.sequence(F.lit(0), F.size("part") - 1))))
+    shifted = shifted.toDF(*keep, *["n" for _ in sized], "base", *[f"w{k}" for k in range(span)], "at").filter(F.col("w0").isNotNull() & (F.col("at") < PIECE))
+    masks = [(m, F.xxhash64(F.lit(i), *_under(m)), F.lit(True)) for i, m in enumerate(MASKS)]
+    masks += [(m, F.xxhash64(F.lit(m), *_under(m)), F.col("n").isin(n) if own else F.lit(True)) for m, n in of_length.items()]
+    each = [F.when(F.col(f"w{len(m) - 1}").isNotNull() & applies, seed) for m, seed, applies in masks]
+    return shifted.select(*keep, (F.col("base") + F.col("at")).alias("place"), F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
+
+
+def further_masks(n: int) -> tuple[str, ...]:
+    """The masks that items of n words have beside MASKS; all their words, where they are fewer than a mask has."""
+    return ("1" * n,) if n < LEAST else SHORT.get(n, ())
+
+
+def _under(mask: str) -> list[Column]:
+    return [F.col(f"w{k}") for k, bit in enumerate(mask) if bit == "1"]
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -68,7 +82,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     items = with_codes(benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text"), "text", "item")
     items = materialize(items.select("item_id", "item").filter(F.size("item") > 0).distinct(), "items")
-    short = [r["n"] for r in items.select(F.size("item").alias("n")).filter(F.col("n").isin(*SHORT)).distinct().collect()]  # of five lengths
+    short = [r["n"] for r in items.select(F.size("item").alias("n")).filter(F.col("n").isin(*range(1, LEAST), *SHORT)).distinct().collect()]  # of ten lengths
     item_seeds = seeds(items, "item", "item_id", "item", short=short, own=True).select("seed", "item_id", F.xxhash64("item").alias("item_hash"), F.col("place").alias("item_place"))
     item_seeds = materialize(item_seeds, "item-seeds")
     item_seeds = _small(item_seeds, item_seeds.count())
@@ -87,7 +101,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     wide = F.least(F.lit(window), F.size("item"))
     stretches = F.transform(F.sequence(F.lit(1), F.size("item") - wide + 1), lambda s: F.aggregate(F.slice("same", s, wide), F.lit(0), lambda a, x: a + x))
     pairs = pairs.withColumn("same", same).withColumn("best", F.array_max(stretches) / wide)
-    pairs = pairs.filter((F.col("best") >= agree) & ((F.size("item") >= min(map(len, MASKS))) | ((F.size("item") == F.size("codes")) & (F.col("best") == 1.0))))
+    pairs = pairs.filter((F.col("best") >= agree) & ((F.size("item") >= LEAST) | (F.col("best") == 1.0)))
     return pairs.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("best").alias("best"))
 
 

@@ -1,10 +1,10 @@
-import hashlib
 import itertools
+import os
 import random
 
 import pytest
 
-from decisa.llm import chat_format, decontaminate, url_filter
+from decisa.llm import chat_format, decontaminate, queries, url_filter
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("", "", "block"), ("example.net", "/de/8", "block")]
 URLS = ["http://a.example.com/en/712?x", "HTTP://EXAMPLE.COM/en/8", "x://example.com", "https://example.net/de/8/9#f", "https://m.example.net/de/7", "notexample.com/en/", None, "", "://", "ftp://com/en/", "http://xcom/en/", "a://b://c.com/en/", "http://\u00c9.com/en/\u00e9"]
@@ -72,9 +72,9 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, best int, key string")
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(6, None), (7, " ")], "item_id long, text string")
     got = {(r["doc_id"], tuple(r["items"])) for r in decontaminate.judge(df, bench).collect() if r["contaminated"]}
-    assert got == {(1, (1,)), (2, (1,)), (3, (2,)), (4, (3,)), (5, (4,)), (None, (2,))}
+    assert got == {(1, (1,)), (2, (1,)), (3, (2,)), (4, (3,)), (5, (4,)), (6, (4,)), (None, (2,))}
     clean = decontaminate.clean(df, bench)
-    assert clean.columns == df.columns and clean.count() == len(docs) - 6
+    assert clean.columns == df.columns and clean.count() == len(docs) - 7
     assert decontaminate.judge(df.limit(0), bench).collect() == []
     assert decontaminate.judge(df, bench.limit(0)).filter("contaminated").collect() == []
 
@@ -103,9 +103,51 @@ def test_near_copies_of_short_items(spark):
     assert {r["doc_id"]: r["items"] for r in got} == {i: [] if n is None else [n] for i, n, _ in docs}
 
 
+def brute_items(text, items):
+    """Items of which 20 aligned words, or all of a shorter one, agree with the text in 80 %; all, under six words."""
+    words, out = (text or "").lower().split(), []
+    for i, item in items:
+        n = min(decontaminate.WINDOW, len(item))
+        need = n if len(item) < decontaminate.LEAST else -(-n * 4 // 5)
+        for shift in range(1 - len(item), len(words)):
+            same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(item)]
+            if item and any(sum(same[s : s + n]) >= need for s in range(len(item) - n + 1)):
+                out.append(i)
+                break
+    return sorted(set(out))
+
+
+def test_decontamination_equals_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 16)
+    rng = random.Random(5)
+    items = [(i, [f"v{rng.randrange(60)}" for _ in range(n)]) for i, n in enumerate([1, 2, 3, 4, 5, *range(6, 26), 40, 9, 30])]
+    items.append((3, [f"u{k}" for k in range(8)]))
+    docs = []
+    for _ in range(150):
+        words = [f"v{rng.randrange(60, 4000)}" for _ in range(rng.randrange(0, 70))]
+        for _ in range(rng.choice([0, 1, 2])):
+            part = list(rng.choice(items)[1])
+            part = part[rng.randrange(3) :][: rng.choice([8, 20, 99])]
+            for _ in range(rng.choice([0, 0, 1, 2, 4, 6])):
+                if part:
+                    part[rng.randrange(len(part))] = "other"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part
+        docs.append((len(docs), rng.choice([" ", "\n", "  "]).join(words).upper()))
+    docs += [(500, "long " * 3000 + " ".join(items[20][1]) + " x" * 999), (501, docs[3][1]), (3, "v1")]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = decontaminate.judge(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()
+    assert sorted((r["doc_id"], r["items"]) for r in got) == sorted((d, brute_items(t, items)) for d, t in docs)
+    assert sum(bool(r["items"]) for r in got) > 40
+
+
 def test_no_python_in_native_plans(spark):
-    df = spark.createDataFrame([(1, "a")], "doc_id long, text string").cache()
-    df.count()
-    codes = decontaminate.seeds(decontaminate.with_codes(df, "text", "codes"), "codes", "doc_id")
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    for query in (queries.op6_url_filter, queries.op7_chat_format, queries.op9_decontaminate):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not [word for word in ("Python", "Pandas", "Arrow", "ExternalRDD") if word in plan], query.__name__
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    codes = decontaminate.seeds(decontaminate.with_codes(texts, "text", "codes"), "codes", "doc_id")
     assert "Python" not in codes._jdf.queryExecution().toString()
-    assert hashlib.sha256(b"").hexdigest()
