@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisa.llm.signature_tree import forest_edges
-from decisa.llm.words import U64, fingerprint, release_caches, shingle_sets
+from decisa.llm.words import U64, fingerprint, shingle_sets, tidy
 from decisa.operators.components import connected_components
-from decisa.session import materialize, short_batches
+from decisa.session import materialize, own_batches
 
 #: Marks a token that several texts of a batch hold; the other bits count them. Else they are its text's place.
 MANY = 1 << 31
@@ -39,6 +39,9 @@ BATCH_TOKENS = 1 << 20
 CHUNK = 512
 #: Class ids up to this count (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Classes of more than HOT_ROWS equal texts are broadcast to their rows, the largest HOT_CLASSES of them (60 bytes
+#: each); any other class has at most a HOT_CLASSES-th of all rows.
+HOT_ROWS, HOT_CLASSES = 100, 20_000
 #: Tokens that prefixes put last: those with FREQUENT texts or more, the most frequent HOT_TOKENS of them (12 bytes
 #: each go to every task). Which ones they are changes the work, never the links.
 FREQUENT, HOT_TOKENS = 24, 200_000
@@ -90,7 +93,6 @@ def _pass_one(width: int, num: int, den: int, buckets: int):
     def run(batches):
         from pyspark import TaskContext
 
-        release_caches()
         batch, rows, seen, size = TaskContext.get().partitionId() << 24, [], {}, 0
         for b in batches:
             for a in range(0, len(b), 256):
@@ -152,15 +154,10 @@ def _sets(width: int):
     schema = pa.schema([("fp", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
-        release_caches()
-        seen = set()
         for b in batches:
             for a in range(0, len(b), 256):
-                out = []
-                for s in shingle_sets(b.slice(a, 256).column(0).to_pylist(), width):
-                    if len(s) and (fp := fingerprint(s)) not in seen:
-                        seen.add(fp)
-                        out.append({"fp": fp, "n": len(s), "tokens": s.tobytes()})
+                some = shingle_sets(b.slice(a, 256).column(0).to_pylist(), width)
+                out = [{"fp": fingerprint(s), "n": len(s), "tokens": s.tobytes()} for s in some if len(s)]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -254,12 +251,12 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, width: int =
     shingles), key the md5 of the text. Other columns are not read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     if buckets is None:
         buckets = 1 << max(5, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 2)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     texts = texts.withColumn("key", F.md5("text"))
-    seen = materialize(texts.mapInArrow(_pass_one(width, num, den, buckets), PASS_ONE), "shingles")
+    with own_batches(spark):
+        seen = materialize(texts.mapInArrow(tidy(_pass_one(width, num, den, buckets)), PASS_ONE), "shingles")
     rows = seen.filter("bucket is null").select("fp", "doc_id", "key", "n", "batch", "pos", "own", "need")
     ranges = seen.filter("bucket is not null").select("bucket", "batch", "tokens", "places").groupBy("bucket")
     counted = materialize(ranges.applyInPandas(_shared_tokens, "batch long, places binary, counts binary"), "counted")
@@ -267,25 +264,33 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, width: int =
     tokens = counted.filter("batch is null").select("places", "counts").mapInArrow(_frequent_tokens, "token long, texts long")
     frequent = tokens.orderBy(F.desc("texts"), "token").limit(HOT_TOKENS).collect()  # at most HOT_TOKENS rows
     alive = rows.filter("fp is not null").join(shared, ["batch", "pos"], "left").filter(F.coalesce("shared", F.lit(0)) + F.col("own") >= F.col("need"))
-    classes = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    alive = materialize(alive.select("fp").distinct().join(classes, "fp"), "alive")
+    classes = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
+    alive = materialize(alive.select("fp").distinct().join(classes.drop("times"), "fp"), "alive")
     keys, wanted = alive.select(F.col("least").alias("doc_id")).distinct(), alive.select("fp")
     if alive.count() <= BROADCAST_ROWS:
         keys, wanted = F.broadcast(keys), F.broadcast(wanted)
     kept = texts.join(keys, texts["doc_id"].eqNullSafe(keys["doc_id"]), "leftsemi").select("text")
-    sets = kept.mapInArrow(_sets(width), "fp binary, n long, tokens binary").join(wanted, "fp", "leftsemi")
-    sets = materialize(sets.dropDuplicates(["fp"]), "sets")
+    sets = kept.mapInArrow(tidy(_sets(width)), "fp binary, n long, tokens binary").join(wanted, "fp", "leftsemi")
+    with own_batches(spark):
+        sets = materialize(sets.dropDuplicates(["fp"]), "sets")
     labels = connected_components(_links(sets, frequent, num, den, chunk))
     named = labels.join(classes, labels["node"] == classes["fp"], "left").select("node", "component", "least")
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("node").alias("fp"), "component", "component_id")
-    of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
-    out = rows.join(of_class, "fp", "left")
+    of_class = classes.join(named, "fp", "left").select("fp", "times", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    of_class = materialize(of_class, "classes")
+    # the classes with most rows are broadcast, so the rows of the others spread over the shuffle
+    hot = F.broadcast(of_class.filter(F.col("times") > HOT_ROWS).orderBy(F.desc("times"), "fp").limit(HOT_CLASSES).drop("times"))
+    worded = rows.filter("fp is not null").select("fp", "doc_id", "n", "key")
+    cold = worded.join(hot.select("fp"), "fp", "leftanti").join(of_class.drop("times"), "fp", "left")
+    bare = rows.filter("fp is null").select("fp", "doc_id", "n", "key", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    out = cold.unionByName(worded.join(hot, "fp")).unionByName(bare)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", "key")
 
 
 def first_of_components(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, without those that link to a kept one: of each component the row
-    with the smallest doc_id (null last; then the smallest md5 of its text) stays. Texts without words all stay."""
+    with the smallest doc_id (null last; then the smallest md5 of its text) stays. Texts without words all stay. Of
+    rows with one doc_id and one text, any one stays. docs may have columns of any other names."""
     rows = materialize(jaccard_components(docs, num, den, width), "rows").filter("component is not null")
     each = rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("times"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
@@ -293,9 +298,9 @@ def first_of_components(docs: DataFrame, num: int = 4, den: int = 5, width: int
     gone, again = each.filter("not kept"), each.filter("kept and times > 1")
 
     def on(table: DataFrame):
-        keys = table.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+        keys = table.select("doc_id", "key")
         keys = F.broadcast(keys) if table.count() <= BROADCAST_ROWS else keys
-        return keys, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.md5(docs["text"].cast("binary")) == F.col("_key"))
+        return keys, docs["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (F.md5(docs["text"].cast("binary")) == keys["key"])
 
     left = docs.join(*on(gone), "leftanti")
     if again.isEmpty():

@@ -59,14 +59,14 @@ def _joined(rows: DataFrame, table: DataFrame, count: int, how: str = "inner") -
     return rows.withColumn("of", key).join(table, "of", how).drop("of")
 
 
-def _digest() -> Column:
-    return F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, sum(LEVELS))
+def _digest(doc_id: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, sum(LEVELS))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(rows, plan). rows: doc_id, source, size and hash of every row. plan, a row a source: source_size, target,
     full copies of every row, and the threshold below which the hash of a row gives it one copy more."""
-    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _digest().alias("hash"))
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _digest(F.col("doc_id")).alias("hash"))
     rows = materialize(rows, "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source).
 
     size counts words (null text: 0); taken is size times the row's number of copies in the mix. Rows of one doc_id
-    fall on the same side of a threshold. Null sources are one source; sources of size 0 get target 0. Rows whose
+    fall on the same side of a threshold, and so do all rows without one. Null sources are one source; sources of size 0 get target 0. Rows whose
     hash is in the last, finest bucket are taken when that brings the source nearer to its target. Empty in, empty
     out; other columns are not read.
     """
@@ -112,8 +112,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     """The rows of docs as often as the mix takes them, with all their columns. Texts are not shuffled."""
     _, plan = mix_plan(docs, weights, share, most)
     n = plan.count()
+    # the plan's columns are named for no column of docs
+    name = "_plan"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     key = F.struct(docs["source"].isNull(), F.coalesce(docs["source"].cast("string"), F.lit("")))
-    plan = plan.select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_of"), F.struct("full", "left", "at", "nearer").alias("_plan"))
-    both = docs.withColumn("_key", key).withColumn("_hash", _digest()).join(F.broadcast(plan) if n <= BROADCAST_SOURCES else plan, F.col("_key") == F.col("_of"))
-    copies = _copies(F.col("_hash"), "_plan.").cast("int")
-    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")
+    plan = plan.select(F.struct(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("of"), "full", "left", "at", "nearer").alias(name))
+    both = docs.join(F.broadcast(plan) if n <= BROADCAST_SOURCES else plan, key == F.col(f"{name}.of"))
+    copies = _copies(_digest(docs["doc_id"]), f"{name}.").cast("int")
+    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias(name)).drop(name)

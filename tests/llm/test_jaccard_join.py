@@ -67,7 +67,9 @@ EDGES = [(900, None), (901, ""), (902, " \t\n"), (903, "One"), (904, "one"), (90
 
 
 @pytest.mark.parametrize("chunk", [512, 4])
-def test_components_equal_brute_force(spark, chunk):
+def test_components_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(J, "HOT_ROWS", 1)
+    monkeypatch.setattr(J, "HOT_CLASSES", 3)
     rows = fixture() + EDGES
     df = spark.createDataFrame([(d, t, 7, "n", 1) for d, t in rows], "doc_id long, text string, n int, fp string, component_id int").repartition(5)
     got = J.jaccard_components(df, chunk=chunk)
@@ -83,9 +85,10 @@ def test_empty_table(spark):
 
 def test_one_of_each_component_stays(spark):
     rows = fixture(2, 4, 8) + [(5, "a b c d e f"), (5, "a b c d e f"), (None, None), (None, ""), (None, None)]
-    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, extra int")
+    df = spark.createDataFrame([(d, t, i, str(i), -i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _id int, key string, _key int")
     kept = J.first_of_components(df)
-    assert kept.columns == df.columns
+    assert kept.dtypes == df.dtypes
+    assert all(r["_id"] == -r["_key"] == int(r["key"]) and rows[r["_id"]] == (r["doc_id"], r["text"]) for r in kept.collect())
     got = sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"] and r["doc_id"] != 5)
     want = sorted((d, next(t for e, t in rows if e == d)) for d, n, c in set(brute(rows)) if n and d == c and d != 5)
     assert got == want

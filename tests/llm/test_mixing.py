@@ -52,9 +52,11 @@ def test_targets_and_taken(spark):
 
 
 def test_documents_are_repeated(spark):
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows())], "doc_id long, text string, source string, _key int")
+    data = [(*r, i, -i, [i]) for i, r in enumerate(rows())]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, _key int, _hash int, _plan array<int>")
     mixed = mixing.mixed_documents(df)
-    assert mixed.columns == df.columns
+    assert mixed.dtypes == df.dtypes
+    assert {tuple(map(str, r)) for r in mixed.collect()} <= {tuple(map(str, r)) for r in data}
     words = sum(len((r["text"] or "").split()) for r in mixed.collect())
     assert words == mixing.mix_sources(df).agg({"taken": "sum"}).first()[0]
 
