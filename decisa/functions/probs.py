@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisa.operators.ranks import in_ranges, numbered
+
 
 def valid_distribution(probs: Column, tolerance: float = 1e-5) -> Column:
     v = F.map_values(probs)
@@ -49,8 +51,7 @@ def ece(df: DataFrame, by: list[str], confidence: str, hit: str, bins: int = 10)
 
 def adaptive_ece(df: DataFrame, by: list[str], p: str, y: str, key: str, bins: int = 10) -> DataFrame:
     """Calibration error over equal-count slices: slice i is rows [i*n//bins, (i+1)*n//bins) of the order (p, key)."""
-    w, all_ = Window.partitionBy(*by).orderBy(p, key), Window.partitionBy(*by)
-    r = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(all_))
+    r = numbered(df.select(*by, p, y, key), by, [F.col(p), F.col(key)], "_k", "_n").withColumn("_k", F.col("_k") - 1)
     # the slice of row k is the largest i with i*n//bins <= k
     r = r.withColumn("_i", F.floor(((F.col("_k") + 1) * bins - 1) / F.col("_n")).cast("int"))
     b = r.groupBy(*by, "_i").agg(F.count("*").alias("_c"), F.abs(F.avg(p) - F.avg(F.col(y).cast("double"))).alias("_gap"))
@@ -165,20 +166,34 @@ def fit_platt(df: DataFrame, p: str, y: str, rounds: int = 12, eps: float = 1e-7
 
 
 def pava(df: DataFrame, by: str, p: str, y: str) -> DataFrame:
-    """Isotonic knots (by, x, value, weight) per domain: equal p are pooled in an aggregate first, then each domain's
-    distinct p, in order, are pooled while they violate. Domains are tasks; a domain's distinct p meet in one."""
+    """Isotonic knots (by, x_low, x_high, value, weight) per domain: equal p are pooled in an aggregate first, then those
+    of each range of p while they violate, and last the ranges' blocks; pooling in parts gives the same blocks."""
     import pandas as pd
 
     pooled = df.groupBy(by, p).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("w"))
+    pooled = in_ranges(pooled.select(by, F.col(p).alias("x_low"), F.col(p).alias("x_high"), "s", F.col("w").cast("double").alias("w")), [by], [F.col("x_low")])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(p)
+        rows = rows.sort_values("x_low")
         blocks: list[list[float]] = []  # sum, weight, first x, last x
-        for x, s, w in zip(rows[p], rows["s"], rows["w"], strict=True):
-            blocks.append([s, w, x, x])
+        for low, high, s, w in zip(rows["x_low"], rows["x_high"], rows["s"], rows["w"], strict=True):
+            blocks.append([s, w, low, high])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
                 s2, w2, _, last = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s2, blocks[-1][1] + w2, blocks[-1][2], last]
-        return pd.DataFrame({by: rows[by].iloc[0], "x_low": [b[2] for b in blocks], "x_high": [b[3] for b in blocks], "value": [b[0] / b[1] for b in blocks], "weight": [int(b[1]) for b in blocks]})
-
-    return pooled.groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, x_low double, x_high double, value double, weight long")
+        return pd.DataFrame({by: rows[by].iloc[0], "x_low": [b[2] for b in blocks], "x_high": [b[3] for b in blocks], "s": [b[0] for b in blocks], "w": [b[1] for b in blocks]})
+
+    schema = f"{by} {dict(df.dtypes)[by]}, x_low double, x_high double, s double, w double"
+    knots = pooled.groupBy("_range", by).applyInPandas(run, schema).groupBy(by).applyInPandas(run, schema)
+    return knots.select(by, "x_low", "x_high", (F.col("s") / F.col("w")).alias("value"), F.col("w").cast("long").alias("weight"))
+
+
+def apply_isotonic(df: DataFrame, knots: DataFrame, by: str, p: str, out: str) -> DataFrame:
+    """df with its calibrated probability: a knot's value inside its range, a straight line between two knots, the
+    nearest end outside; null for a domain without knots. A domain's knots are one array: monotone steps, few."""
+    steps = knots.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("x_low", "x_high", "value"))).alias("_knots"))
+    x, low = F.col(p), F.filter("_knots", lambda k: k["x_low"] <= F.col(p))
+    a, b = F.element_at(low, -1), F.get(F.col("_knots"), F.size(low))
+    line = a["value"] + (b["value"] - a["value"]) * (x - a["x_high"]) / (b["x_low"] - a["x_high"])
+    value = F.when(F.size(low) == 0, b["value"]).when((x <= a["x_high"]) | b.isNull(), a["value"]).otherwise(line)
+    return df.join(steps, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn(out, F.when(F.col("_knots").isNotNull(), value)).drop("_by", "_knots")

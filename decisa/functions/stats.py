@@ -82,14 +82,15 @@ def two_proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
 
 
 def sign_test_p(k: Column, n: Column) -> Column:
-    """Exact one-sided P(X >= k) of n fair coins, summed in log space over k..n."""
-    log_choose = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i)
-    terms = F.transform(F.sequence(k, n), lambda i: F.exp(log_choose(i) - n * F.lit(math.log(2.0))))
-    return F.when(k <= n, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    """Exact one-sided P(X >= k) of n fair coins: one pass over 0..n, each log term from the one before by the ratio of
+    neighbouring binomials."""
+    start = F.struct((-n * F.lit(math.log(2.0))).alias("term"), F.when(k <= 0, F.exp(-n * F.lit(math.log(2.0)))).otherwise(0.0).alias("sum"))
 
+    def step(a, i):
+        term = a["term"] + F.ln((n - i + 1).cast("double") / i)
+        return F.struct(term.alias("term"), (a["sum"] + F.when(i >= k, F.exp(term)).otherwise(0.0)).alias("sum"))
 
-def log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda a, i: a + F.ln(F.greatest(i, F.lit(1)).cast("double")))
+    return F.when(n <= 0, F.when(k <= 0, 1.0).otherwise(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), n.cast("long")), start, step, lambda a: a["sum"]))
 
 
 def fisher_z_diff(r1: Column, n1: Column, r2: Column, n2: Column) -> Column:
@@ -105,12 +106,6 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str, alpha: f
     return ranked.withColumn("passes", F.col(p) <= F.col("threshold"))
 
 
-def rounded_rank_quantile(values: Column, q: float) -> Column:
-    """sorted[round half even (q * (n - 1))] of an array."""
-    s = F.array_sort(values)
-    return F.get(s, F.bround(F.lit(q) * (F.size(s) - 1)).cast("int"))
-
-
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: Cohen's kappa of two labels; null where chance agreement is 1 (a single category)."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights below exp(-REACH) don't change a sum of doubles.
+REACH = 40
+
+
+def relative(x: Column, base: Column) -> Column:
+    """x / base - 1; null where the base is not above 0, as a return on nothing has no size."""
+    return F.when(base > 0, x / base - 1)
+
+
+def log_ratio(x: Column, base: Column) -> Column:
+    """ln(x / base); null unless both are above 0."""
+    return F.when((x > 0) & (base > 0), F.ln(x / base))
+
 
 def mid_rank(history: Column, x: Column, least: int) -> Column:
     """(less + half of the equal) / n over an array of numbers; null for a null x or fewer than `least` numbers."""
@@ -61,16 +78,16 @@ def contiguous_lead(by: str, day: str, value: str, k: int) -> Column:
 def realized_volatility(df: DataFrame, by: str, time: str, price: str, n: int, out: str) -> DataFrame:
     """Sample deviation of the last n log returns; null with fewer. Prices of 0 or less give no return."""
     w = Window.partitionBy(by).orderBy(time)
-    ratio = F.when((F.col(price) > 0) & (F.lag(price).over(w) > 0), F.ln(F.col(price) / F.lag(price).over(w)))
+    ratio = log_ratio(F.col(price), F.lag(price).over(w))
     run = w.rowsBetween(1 - n, 0)
     got = df.withColumn("_r", ratio)
     return got.withColumn(out, F.when(F.count("_r").over(run) == n, F.stddev_samp("_r").over(run))).drop("_r")
 
 
 def distance_from_high(by: str, day: str, price: str, n: int) -> Column:
-    """price / highest of the n rows before - 1, if those are the n days before."""
+    """price / highest of the n rows before - 1, if those are the n days before; null on a high of 0 or less."""
     w = Window.partitionBy(by).orderBy(day)
-    return F.when(F.datediff(F.col(day), F.lag(day, n).over(w)) == n, F.col(price) / F.max(price).over(w.rowsBetween(-n, -1)) - 1)
+    return F.when(F.datediff(F.col(day), F.lag(day, n).over(w)) == n, relative(F.col(price), F.max(price).over(w.rowsBetween(-n, -1))))
 
 
 def moving_average(by: str, day: str, value: str, n: int) -> Column:
@@ -89,13 +106,16 @@ def trailing_median(by: str, time: str, value: str, n: int, least: int, inclusiv
 
 
 def wilder_atr(df: DataFrame, by: str, time: str, high: str, low: str, close: str, n: int, out: str) -> DataFrame:
-    """Wilder's average true range: the mean of the first n true ranges, then (atr * (n - 1) + tr) / n; recursive, so a
-    fold over each key's ordered array of true ranges."""
+    """Wilder's average true range: the mean of the first n true ranges, then (atr * (n - 1) + tr) / n.
+
+    A true range k rows back weighs ((n - 1) / n) ** k, so the fold starts at most REACH weights back: what lies before
+    is less than a double's last digit, and a row carries a bounded frame instead of its whole history."""
+    back = math.ceil(REACH / -math.log1p(-1 / n)) + n if n > 1 else n
     w = Window.partitionBy(by).orderBy(time)
     before = F.lag(close).over(w)
     tr = F.when(before.isNotNull(), F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - before), F.abs(F.col(low) - before)))
     rows = df.withColumn("_tr", tr)
-    h = F.collect_list("_tr").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    h = F.collect_list("_tr").over(w.rowsBetween(-back, 0))
     seed = F.aggregate(F.slice(h, 1, n), F.lit(0.0), lambda a, x: a + x) / n
     fold = F.aggregate(F.slice(h, n + 1, 1 << 30), seed, lambda a, x: (a * (n - 1) + x) / n)
     return rows.withColumn(out, F.when(F.size(h) >= n, fold)).drop("_tr")
@@ -118,9 +138,9 @@ def recent_flag(by: str, day_number: str, flag: str, days: int) -> Column:
 
 
 def forward_extremes(by: str, day_number: str, price: str, days: int) -> tuple[Column, Column]:
-    """Lowest and highest later price of the next `days` days over this one - 1."""
+    """Lowest and highest later price of the next `days` days over this one - 1; null on a price of 0 or less."""
     w = Window.partitionBy(by).orderBy(day_number).rangeBetween(1, days)
-    return F.min(price).over(w) / F.col(price) - 1, F.max(price).over(w) / F.col(price) - 1
+    return relative(F.min(price).over(w), F.col(price)), relative(F.max(price).over(w), F.col(price))
 
 
 def positive_share(by: str, time: str, value: str, n: int) -> Column:
@@ -142,13 +162,31 @@ def dominant(df: DataFrame, by: str, value: str, share: float = 0.9) -> DataFram
     return g.select(by, F.when(F.col("share") >= share, F.col("v").cast("int").cast("string")).otherwise("mixed").alias("cadence"), "share")
 
 
-def expanding_quantile_flag(df: DataFrame, time: str, value: str, q: float, least: int, out: str, by: str | None = None) -> DataFrame:
-    """Whether the value is above the interpolated quantile of all values at strictly earlier times of its group."""
-    part = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    h = F.array_sort(F.collect_list(value).over(part.orderBy(time).rangeBetween(Window.unboundedPreceding, -1)))
-    at = (F.size(h) - 1) * F.lit(q)
-    low, high = F.get(h, F.floor(at).cast("int")), F.get(h, F.ceil(at).cast("int"))
-    return df.withColumn(out, F.when(F.size(h) >= least, F.col(value) > low + (high - low) * (at - F.floor(at))))
+def expanding_quantile_flag(df: DataFrame, by: str, time: str, value: str, q: float, least: int, out: str) -> DataFrame:
+    """Whether the value is above the interpolated quantile of all values at strictly earlier times of its key; null
+    with fewer than `least` of them, or without a value. One pass a key over values kept in order."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(time, kind="stable")
+        seen: list[float] = []
+        waiting: list[float] = []
+        flags, now = [], None
+        for t, x in zip(rows[time], rows[value], strict=True):
+            if t != now:
+                for v in waiting:
+                    bisect.insort(seen, v)
+                waiting, now = [], t
+            if pd.isna(x):
+                flags.append(None)
+                continue
+            at = q * (len(seen) - 1)
+            low = math.floor(at)
+            flags.append(bool(x > seen[low] + (seen[math.ceil(at)] - seen[low]) * (at - low)) if seen and len(seen) >= least else None)
+            waiting.append(x)
+        return rows.assign(**{out: pd.array(flags, dtype="boolean")})
+
+    schema = df.withColumn(out, F.lit(None).cast("boolean")).schema
+    return df.groupBy(by).applyInPandas(walk, schema)
 
 
 def collapse_runs(df: DataFrame, by: str, time: str, label: str) -> DataFrame:

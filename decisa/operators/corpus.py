@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisa.operators.ranks import numbered
+from decisa.session import materialize
+
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """Of each key the first row in order; sources with priority put it first in `order`."""
@@ -20,27 +23,29 @@ def first_ids(df: DataFrame, key: Column, id_col: str) -> DataFrame:
 def keep_first_of_either(df: DataFrame, first: str, second: str, order: str) -> DataFrame:
     """Sequential either-key dedup: walking rows in order, a row goes when either of its keys was seen on a kept row.
 
-    Rows meet only through shared keys, so each connected group of keys is walked by itself, in one task; groups come
-    from the component join, and rows alone on both keys need none."""
-    from decisa.operators.joins import components
-
-    schema = df.schema
-    rows = df.withColumn("_a", F.concat(F.lit("a:"), F.col(first).cast("string"))).withColumn("_b", F.concat(F.lit("b:"), F.col(second).cast("string")))
-    found = components(rows, "_a", "_b")
-    rows = rows.join(found, rows["_a"] == found["node"], "left").withColumn("_group", F.coalesce("component", "_a", "_b", F.lit("")))
-
-    def walk(pdf):
-        seen_a, seen_b, keep = set(), set(), []
-        pdf = pdf.sort_values(order, kind="stable")
-        for a, b in zip(pdf[first], pdf[second], strict=True):
-            ok = a not in seen_a and b not in seen_b
-            keep.append(ok)
-            if ok:
-                seen_a.add(a)
-                seen_b.add(b)
-        return pdf[keep][schema.names]
-
-    return rows.groupBy("_group").applyInPandas(walk, schema)
+    In rounds over the whole table: a row that comes first among the rows left of both its keys stays, and the rows
+    that share a key with one that stays go. A round decides at least the first row of each connected group, and all
+    rows of a key at once when one of them stays. Null keys are equal to nothing; equal rows are told apart."""
+    rows = materialize(df.withColumn("_id", F.monotonically_increasing_id()), "either-rows")
+    left = rows.select(F.struct(F.col(order), "_id").alias("_at"), F.col(first).alias("_a"), F.col(second).alias("_b"))
+    kept = []
+    while True:
+        leads = left
+        for key in ("_a", "_b"):
+            low = left.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("_at").alias("_low"))
+            leads = leads.join(low, leads[key] == low["_k"], "left").filter(F.col("_low").isNull() | (F.col("_low") == F.col("_at"))).drop("_k", "_low")
+        leads = materialize(leads, "either-kept")
+        kept.append(leads.select("_at._id"))
+        for key in ("_a", "_b"):
+            seen = leads.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"))
+            left = left.join(seen, left[key] == seen["_k"], "leftanti")
+        left = materialize(left.join(leads.select(F.col("_at._id").alias("_done")), F.col("_at._id") == F.col("_done"), "leftanti"), "either-left")
+        if left.isEmpty():
+            break
+    ids = kept[0]
+    for more in kept[1:]:
+        ids = ids.unionByName(more)
+    return rows.join(ids, "_id", "leftsemi").drop("_id")
 
 
 def decontaminate(df: DataFrame, frozen: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,14 +69,12 @@ def label_conflicts(df: DataFrame, split: str, state: Column, label: str) -> Dat
 
 def entity_cut(df: DataFrame, key: str, parts: int = 3) -> DataFrame:
     """Distinct entities in the order of (sha256, key), cut into near-equal groups; the first ones take the rest."""
-    e = df.select(key).distinct()
-    w = Window.orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    n = e.count()  # entities, a short list
-    k = F.row_number().over(w) - 1
+    e = numbered(df.select(key).distinct(), [], [F.sha2(F.col(key).cast("string"), 256), F.col(key)], "_k")
+    n, k = e.count(), F.col("_k") - 1
     base, extra = divmod(n, parts)
     cut = extra * (base + 1)
     group = F.when(k < cut, F.floor(k / (base + 1))).otherwise(extra + F.floor((k - cut) / max(1, base))).cast("int")
-    return e.withColumn("part", group)
+    return e.withColumn("part", group).drop("_k")
 
 
 def verified_repeats(df: DataFrame, by: list[str], same: list[str], order: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisa.operators.components import connected_components
+from decisa.operators.ranks import in_ranges
 from decisa.session import materialize
 
+#: Windows (30 bytes each) up to this number are broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def lagged_join(left: DataFrame, right: DataFrame, by: list[str], time: str, lag: int, value: str, out: str) -> DataFrame:
     """left with right's value exactly `lag` units later on the shared grid; gaps give no row (not lag(), which skips them)."""
@@ -21,19 +26,44 @@ def calendar_shift(left: DataFrame, right: DataFrame, by: list[str], day: str, d
     return left.join(moved, [*by, day], "left")
 
 
+def _buckets(start: Column, end: Column, width: float) -> Column:
+    return F.sequence(F.floor(start.cast("double") / width), F.floor(end.cast("double") / width))
+
+
+def _width(windows: DataFrame) -> float:
+    return windows.agg(F.avg(F.col("_end").cast("double") - F.col("_start").cast("double"))).first()[0] or 1.0
+
+
 def interval_join(rows: DataFrame, windows: DataFrame, time: str, start: str, end: str, keep: list[str]) -> DataFrame:
-    """rows with the half-open window [start, end) that holds their time; unmatched rows stay with nulls. windows is
-    a short table (folds, regimes), broadcast by the caller's choice of table."""
+    """rows with the half-open window [start, end) that holds their time; unmatched rows stay with nulls. Up to
+    BROADCAST_ROWS windows (folds, regimes) are broadcast; more meet the rows in buckets of a mean window's length, for
+    which times are numbers or timestamps."""
     w = windows.select(*keep, F.col(start).alias("_start"), F.col(end).alias("_end"))
-    return rows.join(F.broadcast(w), (F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_end")), "left").drop("_start", "_end")
+    inside = (F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_end"))
+    if w.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(w), inside, "left").drop("_start", "_end")
+    width = _width(w)
+    w = w.filter("_start < _end").withColumn("_bucket", F.explode(_buckets(F.col("_start"), F.col("_end"), width)))
+    rows = rows.withColumn("_at", F.floor(F.col(time).cast("double") / width))
+    return rows.join(w, (F.col("_at") == F.col("_bucket")) & inside, "left").drop("_start", "_end", "_at", "_bucket")
 
 
 def overlap_reasons(rows: DataFrame, windows: DataFrame, start: str, end: str, w_start: str, w_end: str, name: str) -> DataFrame:
-    """rows with the sorted names of all windows that [start, end] overlaps; touching a window's start counts."""
-    w = windows.select(F.col(name).alias("_name"), F.col(w_start).alias("_ws"), F.col(w_end).alias("_we"))
-    all_ = w.agg(F.collect_list(F.struct("_name", "_ws", "_we")).alias("_w"))
-    hit = F.filter("_w", lambda x: (F.col(start) < x["_we"]) & (F.col(end) >= x["_ws"]))
-    return rows.join(F.broadcast(all_)).withColumn("reasons", F.array_sort(F.transform(hit, lambda x: x["_name"]))).drop("_w")
+    """rows with the sorted names of all windows that [start, end] overlaps; touching a window's start counts. Up to
+    BROADCAST_ROWS windows are one broadcast array; more meet the rows in buckets, as in interval_join()."""
+    w = windows.select(F.col(name).alias("_name"), F.col(w_start).alias("_start"), F.col(w_end).alias("_end"))
+    if w.count() <= BROADCAST_ROWS:
+        all_ = w.agg(F.collect_list(F.struct("_name", "_start", "_end")).alias("_w"))
+        hit = F.filter("_w", lambda x: (F.col(start) < x["_end"]) & (F.col(end) >= x["_start"]))
+        return rows.join(F.broadcast(all_)).withColumn("reasons", F.array_sort(F.transform(hit, lambda x: x["_name"]))).drop("_w")
+    width = _width(w)
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "overlapped")
+    spans = rows.filter(F.col(start) <= F.col(end)).select("_row", F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(_buckets(F.col(start), F.col(end), width)).alias("_bucket"))
+    w = w.withColumn("_bucket", F.explode(_buckets(F.col("_start"), F.col("_end"), width)))
+    hits = spans.join(w, "_bucket").filter((F.col("_s") < F.col("_end")) & (F.col("_e") >= F.col("_start"))).select("_row", "_name", "_start", "_end").distinct()
+    named = hits.groupBy("_row").agg(F.array_sort(F.collect_list("_name")).alias("reasons"))
+    empty = F.array().cast(dict(named.dtypes)["reasons"])
+    return rows.join(named, "_row", "left").withColumn("reasons", F.coalesce("reasons", empty)).drop("_row")
 
 
 def precedence_merge(tables: list[DataFrame], keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -97,29 +127,51 @@ def path_matches(left: DataFrame, right: DataFrame, path: str = "path", other: s
 
 
 def donor_join(rows: DataFrame, role: str, group: str, key: str, seed: str) -> DataFrame:
-    """Each row with a donor of the same role and another group, the next one round a circle of hashes.
+    """Each row with a donor of the same role and another group, the next one round a circle of hashes; null where a
+    role has one group.
 
-    Rows of a role are ordered by a seeded hash; a row's donor is the first of the next rows, of which the window sees
-    the first with another group by carrying each run's successor. No pair of rows is formed."""
+    Rows are dealt into ranges of (role, seeded hash). In a range a window finds the next row of another group; the
+    last run of a range takes it from the ranges after, of which only the first rows of two groups matter. No pair of
+    rows is formed, and one task holds a range, or a row a range of the summary."""
     h = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)
-    w = Window.partitionBy(role).orderBy("_h", key)
-    ranked = rows.withColumn("_h", h).withColumn("_next_group", F.lead(group).over(w)).withColumn("_next_key", F.lead(key).over(w))
-    mark = F.when(F.col("_next_group") != F.col(group), F.col("_next_key"))
-    later = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    whole = Window.partitionBy(role).orderBy("_h", key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_g, first_k = F.first(group).over(whole), F.first(key).over(whole)
-    second = F.first(mark, ignorenulls=True).over(whole)
-    donor = F.coalesce(later, F.when(first_g != F.col(group), first_k).otherwise(second))
-    return ranked.withColumn("donor", donor).drop("_h", "_next_group", "_next_key")
+    cut = in_ranges(rows.withColumn("_h", h), [role], [F.col("_h"), F.col(key)])
+    w = Window.partitionBy("_range", role).orderBy("_h", key)
+    cut = cut.withColumn("_next", F.struct(F.lead(group).over(w).alias("g"), F.lead(key).over(w).alias("k")))
+    cut = cut.withColumn("_mark", F.when(F.col("_next.g") != F.col(group), F.col("_next")))
+    at = F.struct("_h", key)
+    first, second = F.min_by(F.struct(F.col(group).alias("g"), F.col(key).alias("k")), at), F.min_by("_mark", F.when(F.col("_mark").isNotNull(), at))
+    summary = cut.groupBy("_range", role).agg(first.alias("a"), second.alias("b")).select("_range", role, *[F.col(f"{x}.{y}").alias(f"{x}{y}") for x in "ab" for y in "gk"])
+    types = dict(rows.dtypes)
+    after = summary.groupBy(role).applyInPandas(lambda x: _next_groups(x, role), f"_after int, _role {types[role]}, g1 {types[group]}, k1 {types[key]}, k2 {types[key]}")
+    found = cut.withColumn("_later", F.first("_mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    found = found.join(F.broadcast(after), (F.col("_range") == F.col("_after")) & F.col(role).eqNullSafe(F.col("_role")))
+    donor = F.coalesce(F.col("_later.k"), F.when(F.col("g1") != F.col(group), F.col("k1")).otherwise(F.col("k2")))
+    return found.select(*rows.columns, donor.alias("donor"))
+
+
+def _next_groups(ranges: pd.DataFrame, role: str) -> pd.DataFrame:
+    """For each range of a role, the first row after it round the circle (g1, k1) and the first one of another group (k2)."""
+    r = ranges.sort_values("_range").reset_index(drop=True)
+    own = [[(g, k) for g, k in pairs if not pd.isna(g)] for pairs in zip(zip(r["ag"], r["ak"], strict=True), zip(r["bg"], r["bk"], strict=True), strict=True)]
+    after: list = [None] * len(r)
+    ahead: list = []
+    for i in [*reversed(range(len(r)))] * 2:  # the second time round knows what lies behind the circle's end
+        after[i] = ahead
+        firsts = own[i] + ahead
+        ahead = firsts[:1] + [x for x in firsts if x[0] != firsts[0][0]][:1] if firsts else []
+    pick = lambda n, k: pd.Series([a[n][k] if len(a) > n else None for a in after], dtype="object")
+    return pd.DataFrame({"_after": r["_range"], "_role": r[role], "g1": pick(0, 0), "k1": pick(0, 1), "k2": pick(1, 1)})
 
 
 def vote_summary(votes: DataFrame, item: str, rater: str, label: str, score: str) -> DataFrame:
-    """Per item: votes, distinct labels, flips against the first rater by name, and the spread of scores."""
-    g = votes.groupBy(item).agg(
-        F.count("*").alias("votes"), F.countDistinct(label).alias("labels"), F.min_by(label, rater).alias("_first"),
-        F.collect_list(label).alias("_all"), (F.max(score) - F.min(score)).alias("spread"),
+    """Per item: votes, distinct labels, flips against the first rater by name, and the spread of scores. Votes are
+    counted by label first, so an item's votes never meet in one row."""
+    by_label = votes.groupBy(item, label).agg(F.count("*").alias("_n"), F.min(rater).alias("_r"), F.max(score).alias("_high"), F.min(score).alias("_low"))
+    g = by_label.groupBy(item).agg(
+        F.sum("_n").alias("votes"), F.count(label).alias("labels"), F.sum(F.when(F.col(label).isNotNull(), F.col("_n"))).alias("_said"),
+        F.min_by(F.when(F.col(label).isNotNull(), F.col("_n")), "_r").alias("_first"), (F.max("_high") - F.min("_low")).alias("spread"),
     )
-    return g.withColumn("flips", F.size(F.filter("_all", lambda x: x != F.col("_first")))).drop("_first", "_all")
+    return g.withColumn("flips", F.coalesce(F.col("_said") - F.col("_first"), F.lit(0))).drop("_said", "_first")
 
 
 def label_overlap(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:

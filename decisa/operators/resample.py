@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisa.operators.ranks import numbered
+
 
 def cluster_bootstrap(df: DataFrame, group: str, value: Column, samples: int, seed: str) -> DataFrame:
     """(sample, mean): each sample draws as many groups as there are, with replacement, and pools their rows.
@@ -12,7 +14,7 @@ def cluster_bootstrap(df: DataFrame, group: str, value: Column, samples: int, se
     Groups are summed first; a sample is then a weighted sum over groups, the weights are how often its draws hit
     each. Draw j of sample b is sha256("seed|b|j") modulo the number of groups, groups in order."""
     g = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    g = g.withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)  # a row a group
+    g = numbered(g, [], [F.col(group)], "i").withColumn("i", F.col("i") - 1)
     m = g.count()
     draws = df.sparkSession.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("sample").cast("string"), F.col("j").cast("string")), 256), 1, 8), 16, 10).cast("long")

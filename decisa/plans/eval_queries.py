@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from decisa.functions import probs, stats
-from decisa.operators import joins
+from decisa.operators import joins, panel as books, ranks
 from decisa.plans.base import SCORED, query, rounded, scored, table
 
 
@@ -34,8 +34,8 @@ def bundle_scorecard(spark, sf_dir):
 @query(f"""WITH {SCORED} SELECT grp, round(quantile_cont(p, 0.25), 6) AS q25, round(quantile_cont(p, 0.9), 6) AS q90, round(list_sort(list(p))[CAST(round_even(0.9::DOUBLE * (count(*) - 1), 0) AS INT) + 1], 6) AS rounded90 FROM scored GROUP BY grp""")
 def quantile_conventions(spark, sf_dir):
     """Interpolated, and rounded-rank quantiles of one column."""
-    g = scored(spark, sf_dir).groupBy("grp").agg(F.percentile("p", 0.25).alias("q25"), F.percentile("p", 0.9).alias("q90"), stats.rounded_rank_quantile(F.collect_list("p"), 0.9).alias("rounded90"))
-    return rounded(g)
+    g = ranks.quantile_rows(scored(spark, sf_dir), ["grp"], "p", {"q25": 0.25, "q90": 0.9})
+    return rounded(g.select("grp", "q25", "q90", F.col("q90_rounded").alias("rounded90")))
 
 
 def _ece_sql(bins: int, conf: str, hit: str) -> str:
@@ -109,8 +109,9 @@ def operating_point(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT split, count(*) AS errors, array_to_string(list_sort(list(id))[1:20], ',') AS examples FROM scored WHERE NOT correct AND conf >= 0.6 GROUP BY split")
 def protected_errors(spark, sf_dir):
-    s = scored(spark, sf_dir).filter(~F.col("correct") & (F.col("conf") >= 0.6))
-    return s.groupBy("split").agg(F.count("*").alias("errors"), F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, 20).cast("array<string>"), ",").alias("examples"))
+    s = scored(spark, sf_dir).filter(~F.col("correct") & (F.col("conf") >= 0.6)).select("split", "id")
+    shown = books.top_k(s, ["split"], ["id"], 20).groupBy("split").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("examples"))
+    return s.groupBy("split").agg(F.count("*").alias("errors")).join(shown, "split")
 
 
 @query(f"""WITH {SCORED}, q AS (SELECT id // 10 AS q, id, p, toxic = 1 AS rel, row_number() OVER (PARTITION BY id // 10 ORDER BY p DESC, id) AS r FROM scored), g AS (SELECT q, min(r) FILTER (rel) AS f, count(*) FILTER (rel) AS n, count(*) FILTER (rel AND r <= 3) AS n3, count(*) FILTER (rel AND r <= 1) AS n1 FROM q GROUP BY q HAVING count(*) FILTER (rel) > 0)

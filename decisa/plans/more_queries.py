@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decisa.functions import stats, text, windows
 from decisa.operators import panel as books
-from decisa.operators import removal, resample, walkforward
+from decisa.operators import ranks, removal, resample, walkforward
 from decisa.plans.base import PANEL, SCORED, panel, query, rounded, scored, table
 
 W = "PARTITION BY asset ORDER BY day"
@@ -175,11 +175,9 @@ def filter_value_arms(spark, sf_dir):
 @query(f"""WITH {SCORED}, v AS (SELECT id, CASE WHEN y <> toxic THEN 1 ELSE 0 END + CASE WHEN y <> (p >= 0.5)::INT THEN 1 ELSE 0 END AS flips, abs(p - u) AS spread FROM scored)
 SELECT id, flips, round(spread, 6) AS spread, row_number() OVER (ORDER BY flips DESC, spread DESC, id) AS place FROM v""")
 def review_queue(spark, sf_dir):
-    """Most flips first, then the widest spread, then the id; places come from a range sort, not one task."""
+    """Most flips first, then the widest spread, then the id; places come from ranges and their counts."""
     v = scored(spark, sf_dir).select("id", ((F.col("y") != F.col("toxic")).cast("int") + (F.col("y") != (F.col("p") >= 0.5).cast("int")).cast("int")).alias("flips"), F.abs(F.col("p") - F.col("u")).alias("spread"))
-    counts = v.groupBy("flips").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("flips")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("flips").orderBy(F.desc("spread"), "id")) + F.col("before")
-    return rounded(v.join(F.broadcast(counts.select("flips", "before")), "flips").select("id", "flips", "spread", place.alias("place")))
+    return rounded(ranks.numbered(v, [], [F.desc("flips"), F.desc("spread"), F.col("id")]))
 
 
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, sha256(CAST(doc_id AS VARCHAR))) AS k, CAST(('0x' || substring(sha256('p:' || doc_id), 1, 8)) AS BIGINT) % 10 = 0 AS frozen FROM documents)

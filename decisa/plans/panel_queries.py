@@ -13,7 +13,7 @@ W = "PARTITION BY asset ORDER BY day"
 
 
 @query(f"""WITH {PANEL}, r AS (
-  SELECT *, CASE WHEN lead(dn) OVER ({W}) = dn + 1 THEN lead(close) OVER ({W}) / close - 1 END AS fwd,
+  SELECT *, CASE WHEN lead(dn) OVER ({W}) = dn + 1 AND close > 0 THEN lead(close) OVER ({W}) / close - 1 END AS fwd,
     list(fund) FILTER (fund IS NOT NULL) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS h FROM (
       SELECT asset, day, dn, close, last_value(fund IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fund FROM panel)
 ), s AS (
@@ -32,7 +32,7 @@ def pit_asof_decile_spread(spark, sf_dir):
     p = panel(spark, sf_dir)
     facts = p.filter("fund is not null").select("asset", "dn", F.col("fund").alias("settled"))
     rows = asof.asof_join(p.select("asset", "day", "dn", "close"), facts, ["asset"], "dn", "dn", ["settled"])
-    rows = rows.withColumn("fwd", windows.contiguous_lead("asset", "day", "close", 1) / F.col("close") - 1)
+    rows = rows.withColumn("fwd", windows.relative(windows.contiguous_lead("asset", "day", "close", 1), F.col("close")))
     rows = windows.trailing_mid_rank(rows, "asset", "dn", "settled", 10, 3, "score").filter("fwd is not null")
     book = books.legs(rows, "dn", "asset", "score", least=8)
     return rounded(books.leg_spread(book, "dn", "fwd").withColumnRenamed("dn", "day"))
@@ -86,13 +86,13 @@ def asof_forward_hours(spark, sf_dir):
 
 
 @query(f"""WITH {PANEL}, m AS (SELECT a.asset, a.dn, arg_max(b.close, b.dn) AS old FROM panel a LEFT JOIN panel b ON a.asset = b.asset AND b.dn < a.dn - 1 GROUP BY 1, 2)
-SELECT p.asset, p.dn AS day, round(ln(p.close / m.old), 6) AS log_ratio FROM panel p JOIN m USING (asset, dn)""")
+SELECT p.asset, p.dn AS day, round(CASE WHEN p.close > 0 AND m.old > 0 THEN ln(p.close / m.old) END, 6) AS log_ratio FROM panel p JOIN m USING (asset, dn)""")
 def asof_offset_log_ratio(spark, sf_dir):
     """Log ratio to the last value strictly before one day earlier."""
     p = panel(spark, sf_dir)
     asks = p.select("asset", "dn", "close", (F.col("dn") - 1).alias("at"))
     out = asof.asof_join(asks, p.select("asset", "dn", F.col("close").alias("old")), ["asset"], "at", "dn", ["old"], strict=True)
-    return rounded(out.select("asset", F.col("dn").alias("day"), F.ln(F.col("close") / F.col("old")).alias("log_ratio")))
+    return rounded(out.select("asset", F.col("dn").alias("day"), windows.log_ratio(F.col("close"), F.col("old")).alias("log_ratio")))
 
 
 @query(f"""WITH {PANEL}, g AS (SELECT asset, d AS dn FROM (SELECT DISTINCT asset FROM panel), (SELECT DISTINCT dn AS d FROM panel)),
@@ -176,18 +176,18 @@ def realized_volatility(spark, sf_dir):
     return rounded(out.select("asset", F.col("dn").alias("day"), "vol"))
 
 
-@query(f"""WITH {PANEL} SELECT asset, dn AS day, round(CASE WHEN dn - lag(dn, 5) OVER ({W}) = 5 THEN close / max(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - 1 END, 6) AS dfh,
+@query(f"""WITH {PANEL} SELECT asset, dn AS day, round(CASE WHEN dn - lag(dn, 5) OVER ({W}) = 5 AND max(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) > 0 THEN close / max(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - 1 END, 6) AS dfh,
 round(CASE WHEN dn - lag(dn, 4) OVER ({W}) = 4 THEN avg(close) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS sma FROM panel""")
 def high_distance_and_average(spark, sf_dir):
     return rounded(panel(spark, sf_dir).select("asset", F.col("dn").alias("day"), windows.distance_from_high("asset", "day", "close", 5).alias("dfh"), windows.moving_average("asset", "day", "close", 5).alias("sma")))
 
 
-@query(f"""WITH {PANEL} SELECT asset, dn AS day, round(CASE WHEN dn - lag(dn, 5) OVER ({W}) = 5 THEN close / lag(close, 5) OVER ({W}) - 1 END, 6) AS momentum,
-round(CASE WHEN lead(dn) OVER ({W}) - dn = 1 THEN lead(close) OVER ({W}) / close - 1 END, 6) AS fwd1, round(CASE WHEN lead(dn, 5) OVER ({W}) - dn = 5 THEN lead(close, 5) OVER ({W}) / close - 1 END, 6) AS fwd5 FROM panel""")
+@query(f"""WITH {PANEL} SELECT asset, dn AS day, round(CASE WHEN dn - lag(dn, 5) OVER ({W}) = 5 AND lag(close, 5) OVER ({W}) > 0 THEN close / lag(close, 5) OVER ({W}) - 1 END, 6) AS momentum,
+round(CASE WHEN lead(dn) OVER ({W}) - dn = 1 AND close > 0 THEN lead(close) OVER ({W}) / close - 1 END, 6) AS fwd1, round(CASE WHEN lead(dn, 5) OVER ({W}) - dn = 5 AND close > 0 THEN lead(close, 5) OVER ({W}) / close - 1 END, 6) AS fwd5 FROM panel""")
 def momentum_and_labels(spark, sf_dir):
     p = panel(spark, sf_dir)
     c = F.col("close")
-    return rounded(p.select("asset", F.col("dn").alias("day"), (c / windows.contiguous_lag("asset", "day", "close", 5) - 1).alias("momentum"), (windows.contiguous_lead("asset", "day", "close", 1) / c - 1).alias("fwd1"), (windows.contiguous_lead("asset", "day", "close", 5) / c - 1).alias("fwd5")))
+    return rounded(p.select("asset", F.col("dn").alias("day"), windows.relative(c, windows.contiguous_lag("asset", "day", "close", 5)).alias("momentum"), windows.relative(windows.contiguous_lead("asset", "day", "close", 1), c).alias("fwd1"), windows.relative(windows.contiguous_lead("asset", "day", "close", 5), c).alias("fwd5")))
 
 
 @query(f"""WITH {PANEL}, h AS (SELECT *, list_sort(list(fund) FILTER (fund IS NOT NULL) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) AS h FROM panel)
@@ -218,7 +218,7 @@ def streaks_and_recent_flags(spark, sf_dir):
     return out.select("asset", F.col("dn").alias("day"), "streak", windows.recent_flag("asset", "dn", "hit", 3).alias("recent"))
 
 
-@query(f"""WITH {PANEL} SELECT asset, dn AS day, round(min(close) OVER f / close - 1, 6) AS mae, round(max(close) OVER f / close - 1, 6) AS mfe FROM panel WINDOW f AS (PARTITION BY asset ORDER BY dn RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING)""")
+@query(f"""WITH {PANEL} SELECT asset, dn AS day, round(CASE WHEN close > 0 THEN min(close) OVER f / close - 1 END, 6) AS mae, round(CASE WHEN close > 0 THEN max(close) OVER f / close - 1 END, 6) AS mfe FROM panel WINDOW f AS (PARTITION BY asset ORDER BY dn RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING)""")
 def forward_extremes(spark, sf_dir):
     low, high = windows.forward_extremes("asset", "dn", "close", 5)
     return rounded(panel(spark, sf_dir).select("asset", F.col("dn").alias("day"), low.alias("mae"), high.alias("mfe")))
@@ -294,7 +294,7 @@ def first_seen_age(spark, sf_dir):
 @query(f"""WITH {PANEL}, e AS (SELECT a.asset, a.dn, a.close, list_sort(list(b.close)) AS h FROM panel a JOIN panel b ON a.asset = b.asset AND b.dn < a.dn GROUP BY 1, 2, 3)
 SELECT p.asset, p.dn AS day, CASE WHEN len(h) >= 5 THEN p.close > list_aggregate(h, 'quantile_cont', 0.8) END AS above FROM panel p LEFT JOIN e USING (asset, dn)""")
 def expanding_quantile_mask(spark, sf_dir):
-    out = windows.expanding_quantile_flag(panel(spark, sf_dir), "dn", "close", 0.8, 5, "above", "asset")
+    out = windows.expanding_quantile_flag(panel(spark, sf_dir).select("asset", "dn", "close"), "asset", "dn", "close", 0.8, 5, "above")
     return out.select("asset", F.col("dn").alias("day"), "above")
 
 
@@ -331,12 +331,12 @@ def purge_and_embargo(spark, sf_dir):
     return out.filter(F.col("dn") + 3 < F.col("fold_end")).select("asset", F.col("dn").alias("day"), "fold")
 
 
-@query(f"""WITH {PANEL}, r AS (SELECT asset, dn, CASE WHEN lead(dn) OVER ({W}) - dn = 1 THEN lead(close) OVER ({W}) / close - 1 END AS fwd, fund IS NOT NULL AS hit FROM panel), g AS (
+@query(f"""WITH {PANEL}, r AS (SELECT asset, dn, CASE WHEN lead(dn) OVER ({W}) - dn = 1 AND close > 0 THEN lead(close) OVER ({W}) / close - 1 END AS fwd, fund IS NOT NULL AS hit FROM panel), g AS (
   SELECT dn, count(fwd) FILTER (hit) AS n1, count(fwd) FILTER (NOT hit) AS n0, avg(fwd) FILTER (hit) AS m1, avg(fwd) FILTER (NOT hit) AS m0, var_samp(fwd) FILTER (hit) AS v1, var_samp(fwd) FILTER (NOT hit) AS v0 FROM r GROUP BY dn)
 SELECT dn AS day, n1, n0, round(m1 - m0, 6) AS diff, round(CASE WHEN n1 >= 2 AND n0 >= 2 AND sqrt(v1 / n1 + v0 / n0) > 0 THEN (m1 - m0) / sqrt(v1 / n1 + v0 / n0) END, 6) AS t,
   round(CASE WHEN n1 >= 2 AND n0 >= 2 AND sqrt(v1 / n1 + v0 / n0) > 0 THEN pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) END, 4) AS df FROM g""")
 def welch_by_day(spark, sf_dir):
-    p = panel(spark, sf_dir).withColumn("fwd", windows.contiguous_lead("asset", "day", "close", 1) / F.col("close") - 1).withColumn("hit", F.col("fund").isNotNull())
+    p = panel(spark, sf_dir).withColumn("fwd", windows.relative(windows.contiguous_lead("asset", "day", "close", 1), F.col("close"))).withColumn("hit", F.col("fund").isNotNull())
     out = stats.welch(p, ["dn"], "hit", "fwd").select(F.col("dn").alias("day"), "n1", "n0", "diff", "t", F.round("df", 4).alias("df"))
     return rounded(out)
 
@@ -419,10 +419,10 @@ def three_valued_gates(spark, sf_dir):
     return p.select("asset", F.col("dn").alias("day"), books.both_known(a, c, a & c).alias("both"), books.both_known(a, c, c & ~a).alias("without"))
 
 
-@query(f"""WITH {PANEL}, f AS (SELECT dn, ln(close) AS y, ln(qv) AS x1, CAST(n AS DOUBLE) AS x2 FROM panel)
+@query(f"""WITH {PANEL}, f AS (SELECT dn, ln(close) AS y, ln(qv) AS x1, CAST(n AS DOUBLE) AS x2 FROM panel WHERE close > 0 AND qv > 0)
 SELECT dn AS day, count(*) AS n, round(sum(x1), 4) AS sx1, round(sum(x1 * x2), 4) AS sx12, round(sum(x1 * y), 4) AS sx1y, round(sum(y * y), 4) AS syy FROM f GROUP BY dn""")
 def ridge_grams_by_day(spark, sf_dir):
     """The normal equations of a daily walk-forward ridge, one aggregate for all days."""
-    p = panel(spark, sf_dir).withColumns({"x1": F.ln("qv"), "x2": F.col("n").cast("double"), "y": F.ln("close")})
+    p = panel(spark, sf_dir).filter("close > 0 and qv > 0").withColumns({"x1": F.ln("qv"), "x2": F.col("n").cast("double"), "y": F.ln("close")})
     g = stats.ridge_grams(p, ["dn"], ["x1", "x2"], "y")
     return g.select(F.col("dn").alias("day"), F.col("g_0_0").cast("long").alias("n"), *[F.round(a, 4).alias(b) for a, b in (("g_0_1", "sx1"), ("g_1_2", "sx12"), ("g_1_3", "sx1y"), ("g_3_3", "syy"))])
