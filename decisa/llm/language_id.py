@@ -21,6 +21,8 @@ from decisa.session import short_batches
 
 #: Labelled rows that a language is fitted on at most: those whose hashed ids are smallest.
 SAMPLE_ROWS = 1500
+#: Languages that are learnt at most, the most frequent ones.
+LANGUAGES = 200
 #: Words kept for all languages together, the most frequent ones; rarer words are read by n-grams.
 WORDS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -31,19 +33,28 @@ BACKOFF = 0.4
 LETTER = r"\p{L}"
 
 
-def _grams(b: Block, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-byte grams inside the given words, in order."""
-    room = np.maximum(ends - starts - n + 1, 0)
-    word = np.repeat(np.arange(len(starts)), room)
-    at = starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(room) - room, room)
-    return b.hashes(at, at + n) + U64(n)
+class _Counts:
+    """Counts of keys by language, one block of text after another."""
 
+    def __init__(self, languages: int):
+        self.k, self.cells = languages, []
+        self.parts: list[np.ndarray] = [np.zeros(0, U64)]
 
-def _table(keys: list[np.ndarray], langs: list[np.ndarray], k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, log frequencies by language) of the `most` frequent keys."""
-    key, lang = np.concatenate(keys) if keys else np.zeros(0, U64), np.concatenate(langs) if langs else np.zeros(0, int)
-    known, at = np.unique(key, return_inverse=True)
-    counts = np.bincount(at * k + lang, minlength=len(known) * k).reshape(len(known), k).astype(float)
+    def add(self, keys: np.ndarray, langs: np.ndarray) -> None:
+        known, at = np.unique(keys, return_inverse=True)
+        self.parts.append(known)
+        self.cells.append(np.bincount(at * self.k + langs, minlength=len(known) * self.k).reshape(len(known), self.k))
+
+    def table(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted keys, log frequencies by language) of the `most` frequent keys."""
+        known, at = np.unique(np.concatenate(self.parts), return_inverse=True)
+        counts = np.zeros((len(known), self.k))
+        if len(known):
+            np.add.at(counts, at, np.concatenate(self.cells))
+        return _log_table(known, counts, most)
+
+
+def _log_table(known: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     total = counts.sum(axis=0)
     keep = np.sort(np.argsort(-counts.sum(axis=1), kind="stable")[:most])
     return known[keep], np.log((counts[keep] + SMOOTH) / (total + SMOOTH * max(1, len(known)))).astype(np.float32)
@@ -51,21 +62,21 @@ def _table(keys: list[np.ndarray], langs: list[np.ndarray], k: int, most: int) -
 
 def train(texts: list[bytes], langs: list[str]) -> dict:
     names = sorted(set(langs))
-    code = np.array([names.index(x) for x in langs])
-    words, of_words, counted = [], [], np.zeros(0, U64)
-    grams: dict[int, tuple[list, list]] = {n: ([], []) for n in ORDERS}
+    code, k = np.array([names.index(x) for x in langs], int), max(1, len(names))
+    words, grams, counted = _Counts(k), {n: _Counts(k) for n in ORDERS}, np.zeros(0, U64)
     for b, owner in blocks(texts, lower=True):
-        lang = np.repeat(code[owner], b.counts)
-        words.append(b.words())
-        of_words.append(lang)
-        pairs, first = np.unique(mix(words[-1] + lang.astype(U64)), return_index=True)
+        lang, hashes = np.repeat(code[owner], b.counts), b.words()
+        words.add(hashes, lang)
+        pairs, first = np.unique(mix(hashes + lang.astype(U64)), return_index=True)
         first = first[~np.isin(pairs, counted, assume_unique=True)]  # n-grams count once for each word of a language
         counted = np.union1d(counted, pairs)
+        chars, number = b.characters()
+        at, stop = number[b.starts[first]], number[b.ends[first]]
         for n in ORDERS:
-            grams[n][0].append(_grams(b, b.starts[first], b.ends[first], n))
-            grams[n][1].append(np.repeat(lang[first], np.maximum(b.ends[first] - b.starts[first] - n + 1, 0)))
-    k = max(1, len(names))
-    return {"names": names, "words": _table(words, of_words, k, WORDS), **{str(n): _table(*grams[n], k, GRAMS) for n in ORDERS}}
+            room = np.maximum(stop - at - n + 1, 0)
+            place = np.repeat(at, room) + np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room)
+            grams[n].add(b.hashes(chars[place], chars[place + n]) + U64(n), np.repeat(lang[first], room))
+    return {"names": names, "words": words.table(WORDS), **{str(n): grams[n].table(GRAMS) for n in ORDERS}}
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -79,24 +90,22 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 
 def _unseen(model: dict, b: Block, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    """Scores of unseen words by language: the mean over places of the longest known n-gram, shorter ones discounted."""
-    size = ends - starts
+    """Scores of unseen words by language: the mean over characters of the longest known n-gram that starts there,
+    shorter ones discounted; a character that training never saw says nothing."""
+    chars, number = b.characters()
+    first, last = number[starts], number[ends]
+    size = last - first
     total, offset = int(size.sum()), np.cumsum(size) - size
     word = np.repeat(np.arange(len(starts)), size)
+    at = first[word] + np.arange(total) - offset[word]
     out, open_ = np.zeros((total, k), np.float32), np.ones(total, bool)
     for depth, n in enumerate(ORDERS):
-        place = np.flatnonzero(open_)
-        at = starts[word[place]] + place - offset[word[place]]
-        fits = at + n <= ends[word[place]]
-        place, at = place[fits], at[fits]
-        row = _find(model[str(n)], b.hashes(at, at + n) + U64(n))
+        place = np.flatnonzero(open_ & (at + n <= last[word]))
+        row = _find(model[str(n)], b.hashes(chars[at[place]], chars[at[place] + n]) + U64(n))
         hit = row >= 0
         out[place[hit]] = model[str(n)][1][row[hit]] + depth * np.log(BACKOFF)
         open_[place[hit]] = False
-    out[open_] = 0
-    sums = np.zeros((len(starts), k))
-    if total:
-        sums = np.add.reduceat(out, offset, axis=0)
+    sums = np.add.reduceat(out, offset, axis=0) if total else np.zeros((len(starts), k))
     return sums / np.maximum(size, 1)[:, None]
 
 
@@ -104,7 +113,8 @@ def predictor(model: dict):
     names, k = model["names"], len(model["names"])
 
     def predict(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the best language, its probability) of each text."""
+        """(index of the best language, its probability) of each text. Log likelihoods are summed over words and
+        tempered by the root of their number, as neighbouring words are no independent witnesses."""
         total, n = np.zeros((len(texts), k)), np.zeros(len(texts))
         for b, owner in blocks(texts, lower=True):
             if not len(b.starts):
@@ -119,6 +129,7 @@ def predictor(model: dict):
             for c in range(k):
                 total[:, c] += np.bincount(text, scores[back, c], len(texts))
             n += np.bincount(text, minlength=len(texts))
+        total /= np.sqrt(np.maximum(n, 1))[:, None]
         z = total - total.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
@@ -130,11 +141,18 @@ def predictor(model: dict):
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Count on at most `rows` rows of each language of labelled (key, text, lang), in one task; the model is a few MB.
-    A repeated key is one row; rows with a null key, text or lang teach nothing."""
+
+    They are the rows with the smallest hashed keys. A language's hashes below rows / its number of keys (and a tenth
+    for chance) are cut off first, so no task sorts a whole language. A key with several texts in a language gives its
+    smallest; rows with a null key, text or lang teach nothing; an empty table gives a model without languages."""
+    fine = labelled.filter("key is not null and lang is not null and text is not null")
+    unit = (F.shiftrightunsigned(F.xxhash64("key"), 11)).cast("double") / float(1 << 53)
+    langs = fine.groupBy("lang").agg((F.lit(1.1 * rows + 100) / F.approx_count_distinct("key", 0.02)).alias("share"))
+    langs = F.broadcast(langs.orderBy(F.asc("share"), "lang").limit(LANGUAGES))
+    low = fine.select("key", "lang").join(langs, "lang").filter(unit <= F.col("share")).select("key", "lang").distinct()
     least = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    ids = labelled.filter("key is not null and lang is not null").select("key", "lang").distinct()
-    ids = ids.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= rows).drop("k")  # a few thousand ids
-    sample = labelled.filter("text is not null").join(F.broadcast(ids), ["key", "lang"], "leftsemi").dropDuplicates(["key", "lang"])
+    ids = low.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= rows).drop("k")  # at most `rows` a language
+    sample = fine.join(F.broadcast(ids), ["key", "lang"], "leftsemi").groupBy("key", "lang").agg(F.min("text").alias("text"))
 
     def run(batches):
         tables = [pa.Table.from_batches([b]) for b in batches]
@@ -142,7 +160,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
         model = train(table.column("text").to_pylist(), table.column("lang").to_pylist()) if table else train([], [])
         yield pa.RecordBatch.from_pylist([{"model": pickle.dumps(model)}], schema=pa.schema([("model", pa.binary())]))
 
-    got = sample.select("key", F.col("text").cast("binary").alias("text"), "lang").repartition(1).mapInArrow(tidy(run), "model binary").first()
+    got = sample.select("key", F.lower("text").cast("binary").alias("text"), "lang").repartition(1).mapInArrow(tidy(run), "model binary").first()
     return pickle.loads(got["model"]) if got else train([], [])
 
 
@@ -164,7 +182,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from tidy(run)(batches)
 
-    docs = docs.drop("lang_pred", "score").withColumn("_got", of(F.col("text").cast("binary")))
+    docs = docs.drop("lang_pred", "score").withColumn("_got", of(F.lower("text").cast("binary")))
     return docs.withColumns({
         "lang_pred": F.when(has_letter, F.col("_got.lang_pred")).otherwise("und"),
         "score": F.when(has_letter, F.col("_got.score")).otherwise(1.0),

@@ -114,11 +114,11 @@ def constant(good: bool) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Train on the texts of a bounded sample of labels (key, label), in one task; the model is about 2 MB.
 
-    docs: (key, text). A key with several texts gives one; null keys, texts and labels teach nothing. With one class
+    docs: (key, text). A key with several texts gives its smallest; null keys, texts and labels teach nothing. With one class
     or no label at all, the model always gives that class, or 1.
     """
     ids = labels.filter("key is not null and label in (0, 1)").orderBy(F.xxhash64("key"), "key").limit(rows)
-    sample = docs.filter("text is not null").join(F.broadcast(ids), "key").dropDuplicates(["key"]).repartition(1)
+    sample = docs.filter("text is not null").join(F.broadcast(ids), "key").groupBy("key", "label").agg(F.min("text").alias("text")).repartition(1)
 
     def run(batches):
         tables = [pa.Table.from_batches([b]) for b in batches]

@@ -120,6 +120,11 @@ class Block:
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
 
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The byte at which each UTF-8 character starts, and the number of the character at each byte."""
+        first = (self.bytes & 0xC0) != 0x80
+        return np.flatnonzero(first), np.cumsum(first) - 1
+
 
 def blocks(texts: Iterable[bytes | None], lower: bool, block: int = BLOCK) -> Iterator[tuple[Block, list[int]]]:
     """Blocks over all texts in order, each with the index of the text that a piece comes from."""

@@ -1,11 +1,14 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from decisa.llm import language_id, quality
-from decisa.llm.words import Block, blocks
+from decisa.llm import words
+from decisa.llm.words import U64, Block, blocks
 
 VOICES = {"en": "th he in er an re on at", "fr": "eau oi que ai ou el ent", "de": "sch ein ung ich keit \u00fc"}
 
@@ -97,6 +100,77 @@ def test_grams_count_for_every_language_of_a_word_in_any_order(monkeypatch):
             again = language_id.train([texts[i] for i in order], [langs[i] for i in order])
             for n in map(str, language_id.ORDERS):
                 assert all(np.array_equal(x, y) for x, y in zip(model[n], again[n], strict=True))
-    whole = language_id._find(model["5"], language_id._grams(b := Block([b"shared"], True), b.starts, b.ends, 5))
+    b = Block([b"shared"], True)
+    at = np.arange(2)
+    whole = language_id._find(model["5"], b.hashes(at, at + 5) + U64(5))
     counts = np.exp(model["5"][1][whole])
     assert (whole >= 0).all() and (counts.min(axis=1) > 2 * np.exp(model["5"][1].min(axis=0)).max()).all()
+
+
+MASK = (1 << 64) - 1
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+    return x ^ (x >> 31)
+
+
+def plain_hash(data, lower=False):
+    """The hash of some bytes, a byte at a time."""
+    table = words._lowered if lower else words._codes
+    return plain_mix((sum(int(table[c]) * pow(words._BASE, i, 1 << 64) for i, c in enumerate(data)) + len(data)) & MASK)
+
+
+EDGE_TEXTS = ["", " ", "a", "\u4e2d\u6587\u6587\u4e2d\u6587", "\u00c9T\u00c9 \u00e9t\u00e9", "x" * 200, "he he he he", "spam! spam! spam!", "\t\n he \r\n th\x0b"]
+
+
+def test_quality_equals_plain_rescoring():
+    model = quality.train([t.encode() for _, _, _, t in rows(200)], np.array([q for _, _, q, _ in rows(200)]))
+    texts = EDGE_TEXTS + [t for _, _, _, t in rows(30)]
+    for text_, got in zip(texts, quality.scorer(model)([t.encode() for t in texts]), strict=True):
+        w = [x for x in re.split(SPACES, text_) if x]
+        h = [plain_hash(x.encode()) for x in w]
+        found = [x + 1 for x in h] + [a * 0x9E3779B97F4A7C15 + b + 2 for a, b in zip(h, h[1:])]
+        found += [plain_hash(x.encode()[i : i + n]) + 3 for x in w for n in quality.GRAMS for i in range(len(x.encode()) - n + 1)]
+        found += [k for k in range(1, quality.REPEATS + 1) for a, b in zip(h, h[k:]) if a == b]
+        bags = [plain_mix(f & MASK) & (quality.BUCKETS - 1) for f in found]
+        mean = sum((model["vectors"][f].astype(float) for f in bags), np.zeros(quality.DIM)) / max(1, len(bags))
+        z = mean @ model["layer"].astype(float) + model["bias"].astype(float)
+        assert got == pytest.approx(1 / (1 + math.exp(z[0] - z[1])), abs=1e-6)
+
+
+def test_language_equals_plain_rescoring(spark):
+    learn = [(i, t, x) for i, x, _, t in rows(200)] + [(900 + i, "\u4e2d\u6587 \u6587\u5b57 \u00c9t\u00e9 " * 3, "zh") for i in range(5)]
+    model = language_id.fit(spark.createDataFrame(learn, "key long, text string, lang string"))
+    tables = {n: dict(zip(model[n][0].tolist(), model[n][1].astype(float), strict=True)) for n in ("words", *map(str, language_id.ORDERS))}
+    texts = EDGE_TEXTS + ["\u4e2d\u6587\u6587\u5b57\u5b57", "unseen qqq", "\u00c9T\u00c9"] + [t for _, _, _, t in rows(30)]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        ws, total = [x for x in re.split(SPACES, texts[r["doc_id"]].lower()) if x], np.zeros(len(model["names"]))
+        for w in ws:
+            if (row := tables["words"].get(plain_hash(w.encode()))) is not None:
+                total += row
+                continue
+            for i in range(len(w)):
+                for depth, n in enumerate(language_id.ORDERS):
+                    row = tables[str(n)].get((plain_hash(w[i : i + n].encode()) + n) & MASK) if i + n <= len(w) else None
+                    if row is not None:
+                        total += (row + depth * math.log(language_id.BACKOFF)) / len(w)
+                        break
+        total /= math.sqrt(max(1, len(ws)))
+        p = np.exp(total - total.max())
+        if any(c.isalpha() for c in texts[r["doc_id"]]):
+            assert r["lang_pred"] == model["names"][int(p.argmax())] and r["score"] == pytest.approx(p.max() / p.sum(), abs=1e-4)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 1.0)
+
+
+def test_repeated_keys_teach_the_same_in_any_order(spark):
+    data = [(i % 40, t, x) for i, x, _, t in rows(160)]
+    models = [language_id.fit(spark.createDataFrame(random.Random(s).sample(data, len(data)), "key long, text string, lang string").repartition(s), rows=9) for s in (2, 5)]
+    assert all(np.array_equal(a, b) for n in ("words", "5", "1") for a, b in zip(models[0][n], models[1][n], strict=True))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "key long, label int")
+    scored = [quality.fit(spark.createDataFrame(random.Random(s).sample(data, len(data)), "key long, text string, lang string").repartition(s), labels) for s in (2, 5)]
+    assert all(np.array_equal(scored[0][n], scored[1][n]) for n in scored[0])
