@@ -23,7 +23,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "rank")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +172,18 @@ SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns, sha256(string_agg(role || chr
   CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id
 """,
-    "op2_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (
-  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p
+    "op2_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, replace(replace(coalesce(url, ''), chr(10), '%0A'), chr(13), '%0D') AS url FROM pages), h AS (
+  SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p
 ), d AS (
-  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST((CAST('0x' || substring(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM h
-), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url) AS k, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+), r AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to,
+    CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^(?s:.*?)://([^/?#:]*)', 1)), '.')), ',') || ')' || regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) ELSE url END AS url_key FROM f
+)
+SELECT *, row_number() OVER (ORDER BY url_key, coalesce(page_id, -1), payload_digest, record_type) AS rank FROM r
 """,
 }
