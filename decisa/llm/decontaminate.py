@@ -31,13 +31,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def with_codes(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the hashes of the text's lower-cased words, runs of bytes outside 0x20 and 0x09-0x0D; none for null.
-
-    The split is a column of its own, as several expressions use it and a lambda's arguments aren't shared."""
-    df = df.withColumn("_parts", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", -1))
-    first, last = F.element_at("_parts", 1) == "", (F.size("_parts") > 1) & (F.element_at("_parts", -1) == "")
-    start, drop = F.when(first, 2).otherwise(1), F.when(first, 1).otherwise(0) + F.when(last, 1).otherwise(0)
-    return df.withColumn(out, F.transform(F.slice("_parts", start, F.size("_parts") - drop), lambda w: F.xxhash64(w))).drop("_parts")
+    """df with the hashes of the text's lower-cased words, runs of bytes outside 0x20 and 0x09-0x0D; none for null."""
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", -1)
+    return df.withColumn(out, F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def seeds(table: DataFrame, codes: str, *keep: str, short: Iterable[int] = (), own: bool = False) -> DataFrame:
@@ -50,9 +46,10 @@ def seeds(table: DataFrame, codes: str, *keep: str, short: Iterable[int] = (), o
         for m in further_masks(n):
             of_length.setdefault(m, []).append(n)
     sized = [F.size(codes).alias("n")] if own else []
-    starts = F.sequence(F.lit(0), F.size(codes) - 1, F.lit(PIECE))
-    pieces = F.transform(starts, lambda at: F.struct(at.alias("base"), F.slice(codes, at + 1, F.lit(PIECE + span - 1)).alias("part")))
-    cut = table.filter(F.size(codes) > 0).select(*keep, *sized, F.inline(pieces))
+    starts = lambda c: F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)), F.lit(PIECE))
+    cut_up = lambda c: F.transform(starts(c), lambda at: F.struct(at.alias("base"), F.slice(c, at + 1, F.lit(PIECE + span - 1)).alias("part")))
+    # as a lambda's argument, the sequence is computed once however often it is used
+    cut = table.select(*keep, *sized, F.inline(F.flatten(F.transform(F.array(codes), cut_up))))
     shifted = cut.select(*keep, *[F.col("n") for _ in sized], "base", F.inline(F.arrays_zip(*[F.slice("part", F.lit(k + 1), F.greatest(F.size("part") - k, F.lit(0))) for k in range(span)], F.sequence(F.lit(0), F.size("part") - 1))))
     shifted = shifted.toDF(*keep, *["n" for _ in sized], "base", *[f"w{k}" for k in range(span)], "at").filter(F.col("w0").isNotNull() & (F.col("at") < PIECE))
     masks = [(m, F.xxhash64(F.lit(i), *_under(m)), F.lit(True)) for i, m in enumerate(MASKS)]
