@@ -22,9 +22,7 @@ BROADCAST_SOURCES = 100_000
 
 def word_count(text: Column) -> Column:
     """The number of runs of bytes outside 0x20 and 0x09-0x0D; 0 for null."""
-    parts = F.split(text, r"[\x20\x09-\x0D]+", -1)
-    edge = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.when(text.isNull(), 0).otherwise(F.size(parts) - edge).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
