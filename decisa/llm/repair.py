@@ -7,8 +7,8 @@ from left to right without overlaps. A rule never crosses a document's end, so a
 its range of symbols; each rule's expansion length is stored, so its place in the output is known without expanding.
 
 A shard is one row: part, shard (order of the file), docs, tokens, doc_ids (int64; missing ones are flagged in
-doc_null), doc_symbols and doc_tokens (uint32 for each document), rules (pairs of uint32; rule k is symbol BASE + k),
-lengths (uint32 for each rule) and symbols (uint32, or uint16 where all fit), all little-endian.
+doc_null), doc_symbols and doc_tokens (uint32 for each document), base, rules (pairs of uint32; rule k is symbol
+base + k), lengths (uint32 for each rule), all little-endian, and symbols, packed in `width` bits each.
 """
 
 from __future__ import annotations
@@ -21,28 +21,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.llm.words import CACHES, groups, tidy
+from decisa.llm.words import CACHES, U64, Block, blocks, groups, tidy
 from decisa.session import fresh_path, own_batches
 
-#: Nonterminals start here; vocabularies are smaller.
-BASE = 1 << 17
 SHARD_TOKENS = 1 << 20
-PAIRS_A_ROUND = 512
-LEAST = 64
-#: Distinct pieces that a worker remembers, about 200 bytes each.
-CACHE = 600_000
+PAIRS_A_ROUND = 2048
+#: A rule takes 12 bytes, its two symbols and its length, and each use of it saves a symbol of about two: with fewer
+#: places a pair doesn't pay for its rule.
+LEAST = 8
+#: Distinct pieces that a worker remembers, about 40 bytes each, and how many of them are new since the last merge.
+CACHE, RECENT = 1_000_000, 60_000
+#: What may follow a word as a split of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Where a piece stands: at a text's start, after a space, after a line end, or marks after a word. A hash plus its kind
+#: is a piece's key.
+FIRST, SPACED, LINE, TAIL = 0, 1, 2, 3
 HASH_BITS = 18
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
-SHARD = "part int, shard int, docs int, tokens long, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary, rules binary, lengths binary, symbols binary"
+SHARD = "part int, shard int, docs int, tokens long, base int, width int, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary, rules binary, lengths binary, symbols binary"
 
 
 class Encoder:
     """Token ids of whole texts by a tokenizers file of byte-level BPE.
 
     Such a tokenizer splits a text before it merges: where no two white-space characters meet, a single space begins
-    a split and a line end is one by itself. So texts are cut there, each distinct piece is encoded once, and a text
-    is the sum of its pieces. A text in which white space meets, or is of another kind, goes to the tokenizer whole.
-    Special tokens' strings are ordinary text.
+    a split and a line end is one by itself; punctuation after a word is a split too. So texts are cut there with numpy,
+    each distinct piece is encoded once by the library and found again by its 64-bit hash, and a text is the sum of its
+    pieces. A text in which white space meets, or is of another kind, goes to the tokenizer whole. Special tokens'
+    strings are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -53,61 +62,175 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if isinstance(self.tokenizer.post_processor, processors.ByteLevel):  # it only trims offsets, which aren't used
             self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-        self.spaced: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
         self.line = self.whole("\n")
-        self.line_id = int.from_bytes(self.line, "little")
-        self.splits = len(self.line) == 4 and self.whole("a\n b") == self.whole("a") + self.line + self.whole(" b")
-        self.marks = {x: self.whole(x) for x in ".,;:!?" if self.splits and self.whole("a" + x) == self.whole("a") + self.whole(x)}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes | None], want: set[str], prefix: str) -> None:
-        new = [x for x in want if x not in known]
-        if len(known) + len(new) > CACHE:  # what comes up again stays, the rare rest goes
-            again = {x: known[x] for x in want if x in known}
-            known.clear()
-            known.update(again)
-        joined = "\n".join(new)
-        odd: set[str] = set()
-        if len("".join(joined.split())) != len(joined) - len(new) + 1 or "" in new:  # white space other than the joints
-            odd = {x for x in new if not x or any(c.isspace() for c in x)}
-            known.update(dict.fromkeys(odd))
-        marked, fine, marks = [], set(), self.marks
-        for x in new:
-            if x[-1:] in marks and (stem := x[:-1]).isalpha():
-                marked.append(x)
-                if stem not in known:
-                    fine.add(stem)
-            else:
-                fine.add(x)
-        fine = list(fine - odd)
-        for a in range(0, len(fine), 8192):  # line ends keep the pieces of one text apart
-            texts = ["\n".join([prefix + x for x in fine[k : k + 256]]) for k in range(a, min(a + 8192, len(fine)), 256)]
-            for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known.update(zip(fine[a + 256 * k : a + 256 * k + 256], _cut(np.asarray(e.ids, "<u4"), self.line_id), strict=True))
-        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in marked])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return [self.whole(t) for t in texts]
-        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        spaced, first = set(), set()
-        for lines in cut:
-            for line in lines:
-                first.add(line[0])
-                spaced.update(line[1:])
-        self._learn(self.spaced, spaced, " ")
-        self._learn(self.first, first, "")
-        get, begin = self.spaced.__getitem__, self.first.__getitem__
-        out = []
-        for text, lines in zip(texts, cut, strict=True):
-            try:
-                out.append(self.line.join([begin(line[0]) + b"".join(map(get, line[1:])) for line in lines]))
-            except TypeError:  # a piece that can't stand alone
-                out.append(self.whole(text))
-        return out
+        joins = [("\n", "b c"), ("a", "\n"), ("a", " b"), ("a", "\nb c"), ("a.", " b"), ("a.", "\nb c")]
+        self.splits = len(self.line) == 1 and all(self._sum(x, y) for x, y in joins)
+        self.marks = all(self._sum(x, y) for x in ("a", " a") for y in [*MARKS, "...", "!!?", "***", '".', "),", "--"])
+        # rows of known pieces by hash: in a large table, and in a small one of the latest
+        self.old, self.new = _Pieces(), _Pieces()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _sum(self, head: str, tail: str) -> bool:
+        """Whether a text's ids are those of its two parts."""
+        return np.array_equal(self.whole(head + tail), np.concatenate([self.whole(head), self.whole(tail)]))
+
+    def _make_room(self) -> None:
+        if len(self.old.keys) > CACHE:  # what came up again stays, the rare rest goes
+            self.old = self.old.part(self.old.used)
+            if len(self.old.keys) > CACHE // 2:
+                self.old = _Pieces()
+
+    def _keep(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        if len(self.new.keys) + len(keys) > RECENT:
+            self.old, self.new = self.old.with_(self.new), _Pieces()
+        self.new = self.new.with_(_Pieces(keys, ids))
+
+    def _learn(self, b: Block, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, keys: np.ndarray) -> None:
+        """Encode pieces that aren't known, many at once; line ends keep them apart."""
+        data, line = b.bytes.tobytes(), self.line.astype("<u4").tobytes()
+        for kind in (FIRST, SPACED, LINE, TAIL):
+            at = np.flatnonzero(kinds == kind)
+            prefix = " " if kind == SPACED else ""
+            pieces = [prefix + data[x:y].decode(errors="replace") for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            found: list[bytes] = []
+            for k in range(0, len(pieces), 8192):
+                texts = ["\n".join(pieces[j : min(j + 256, k + 8192)]) for j in range(k, min(k + 8192, len(pieces)), 256)]
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                    found += _cut(np.asarray(e.ids, "<u4"), int(self.line[0]))
+            if len(at):
+                self._keep(keys[at], [line + x for x in found] if kind == LINE else found)
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        return (self.old.find(keys) >= 0) | (self.new.find(keys) >= 0)
+
+    def _ids(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces one after another, and each one's number of ids."""
+        a, b = self.old.find(keys), self.new.find(keys)
+        self.old.used[a[a >= 0]] = True
+        size = np.where(a >= 0, self.old.size_of(a), self.new.size_of(b))
+        start = np.where(a >= 0, self.old.start_of(a), self.new.start_of(b) + len(self.old.flat))
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        at, split = np.repeat(start, size) + inner, len(self.old.flat)
+        out = np.empty(len(at), np.uint32)
+        late = at >= split
+        out[~late], out[late] = self.old.flat[at[~late]], self.new.flat[at[late] - split]
+        return out, size
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        odd = np.full(len(texts), not self.splits)
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        for b, owner in blocks(texts if self.splits else [], lower=False):
+            self._make_room()
+            own = np.asarray(owner)
+            leads = np.concatenate(([True], own[1:] != own[:-1])) & np.array([not parts[i] for i in owner])
+            odd[own[_odd_pieces(b, leads)]] = True
+            counts = np.where(odd[own], 0, b.counts)
+            plain = np.repeat(~odd[own], b.counts)
+            starts, ends, piece = b.starts[plain], b.ends[plain], np.repeat(np.arange(len(own)), counts)
+            before = b.bytes[np.maximum(starts - 1, 0)]
+            kinds = np.where(leads[piece] & (starts == b.offsets[piece]), FIRST, np.where(before == 0x20, SPACED, LINE))
+            if self.marks:
+                starts, ends, kinds, of = _split_marks(b, starts, ends, kinds)
+                counts = np.bincount(piece[of], minlength=len(own))
+            keys = b.hashes(starts, ends) + kinds.astype(U64)
+            some, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            new = np.flatnonzero(~self._known(some))
+            if len(new):
+                self._learn(b, starts[first[new]], ends[first[new]], kinds[first[new]], some[new])
+            flat, size = self._ids(some)
+            start, each = (np.cumsum(size) - size)[back], size[back]
+            ids = flat[np.repeat(start, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)]
+            stops = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(counts)))]
+            for k, i in enumerate(owner):
+                parts[i].append(ids[stops[k] : stops[k + 1]])
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = [self.whole(texts[i].decode(errors="replace"))]
+        return [p[0] if len(p) == 1 else np.concatenate([*p, np.zeros(0, np.uint32)]) for p in parts]
+
+
+class _Pieces:
+    """Ids of pieces by hash: sorted keys, and each one's range of one flat array."""
+
+    def __init__(self, keys: np.ndarray | None = None, ids: list[bytes] | None = None):
+        order = np.argsort(keys) if ids else np.zeros(0, int)
+        self.keys = keys[order] if ids else np.zeros(0, U64)
+        ids = [ids[i] for i in order.tolist()] if ids else []
+        self.size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(ids), "<u4").astype(np.uint32)
+        self.used = np.zeros(len(self.keys), bool)
+
+    def _take(self, keys, start, size, flat, used, order) -> _Pieces:
+        self.keys, self.start, self.size, self.used, self.flat = keys[order], start[order], size[order], used[order], flat
+        return self
+
+    def with_(self, other: _Pieces) -> _Pieces:
+        keys = np.concatenate([self.keys, other.keys])
+        start, size = np.concatenate([self.start, other.start + len(self.flat)]), np.concatenate([self.size, other.size])
+        used = np.concatenate([self.used, np.ones(len(other.keys), bool)])
+        return _Pieces()._take(keys, start, size, np.concatenate([self.flat, other.flat]), used, np.argsort(keys, kind="stable"))
+
+    def part(self, keep: np.ndarray) -> _Pieces:
+        at = np.flatnonzero(keep)
+        size = self.size[at]
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat = self.flat[np.repeat(self.start[at], size) + inner]
+        return _Pieces()._take(self.keys[at], np.cumsum(size) - size, size, flat, np.zeros(len(at), bool), np.arange(len(at)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def size_of(self, rows: np.ndarray) -> np.ndarray:
+        return self.size[rows] if len(self.size) else np.zeros(len(rows), np.int64)
+
+    def start_of(self, rows: np.ndarray) -> np.ndarray:
+        return self.start[rows] if len(self.size) else np.zeros(len(rows), np.int64)
+
+
+def _split_marks(b: Block, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words with the marks after their last letter as pieces of their own, and the word of each piece. A tokenizer
+    splits between a letter and a mark whatever stands around them."""
+    other = np.maximum.accumulate(np.where(_MARK[b.bytes], -1, np.arange(len(b.bytes))))
+    last = other[ends - 1] if len(ends) else ends
+    cut = (last >= starts) & (last < ends - 1) & _LETTER[b.bytes[np.maximum(last, 0)]]
+    of = np.repeat(np.arange(len(starts)), 1 + cut)
+    tail = np.zeros(len(of), bool)
+    tail[1:] = of[1:] == of[:-1]
+    head = np.append(tail[1:], False) if len(tail) else tail
+    return np.where(tail, last[of] + 1, starts[of]), np.where(head, last[of] + 1, ends[of]), np.where(tail, TAIL, kinds[of]), of
+
+
+def _odd_pieces(b: Block, leads: np.ndarray) -> np.ndarray:
+    """Which pieces have white space that meets or is neither a space nor a line end, or begin (where a text begins) or
+    end with it."""
+    x, joints = b.bytes, b.offsets[1:] - 1
+    gap = b.space
+    odd = np.zeros(len(joints), bool)
+    of = lambda at: np.searchsorted(b.offsets, at, "right") - 1
+    meets = np.flatnonzero(gap[:-1] & gap[1:])
+    joint = np.zeros(len(x), bool)
+    joint[joints] = True
+    odd[of(meets[~joint[meets]])] = True
+    begins = b.offsets[:-1][leads & (np.diff(b.offsets) > 1)]
+    odd[of(begins[gap[begins]])] = True
+    other = (gap & (x != 0x20) & (x != 0x0A)) | ((x >= 0x1C) & (x <= 0x1F))
+    odd[of(np.flatnonzero(other))] = True
+    wide = np.flatnonzero(np.isin(x, (0xC2, 0xE1, 0xE2, 0xE3)))
+    y, z = x[np.minimum(wide + 1, len(x) - 1)], x[np.minimum(wide + 2, len(x) - 1)]
+    lead = x[wide]
+    blank = (lead == 0xC2) & ((y == 0x85) | (y == 0xA0))
+    blank |= (lead == 0xE1) & (y == 0x9A) & (z == 0x80)
+    blank |= (lead == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+    blank |= (lead == 0xE3) & (y == 0x80) & (z == 0x80)
+    odd[of(wide[blank])] = True
+    return odd
 
 
 def _cut(ids: np.ndarray, at: int) -> list[bytes]:
@@ -116,6 +239,22 @@ def _cut(ids: np.ndarray, at: int) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *[s + 4 for s in stops]], [*stops, len(data)], strict=True)]
 
 
+def pack(symbols: np.ndarray, width: int) -> bytes:
+    """Symbols of `width` bits each, one after another, lowest bit first."""
+    bits = np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+
+
+def unpack(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
+    """Symbols start to stop of packed ones; only their own bytes are read."""
+    low, high = start * width // 8, -(-stop * width // 8)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, high - low, low), bitorder="little")
+    bits = bits[start * width - 8 * low :][: (stop - start) * width].reshape(-1, width)
+    wide = np.zeros((stop - start, 32), np.uint8)
+    wide[:, :width] = bits
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
+
+
 def _places(symbols: np.ndarray, stop: np.ndarray, floor: int, spot: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of pairs from buckets of `floor` or more, and the pairs; none over a document's end. In a run of one
     symbol, every other place counts, from its left."""
@@ -157,14 +296,13 @@ def _frequent(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.sort(np.array(chosen, np.uint64)), at, key
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rules, expansion lengths) of ids, whose documents end before `ends`; after
-    `rounds` rounds, or when no pair is left to replace."""
-    symbols, rules, done = ids.astype(np.uint32), [], 0
+def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, rules, expansion lengths) of ids below base, whose documents end before
+    `ends`. Rule k is symbol base + k. It ends when no pair is left to replace."""
+    symbols, rules = ids.astype(np.uint32), []
     stop = np.zeros(len(symbols), bool)
     stop[ends - 1] = True
-    while len(symbols) > 1 and done != rounds:
-        done += 1
+    while len(symbols) > 1:
         chosen, places, key = _frequent(symbols, stop)
         if not len(chosen):
             break
@@ -172,7 +310,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None) -> tu
         at[at == len(chosen)] = 0
         found = chosen[at] == key
         hit = places[found]
-        symbols[hit] = BASE + len(rules) + at[found]
+        symbols[hit] = base + len(rules) + at[found]
         stop[hit] = stop[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
@@ -181,19 +319,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None) -> tu
     of_doc = np.diff(np.concatenate(([-1], np.flatnonzero(stop))))
     lengths: list[int] = []
     for x, y in rules:
-        lengths.append(sum(1 if s < BASE else lengths[s - BASE] for s in (x, y)))
+        lengths.append(sum(1 if s < base else lengths[s - base] for s in (x, y)))
     return symbols, of_doc.astype("<u4"), np.array(rules, "<u4").reshape(-1, 2), np.array(lengths, "<u4")
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids of a range of symbols."""
     flat: list[np.ndarray] = []
     for x, y in rules.tolist():
-        flat.append(np.concatenate([flat[s - BASE] if s >= BASE else np.array([s], np.uint32) for s in (x, y)]))
+        flat.append(np.concatenate([flat[s - base] if s >= base else np.array([s], np.uint32) for s in (x, y)]))
     table = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
     starts = np.cumsum(lengths.astype(np.int64)) - lengths
-    rule = symbols >= BASE
-    which = np.where(rule, symbols.astype(np.int64) - BASE, 0)
+    rule = symbols >= base
+    which = np.where(rule, symbols.astype(np.int64) - base, 0)
     size = np.where(rule, lengths[which] if len(lengths) else 1, 1).astype(np.int64)
     begin = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.uint32)
@@ -205,25 +343,28 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-def _shard(part: int, shard: int, ids: list, texts: list[bytes]) -> dict:
-    sizes = np.array([len(t) // 4 + 1 for t in texts], "<u4")
-    end = np.zeros(1, "<u4").tobytes()
-    tokens = np.frombuffer(b"".join([x for t in texts for x in (t, end)]), "<u4")
-    symbols, of_doc, rules, lengths = compress(tokens, np.cumsum(sizes.astype(np.int64)))
+def _shard(part: int, shard: int, ids: list, texts: list[np.ndarray]) -> dict:
+    sizes = np.array([len(t) + 1 for t in texts], "<u4")
+    end = np.zeros(1, np.uint32)
+    tokens = np.concatenate([x for t in texts for x in (t, end)])
+    base = int(tokens.max()) + 1
+    symbols, of_doc, rules, lengths = compress(tokens, np.cumsum(sizes.astype(np.int64)), base)
+    width = max(1, (base + len(rules) - 1).bit_length())
     return {
-        "part": part, "shard": shard, "docs": len(ids), "tokens": len(tokens),
+        "part": part, "shard": shard, "docs": len(ids), "tokens": len(tokens), "base": base, "width": width,
         "doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "doc_null": np.array([x is None for x in ids], bool).tobytes(),
-        "doc_symbols": of_doc.tobytes(), "doc_tokens": sizes.tobytes(), "rules": rules.tobytes(), "lengths": lengths.tobytes(), "symbols": symbols.astype("<u4").tobytes(),
+        "doc_symbols": of_doc.tobytes(), "doc_tokens": sizes.tobytes(), "rules": rules.tobytes(), "lengths": lengths.tobytes(), "symbols": pack(symbols, width),
     }
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every whole text, append id 0 to each document and write the shards in ascending doc_id order.
 
-    docs: (doc_id, text). Null texts are empty; null doc_ids come first; rows of one doc_id are ordered by text. An
+    docs: (doc_id, text). Null texts are empty; null doc_ids come first; rows of one doc_id are ordered by
+    the hash of their text. An
     empty table writes no shard. The ids of one document are never split, so a shard may be as long as one text.
     """
-    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.int32()), ("tokens", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "doc_null", "doc_symbols", "doc_tokens", "rules", "lengths", "symbols")]])
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("docs", pa.int32()), ("tokens", pa.int64()), ("base", pa.int32()), ("width", pa.int32()), *[(c, pa.binary()) for c in ("doc_ids", "doc_null", "doc_symbols", "doc_tokens", "rules", "lengths", "symbols")]])
 
     def run(batches):
         from pyspark import TaskContext
@@ -235,15 +376,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
                 for i, t in zip(some[a:z], encode(whole[a:z]), strict=True):
                     ids.append(i)
                     texts.append(t)
-                    size += len(t) // 4 + 1
+                    size += len(t) + 1
                     if size >= shard_tokens:
                         yield pa.RecordBatch.from_pylist([_shard(part, shard, ids, texts)], schema)
                         shard, ids, texts, size = shard + 1, [], [], 0
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(part, shard, ids, texts)], schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     with own_batches(docs.sparkSession):
         ranged.mapInArrow(tidy(run, _encoders), SHARD).write.parquet(path)
 
@@ -259,12 +400,17 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _decode(shard: dict, start: int, stop: int) -> np.ndarray:
+    """The ids of a shard's symbols start to stop."""
+    symbols = unpack(shard["symbols"], shard["width"], start, stop)
+    return expand(symbols, np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), np.frombuffer(shard["lengths"], "<u4"), shard["base"])
+
+
 def decode_document(shard: dict, k: int) -> np.ndarray:
     """The ids of document k of a shard, from its own range of symbols alone."""
     of_doc = np.frombuffer(shard["doc_symbols"], "<u4").astype(np.int64)
     start = int(of_doc[:k].sum())
-    symbols = np.frombuffer(shard["symbols"], "<u4")[start : start + of_doc[k]]
-    return expand(symbols, np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), np.frombuffer(shard["lengths"], "<u4"))
+    return _decode(shard, start, start + int(of_doc[k]))
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -289,7 +435,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(len(b)):
                 s = b.slice(k, 1).to_pylist()[0]
-                ids = expand(np.frombuffer(s["symbols"], "<u4"), np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["lengths"], "<u4"))
+                ids = _decode(s, 0, int(np.frombuffer(s["doc_symbols"], "<u4").sum(dtype=np.int64)))
                 n = np.frombuffer(s["doc_tokens"], "<u4").astype(np.int64)
                 data, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(n)
                 crc = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -21,17 +22,31 @@ def whole(texts):
 
 def test_pieces_give_the_tokenizers_ids():
     rng = random.Random(1)
-    texts = TEXTS + ["".join(rng.choices("ab ,.\n\t\u00e9'1", k=rng.randrange(30))) for _ in range(400)]
+    texts = TEXTS + ["".join(rng.choices("ab ,.!*_\n\t\u00e9\u2014'1", k=rng.randrange(30))) for _ in range(900)]
     encode = repair.Encoder(PATH)
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == whole(texts)
+        assert [x.tolist() for x in encode([t.encode() for t in texts])] == whole(texts)
 
 
-def test_small_cache(monkeypatch):
-    monkeypatch.setattr(repair, "CACHE", 5)
-    encode = repair.Encoder(PATH)
-    for k in range(0, len(TEXTS), 4):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encode(TEXTS[k : k + 4])] == whole(TEXTS[k : k + 4])
+@pytest.mark.parametrize(("cache", "recent"), [(5, 3), (40, 10), (1000, 7)])
+def test_small_cache(monkeypatch, cache, recent):
+    monkeypatch.setattr(repair, "CACHE", cache)
+    monkeypatch.setattr(repair, "RECENT", recent)
+    rng = random.Random(2)
+    encode, words = repair.Encoder(PATH), [f"w{k}" if k % 3 else "ab" + "cd" * k for k in range(60)]
+    for k in range(60):
+        texts = [*TEXTS[k % 19 : k % 19 + 2], " ".join(rng.choice(words) + rng.choice(["", ".", "!!", "\n" + rng.choice(words)]) for _ in range(30))]
+        assert [x.tolist() for x in encode([t.encode() for t in texts])] == whole(texts)
+
+
+def test_long_texts_over_blocks(monkeypatch):
+    from decisa.llm import words
+
+    monkeypatch.setattr(repair, "blocks", lambda texts, lower: words.blocks(texts, lower, 64))
+    rng = random.Random(3)
+    texts = [rng.choice([" ", "\n", " ", "  "] if k % 5 == 0 else [" ", "\n"]).join(rng.choices(["one", "two,", "\u00e9t\u00e9", "4th"], k=200)) for k in range(20)]
+    texts += ["x" * 500, "a " * 100, "\n".join(["line"] * 90), "", "y"]
+    assert [x.tolist() for x in repair.Encoder(PATH)([t.encode() for t in texts])] == whole(texts)
 
 
 def test_grammar_round_trip(monkeypatch):
@@ -39,13 +54,32 @@ def test_grammar_round_trip(monkeypatch):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 400, 60)
     ids = rng.zipf(1.5, int(sizes.sum())).astype(np.uint32) % 5000
-    symbols, of_doc, rules, lengths = repair.compress(ids, np.cumsum(sizes), rounds=8)
+    symbols, of_doc, rules, lengths = repair.compress(ids, np.cumsum(sizes), 5000)
     assert len(symbols) < len(ids) and of_doc.sum() == len(symbols)
-    assert np.array_equal(repair.expand(symbols, rules, lengths), ids)
-    texts = [ids[e - n : e - 1].tobytes() for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    assert np.array_equal(repair.expand(symbols, rules, lengths, 5000), ids)
+    texts = [ids[e - n : e - 1] for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
     shard = repair._shard(0, 0, list(range(60)), texts)
     for k in (0, 17, 59):
-        assert repair.decode_document(shard, k).tolist() == [*np.frombuffer(texts[k], "<u4").tolist(), 0]
+        assert repair.decode_document(shard, k).tolist() == [*texts[k].tolist(), 0]
+
+
+@pytest.mark.parametrize("width", [1, 7, 8, 16, 17, 31])
+def test_packed_symbols(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, 1003).astype(np.uint32)
+    data = repair.pack(x, width)
+    assert len(data) == -(-1003 * width // 8)
+    for a, b in ((0, 1003), (0, 0), (5, 6), (17, 900), (1002, 1003)):
+        assert np.array_equal(repair.unpack(data, width, a, b), x[a:b])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_shards_are_smaller_than_plain_ids():
+    import pyarrow.parquet as pq
+
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    shard = repair._shard(0, 0, list(range(len(texts))), repair.Encoder(PATH)(texts))
+    size = sum(len(x) for x in shard.values() if isinstance(x, bytes))
+    assert size < 0.65 * 2 * shard["tokens"]
 
 
 def pair_counts(symbols, of_doc):
@@ -65,19 +99,20 @@ PASSAGE = np.random.default_rng(3).integers(0, 50_000, 700)
 
 @pytest.mark.parametrize(("doc", "copies", "most"), [([7] * 4095, 3, 200), ([7, 9] * 3000, 3, 200), ([*[7] * 5, 8] * 500, 2, 200), (PASSAGE, 90, 200), ([*PASSAGE, *[7] * 33], 90, 300)])
 def test_no_frequent_pair_is_left(doc, copies, most):
-    texts = [np.array(doc, "<u4").tobytes()] * copies + [b"", np.array([7, 7, 7], "<u4").tobytes()]
+    texts = [np.array(doc, np.uint32)] * copies + [np.zeros(0, np.uint32), np.array([7, 7, 7], np.uint32)]
     shard = repair._shard(0, 0, list(range(len(texts))), texts)
-    symbols, of_doc = np.frombuffer(shard["symbols"], "<u4"), np.frombuffer(shard["doc_symbols"], "<u4")
+    of_doc = np.frombuffer(shard["doc_symbols"], "<u4")
+    symbols = repair.unpack(shard["symbols"], shard["width"], 0, int(of_doc.sum()))
     assert max(pair_counts(symbols, of_doc.astype(int)).values()) < repair.LEAST and len(symbols) < most + 2 * copies
     assert np.frombuffer(shard["lengths"], "<u4").max() > 16
     for k, t in enumerate(texts):
-        assert repair.decode_document(shard, k).tolist() == [*np.frombuffer(t, "<u4").tolist(), 0]
+        assert repair.decode_document(shard, k).tolist() == [*t.tolist(), 0]
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 40])
 def test_files(spark, monkeypatch, shard):
     rng = random.Random(2)
-    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (None, "none"), (3, "again"), (3, "again"), (200, "word " * 3000)]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (None, "none"), (300, "again"), (300, "again"), (200, "word " * 3000)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(4)
     path = repair.fresh_path(spark, "t")
