@@ -28,8 +28,8 @@ ROUNDS = 12
 #: A query visits cells until they hold the share of all vectors that finds RECALL of the nearest ones for ASKED queries
 #: of the sample, searched whole; and LEAST vectors at least.
 RECALL, ASKED, LEAST = 0.94, 400, 400
-#: Vectors of a block, and queries that stream past one copy of it.
-BLOCK, QUERIES = 8192, 65_536
+#: Vectors of a block at most, of a small table's blocks at least, and queries that stream past one copy of a block.
+BLOCK, FEWEST, QUERIES = 8192, 256, 65_536
 #: Queries that are scored at once.
 STEP = 64
 #: Rounding of an inner product, relative to the lengths of both vectors.
@@ -218,11 +218,13 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     for r in placed.groupBy("cell").count().collect():  # a row a cell
         sizes[r["cell"]] = r["count"]
     # cells in order fill blocks; a cell larger than a block has its own, several ones, and is split over them by hash
+    tasks = int(fine.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(BLOCK, max(FEWEST, total // (2 * tasks)))
     block, parts, held, at = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
     for c, n in enumerate(sizes.tolist()):
-        if held and held + n > BLOCK:
+        if held and held + n > most:
             at, held = at + int(parts[c - 1]), 0
-        block[c], parts[c], held = at, max(1, -(-n // BLOCK)), held + n
+        block[c], parts[c], held = at, max(1, -(-n // most)), held + n
     where = fine.sparkSession.createDataFrame([(c, int(block[c]), int(parts[c])) for c in np.flatnonzero(sizes).tolist()], "cell int, block long, parts long")
     longest = max(np.sqrt((c * c).sum(axis=1)).max() for c in books)
     enough, cell_sizes = max(LEAST, int(fitted[0]["share"] * total)), sizes.tolist()
@@ -239,8 +241,8 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
             out.append(np.unique(np.repeat(block[cells], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)))
         return pd.DataFrame({"reach": reach, "blocks": out})
 
-    # a traversal takes milliseconds, so queries are dealt to all tasks first
-    queries = fine.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector")).repartition("vec_id")
+    # a traversal takes milliseconds, so queries are dealt to all tasks first; their bytes alone would fill one
+    queries = fine.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector")).repartition(tasks, "vec_id")
     visits = queries.withColumn("_v", visits_of("vector")).select("vec_id", "vector", F.col("_v.reach").alias("reach"), F.explode("_v.blocks").alias("block"))
     visits = materialize(visits, "visits")
     turns = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))  # a row a block
@@ -249,7 +251,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     visits = visits.join(F.broadcast(turns), "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int"))
     sides = kept.select("block", "part", F.lit(0).alias("asks"), "vec_id", "vector", "cell", F.lit(0.0).alias("reach"))
     sides = sides.unionByName(visits.select("block", "part", F.lit(1).alias("asks"), "vec_id", "vector", F.lit(0).alias("cell"), "reach"))
-    met = sides.repartition("block", "part").sortWithinPartitions("block", "part", "asks")
+    met = sides.repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "asks")
     found = met.mapInArrow(tidy(_search(books, k)), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,6 +19,7 @@ def brute(ids, x, queries, k):
 def test_recall_and_scores(spark, monkeypatch, spread):
     monkeypatch.setattr(M, "LEAST", 100)
     monkeypatch.setattr(M, "BLOCK", 700)
+    monkeypatch.setattr(M, "FEWEST", 200)
     monkeypatch.setattr(M, "QUERIES", 90)
     monkeypatch.setattr(M, "SAMPLE", 3000)
     rng = np.random.default_rng(1)
