@@ -25,7 +25,7 @@ from decisa.llm.words import CACHES, U64, Block, blocks, groups, tidy
 from decisa.session import fresh_path, own_batches
 
 SHARD_TOKENS = 1 << 20
-PAIRS_A_ROUND = 2048
+PAIRS_A_ROUND = 8192
 #: A rule takes 12 bytes, its two symbols and its length, and each use of it saves a symbol of about two: with fewer
 #: places a pair doesn't pay for its rule.
 LEAST = 8
@@ -276,7 +276,7 @@ def _frequent(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
     the places that may hold one, and their pairs. Pairs are counted by hash first, then exactly in the full buckets;
     none is chosen only when no pair is there LEAST times."""
     a, b = symbols[:-1], symbols[1:]
-    spot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
+    spot = _bucket(a, b)
     hot = np.bincount(spot[~stop[:-1]], minlength=1 << HASH_BITS)
     chosen: list[int] = []
     for floor in sorted({LEAST, max(LEAST, int(np.partition(hot, -2 * PAIRS_A_ROUND)[-2 * PAIRS_A_ROUND]))}, reverse=True):
@@ -293,7 +293,15 @@ def _frequent(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
                 chosen.append(int(pairs[k]))
         if chosen:
             break
-    return np.sort(np.array(chosen, np.uint64)), at, key
+    full = np.zeros(1 << HASH_BITS, bool)
+    full[[_bucket(np.uint32(k >> 32), np.uint32(k & 0xFFFFFFFF)) for k in chosen]] = True
+    may = full[spot[at]]
+    return np.sort(np.array(chosen, np.uint64)), at[may], key[may]
+
+
+def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH_BITS)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
