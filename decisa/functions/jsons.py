@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 STRING = r'"(?:[^"\\]++|\\.)*+":?'
 
 
+#: A token: a string, a mark or a literal.
+TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
+
+
+def parse(text: Column) -> Column:
+    """A text as VARIANT; null for what isn't one JSON value: repeated keys, NaN and infinities aren't, nor is a value
+    with more behind it, which the parser lets pass: then the text has more tokens than the value."""
+    value = F.try_parse_json(text)
+    tokens = lambda t: F.regexp_count(t, F.lit(TOKEN))
+    return F.when(tokens(text) == tokens(F.to_json(value)), value)
+
+
 def canonical(text: Column) -> Column:
-    """Canonical JSON of a text: keys sorted, no spaces, non-ASCII as it is. Null for what isn't JSON: repeated keys,
-    NaN and infinities are not."""
-    return F.to_json(F.try_parse_json(text))
+    """Canonical JSON of a text: keys sorted, no spaces, non-ASCII as it is; null for what isn't JSON."""
+    return F.to_json(parse(text))
 
 
 def identity(text: Column) -> Column:

@@ -94,8 +94,10 @@ def shingles(x: Column, n: int = 6, most: int | None = None, long_word: int | No
 
 
 def char_windows(x: Column, size: int = 10, step: int = 6) -> Column:
-    """Windows of `size` characters every `step`, for scripts without spaces."""
-    return F.when(F.length(x) >= size, F.transform(F.sequence(F.lit(1), F.length(x) - size + 1, F.lit(step)), lambda i: F.substring(x, i, F.lit(size))))
+    """Windows of `size` characters every `step`, for scripts without spaces. The text is split once: a substring of
+    UTF-8 is found from its start, which is quadratic in a long text."""
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - size + 1, F.lit(step)), lambda i: F.array_join(F.slice(c, i, F.lit(size)), ""))
+    return F.when(F.length(x) >= size, F.flatten(F.transform(F.array(F.split(x, "")), cut)))
 
 
 def language_bucket(x: Column) -> Column:
@@ -109,6 +111,21 @@ def signatures(x: Column, size: int = 60, least: int = 40) -> Column:
     return F.when(n >= least, F.array_distinct(F.array(start, middle, end))).otherwise(F.array().cast("array<string>"))
 
 
+def compiled_tokens(prompt: Column) -> Column:
+    """Words and marks of a compiled prompt, a stand-in for a tokenizer's count that never leaves the JVM."""
+    return F.regexp_count(prompt, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+
+
+def canonical_board(cells: Column, side: int) -> Column:
+    """The least of a square board's eight turns and mirror images, the board being a text of side * side cells."""
+    n = range(side)
+    turns = [[(r, c) for r in n for c in n]]
+    for _ in range(3):
+        turns.append([turns[-1][c * side + side - 1 - r] for r in n for c in n])
+    forms = turns + [[f[r * side + side - 1 - c] for r in n for c in n] for f in turns]
+    return F.array_min(F.array(*[F.concat(*[F.substring(cells, r * side + c + 1, 1) for r, c in f]) for f in forms]))
+
+
 def acknowledges(x: Column) -> Column:
     """Short replies that only agree or ask to go on."""
     return (F.length(F.trim(x)) <= 40) & F.trim(x).rlike(r"(?i)^(ok(ay)?|thanks?|thank you|yes|yep|sure|go on|continue|next|great|done)\b")

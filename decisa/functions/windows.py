@@ -162,9 +162,10 @@ def dominant(df: DataFrame, by: str, value: str, share: float = 0.9) -> DataFram
     return g.select(by, F.when(F.col("share") >= share, F.col("v").cast("int").cast("string")).otherwise("mixed").alias("cadence"), "share")
 
 
-def expanding_quantile_flag(df: DataFrame, by: str, time: str, value: str, q: float, least: int, out: str) -> DataFrame:
-    """Whether the value is above the interpolated quantile of all values at strictly earlier times of its key; null
-    with fewer than `least` of them, or without a value. One pass a key over values kept in order."""
+def expanding_quantile_flag(df: DataFrame, by: str, time: str, value: str, q: float, least: int, out: str, below: bool = False, rounded_rank: bool = False) -> DataFrame:
+    """Whether the value is above (or below) the quantile of all values at strictly earlier times of its key, interpolated
+    or at the half-even rounded rank; null with fewer than `least` of them, or without a value. One pass a key over
+    values kept in order."""
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
@@ -179,10 +180,14 @@ def expanding_quantile_flag(df: DataFrame, by: str, time: str, value: str, q: fl
             if pd.isna(x):
                 flags.append(None)
                 continue
+            waiting.append(x)
+            if not seen or len(seen) < least:
+                flags.append(None)
+                continue
             at = q * (len(seen) - 1)
             low = math.floor(at)
-            flags.append(bool(x > seen[low] + (seen[math.ceil(at)] - seen[low]) * (at - low)) if seen and len(seen) >= least else None)
-            waiting.append(x)
+            edge = seen[round(at)] if rounded_rank else seen[low] + (seen[math.ceil(at)] - seen[low]) * (at - low)
+            flags.append(bool(x < edge if below else x > edge))
         return rows.assign(**{out: pd.array(flags, dtype="boolean")})
 
     schema = df.withColumn(out, F.lit(None).cast("boolean")).schema

@@ -52,6 +52,40 @@ def tranches(book: DataFrame, day: str, asset: str, hold: int) -> DataFrame:
     return mix.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy(day, "leg"))).drop("w")
 
 
+def daily_ledger(df: DataFrame, day: str, asset: str, score: str, close: str, edge: int, least: int, cost_bps: float) -> DataFrame:
+    """(day, event, changed, cost_bps, gross_bps, net_bps, booked_bps): the cross-sectional book of each day.
+
+    All assets of a day with a close above 0 and a score are ranked by (score, asset); `edge` a side make the book, on
+    days with fewer than `least` there is none. changed legs cost cost_bps of their share of 2 * edge slots. The gross
+    is what the book of the day before made from that day's close to this day's, or the last one before it; null where
+    a leg has no such pair of closes above 0 (an incomplete fill), 0 without a book. booked_bps sums what was booked,
+    gross less cost. The table's days are one short list; their running sum needs one order."""
+    slots, rows = 2 * edge, df.select(day, asset, F.col(score).alias("_s"), F.col(close).alias("_c"))
+    days = rows.groupBy(day).agg(F.count("*").alias("_rows"))
+    days = days.select(day, F.lag(day).over(Window.orderBy(day)).alias("_before"), F.lead(day).over(Window.orderBy(day)).alias("_after"))
+    ranked = rows.filter((F.col("_c") > 0) & F.col("_s").isNotNull())
+    ranked = ranked.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(day)), "_k": F.row_number().over(Window.partitionBy(day).orderBy("_s", asset))})
+    book = ranked.filter((F.col("_n") >= least) & ((F.col("_k") <= edge) | (F.col("_k") > F.col("_n") - edge)))
+    book = book.select(day, asset, F.when(F.col("_k") <= edge, -1).otherwise(1).alias("_side"), F.col("_c").alias("_entry"))
+    # each leg on its own day and on the day after: a leg that is on one only has changed
+    held = book.join(days.select(day, "_after"), day)
+    seen = held.select(day, asset, "_side", F.lit(1).alias("_now")).unionByName(held.filter("_after is not null").select(F.col("_after").alias(day), asset, "_side", F.lit(0).alias("_now")))
+    legs_ = seen.groupBy(day, asset, "_side").agg(F.max("_now").alias("_in"), F.min("_now").alias("_was"))
+    moved = legs_.groupBy(day).agg(F.sum("_in").alias("_legs"), F.sum(F.when((F.col("_in") == 1) & (F.col("_was") == 1), 1).otherwise(0)).alias("_ins"), F.sum(1 - F.col("_in")).alias("_outs"))
+    exits = held.filter("_after is not null").select(F.col("_after").alias(day), asset, "_side", "_entry")
+    closes = rows.select(day, asset, "_c", F.lit(None).cast("int").alias("_side"), F.lit(None).cast("double").alias("_entry"))
+    marks = closes.unionByName(exits.select(day, asset, F.lit(None).cast("double").alias("_c"), "_side", "_entry"))
+    marks = marks.withColumn("_exit", F.last("_c", ignorenulls=True).over(Window.partitionBy(asset).orderBy(day))).filter("_side is not null")
+    made = F.when((F.col("_entry") > 0) & (F.col("_exit") > 0), F.col("_side") * (F.col("_exit") / F.col("_entry") - 1) * 10_000)
+    gross = marks.groupBy(day).agg(F.when(F.count(made) == F.count("*"), F.sum(made) / slots).alias("_gross"), F.lit(1).alias("_held"))
+    out = days.select(day).join(moved, day, "left").join(gross, day, "left")
+    changed = F.greatest(F.coalesce("_ins", F.lit(0)), F.coalesce("_outs", F.lit(0))).cast("long")
+    out = out.withColumns({"event": F.when(F.coalesce("_legs", F.lit(0)) > 0, "rebalance").otherwise("skipped_insufficient_universe"), "changed": changed, "cost_bps": changed / slots * cost_bps, "gross_bps": F.when(F.col("_held").isNull(), 0.0).otherwise(F.col("_gross"))})
+    run = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    booked = F.coalesce(F.sum("gross_bps").over(run), F.lit(0.0)) - F.sum("cost_bps").over(run)
+    return out.select(day, "event", "changed", "cost_bps", "gross_bps", (F.col("gross_bps") - F.col("cost_bps")).alias("net_bps"), booked.alias("booked_bps"))
+
+
 def round_robin(df: DataFrame, by: list[str], stratum: str, order: list[str], cap: int) -> DataFrame:
     """Up to cap rows of a group, one of each stratum in turn."""
     k = F.row_number().over(Window.partitionBy(*by, stratum).orderBy(*order))

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.functions.jsons import items_at, kind, member, string_at
+from decisa.functions.jsons import items_at, kind, member, parse, string_at
 from decisa.operators.joins import closure
+from decisa.session import materialize
 
 # Fixed values of the wire formats and the limits of a request.
 FORMATS = ("openai_chat", "openai_responses", "anthropic_messages")
@@ -86,7 +87,7 @@ def parsed_requests(df: DataFrame, key: str, raw: str, format_: str) -> DataFram
 
     Passed by requests have no segments. The body is parsed once; everything is column expressions."""
     body, format_col = F.col("_v"), F.col(format_)
-    rows = df.select(key, format_, F.octet_length(raw).alias("_bytes"), F.try_parse_json(F.col(raw)).alias("_v"))
+    rows = df.select(key, format_, F.octet_length(raw).alias("_bytes"), parse(F.col(raw)).alias("_v"))
     name = F.when(format_col == "openai_responses", "input").otherwise("messages")
     messages = F.when(format_col == "openai_responses", items_at(body, "$.input")).otherwise(items_at(body, "$.messages"))
     rows = rows.withColumns({"_keys": F.coalesce(F.json_object_keys(F.to_json(body)), F.array().cast("array<string>")), "_m": messages, "_name": name})
@@ -154,7 +155,7 @@ def shadow_gate(parsed: DataFrame, scores: DataFrame, depends: DataFrame, key: s
     (missing_user_intent). A protected segment stays (protected), so does one without a score in [0, 1]
     (invalid_score), with one of at most 1 - threshold (model_retain) or under the threshold (uncertain_score), and all
     that a staying segment needs, at any distance (dependency)."""
-    s = wire_segments(parsed, key)
+    s = materialize(wire_segments(parsed, key), "segments")
     intent = F.max(((F.col("role") == "user") & F.col("text").isNotNull()).cast("int")).over(Window.partitionBy(key))
     s = s.withColumn("_intent", intent == 1).join(scores.groupBy(key, "pointer").agg(F.max("p").alias("p"), F.count("*").alias("_n")), [key, "pointer"], "left")
     valid = F.coalesce((F.col("_n") == 1) & (F.col("p") >= 0) & (F.col("p") <= 1), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.functions.jsons import canonical, items_at, kind, member, string_at
+from decisa.functions.jsons import canonical, items_at, kind, member, parse, string_at
 
 # Prefixes of texts that a harness writes in a user's name, and the limits of a transcript.
 CONTROL_PREFIXES = (
@@ -57,7 +57,7 @@ def transcript_segments(lines: DataFrame, key: str, pos: str, line: str, most: i
     An assistant's text and tool_use blocks, a user's texts and tool results; other events, lines that aren't JSON,
     compact summaries, meta and system prompts, blank texts and texts that a harness writes for a user are left out.
     A transcript with more than `most` segments or more than most_bytes of text gives none. place counts from 0."""
-    v = F.try_parse_json(F.col(line))
+    v = parse(F.col(line))
     rows = lines.select(key, pos, v.alias("_v")).filter("_v is not null")
     v, content = F.col("_v"), member(F.col("_v"), "$.message.content")
     parts = F.coalesce(items_at(v, "$.message.content"), F.array().cast("array<variant>"))
@@ -84,7 +84,7 @@ def tool_ops(text: Column) -> Column:
 
     Named tools give their path fields; a command line gives the paths in it, those of a patch as an edit. Leading dots
     and slashes of a path go. Other tools and texts that are no tool call give none."""
-    v = F.try_parse_json(text)
+    v = parse(text)
     name, input_ = F.lower(F.coalesce(string_at(v, "$.tool_use.name"), F.lit(""))), member(v, "$.tool_use.input")
     fields = F.array_compact(F.array(*[F.trim(string_at(v, f"$.tool_use.input.{f}")) for f in PATH_FIELDS]))
     fields = F.filter(fields, lambda p: p != "")

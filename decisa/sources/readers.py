@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: File names up to this number are broadcast.
+BROADCAST_FILES = 100_000
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One object a line with a declared schema; a malformed line is an error, blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -67,11 +71,29 @@ def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: Str
 def read_contract_csv(spark: SparkSession, path: str, header: list[str], schema: StructType | str) -> DataFrame:
     """CSV files whose header line starts with the contract; files with another header are left out whole, malformed
     rows are dropped."""
-    first = spark.read.option("wholetext", False).text(path).withColumn("file", F.input_file_name())
-    want = ",".join(header)
-    bad = first.filter(F.col("value").startswith(header[0] + ",")).filter(~F.col("value").startswith(want)).select("file").distinct()
+    head = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.substring(F.col("content"), 1, 4096).cast("string").alias("head"))
+    good = head.filter(F.regexp_extract("head", r"^\ufeff?([^\r\n]*)", 1).startswith(",".join(header))).select("file")
     rows = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", True).csv(path)
-    return rows.withColumn("file", F.input_file_name()).join(bad, "file", "leftanti").drop("file")
+    rows = rows.withColumn("file", F.input_file_name())
+    return rows.join(F.broadcast(good) if good.count() <= BROADCAST_FILES else good, "file", "leftsemi").drop("file")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, obs_ns, value) of metrics files: the first column is a UTC stamp in text, the second the symbol, the
+    fourth the value. Headers and lines with fewer fields, another stamp or no number are skipped."""
+    parts = F.split(F.col("value"), ",")
+    lines = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") >= 4)
+    stamp = F.try_to_timestamp(F.get("p", 0), F.lit("yyyy-MM-dd HH:mm:ss"))
+    rows = lines.select(F.get("p", 1).alias("symbol"), (F.unix_micros(stamp) * 1000).alias("obs_ns"), F.expr("try_cast(get(p, 3) as double)").alias("value"))
+    return rows.filter("obs_ns is not null and value is not null")
+
+
+def read_settled(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, calc_time, interval_hours, rate) of settlement files: calc_time in ms, hours, rate, symbol. Headers and
+    lines that aren't of this form are skipped; rows come in no order, sort them by (symbol, calc_time)."""
+    lines = spark.read.text(path).select(F.split("value", ",").alias("p")).filter(F.size("p") >= 4)
+    rows = lines.select(F.get("p", 3).alias("symbol"), F.expr("try_cast(get(p, 0) as bigint)").alias("calc_time"), F.expr("try_cast(get(p, 1) as int)").alias("interval_hours"), F.expr("try_cast(get(p, 2) as double)").alias("rate"))
+    return rows.filter("calc_time is not null and rate is not null")
 
 
 KLINE = "file string, symbol string, open_time long, open double, high double, low double, close double, volume double, close_time long"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decisa.functions.jsons import canonical
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One compact JSON object a row; refuses to overwrite."""
@@ -63,6 +65,14 @@ def receipt(df: DataFrame, drop: list[str] | None = None) -> DataFrame:
     return g.select("rows", F.sha2(F.concat_ws("|", F.lit(",".join(cols)), F.col("rows").cast("string"), *[F.col(f"p{k}").cast("string") for k in range(4)]), 256).alias("identity"))
 
 
+def canonical_receipt(df: DataFrame, drop: list[str] | None = None) -> DataFrame:
+    """receipt() over each row's canonical JSON: the order of columns, of rows and of the keys inside structs and maps
+    doesn't matter, and time-varying columns can be left out."""
+    cols = sorted(c for c in df.columns if c not in (drop or []))
+    rows = df.select(canonical(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})).alias("row"))
+    return receipt(rows)
+
+
 def resume(df: DataFrame, done: DataFrame, key: str, shards: int) -> DataFrame:
     """Rows not done yet, dealt to shards by key."""
     return df.join(done.select(key), key, "leftanti").withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))

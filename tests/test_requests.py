@@ -11,7 +11,7 @@ from decisa.operators import transcripts as T
 
 
 def test_canonical_json_and_keys(spark):
-    texts = ['{"b": 1, "a": [true, null, {"z": "x", "é": "\\u00e9\\n\\"q\\":"}]}', '{"a":1,"a":2}', "NaN", '{"a": NaN}', "{", "", None, '[1, -2.5, 12345678901]', '"x"', '{":k": "a", "v": "\\":", "w\\"x": {"k": {}}}']
+    texts = ['{"b": 1, "a": [true, null, {"z": "x", "é": "\\u00e9\\n\\"q\\":"}]}', '{"a":1,"a":2}', "NaN", '{"a": NaN}', "{", "", None, '[1, -2.5, 12345678901]', '"x"', '{"a": 1}}', '{"a": 1} 2', '[1] "b"', '{":k": "a", "v": "\\":", "w\\"x": {"k": {}}}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r["i"]: (r["c"], r["k"], r["h"]) for r in df.select("i", jsons.canonical(F.col("t")).alias("c"), jsons.keys(F.col("t")).alias("k"), jsons.has_any_key(F.col("t"), ["z", "k"]).alias("h")).collect()}
 
@@ -19,7 +19,7 @@ def test_canonical_json_and_keys(spark):
         return [k for a, b in sorted(x.items()) for k in (a, *all_keys(b))] if isinstance(x, dict) else [k for y in x for k in all_keys(y)] if isinstance(x, list) else []
 
     for i, t in enumerate(texts):
-        if i in (1, 2, 3, 4, 5, 6):
+        if i in (1, 2, 3, 4, 5, 6, 9, 10, 11):
             assert got[i] == (None, None, None), t
         else:
             x = json.loads(t)
