@@ -167,7 +167,7 @@ def fit_platt(df: DataFrame, p: str, y: str, rounds: int = 12, eps: float = 1e-7
 
 def pava(df: DataFrame, by: str, p: str, y: str) -> DataFrame:
     """Isotonic knots (by, x_low, x_high, value, weight) per domain: equal p are pooled in an aggregate first, then those
-    of each range of p while they violate, and last the ranges' blocks; pooling in parts gives the same blocks."""
+    of each range of p while they don't rise, and last the ranges' blocks; pooling in parts gives the same blocks."""
     import pandas as pd
 
     pooled = df.groupBy(by, p).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("w"))
@@ -178,7 +178,7 @@ def pava(df: DataFrame, by: str, p: str, y: str) -> DataFrame:
         blocks: list[list[float]] = []  # sum, weight, first x, last x
         for low, high, s, w in zip(rows["x_low"], rows["x_high"], rows["s"], rows["w"], strict=True):
             blocks.append([s, w, low, high])
-            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 s2, w2, _, last = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s2, blocks[-1][1] + w2, blocks[-1][2], last]
         return pd.DataFrame({by: rows[by].iloc[0], "x_low": [b[2] for b in blocks], "x_high": [b[3] for b in blocks], "s": [b[0] for b in blocks], "w": [b[1] for b in blocks]})

@@ -118,12 +118,16 @@ def first_echo(units: DataFrame, segments: DataFrame, by: list[str], pos: str =
     return hit.groupBy(*by, pos).agg(best.alias("_b")).select(*by, pos, "_b.*")
 
 
-def path_matches(left: DataFrame, right: DataFrame, path: str = "path", other: str = "other") -> DataFrame:
-    """Pairs of paths that are equal or where one is a suffix of the other at a slash: joined on the last name, then compared."""
-    name = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
-    both = left.withColumn("_name", name(path)).join(right.withColumn("_name", name(other)), "_name").drop("_name")
-    a, b = F.col(path), F.col(other)
-    return both.filter((a == b) | F.endswith(a, F.concat(F.lit("/"), F.ltrim(b, F.lit("/")))) | F.endswith(b, F.concat(F.lit("/"), F.ltrim(a, F.lit("/")))))
+def path_links(paths: DataFrame, path: str = "path") -> DataFrame:
+    """paths (a row a distinct path) with a shorter path that ends theirs at a slash: its path as suffix, its other
+    columns as suffix_*. Each path's own suffixes are exploded, at most its depth, and joined on equality, so paths that
+    end in a frequent name don't meet each other. Leading slashes don't count; a suffix has a name."""
+    bare = F.ltrim(F.col(path), F.lit("/"))
+    names = F.split(F.col(path), "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "/"))
+    longer = paths.filter(F.size(names) >= 2).withColumn("_end", F.explode(F.array_distinct(F.transform(ends, lambda e: F.ltrim(e, F.lit("/")))))).filter("_end <> ''")
+    shorter = paths.select(bare.alias("_bare"), F.col(path).alias("suffix"), *[F.col(c).alias("suffix_page" if c == "page_id" else f"suffix_{c}") for c in paths.columns if c != path])
+    return longer.join(shorter, F.col("_end") == F.col("_bare")).filter(F.col(path) != F.col("suffix")).drop("_end", "_bare")
 
 
 def donor_join(rows: DataFrame, role: str, group: str, key: str, seed: str) -> DataFrame:

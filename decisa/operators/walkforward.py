@@ -107,8 +107,9 @@ def scored_ledger(df: DataFrame, day: str, asset: str, features: list[str], targ
     return rows.select(asset, F.col(day).alias("day"), "pred", F.col(target).alias("realized"), (F.abs(F.col("pred") - F.col(target)) <= 1).alias("hit"))
 
 
-def fit_logistic(df: DataFrame, features: list[str], target: str, steps: int, rate: float, l2: float = 1e-3) -> DataFrame:
-    """(name, coefficient): gradient descent on standardised features; a step is one aggregate of the gradient."""
+def fit_logistic(df: DataFrame, features: list[str], target: str, steps: int, rate: float, l2: float = 1e-3, objective: str = "ce") -> DataFrame:
+    """(name, coefficient): gradient descent of the cross entropy (ce) or the squared error (brier) on standardised
+    features; a step is one aggregate of the gradient."""
     rows = df.dropna(subset=[*features, target])
     m = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features], F.count("*").alias("n")).first()
     z = [F.lit(1.0), *[(F.col(c) - F.lit(m[f"m_{c}"])) / F.lit(m[f"s_{c}"] or 1.0) for c in features]]
@@ -117,8 +118,46 @@ def fit_logistic(df: DataFrame, features: list[str], target: str, steps: int, ra
     try:
         for _ in range(steps):
             q = F.lit(1.0) / (1 + F.exp(-sum((F.lit(float(x)) * F.col(f"z{i}") for i, x in enumerate(b)), F.lit(0.0))))
-            g = rows.agg(*[F.avg((q - F.col("y")) * F.col(f"z{i}")) for i in range(len(z))]).first()
+            slope = (q - F.col("y")) * (2 * q * (1 - q) if objective == "brier" else 1)
+            g = rows.agg(*[F.avg(slope * F.col(f"z{i}")) for i in range(len(z))]).first()
             b = b - rate * (np.array([x or 0.0 for x in g]) + l2 * np.concatenate(([0.0], b[1:])))
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame(list(zip(["intercept", *features], map(float, b), strict=True)), "name string, coefficient double")
+
+
+def fit_stumps(df: DataFrame, features: list[str], target: str, rounds: int, rate: float, bins: int = 16, l2: float = 1.0) -> DataFrame:
+    """(round, feature, threshold, left, right, gain): boosted stumps on the logistic loss. Candidate thresholds are each
+    feature's approximate quantiles; a round sums gradient and curvature once by feature and bin and takes the split of
+    most gain (ties: first feature, smallest threshold), a leaf being its Newton step times the rate. Rows equal to a
+    threshold go left. The driver sees a row for each feature and bin."""
+    rows = df.dropna(subset=[*features, target]).select(*[F.col(f).cast("double") for f in features], F.col(target).cast("double").alias("_y"))
+    cuts = dict(zip(features, rows.approxQuantile(features, [i / bins for i in range(1, bins)], 0.001), strict=True))
+    cuts = {f: sorted(set(c)) for f, c in cuts.items()}
+    bin_of = lambda f: sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0))
+    rows = rows.select("_y", *[bin_of(f).alias(f) for f in features]).persist()
+    score, out = F.lit(0.0), []
+    try:
+        for k in range(rounds):
+            q = F.lit(1.0) / (1 + F.exp(-score))
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("b")) for i, f in enumerate(features)])).alias("c")
+            got = rows.select((q - F.col("_y")).alias("g"), (q * (1 - q)).alias("h"), each).groupBy("c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            best = None
+            for i, f in enumerate(features):
+                g, h = np.zeros(len(cuts[f]) + 1), np.zeros(len(cuts[f]) + 1)
+                for r in got:
+                    if r["f"] == i:
+                        g[r["b"]], h[r["b"]] = r["g"], r["h"]
+                for j in range(len(cuts[f])):
+                    gl, hl, gr, hr = g[: j + 1].sum(), h[: j + 1].sum(), g[j + 1 :].sum(), h[j + 1 :].sum()
+                    gain = gl * gl / (hl + l2) + gr * gr / (hr + l2) - (gl + gr) ** 2 / (hl + hr + l2)
+                    if best is None or gain > best[-1] + 1e-12:
+                        best = (f, j, cuts[f][j], -rate * gl / (hl + l2), -rate * gr / (hr + l2), gain)
+            if best is None:
+                break
+            f, j, cut, left, right, gain = best
+            score = score + F.when(F.col(f) <= j, left).otherwise(right)
+            out.append((k, f, float(cut), float(left), float(right), float(gain)))
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(out, "round int, feature string, threshold double, left double, right double, gain double")

@@ -124,7 +124,10 @@ def cohort_intersection(spark, sf_dir):
     return joins.cohort_intersection(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "h", "doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS a, concat_ws(':', lang, source, n_chars) AS b, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+r(k, doc_id, kept, sa, sb) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[], []::VARCHAR[] UNION ALL
+  SELECT k, doc_id, fresh, CASE WHEN fresh AND a IS NOT NULL THEN list_append(sa, a) ELSE sa END, CASE WHEN fresh THEN list_append(sb, b) ELSE sb END FROM (SELECT d.*, r.sa, r.sb, coalesce(NOT list_contains(r.sa, d.a), true) AND NOT list_contains(r.sb, d.b) AS fresh FROM r JOIN d ON d.k = r.k + 1))
+SELECT doc_id FROM r WHERE kept""")
 def either_key_dedup(spark, sf_dir):
     """A row goes when its text or its (language, source, length) was seen on a kept row before."""
     d = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("a"), F.concat_ws(":", "lang", "source", F.col("n_chars").cast("string")).alias("b"))
@@ -166,7 +169,9 @@ def drop_oldest_turns(spark, sf_dir):
     return corpus.drop_oldest(t, ["conv_id"], "turn", "cost", "protected", 1500).select("conv_id", "turn", "kept", "overflow")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS cost, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn = last THEN -1 ELSE last - turn END, turn) AS k FROM t),
+r(conv_id, k, used, kept) AS (SELECT conv_id, k, cost, [turn] FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.k, CASE WHEN r.used + o.cost <= 1500 THEN r.used + o.cost ELSE r.used END, CASE WHEN r.used + o.cost <= 1500 THEN list_append(r.kept, o.turn) ELSE r.kept END FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1)
+SELECT conv_id, CAST(arg_max(used, k) AS BIGINT) AS used, array_to_string(list_sort(arg_max(kept, k)), ',') AS kept FROM r GROUP BY conv_id""")
 def nearest_first_window(spark, sf_dir):
     """Turns around each conversation's last one within a budget, nearest first, skipping what doesn't fit."""
     last = F.max("turn").over(Window.partitionBy("conv_id"))
@@ -225,23 +230,24 @@ def uniform_draws(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.uniform("draw", F.col("doc_id")).alias("u"))
 
 
-@query("""WITH a AS (SELECT doc_id, source, 0 AS p FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id, 'late' AS source, 1 AS p FROM documents WHERE doc_id % 2 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+@query("""WITH a AS (SELECT doc_id, 'label' || quality AS source, 0 AS p FROM labels), b AS (SELECT doc_id, source, 1 AS p FROM documents), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM u) WHERE k = 1""")
 def precedence_merge(spark, sf_dir):
+    """Labels go before the documents' own sources."""
     d = docs(spark, sf_dir).select("doc_id", "source")
-    return joins.precedence_merge([d.filter("doc_id % 3 = 0"), d.filter("doc_id % 2 = 0").withColumn("source", F.lit("late"))], ["doc_id"])
+    return joins.precedence_merge([table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label"), "quality").alias("source")), d], ["doc_id"])
 
 
-@query("""WITH o AS (SELECT doc_id, 'base' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'more' FROM documents WHERE doc_id % 3 = 0) SELECT origin, count(*) AS n, count(DISTINCT doc_id) AS ids FROM o GROUP BY origin""")
+@query("""WITH o AS (SELECT doc_id, 'documents' AS origin FROM documents UNION ALL SELECT doc_id, 'labels' FROM labels UNION ALL SELECT item_id, 'benchmark' FROM benchmark) SELECT origin, count(*) AS n, count(DISTINCT doc_id) AS ids FROM o GROUP BY origin""")
 def origin_accounting(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id")
-    u = d.filter("doc_id % 2 = 0").withColumn("origin", F.lit("base")).unionByName(d.filter("doc_id % 3 = 0").withColumn("origin", F.lit("more")))
+    of = lambda name, key="doc_id": table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), F.lit(name).alias("origin"))
+    u = of("documents").unionByName(of("labels")).unionByName(of("benchmark", "item_id"))
     return u.groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
 
 
-@query("SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'left', count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT doc_id FROM labels)")
+@query("SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'left', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
 def set_operations(spark, sf_dir):
-    a, b = docs(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    a, b = docs(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     side = lambda d, n: d.agg(F.lit(n).alias("side"), F.count("*").alias("n"))
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left"))
 
@@ -256,15 +262,17 @@ def echo_join(spark, sf_dir):
     return joins.first_echo(u, t, ["conv_id"], "turn")
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1) AS path FROM pages), n AS (SELECT page_id, path, regexp_extract(path, '[^/]*$') AS name FROM p)
-SELECT a.page_id, b.page_id AS other_id FROM n a JOIN n b ON a.name = b.name AND a.page_id < b.page_id WHERE a.path = b.path OR ends_with(a.path, '/' || ltrim(b.path, '/')) OR ends_with(b.path, '/' || ltrim(a.path, '/'))""")
+@query(r"""WITH p AS (SELECT regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1) AS path, count(*) AS pages, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1)
+SELECT a.path, b.path AS suffix, a.page_id, b.page_id AS suffix_page, a.pages, b.pages AS suffix_pages FROM p a JOIN p b ON a.path <> b.path AND ltrim(b.path, '/') <> '' AND ends_with(a.path, '/' || ltrim(b.path, '/'))""")
 def path_suffix_join(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[^:]+://[^/]+(/[^?#]*)", 1).alias("path"))
-    b = p.select(F.col("page_id").alias("other_id"), F.col("path").alias("other"))
-    return joins.path_matches(p, b).filter("page_id < other_id").select("page_id", "other_id")
+    """Links between distinct paths, one ending in the other at a slash, each with its first page and number of pages;
+    the pages of one path are not paired."""
+    p = table(spark, sf_dir, "pages").filter("url is not null").select("page_id", F.regexp_extract("url", r"^[^:]+://[^/]+(/[^?#]*)", 1).alias("path"))
+    return joins.path_links(p.groupBy("path").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages")), "path")
 
 
-@query()
+@query("""WITH k AS (SELECT conv_id, turn, role, conv_id * 1000 + turn AS key FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sha256('v1|' || key), key) AS k, count(*) OVER (PARTITION BY role) AS n FROM k)
+SELECT a.conv_id, a.turn, a.role, arg_min(b.key, (b.k - a.k + a.n) % a.n) AS donor FROM o a LEFT JOIN o b ON a.role = b.role AND a.conv_id <> b.conv_id GROUP BY 1, 2, 3""")
 def donor_turns(spark, sf_dir):
     """Each turn with a donor of its role from another conversation."""
     t = turns(spark, sf_dir).withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))

@@ -212,27 +212,62 @@ def cluster_bootstrap(spark, sf_dir):
     return rounded(means.agg(F.count("*").alias("samples"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")))
 
 
-@query()
+LOGITS = f"""{SCORED}, z AS MATERIALIZED (SELECT id, split, y, ln(greatest(1e-7, least(1 - 1e-7, p)) / (1 - greatest(1e-7, least(1 - 1e-7, p)))) AS z FROM scored)"""
+
+
+def _temperature_sql(rounds: int = 3, grid: int = 41) -> str:
+    parts = ["b0 AS (SELECT ln(0.05::DOUBLE) AS lo, ln(20.0::DOUBLE) AS hi, 1.0::DOUBLE AS t)"]
+    for k in range(rounds):
+        parts.append(f"""l{k} AS MATERIALIZED (SELECT i, exp(lo + (hi - lo) * i / {grid - 1}) AS t, (hi - lo) / {grid - 1} AS step, avg(ln(1 + exp(CASE WHEN y = 1 THEN -z ELSE z END / exp(lo + (hi - lo) * i / {grid - 1})))) AS loss FROM z, b{k}, range({grid}) g(i) WHERE split = 'fit' GROUP BY i, lo, hi),
+b{k + 1} AS MATERIALIZED (SELECT ln(t) - step AS lo, ln(t) + step AS hi, t FROM l{k} ORDER BY loss, i LIMIT 1)""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {LOGITS}, {_temperature_sql()} SELECT split, round(any_value(t), 6) AS temperature, round(avg(ln(1 + exp(CASE WHEN y = 1 THEN -z ELSE z END))), 6) AS nll_before, round(avg(ln(1 + exp(CASE WHEN y = 1 THEN -z ELSE z END / t))), 6) AS nll_after FROM z, b3 GROUP BY split""")
 def temperature_fit(spark, sf_dir):
     """Temperature of least NLL on the fit half, and the NLL of both halves before and after."""
     s = scored(spark, sf_dir)
     t = probs.fit_temperature(s.filter("split = 'fit'"), "p", "y")
     z = probs.logit(F.col("p"))
     loss = lambda k: F.avg(F.ln(1 + F.exp(F.when(F.col("y") == 1, -z).otherwise(z) / F.lit(k))))
-    return s.groupBy("split").agg(F.lit(t).alias("temperature"), loss(1.0).alias("nll_before"), loss(t).alias("nll_after"))
+    return rounded(s.groupBy("split").agg(F.lit(t).alias("temperature"), loss(1.0).alias("nll_before"), loss(t).alias("nll_after")))
+
+
+def _newton_sql(rounds: int = 12) -> str:
+    parts = ["s0 AS (SELECT 1.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(rounds):
+        parts.append(f"""g{k} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, sum(r * z) AS ga, sum(r) AS gb, sum(w * z * z) AS haa, sum(w * z) AS hab, sum(w) AS hbb FROM (SELECT a, b, z, q - y AS r, q * (1 - q) AS w FROM (SELECT a, b, z, y, 1 / (1 + exp(-(a * z + b))) AS q FROM z, s{k} WHERE split = 'fit'))),
+s{k + 1} AS MATERIALIZED (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{k})""")
+    return ", ".join(parts)
 
 
-@query()
+@query(f"""WITH {LOGITS}, {_newton_sql()} SELECT id, round(a, 6) AS slope, round(b, 6) AS intercept, round(1 / (1 + exp(-(a * z + b))), 6) AS calibrated FROM z, s12""")
 def platt_fit(spark, sf_dir):
     s = scored(spark, sf_dir)
     a, b = probs.fit_platt(s.filter("split = 'fit'"), "p", "y")
     q = probs.sigmoid(F.lit(a) * probs.logit(F.col("p")) + F.lit(b))
-    return s.select("id", F.lit(a).alias("slope"), F.lit(b).alias("intercept"), q.alias("calibrated"))
+    return rounded(s.select("id", F.lit(a).alias("slope"), F.lit(b).alias("intercept"), q.alias("calibrated")))
 
 
-@query()
+ISOTONIC = f"""{SCORED}, x AS (SELECT split, round(p, 2) AS x, sum(y) AS s, count(*) AS w FROM scored GROUP BY 1, 2), k AS MATERIALIZED (SELECT *, row_number() OVER o AS i, sum(s) OVER o AS cs, sum(w) OVER o AS cw FROM x WINDOW o AS (PARTITION BY split ORDER BY x)),
+m AS MATERIALIZED (SELECT j.split, j.i AS j, k.i AS k, (k.cs - j.cs + j.s) / (k.cw - j.cw + j.w)::DOUBLE AS v FROM k j JOIN k ON k.split = j.split AND k.i >= j.i),
+v AS (SELECT split, i, max(low) AS v FROM (SELECT k.split, k.i, m.j, min(m.v) AS low FROM k JOIN m ON m.split = k.split AND m.j <= k.i AND m.k >= k.i GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {ISOTONIC} SELECT k.split, min(x) AS x_low, max(x) AS x_high, round(v, 6) AS value, CAST(sum(w) AS BIGINT) AS weight FROM k JOIN v USING (split, i) GROUP BY k.split, v""")
 def isotonic_knots(spark, sf_dir):
-    return probs.pava(scored(spark, sf_dir).withColumn("p", F.round("p", 2)), "split", "p", "y")
+    """Steps of the isotonic fit of each split; in SQL as the largest of the least means."""
+    return rounded(probs.pava(scored(spark, sf_dir).withColumn("p", F.round("p", 2)), "split", "p", "y"))
+
+
+@query(f"""WITH {ISOTONIC}, n AS (SELECT k.split, min(x) AS a, max(x) AS b, v FROM k JOIN v USING (split, i) GROUP BY k.split, v), q AS (SELECT id, split, u FROM scored),
+l AS (SELECT q.*, max(a) FILTER (a <= u) AS la, min(a) FILTER (a > u) AS ra FROM q JOIN n USING (split) GROUP BY ALL)
+SELECT l.id, round(CASE WHEN lo.a IS NULL THEN hi.v WHEN hi.a IS NULL OR u <= lo.b THEN lo.v ELSE lo.v + (hi.v - lo.v) * (u - lo.b) / (hi.a - lo.b) END, 6) AS calibrated FROM l LEFT JOIN n lo ON lo.split = l.split AND lo.a = l.la LEFT JOIN n hi ON hi.split = l.split AND hi.a = l.ra""")
+def isotonic_apply(spark, sf_dir):
+    """Another score calibrated by the knots of its split, straight lines between steps."""
+    s = scored(spark, sf_dir)
+    knots = probs.pava(s.withColumn("p", F.round("p", 2)), "split", "p", "y")
+    return rounded(probs.apply_isotonic(s.select("id", "split", "u"), knots, "split", "u", "calibrated").select("id", "calibrated"))
 
 
 @query(f"""WITH {SCORED} SELECT id, round(exp(ln(p / (1 - p)) / 2) / (exp(ln(p / (1 - p)) / 2) + 1), 6) AS sharp, round(1 / (1 + exp(-u)), 6) AS sig FROM scored""")

@@ -123,13 +123,29 @@ def model_scored_ledger(spark, sf_dir):
     return rounded(walkforward.scored_ledger(_features(spark, sf_dir), "dn", "asset", ["x1", "x2", "x3"], "y", 19735, 1.0))
 
 
-@query()
+def _descent_sql(steps: int) -> str:
+    parts = [f"""{SCORED}, m AS MATERIALIZED (SELECT avg(u) AS mu, stddev_pop(u) AS su, avg(p) AS mp, stddev_pop(p) AS sp FROM scored), x AS MATERIALIZED (SELECT (u - mu) / su AS a, (p - mp) / sp AS b, y FROM scored, m), w0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb)"""]
+    for k in range(steps):
+        parts.append(f"""w{k + 1} AS MATERIALIZED (SELECT any_value(w) - avg(q - y) AS w, any_value(wa) - (avg((q - y) * a) + 0.001 * any_value(wa)) AS wa, any_value(wb) - (avg((q - y) * b) + 0.001 * any_value(wb)) AS wb FROM (SELECT *, 1 / (1 + exp(-(w + wa * a + wb * b))) AS q FROM x, w{k}))""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {_descent_sql(60)} SELECT 'intercept' AS name, round(w, 6) AS coefficient FROM w60 UNION ALL SELECT 'u', round(wa, 6) FROM w60 UNION ALL SELECT 'p', round(wb, 6) FROM w60""")
 def logistic_baseline(spark, sf_dir):
     """Logistic regression by gradient descent, one aggregate a step."""
     s = scored(spark, sf_dir)
     return rounded(walkforward.fit_logistic(s, ["u", "p"], "y", 60, 1.0))
 
 
+@query()
+def brier_baseline(spark, sf_dir):
+    """The same descent on the Brier score, and ten boosted stumps, by their scores on the rows."""
+    s = scored(spark, sf_dir)
+    brier = walkforward.fit_logistic(s, ["u", "p"], "y", 40, 4.0, objective="brier").select(F.concat(F.lit("brier:"), "name").alias("name"), "coefficient")
+    stumps = walkforward.fit_stumps(s, ["u", "p"], "y", 10, 0.5).select(F.concat(F.lit("stump:"), F.col("round").cast("string"), F.lit(":"), "feature").alias("name"), F.col("gain").alias("coefficient"))
+    return rounded(brier.unionByName(stumps))
+
+
 @query(f"""WITH {PANEL}, t AS (SELECT dn, close, ntile(3) OVER (PARTITION BY dn ORDER BY close, asset) AS a, ntile(3) OVER (PARTITION BY dn ORDER BY qv, asset) AS b FROM panel), d AS (SELECT dn, a, b, avg(close) AS m, count(*) AS n FROM t GROUP BY 1, 2, 3)
 SELECT a, b, round(avg(m), 6) AS mean_of_days, round(sum(m * n) / sum(n), 6) AS pooled, count(*) AS days FROM d GROUP BY a, b""")
 def interaction_grid(spark, sf_dir):
@@ -241,7 +257,9 @@ def candidate_expansion(spark, sf_dir):
     return rounded(s.select("id", "candidate", "pos", F.element_at("probs", F.col("candidate")).alias("prob")))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(length(text), 0) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r(conv_id, k, turn, "row", used) AS (SELECT conv_id, k, turn, 0, c FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.k, o.turn, CASE WHEN r.used + o.c <= 1200 THEN r."row" ELSE r."row" + 1 END, CASE WHEN r.used + o.c <= 1200 THEN r.used + o.c ELSE o.c END FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1)
+SELECT conv_id, "row", min(turn) AS "first", max(turn) AS "last", CAST(max(used) AS BIGINT) AS used FROM r GROUP BY 1, 2""")
 def token_budget_packing(spark, sf_dir):
     """Turns of a conversation packed in order into rows of at most 1,200 characters; a longer turn has its own row."""
     t = table(spark, sf_dir, "conversations").withColumn("cost", F.length("text"))

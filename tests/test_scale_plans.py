@@ -139,7 +139,7 @@ def test_isotonic_in_parts_and_applied(spark):
         blocks = []
         for p in sorted(pool):
             blocks.append([*pool[p], p, p])
-            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 s, w, _, high = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, blocks[-1][2], high]
         steps[d] = [(b[2], b[3], b[0] / b[1]) for b in blocks]
