@@ -106,6 +106,12 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str, alpha: f
     return ranked.withColumn("passes", F.col(p) <= F.col("threshold"))
 
 
+def rounded_rank_quantile(values: Column, q: float) -> Column:
+    """sorted[round half even (q * (n - 1))] of an array; ranks.quantile_rows() does it for the rows of a group."""
+    s = F.array_sort(values)
+    return F.get(s, F.bround(F.lit(q) * (F.size(s) - 1)).cast("int"))
+
+
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: Cohen's kappa of two labels; null where chance agreement is 1 (a single category)."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prove(df: DataFrame, by: str, pos: str, text: str, drop: Column) -> DataFrame:
+def prove(df: DataFrame, by: str, pos: str, text: str, drop: Column, damage: Column | None = None) -> DataFrame:
     """(by, restored, dropped, turns): segments are dropped, and a manifest keeps only where they stood and a hash.
 
-    Restoring puts the dropped segments back at the recorded indices and compares each hash and the whole's hash."""
-    rows = df.select(by, F.struct(pos, F.coalesce(F.col(text), F.lit("")).alias("t"), drop.alias("d")).alias("s"))
+    Restoring puts the dropped segments back at the recorded indices and compares each hash and the whole's hash.
+    `damage` marks dropped segments that were kept badly: they come back with a character more, and must be noticed."""
+    rows = df.select(by, F.struct(pos, F.coalesce(F.col(text), F.lit("")).alias("t"), drop.alias("d"), F.coalesce(damage if damage is not None else F.lit(False), F.lit(False)).alias("x")).alias("s"))
     g = rows.groupBy(by).agg(F.sort_array(F.collect_list("s")).alias("all"))
     kept = F.transform(F.filter("all", lambda s: ~s["d"]), lambda s: s["t"])
     gone = F.transform(F.filter("all", lambda s: s["d"]), lambda s: s["t"])
     spots = F.filter(F.transform("all", lambda s, i: F.when(s["d"], i)), lambda i: i.isNotNull())
     hashes = F.transform(gone, lambda t: F.sha2(t, 256))
+    gone = F.transform(F.filter("all", lambda s: s["d"]), lambda s: F.concat(s["t"], F.when(s["x"], "?").otherwise("")))
     g = g.select(by, F.sha2(F.array_join(F.transform("all", lambda s: s["t"]), "\x1f"), 256).alias("was"), kept.alias("kept"), gone.alias("gone"), spots.alias("spots"), hashes.alias("hashes"))
     put = F.aggregate(F.arrays_zip("spots", "gone"), F.col("kept"), lambda a, x: F.concat(F.slice(a, F.lit(1), x["spots"]), F.array(x["gone"]), F.slice(a, x["spots"] + 1, F.size(a))))
     g = g.withColumn("back", put)

@@ -19,13 +19,14 @@ def multiclass_metrics(spark, sf_dir):
 
 
 @query(f"""WITH {SCORED}, a AS (SELECT grp, y, count(*) AS n, avg(correct::INT::DOUBLE) AS acc FROM scored GROUP BY 1, 2), b AS (SELECT grp, avg(acc) AS balanced FROM a GROUP BY grp)
-SELECT s.grp, round(avg(conf), 6) AS mean_conf, round(count(*) FILTER (conf >= 0.75) / count(*)::DOUBLE, 6) AS coverage, count(*) FILTER (conf >= 0.75 AND NOT correct) AS confident_wrong,
+SELECT s.grp, round(avg(conf), 6) AS mean_conf, round(count(*) FILTER (conf >= 0.9) / count(*)::DOUBLE, 6) AS coverage, count(*) FILTER (conf >= 0.9 AND NOT correct) AS confident_wrong, round(avg(-ln(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-12))), 6) AS nll,
 round(any_value(balanced), 6) AS balanced, round(quantile_disc(u, 0.5), 6) AS p50, round(quantile_disc(u, 0.95), 6) AS p95 FROM scored s JOIN b USING (grp) GROUP BY s.grp""")
 def bundle_scorecard(spark, sf_dir):
     s = scored(spark, sf_dir)
     recall = s.groupBy("grp", "y").agg(F.avg(F.col("correct").cast("double")).alias("acc")).groupBy("grp").agg(F.avg("acc").alias("balanced"))
     g = s.groupBy("grp").agg(
-        F.avg("conf").alias("mean_conf"), (F.count_if(F.col("conf") >= 0.75) / F.count("*")).alias("coverage"), F.count_if((F.col("conf") >= 0.75) & ~F.col("correct")).alias("confident_wrong"),
+        F.avg("conf").alias("mean_conf"), (F.count_if(F.col("conf") >= 0.9) / F.count("*")).alias("coverage"), F.count_if((F.col("conf") >= 0.9) & ~F.col("correct")).alias("confident_wrong"),
+        F.avg(-F.ln(F.greatest(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(1e-12)))).alias("nll"),
         F.expr("percentile_disc(0.5) within group (order by u)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by u)").alias("p95"),
     )
     return rounded(g.join(recall, "grp"))

@@ -234,10 +234,12 @@ def superseded_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(at > 0, F.concat(F.substr(u, F.lit(1), at), F.lit("9"), F.substr(u, at + 1))).otherwise(u).alias("changed"))
 
 
-@query("""SELECT conv_id, true AS restored, count(*) FILTER (turn % 3 = 1) AS dropped, count(*) AS turns FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) FILTER (turn % 3 = 1 AND role = 'assistant' AND conv_id % 2 = 0) = 0 AS restored, count(*) FILTER (turn % 3 = 1) AS dropped, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def reversible_removal(spark, sf_dir):
-    """Drop every third turn with a content-free manifest, restore, and compare hashes with the original."""
-    return removal.prove(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("turn") % 3 == 1)
+    """Drop every third turn with a content-free manifest, restore, and compare hashes with the original; some turns
+    are kept badly and must be noticed."""
+    bad = (F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0)
+    return removal.prove(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("turn") % 3 == 1, bad)
 
 
 @query(f"""WITH {PANEL}, m AS (SELECT asset, dn, avg(close) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f, avg(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s, row_number() OVER ({W}) AS k FROM panel), x AS (SELECT asset, dn, k >= 6 AND f > s AS up FROM m)
@@ -292,13 +294,15 @@ def incremental_tail(spark, sf_dir):
     return p.join(seen, "asset", "left").filter(F.col("dn") > F.coalesce("seen", F.lit(0))).select("asset", F.col("dn").alias("day"))
 
 
-@query("""SELECT count(*) AS rows, count(DISTINCT sha256(text)) AS texts, count(*) = (SELECT count(*) FROM documents WHERE doc_id % 7 = 3) AS whole FROM documents WHERE doc_id % 7 = 3""")
+@query("""WITH p AS (SELECT 'labels' AS selection, doc_id FROM labels UNION ALL SELECT 'and a stranger', doc_id FROM labels UNION ALL SELECT 'and a stranger', -1)
+SELECT selection, count(d.doc_id) AS rows, count(DISTINCT sha256(text)) AS texts, count(d.doc_id) = count(*) AS whole FROM p LEFT JOIN documents d USING (doc_id) GROUP BY selection""")
 def frozen_selection(spark, sf_dir):
-    """A pinned list of ids joined back to its source: every id must be found."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pinned = d.filter("doc_id % 7 = 3").select("doc_id")
-    n = pinned.count()
-    return d.join(pinned, "doc_id").agg(F.count("*").alias("rows"), F.countDistinct(F.sha2("text", 256)).alias("texts"), (F.count("*") == n).alias("whole"))
+    """Pinned lists of ids joined back to their source: every id must be found, and one of the lists has an id too many."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(1).alias("found"))
+    ids = table(spark, sf_dir, "labels").select("doc_id")
+    pins = ids.withColumn("selection", F.lit("labels")).unionByName(ids.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"))).withColumn("selection", F.lit("and a stranger")))
+    j = pins.join(d, "doc_id", "left").groupBy("selection")
+    return j.agg(F.count("found").alias("rows"), F.countDistinct(F.sha2("text", 256)).alias("texts"), (F.count("found") == F.count("*")).alias("whole"))
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'true' WHEN quality = 0 AND toxic = 1 THEN 'false' ELSE 'uncertain' END AS label FROM labels""")

@@ -1,51 +1,15 @@
-"""Replay queries: position ledgers, order simulation, campaigns, event-time windows, idempotent appends, receipts."""
+"""Event-time queries: windows, counters, idempotent appends, receipts, request segments and strict JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from decisa.functions import windows
 from decisa.operators import resample
 from decisa.plans.base import PANEL, panel, query, rounded, table
 from decisa.sources import readers, sinks
-from decisa.streaming import replay
 from decisa.streaming import windows as event_time
 
 
-def signals(spark, sf_dir):
-    """asset, day, price, score (mid-rank of the price among the five days before) and gate (market mean not falling)."""
-    p = windows.trailing_mid_rank(panel(spark, sf_dir), "asset", "dn", "close", 5, 2, "score")
-    market = p.groupBy("dn").agg(F.avg("close").alias("m"))
-    gate = market.withColumn("gate", F.coalesce(F.col("m") >= F.lag("m").over(Window.orderBy("dn")), F.lit(False))).select("dn", "gate")
-    return p.join(gate, "dn").select("asset", F.col("dn").cast("long").alias("day"), F.col("close").alias("price"), "score", "gate")
-
-
-@query()
-def position_ledger(spark, sf_dir):
-    return rounded(replay.replay_positions(signals(spark, sf_dir)))
-
-
-@query()
-def order_ledger(spark, sf_dir):
-    """Views are quotes, purchases and clicks are decisions to buy and sell; each user is an account."""
-    e = table(spark, sf_dir, "events").filter("event_type in ('view', 'purchase', 'click')")
-    e = e.select(F.col("user_id").alias("account"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_type") == "view", "quote").otherwise("decision").alias("kind"), F.lit("a").alias("asset"), F.when(F.col("event_type") == "click", -F.col("value")).otherwise(F.col("value") + 1).alias("value"), (F.col("value") / 4).alias("size"))
-    return rounded(replay.replay_orders(e, window=5 * 86_400))
-
-
-@query()
-def order_conservation(spark, sf_dir):
-    """Each account's cash recomputed from its fills."""
-    return rounded(replay.conservation(order_ledger(spark, sf_dir), 1e-3))
-
-
-@query()
-def campaign_ledger(spark, sf_dir):
-    s = signals(spark, sf_dir).withColumn("book", F.col("asset") % 10)
-    return rounded(replay.replay_campaigns(s))
-
-
 @query("""SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
 def tumbling_windows(spark, sf_dir):
     return rounded(event_time.windowed(table(spark, sf_dir, "events"), "6 hours"))
@@ -99,10 +63,14 @@ def request_segments(spark, sf_dir):
     return readers.request_segments(body, "conv_id", "body").select("conv_id", "pos", "pointer", "role", F.md5("value").alias("digest"))
 
 
-@query("SELECT event_id, true AS fine FROM events")
+@query("SELECT event_id, event_type NOT IN ('error', 'click', 'signup') AS fine FROM events")
 def strict_json_props(spark, sf_dir):
-    """Every props text through the strict parser."""
-    return table(spark, sf_dir, "events").select("event_id", readers.strict_json(F.col("props")).isNull().alias("fine"))
+    """Every props text through the strict parser; those of errors repeat a key, those of clicks hold NaN, those of
+    signups go on behind the value, which Spark's own reader lets pass."""
+    bare = F.substring(F.col("props"), F.lit(2), F.length("props"))
+    kind = F.col("event_type")
+    props = F.when(kind == "error", F.concat(F.lit('{"k":1,'), bare)).when(kind == "click", F.concat(F.lit('{"n":NaN,'), bare)).when(kind == "signup", F.concat("props", F.lit(" 1"))).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", readers.strict_json(props).isNull().alias("fine"))
 
 
 @query(f"""WITH {PANEL}, d AS (SELECT dn, asset, close, row_number() OVER (PARTITION BY dn ORDER BY asset) AS k, row_number() OVER (PARTITION BY dn ORDER BY sha256('p|' || dn || '|' || asset), asset) AS h FROM panel)

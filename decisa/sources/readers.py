@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from decisa.functions.jsons import parse
+
 
 #: File names up to this number are broadcast.
 BROADCAST_FILES = 100_000
@@ -23,30 +23,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def strict_json(column):
-    """Why a text is not strict JSON: null when it is; repeated keys, NaN and infinities are faults, which Spark's own
-    parser lets pass."""
-
-    @F.pandas_udf("string")
-    def fault(texts: pd.Series) -> pd.Series:
-        def unique(pairs):
-            keys = [k for k, _ in pairs]
-            if len(set(keys)) < len(keys):
-                raise ValueError("repeated key")
-            return dict(pairs)
-
-        def constant(name):
-            raise ValueError(f"constant {name}")
-
-        def check(text):
-            try:
-                json.loads(text, object_pairs_hook=unique, parse_constant=constant)
-            except (ValueError, TypeError, RecursionError) as e:
-                return str(e).split(":")[0][:60] or "not JSON"
-            return None
-
-        return texts.map(check)
-
-    return fault(column)
+    """Why a text is not strict JSON: null when it is; `empty` for blank and null texts, else `not JSON`: broken syntax,
+    repeated keys, NaN and infinities, and more behind the value. Column expressions, by way of VARIANT."""
+    blank = F.coalesce(F.length(F.trim(column)), F.lit(0)) == 0
+    return F.when(blank, "empty").when(parse(column).isNull(), "not JSON")
 
 
 def read_strict_jsonl(spark: SparkSession, path: str) -> DataFrame:

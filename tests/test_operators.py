@@ -60,8 +60,8 @@ def test_labels_ignore_later_rows(spark):
     rng = random.Random(1)
     data = [("a", k, rng.random()) for k in range(60)]
     df = spark.createDataFrame(data, "k string, t int, v double")
-    part = windows.expanding_quantile_flag(df.filter("t < 40"), "t", "v", 0.8, 5, "hot", "k")
-    whole = windows.expanding_quantile_flag(df, "t", "v", 0.8, 5, "hot", "k").filter("t < 40")
+    part = windows.expanding_quantile_flag(df.filter("t < 40"), "k", "t", "v", 0.8, 5, "hot")
+    whole = windows.expanding_quantile_flag(df, "k", "t", "v", 0.8, 5, "hot").filter("t < 40")
     assert rows(part, "t", "hot") == rows(whole, "t", "hot")
 
 

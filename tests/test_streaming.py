@@ -1,48 +1,25 @@
-"""Batch and streaming forms give the same rows; ledgers conserve cash; guards hold."""
+"""Batch and streaming forms give the same rows."""
 
-import pandas as pd
+import random
 
-from decisa.streaming import replay, windows
+from decisa.operators.asof import asof_join
+from decisa.streaming import windows
+from decisa.streaming.asof import stream_asof
 
 
-def panel(spark, days=40):
-    rows = [(a, d, 10.0 + ((a * 7 + d * 3) % 11), ((a + d) % 5) / 4.0, (d % 9) != 0) for a in range(4) for d in range(days)]
-    return spark.createDataFrame(rows, "asset long, day long, price double, score double, gate boolean")
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    p = panel(spark)
+def test_stream_equals_the_batch_join(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(rng.choice("abc"), t // 3, rng.choice(["fact", "ask", "ask"]), float(t)) for t in range(240)]
+    df = spark.createDataFrame(rows, "key string, t long, kind string, value double")
     for k in range(4):
-        p.filter(f"day >= {k * 10} and day < {k * 10 + 10}").coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
-    source = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = replay.stream_positions(source).writeStream.format("memory").queryName("positions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        df.filter(f"t >= {k * 20} and t < {k * 20 + 20}").coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = stream_asof(source).writeStream.format("memory").queryName("asof").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    order = ["asset", "day", "event"]
-    got = spark.table("positions").toPandas().sort_values(order).reset_index(drop=True)
-    want = replay.replay_positions(p).toPandas().sort_values(order).reset_index(drop=True)
-    pd.testing.assert_frame_equal(got, want)
-
-
-def test_positions_alternate(spark):
-    out = replay.replay_positions(panel(spark)).toPandas().sort_values(["asset", "day"])
-    for _, g in out.groupby("asset"):
-        assert all(e == ("enter" if i % 2 == 0 else "exit") for i, e in enumerate(g["event"]))
-        assert (g[g["event"] == "exit"]["held"] <= 5).all()
-
-
-def test_orders_wait_and_conserve(spark):
-    rows = [(1, 0, "quote", "a", 10.0, 5.0), (1, 10, "decision", "a", 8.0, 0.0), (1, 30, "quote", "a", 11.0, 5.0), (1, 70, "quote", "a", 12.0, 5.0), (1, 90, "quote", "a", 13.0, 5.0), (1, 5, "decision", "b", 1.0, 0.0)]
-    df = spark.createDataFrame(rows, "account long, t long, kind string, asset string, value double, size double")
-    ledger = replay.replay_orders(df)
-    got = sorted((r["t"], r["event"], r["quantity"], r["price"]) for r in ledger.collect())
-    assert got == [(5, "blocked", 1.0, None), (10, "order", 8.0, 10.0), (70, "fill", 5.0, 12.0), (90, "fill", 3.0, 13.0)]
-    assert all(r["ok"] for r in replay.conservation(ledger).collect())
-
-
-def test_campaigns(spark):
-    out = replay.replay_campaigns(panel(spark).selectExpr("0L as book", "*")).toPandas()
-    exits = out["event"].str.startswith("exit")
-    assert (out["event"] == "enter").sum() == exits.sum() and (out["cash"][exits] > 0).all()
+    got = sorted((r["key"], r["t"], -1 if r["value"] is None else r["value"] // 3, r["age"] is None) for r in spark.table("asof").collect())
+    asks, facts = df.filter("kind = 'ask'").select("key", "t"), df.filter("kind = 'fact'").select("key", "t", "value")
+    batch = asof_join(asks, facts, ["key"], "t", "t", ["value"]).collect()
+    assert got == sorted((r["key"], r["t"], -1 if r["value"] is None else r["value"] // 3, r["value"] is None) for r in batch) and len(got) > 100
 
 
 def test_windows_stream(spark, tmp_path):
