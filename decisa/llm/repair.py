@@ -27,8 +27,8 @@ from decisa.session import fresh_path, own_batches
 SHARD_TOKENS = 1 << 20
 PAIRS_A_ROUND = 8192
 #: A rule takes 12 bytes, its two symbols and its length, and each use of it saves a symbol of about two: with fewer
-#: places a pair doesn't pay for its rule.
-LEAST = 8
+#: places a pair hardly pays for its rule and its time.
+LEAST = 16
 #: Distinct pieces that a worker remembers, about 40 bytes each, and how many of them are new since the last merge.
 CACHE, RECENT = 1_000_000, 60_000
 #: What may follow a word as a split of its own.
@@ -239,64 +239,89 @@ def _cut(ids: np.ndarray, at: int) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *[s + 4 for s in stops]], [*stops, len(data)], strict=True)]
 
 
+def _lanes(width: int):
+    """(lane, first byte, shift, bytes) of each of eight symbols of `width` bits, which fill `width` bytes."""
+    for lane in range(8):
+        first, shift = divmod(lane * width, 8)
+        yield lane, first, U64(shift), -(-(shift + width) // 8)
+
+
 def pack(symbols: np.ndarray, width: int) -> bytes:
     """Symbols of `width` bits each, one after another, lowest bit first."""
-    bits = np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+    eights = np.zeros((-(-len(symbols) // 8), 8), U64)
+    eights.reshape(-1)[: len(symbols)] = symbols
+    out = np.zeros((len(eights), width), np.uint8)
+    for lane, first, shift, n in _lanes(width):
+        value = eights[:, lane] << shift
+        for k in range(n):
+            out[:, first + k] |= (value >> U64(8 * k)).astype(np.uint8)
+    return out.tobytes()[: -(-len(symbols) * width // 8)]
 
 
 def unpack(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
-    """Symbols start to stop of packed ones; only their own bytes are read."""
-    low, high = start * width // 8, -(-stop * width // 8)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, high - low, low), bitorder="little")
-    bits = bits[start * width - 8 * low :][: (stop - start) * width].reshape(-1, width)
-    wide = np.zeros((stop - start, 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
-
-
-def _places(symbols: np.ndarray, stop: np.ndarray, floor: int, spot: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of pairs from buckets of `floor` or more, and the pairs; none over a document's end. In a run of one
-    symbol, every other place counts, from its left."""
+    """Symbols start to stop of packed ones; only the bytes around them are read."""
+    low, high = start // 8, -(-stop // 8)
+    part = np.frombuffer(data, np.uint8)[low * width : high * width]
+    rows = np.zeros((high - low, width), np.uint8)
+    rows.reshape(-1)[: len(part)] = part
+    out = np.empty((high - low, 8), np.uint32)
+    for lane, first, shift, n in _lanes(width):
+        value = np.zeros(high - low, U64)
+        for k in range(n):
+            value |= rows[:, first + k].astype(U64) << U64(8 * k)
+        out[:, lane] = (value >> shift) & U64((1 << width) - 1)
+    return out.reshape(-1)[start - 8 * low : stop - 8 * low]
+
+
+def _places(symbols: np.ndarray, floor: int, spot: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs from buckets of `floor` or more, and the pairs. In a run of one symbol, every other place
+    counts, from its left."""
     a, b = symbols[:-1], symbols[1:]
     at = np.flatnonzero((hot >= floor)[spot])
-    at = at[~stop[at]]
-    equal = a[at] == b[at]
+    x, y = a[at], b[at]
+    equal = x == y
     if equal.any():
         n = np.arange(len(at))
         follows = np.zeros(len(at), bool)
         follows[1:] = equal[1:] & equal[:-1] & (at[1:] == at[:-1] + 1)
         odd = (n - np.maximum.accumulate(np.where(follows, 0, n))) % 2 == 1
-        at = at[~odd]
-    return at, (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+        at, x, y = at[~odd], x[~odd], y[~odd]
+    return at, (x.astype(np.uint64) << np.uint64(32)) | y
 
 
 def _frequent(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent pairs that may be replaced together, where no symbol both ends one and begins another; then
     the places that may hold one, and their pairs. Pairs are counted by hash first, then exactly in the full buckets;
-    none is chosen only when no pair is there LEAST times."""
+    none is chosen only when no pair is there LEAST times. A pair over a document's end is in no bucket."""
     a, b = symbols[:-1], symbols[1:]
     spot = _bucket(a, b)
-    hot = np.bincount(spot[~stop[:-1]], minlength=1 << HASH_BITS)
+    spot[np.flatnonzero(stop[:-1])] = 1 << HASH_BITS
+    hot = np.bincount(spot, minlength=(1 << HASH_BITS) + 1)
+    hot[-1] = 0
+    floors = [LEAST]
+    if np.count_nonzero(hot >= LEAST) > 2 * PAIRS_A_ROUND:
+        floors = sorted({LEAST, max(LEAST, int(np.partition(hot, -2 * PAIRS_A_ROUND)[-2 * PAIRS_A_ROUND]))}, reverse=True)
     chosen: list[int] = []
-    for floor in sorted({LEAST, max(LEAST, int(np.partition(hot, -2 * PAIRS_A_ROUND)[-2 * PAIRS_A_ROUND]))}, reverse=True):
-        at, key = _places(symbols, stop, floor, spot, hot)
+    for floor in floors:
+        at, key = _places(symbols, floor, spot, hot)
         pairs, counts = np.unique(key, return_counts=True)
+        often = np.flatnonzero(counts >= LEAST)
         heads, tails = set(), set()
-        for k in np.argsort(-counts, kind="stable").tolist():
-            if counts[k] < LEAST or len(chosen) == PAIRS_A_ROUND:
-                break
-            x, y = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
+        for pair in pairs[often[np.argsort(-counts[often], kind="stable")]].tolist():
+            x, y = pair >> 32, pair & 0xFFFFFFFF
             if x not in tails and y not in heads:
                 heads.add(x)
                 tails.add(y)
-                chosen.append(int(pairs[k]))
+                chosen.append(pair)
+                if len(chosen) == PAIRS_A_ROUND:
+                    break
         if chosen:
             break
-    full = np.zeros(1 << HASH_BITS, bool)
-    full[[_bucket(np.uint32(k >> 32), np.uint32(k & 0xFFFFFFFF)) for k in chosen]] = True
+    picked = np.sort(np.array(chosen, np.uint64))
+    full = np.zeros((1 << HASH_BITS) + 1, bool)
+    full[_bucket((picked >> np.uint64(32)).astype(np.uint32), picked.astype(np.uint32))] = True
     may = full[spot[at]]
-    return np.sort(np.array(chosen, np.uint64)), at[may], key[may]
+    return picked, at[may], key[may]
 
 
 def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
