@@ -10,17 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisa.session import materialize
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PROBES = 3
 BITS_A_RULE = 16
 #: Blocks up to this number (8 bytes each) are a literal of the plan; a larger filter is joined by block.
 LITERAL_BLOCKS = 4096
-#: Rules up to this number are broadcast to the exact join; more are joined by a shuffle.
+#: Rules, and URLs with a verdict, up to this number are broadcast to their joins; more are joined by a shuffle.
 BROADCAST_RULES = 200_000
 
 
 def url_host(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty without ://."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
 
 
 def url_path(url: Column) -> Column:
@@ -48,34 +51,38 @@ def _block(h: Column, blocks: int) -> Column:
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict.
 
-    rules: (host, path, verdict). The fitting rule with the longest host and path decides; without one, rule is null
-    and verdict the default. A null URL or one without :// has empty host and path. Rows come back as they came,
-    repeated ones too; columns of pages named like a new one are replaced. Empty tables are fine on either side.
+    rules: (host, path, verdict). A rule's host is canonical like a URL's, A-Z lower-cased; rules without host or path
+    are left out, and of contradicting ones the smallest verdict holds. The fitting rule with the longest host and path
+    decides; without one, rule is null and verdict the default. A null URL or one without :// has empty host and path.
+    Rows come back as they came, repeated ones too; columns of pages named like a new one are replaced. Empty tables
+    are fine on either side. Of a host, only as many labels are looked at as the longest rule has.
+
+    Rows that the filter passes are looked up once for each distinct URL; all others, nulls too, meet no join.
     """
-    rules = rules.filter("host is not null and path is not null").dropDuplicates(["host", "path"])
-    rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
+    canonical = F.translate(F.col("host"), UPPER, LOWER)
+    rules = rules.filter("host is not null and path is not null").groupBy(canonical.alias("r_host"), F.col("path").alias("r_path")).agg(F.min("verdict").alias("r_verdict"))
     rules = rules.withColumn("h", F.xxhash64(_key(F.col("r_host"), F.col("r_path"))))
-    stats = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")).first()
+    stats = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"), F.max(F.size(F.split("r_host", r"\."))).alias("labels")).first()
     named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     if not stats["n"]:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     blocks = 1 << max(0, (stats["n"] * BITS_A_RULE - 1).bit_length() - 6)
     bloom = rules.groupBy(_block(F.col("h"), blocks).alias("block")).agg(F.bit_or(_bits(F.col("h"))).alias("word"))
 
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, stats["labels"])
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, F.lit(1), i)), "."))
     lengths = F.filter(F.array(*[F.lit(x) for x in stats["lengths"]]), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda n: F.struct(s.alias("r_host"), F.substring(F.col("path"), F.lit(1), n).alias("r_path"), F.xxhash64(_key(s, F.substring(F.col("path"), F.lit(1), n))).alias("h")))))
-    urls = named.select(F.col(url).alias("key_url"), "host", "path").filter("key_url is not null")
     if blocks <= LITERAL_BLOCKS:
         words = [0] * blocks
         for row in bloom.collect():  # at most LITERAL_BLOCKS rows
             words[row["block"]] = row["word"]
         table = F.array(*[F.lit(w).cast("long") for w in words])
         keys = F.filter(keys, lambda k: F.element_at(table, (_block(k["h"], blocks) + 1).cast("int")).bitwiseAND(_bits(k["h"])) == _bits(k["h"]))
-        hits = urls.select("key_url", F.inline(keys))
-    else:
-        hits = urls.select("key_url", F.inline(keys)).withColumn("block", _block(F.col("h"), blocks)).join(bloom, "block")
+    urls = named.select(F.col(url).alias("key_url"), "host", "path").filter("key_url is not null").distinct()
+    hits = urls.select("key_url", F.inline(keys))
+    if blocks > LITERAL_BLOCKS:
+        hits = hits.withColumn("block", _block(F.col("h"), blocks)).join(bloom, "block")
         hits = hits.filter(F.col("word").bitwiseAND(_bits(F.col("h"))) == _bits(F.col("h")))
     exact = rules.drop("h")
     if stats["n"] <= BROADCAST_RULES:
@@ -83,6 +90,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     hits = hits.select("key_url", "r_host", "r_path").join(exact, ["r_host", "r_path"])
     rule = F.concat("r_host", "r_path")
     best = hits.groupBy("key_url").agg(F.max(F.struct(F.length(rule).alias("size"), F.length("r_host").alias("of_host"), rule.alias("rule"), "r_verdict")).alias("best"))
-    best = best.select("key_url", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
-    out = named.join(best, named[url] == best["key_url"], "left").drop(best["key_url"])
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = materialize(best.select("key_url", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict")), "ruled-urls")
+    none = {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
+    if best.count() <= BROADCAST_RULES:
+        out = named.join(F.broadcast(best), named[url] == best["key_url"], "left").drop(best["key_url"])
+        return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # too many to broadcast: rows that no rule can fit stay where they are, the others meet their URL's verdict
+    passed = F.size(keys) > 0 if blocks <= LITERAL_BLOCKS else F.col("host") != ""
+    maybe = named.filter(F.coalesce(passed & F.col(url).isNotNull(), F.lit(False)))
+    rest = named.filter(~F.coalesce(passed & F.col(url).isNotNull(), F.lit(False))).withColumns(none)
+    joined = maybe.join(best, maybe[url] == best["key_url"], "left").drop(best["key_url"])
+    return rest.unionByName(joined.withColumn("verdict", F.coalesce("verdict", F.lit(default))))

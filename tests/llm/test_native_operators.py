@@ -7,7 +7,7 @@ import pytest
 from decisa.llm import chat_format, decontaminate, queries, url_filter
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("", "", "block"), ("example.net", "/de/8", "block")]
-URLS = ["http://a.example.com/en/712?x", "HTTP://EXAMPLE.COM/en/8", "x://example.com", "https://example.net/de/8/9#f", "https://m.example.net/de/7", "notexample.com/en/", None, "", "://", "ftp://com/en/", "http://xcom/en/", "a://b://c.com/en/", "http://\u00c9.com/en/\u00e9"]
+URLS = ["http://" + "a." * 20_000 + "com/en/", "http://a.example.com/en/712?x", "HTTP://EXAMPLE.COM/en/8", "x://example.com", "https://example.net/de/8/9#f", "https://m.example.net/de/7", "notexample.com/en/", None, "", "://", "ftp://com/en/", "http://xcom/en/", "a://b://c.com/en/", "http://\u00c9.com/en/\u00e9"]
 
 
 def brute_url(url, rules):
@@ -22,12 +22,14 @@ def brute_url(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
 @pytest.mark.parametrize("literal", [4096, 0])
-def test_url_filter(spark, monkeypatch, literal):
+def test_url_filter(spark, monkeypatch, literal, broadcast):
     monkeypatch.setattr(url_filter, "LITERAL_BLOCKS", literal)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
     rules = [r for r in RULES if r[0]]
     pages = spark.createDataFrame([(i, u, "old", "k") for i, u in enumerate(URLS + URLS[:2])], "page_id long, url string, verdict string, key_url string")
-    got = url_filter.filter_urls(pages, spark.createDataFrame(rules + [(None, "/", "block")], "host string, path string, verdict string"))
+    got = url_filter.filter_urls(pages, spark.createDataFrame([(h.upper(), p, v) for h, p, v in rules] + [(None, "/", "block"), ("net", "/de/", "block")], "host string, path string, verdict string"))
     assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()} == {(i, *brute_url(u, rules)) for i, u in enumerate(URLS + URLS[:2])}
     none = url_filter.filter_urls(pages, spark.createDataFrame([], "host string, path string, verdict string"))
     assert {r["verdict"] for r in none.collect()} == {"allow"} and none.count() == len(URLS) + 2
