@@ -214,6 +214,11 @@ def _across(num: int, den: int):
     return run
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, broadcast when it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _links(sets: DataFrame, frequent: list, num: int, den: int, chunk: int) -> DataFrame:
     """Edges (a, b) between classes that connect exactly the classes that links connect."""
     frequent = sorted((r["token"], r["texts"]) for r in frequent)
@@ -222,8 +227,10 @@ def _links(sets: DataFrame, frequent: list, num: int, den: int, chunk: int) -> D
     postings = sets.select("fp", "n", "tokens").mapInArrow(_postings(num, den, hot, level), "token long, fp binary")
     centers = postings.groupBy("token").agg(F.min("fp").alias("center"), F.count("*").alias("k")).filter("k > 1").drop("k")
     members = materialize(postings.join(centers, "token").select("center", "fp").distinct(), "members")
-    sizes = members.groupBy("center").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
-    placed = members.join(sizes, "center").withColumn(
+    # of blocks of several chunks there are few, so a large block's members needn't meet in one task to learn its size
+    large = members.groupBy("center").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")).filter("chunks > 1")
+    large = _small(materialize(large, "large-blocks"))
+    placed = members.join(large, "center", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn(
         "salt",
         F.when(F.col("fp") == F.col("center"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))),
     )
@@ -232,10 +239,10 @@ def _links(sets: DataFrame, frequent: list, num: int, den: int, chunk: int) -> D
     done = materialize(block.groupBy("center", "salt").applyInPandas(_within(num, den), EDGES), "links")
     edges = done.filter("a is not null").select("a", "b")
     apart = done.filter("apart is not null").select("center", F.col("apart").alias("fp"))
-    split = apart.groupBy("center").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
+    split = _small(materialize(apart.groupBy("center").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts")), "split-blocks"))
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     whole = placed.filter("chunks > 1").join(split, "center").select("center", "salt", part, "fp", F.lit(False).alias("apart"))
-    spread = apart.join(split, "center").join(sizes, "center")
+    spread = apart.join(split, "center").join(large, "center")
     spread = spread.select("center", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp", F.lit(True).alias("apart"))
     rest = whole.unionByName(spread).join(sets, "fp").groupBy("center", "salt", "part").applyInPandas(_across(num, den), "a binary, b binary")
     return edges.unionByName(rest)
