@@ -18,19 +18,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of every document, by the n-gram Jaccard join."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("component", "key")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back through the merged index of captures."""
     captures = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "rank")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others, by the inverted multi-index."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -39,6 +43,7 @@ def _fold(folds: int):
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from the labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.select(F.col("doc_id").alias("key"), "text"), quality.learnable(labels))
@@ -54,6 +59,7 @@ def tokenizer_path() -> str:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as Re-Pair shards and read back from them."""
     return repair.encode_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
@@ -61,6 +67,7 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the contract's rules on every page; without a fitting rule it is allow."""
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(repr, RULES))} AS r(host, path, verdict)")
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +76,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that is hard to escape, formatted and read back from the examples alone."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     talks = read_examples(chat_examples(rows.unionByName(more)))
@@ -81,10 +89,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document holds a benchmark passage, which ones, and the best share of agreeing words."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     learn = docs.filter(_fold(3) != 1).select(F.col("doc_id").alias("key"), "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(learn))

@@ -2,7 +2,7 @@
 
 Token ids are written in shards of about SHARD_TOKENS ids. In a shard, frequent pairs of neighbouring ids are replaced
 by nonterminals, again and again: each round counts all pairs, takes the most frequent ones that can be replaced
-side by side, and gives each a rule, until no pair is left LEAST times. A pair of equal ids is counted and replaced
+side by side, and gives each a rule, until no pair is left LEAST times or a round would win less than a GAIN-th. A pair of equal ids is counted and replaced
 from left to right without overlaps. A rule never crosses a document's end, so any document can be decoded alone from
 its range of symbols; each rule's expansion length is stored, so its place in the output is known without expanding.
 
@@ -29,6 +29,8 @@ PAIRS_A_ROUND = 8192
 #: A rule takes 12 bytes, its two symbols and its length, and each use of it saves a symbol of about two: with fewer
 #: places a pair hardly pays for its rule and its time.
 LEAST = 16
+#: A round is a pass over the shard: one that would shorten it by less than a GAIN-th is the end.
+GAIN = 1000
 #: Distinct pieces that a worker remembers, about 40 bytes each, and how many of them are new since the last merge.
 CACHE, RECENT = 1_000_000, 60_000
 #: What may follow a word as a split of its own.
@@ -331,7 +333,8 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules, expansion lengths) of ids below base, whose documents end before
-    `ends`. Rule k is symbol base + k. It ends when no pair is left to replace."""
+    `ends`. Rule k is symbol base + k. It ends when no pair is left LEAST times, or all that are left together would
+    shorten the symbols by less than a GAIN-th."""
     symbols, rules = ids.astype(np.uint32), []
     stop = np.zeros(len(symbols), bool)
     stop[ends - 1] = True
@@ -343,6 +346,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         at[at == len(chosen)] = 0
         found = chosen[at] == key
         hit = places[found]
+        if len(hit) * GAIN < len(symbols):
+            break
         symbols[hit] = base + len(rules) + at[found]
         stop[hit] = stop[hit + 1]
         keep = np.ones(len(symbols), bool)
