@@ -40,3 +40,8 @@ def carry_forward(left: DataFrame, right: DataFrame, by: list[str], left_time: s
     """left with the last value at or before its time, flagged stale when it isn't of that very time."""
     out = asof_join(left, right.withColumn("as_of", F.col(right_time)), by, left_time, right_time, [value, "as_of"], tie=tie)
     return out.withColumn("stale", F.col("as_of").isNull() | (F.col("as_of") != F.col(left_time)))
+
+
+def availability_faults(df: DataFrame, decision: str, available: str) -> DataFrame:
+    """One row (used, violations): rows that use a value, and those whose value was there only after the decision."""
+    return df.agg(F.count(available).alias("used"), F.count_if(F.col(available) > F.col(decision)).alias("violations"))

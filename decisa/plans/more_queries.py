@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from decisa.functions import stats, text, windows
+from decisa.operators import asof
 from decisa.operators import panel as books
 from decisa.operators import ranks, removal, resample, walkforward
 from decisa.plans.base import PANEL, SCORED, panel, query, rounded, scored, table
+from decisa.session import fresh_path
+from decisa.sources import sinks
 
 W = "PARTITION BY asset ORDER BY day"
 
@@ -155,13 +158,17 @@ def interaction_grid(spark, sf_dir):
     return rounded(d.groupBy("a", "b").agg(F.avg("m").alias("mean_of_days"), (F.sum(F.col("m") * F.col("k")) / F.sum("k")).alias("pooled"), F.count("*").alias("days")))
 
 
-@query(f"""WITH {SCORED}, m AS (SELECT split, count(*) AS n, avg(correct::INT::DOUBLE) AS acc, count(*) FILTER (p >= 0.6 AND y = 0) AS fp FROM scored GROUP BY split)
-SELECT split, gate, verdict FROM (SELECT split, 'accuracy' AS gate, CASE WHEN n < 30 THEN 'PENDING' WHEN acc >= 0.7 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m UNION ALL SELECT split, 'false_positives', CASE WHEN n < 30 THEN 'PENDING' WHEN fp <= 5 THEN 'PASS' ELSE 'FAIL' END FROM m)""")
+@query(f"""WITH {SCORED}, m AS (SELECT split, count(*) AS n, avg(correct::INT::DOUBLE) AS acc, count(*) FILTER (p >= 0.6 AND y = 0) AS fp, avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS nll, avg((p - y) * (p - y)) AS brier, avg((conf >= 0.75)::INT::DOUBLE) AS coverage, avg((p >= 0.5)::INT::DOUBLE) FILTER (y = 1) AS recall FROM scored GROUP BY split),
+g AS (SELECT split, n, unnest([{{'g': 'accuracy', 'ok': acc >= 0.7}}, {{'g': 'false_positives', 'ok': fp <= 5}}, {{'g': 'nll', 'ok': nll <= 0.6}}, {{'g': 'brier', 'ok': brier <= 0.15}}, {{'g': 'coverage', 'ok': coverage >= 0.3}}, {{'g': 'recall', 'ok': recall >= 0.5}}]) AS x FROM m)
+SELECT split, x.g AS gate, CASE WHEN n < 30 THEN 'PENDING' WHEN x.ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""")
 def gate_battery(spark, sf_dir):
     """Named gates over metrics: PASS, FAIL, or PENDING below the least number of rows."""
-    m = scored(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("acc"), F.count_if((F.col("p") >= 0.6) & (F.col("y") == 0)).alias("fp"))
+    m = scored(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("acc"), F.count_if((F.col("p") >= 0.6) & (F.col("y") == 0)).alias("fp"),
+        F.avg(-F.ln(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("nll"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"),
+        F.avg((F.col("conf") >= 0.75).cast("double")).alias("coverage"), F.avg(F.when(F.col("y") == 1, (F.col("p") >= 0.5).cast("double"))).alias("recall"))
     verdict = lambda ok: F.when(F.col("n") < 30, "PENDING").when(ok, "PASS").otherwise("FAIL")
-    gates = F.array(F.struct(F.lit("accuracy").alias("gate"), verdict(F.col("acc") >= 0.7).alias("verdict")), F.struct(F.lit("false_positives").alias("gate"), verdict(F.col("fp") <= 5).alias("verdict")))
+    rules = {"accuracy": F.col("acc") >= 0.7, "false_positives": F.col("fp") <= 5, "nll": F.col("nll") <= 0.6, "brier": F.col("brier") <= 0.15, "coverage": F.col("coverage") >= 0.3, "recall": F.col("recall") >= 0.5}
+    gates = F.array(*[F.struct(F.lit(name).alias("gate"), verdict(ok).alias("verdict")) for name, ok in rules.items()])
     return m.select("split", F.inline(gates))
 
 
@@ -319,3 +326,45 @@ def corpus_history(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t")).filter(F.size("t") >= 5)
     ref = F.element_at("t", -1)["role"] == "assistant"
     return c.select("conv_id", (F.size("t") - F.when(ref, 1).otherwise(0)).cast("long").alias("history"), ref.alias("has_reference"))
+
+
+@query(f"""WITH {SCORED}, v AS (SELECT id, CASE WHEN y <> toxic THEN 1 ELSE 0 END + CASE WHEN y <> (p >= 0.5)::INT THEN 1 ELSE 0 END AS flips FROM scored)
+SELECT id FROM v WHERE flips = 0 AND CAST(('0x' || substring(sha256('review:' || id), 1, 8)) AS BIGINT) % 10 = 0""")
+def review_sample(spark, sf_dir):
+    """A tenth of the rows that no one disputes, by hash, to be reviewed beside the queue; the share is the feature."""
+    s = scored(spark, sf_dir)
+    agreed = (F.col("y") == F.col("toxic")) & (F.col("y") == (F.col("p") >= 0.5).cast("int"))
+    return s.filter(agreed & (text.hash_bucket(F.col("id").cast("string"), "review", 10) == 0)).select("id")
+
+
+@query(f"""WITH {PANEL}, w AS (SELECT asset, dn, close, fund, count(*) OVER b AS k, max(close) OVER b AS top, avg(close) OVER b AS mean FROM panel WINDOW b AS ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+t AS (SELECT asset, dn, unnest([{{'t': 'trail', 'd': k = 5, 'f': close <= top * 0.92::DOUBLE}}, {{'t': 'below_average', 'd': k = 5, 'f': close < mean}}, {{'t': 'settled_high', 'd': fund IS NOT NULL, 'f': fund > 90}}]) AS x FROM w)
+SELECT asset, dn AS day, x.t AS trigger, x.d AS defined, coalesce(x.d AND x.f, false) AS fires FROM t""")
+def trigger_family(spark, sf_dir):
+    """Exit triggers as pairs of whether they are defined and whether they fire, a row each."""
+    p, b = panel(spark, sf_dir), Window.partitionBy("asset").orderBy("day").rowsBetween(-5, -1)
+    full = F.count(F.lit(1)).over(b) == 5
+    rules = {"trail": (full, F.col("close") <= F.max("close").over(b) * 0.92), "below_average": (full, F.col("close") < F.avg("close").over(b)), "settled_high": (F.col("fund").isNotNull(), F.col("fund") > 90)}
+    each = F.array(*[F.struct(F.lit(name).alias("trigger"), defined.alias("defined"), F.coalesce(defined & fires, F.lit(False)).alias("fires")) for name, (defined, fires) in rules.items()])
+    return p.select("asset", F.col("dn").alias("day"), each.alias("x")).select("asset", "day", F.inline("x"))
+
+
+@query("""WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), f AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'), m AS (SELECT c.event_id, c.ts, max(f.ts) FILTER (f.ts <= c.ts) AS known, min(f.ts) FILTER (f.ts >= c.ts) AS next FROM c LEFT JOIN f USING (user_id) GROUP BY 1, 2)
+SELECT 'causal' AS selector, count(known) AS used, count(*) FILTER (known > ts) AS violations FROM m UNION ALL SELECT 'leaky', count(next), count(*) FILTER (next > ts) FROM m""")
+def availability_guard(spark, sf_dir):
+    """A selector may use only what was there at the decision: the backward join never breaks that, one that looks ahead
+    is caught."""
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    asks, facts = e.filter("event_type = 'click'").select("event_id", "user_id", "us"), e.filter("event_type = 'purchase'").select("user_id", "us", F.col("us").alias("at"))
+    each = [asof.availability_faults(asof.asof_join(asks, facts, ["user_id"], "us", "us", ["at"], forward=ahead), "us", "at").select(F.lit(name).alias("selector"), "used", "violations") for name, ahead in (("causal", False), ("leaky", True))]
+    return each[0].unionByName(each[1])
+
+
+@query("SELECT conv_id, turn, CAST(1 AS BIGINT) AS written FROM conversations")
+def resumed_shards(spark, sf_dir):
+    """Turns written to shards in two runs, the first of assistants only: the second writes what is missing."""
+    path = fresh_path(spark, "shards")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    sinks.write_remaining(t.filter("role = 'assistant'"), path, "key", 4)
+    sinks.write_remaining(t, path, "key", 4)
+    return spark.read.parquet(path).groupBy("conv_id", "turn").agg(F.count("*").alias("written"))

@@ -389,9 +389,12 @@ def evenly_spaced_sample(spark, sf_dir):
     return books.evenly_spaced(panel(spark, sf_dir).select("asset", "dn"), ["asset"], "dn", 5).withColumnRenamed("dn", "day")
 
 
-@query(f"""WITH {PANEL}, s AS (SELECT asset, dn, row_number() OVER (PARTITION BY asset ORDER BY dn) AS k, count(*) OVER (PARTITION BY asset) AS n FROM panel WHERE dn % 4 = 0) SELECT asset, dn AS day, CASE WHEN k > floor(n * (1 - 0.25::DOUBLE)) THEN 'eval' ELSE 'train' END AS split FROM s""")
+@query(f"""WITH {PANEL}, f AS (SELECT *, dense_rank() OVER (ORDER BY dn) - 1 AS i FROM panel), s AS (SELECT asset, dn, row_number() OVER (PARTITION BY asset ORDER BY dn) AS k, count(*) OVER (PARTITION BY asset) AS n FROM f WHERE i % 4 = 0) SELECT asset, dn AS day, CASE WHEN k > floor(n * (1 - 0.25::DOUBLE)) THEN 'eval' ELSE 'train' END AS split FROM s""")
 def stride_and_tail_split(spark, sf_dir):
-    return books.temporal_tail(panel(spark, sf_dir).filter("dn % 4 = 0").select("asset", "dn"), ["asset"], "dn", 0.25).withColumnRenamed("dn", "day")
+    """Every fourth of the distinct days, found first and broadcast, then the last quarter of each asset's rows."""
+    p = panel(spark, sf_dir).select("asset", "dn")
+    days = p.select("dn").distinct().withColumn("i", F.row_number().over(Window.orderBy("dn")) - 1).filter("i % 4 = 0").select("dn")
+    return books.temporal_tail(p.join(F.broadcast(days), "dn", "leftsemi"), ["asset"], "dn", 0.25).withColumnRenamed("dn", "day")
 
 
 @query(f"""WITH RECURSIVE {PANEL}, p AS (SELECT asset, dn FROM panel), r(asset, dn) AS (SELECT asset, min(dn) FROM p GROUP BY asset UNION ALL SELECT asset, dn FROM (SELECT r.asset, min(p.dn) AS dn FROM r JOIN p ON p.asset = r.asset AND p.dn >= r.dn + 4 GROUP BY r.asset, r.dn))

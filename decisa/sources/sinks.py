@@ -78,6 +78,23 @@ def resume(df: DataFrame, done: DataFrame, key: str, shards: int) -> DataFrame:
     return df.join(done.select(key), key, "leftanti").withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
 
 
+def write_remaining(df: DataFrame, path: str, key: str, shards: int) -> None:
+    """resume() against what a path holds, appended below it in folders by shard; a repeated run writes nothing. Keys are
+    unique in df; a key's shard never changes."""
+    spark = df.sparkSession
+    try:
+        done = spark.read.parquet(path).select(key)
+    except Exception as e:  # the first run
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = df.select(key).limit(0)
+    from decisa.session import materialize
+
+    left = materialize(resume(df, done, key, shards), "remaining")  # the folder is read to the end before it grows
+    if not left.isEmpty():
+        left.write.mode("append").partitionBy("shard").parquet(path)
+
+
 def markdown(df: DataFrame, order: list, most: int = 50) -> str:
     """A short ranked table as Markdown; `most` bounds what reaches the driver."""
     rows = df.orderBy(*order).limit(most).collect()

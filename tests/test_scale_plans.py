@@ -169,3 +169,41 @@ def test_sign_test_and_votes(spark):
     votes = [(1, "b", "x", 0.5), (1, "a", "y", 0.25), (1, "c", "y", None), (1, "d", None, 1.0), (2, "a", None, 1.0)]
     got = {r["i"]: (r["votes"], r["labels"], r["flips"], r["spread"]) for r in joins.vote_summary(spark.createDataFrame(votes, "i int, r string, l string, s double"), "i", "r", "l", "s").collect()}
     assert got == {1: (4, 2, 1, 0.75), 2: (1, 0, 0, 0.0)}
+
+
+def test_boosted_stumps_against_plain_python(spark):
+    import numpy as np
+
+    from decisa.operators.walkforward import fit_logistic, fit_stumps
+
+    rng = random.Random(8)
+    rows = [(a, b, int(rng.random() < (0.9 if a > 0.6 else 0.2))) for a, b in [(round(rng.random(), 2), round(rng.random(), 1)) for _ in range(400)]]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    got = fit_stumps(df, ["a", "b"], "y", 4, 0.5).orderBy("round").collect()
+    x, y, score = np.array([r[:2] for r in rows]), np.array([r[2] for r in rows]), np.zeros(400)
+    assert got[0]["feature"] == "a" and abs(got[0]["threshold"] - 0.6) < 0.08
+    for r in got:
+        q = 1 / (1 + np.exp(-score))
+        g, h, left = q - y, q * (1 - q), x[:, ["a", "b"].index(r["feature"])] <= r["threshold"]
+        gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+        assert r["gain"] == pytest.approx(gain) and r["left"] == pytest.approx(-0.5 * g[left].sum() / (h[left].sum() + 1))
+        score += np.where(left, r["left"], r["right"])
+    w = {r["name"]: r["coefficient"] for r in fit_logistic(df, ["a", "b"], "y", 30, 2.0, objective="brier").collect()}
+    z, b = np.c_[np.ones(400), (x - x.mean(axis=0)) / x.std(axis=0)], np.zeros(3)
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-z @ b))
+        b -= 2.0 * ((2 * (q - y) * q * (1 - q)) @ z / 400 + 1e-3 * np.array([0, b[1], b[2]]))
+    assert [w["intercept"], w["a"], w["b"]] == pytest.approx(b.tolist(), abs=1e-9)
+
+
+def test_daily_ledger_books_no_incomplete_fill(spark):
+    from decisa.operators.panel import daily_ledger
+
+    day = lambda d, **c: [(d, a, x, x) for a, x in c.items()]
+    rows = day(1, a=1.0, b=2.0, c=3.0, d=4.0) + day(2, a=2.0, b=1.0, c=3.0, d=4.0) + day(3, a=0.0, b=1.0, c=3.0, d=5.0) + day(4, b=1.0)
+    got = daily_ledger(spark.createDataFrame(rows, "day int, asset string, score double, close double"), "day", "asset", "score", "close", 1, 3, 10.0).orderBy("day").collect()
+    assert [(r["event"], r["changed"], r["cost_bps"]) for r in got] == [("rebalance", 2, 10.0), ("rebalance", 1, 5.0), ("rebalance", 0, 0.0), ("skipped_insufficient_universe", 2, 10.0)]
+    # day 2: a short doubled; day 3: b short flat, d long + 25 %; day 4: b flat, d stays at its last close
+    assert [r["gross_bps"] for r in got] == pytest.approx([0.0, -5000.0, 1250.0, 0.0])
+    lost = daily_ledger(spark.createDataFrame([(1, "a", 1.0, 1.0), (1, "b", 2.0, 2.0), (1, "c", 3.0, 3.0), (2, "a", 1.0, 0.0), (2, "c", 1.0, 3.0)], "day int, asset string, score double, close double"), "day", "asset", "score", "close", 1, 3, 10.0).orderBy("day").collect()
+    assert lost[1]["gross_bps"] is None and lost[1]["net_bps"] is None and lost[1]["booked_bps"] == pytest.approx(-20.0)
