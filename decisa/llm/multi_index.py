@@ -241,8 +241,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
             out.append(np.unique(np.repeat(block[cells], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)))
         return pd.DataFrame({"reach": reach, "blocks": out})
 
-    # a traversal takes milliseconds, so queries are dealt to all tasks first; their bytes alone would fill one
-    queries = fine.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector")).repartition(tasks, "vec_id")
+    # a traversal takes milliseconds, so queries are dealt to all tasks first; their bytes alone would fill one, and a
+    # deal by vec_id itself would be left out, as the aggregate's
+    queries = fine.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector")).repartition(tasks, F.xxhash64("vec_id"))
     visits = queries.withColumn("_v", visits_of("vector")).select("vec_id", "vector", F.col("_v.reach").alias("reach"), F.explode("_v.blocks").alias("block"))
     visits = materialize(visits, "visits")
     turns = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))  # a row a block
