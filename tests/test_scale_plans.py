@@ -199,7 +199,7 @@ def test_boosted_stumps_against_plain_python(spark):
 def test_daily_ledger_books_no_incomplete_fill(spark):
     from decisa.operators.panel import daily_ledger
 
-    day = lambda d, **c: [(d, a, x, x) for a, x in c.items()]
+    day = lambda at, **closes: [(at, a, x, x) for a, x in closes.items()]
     rows = day(1, a=1.0, b=2.0, c=3.0, d=4.0) + day(2, a=2.0, b=1.0, c=3.0, d=4.0) + day(3, a=0.0, b=1.0, c=3.0, d=5.0) + day(4, b=1.0)
     got = daily_ledger(spark.createDataFrame(rows, "day int, asset string, score double, close double"), "day", "asset", "score", "close", 1, 3, 10.0).orderBy("day").collect()
     assert [(r["event"], r["changed"], r["cost_bps"]) for r in got] == [("rebalance", 2, 10.0), ("rebalance", 1, 5.0), ("rebalance", 0, 0.0), ("skipped_insufficient_universe", 2, 10.0)]
