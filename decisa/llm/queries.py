@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisa.llm import language_id, quality, repair
+from decisa.llm import alignment, genetic_packing, language_id, quality, repair
 from decisa.llm.chat_format import chat_examples, read_examples
 from decisa.llm.decontaminate import judge
+from decisa.llm.fim import fim_examples, restored
 from decisa.llm.jaccard_join import jaccard_components
 from decisa.llm.mixing import mix_sources
 from decisa.llm.multi_index import nearest
@@ -51,11 +52,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
-def tokenizer_path() -> str:
-    """The file of the byte-level BPE that op8 and the pipeline use, where the public tokenizers are installed."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A tokenizer's file, op8's and the pipeline's byte-level BPE by default, where the public tokenizers are installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of two tokenizers' tokens in every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of 2048 tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return genetic_packing.packed(docs, tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-middle example, and the text rebuilt from it."""
+    out = fim_examples(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sha256 = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256(F.col("output")).alias("output_sha256"), sha256(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
+    "op11_align_tokenizers": op11_align_tokenizers,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "op10_language_id": op10_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op1_jaccard_join": op1_jaccard_join,
@@ -115,6 +138,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), c AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+""",
     "op1_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
