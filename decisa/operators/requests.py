@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisa.functions.jsons import items_at, kind, member, parse, string_at
 from decisa.operators.joins import closure
+from decisa.operators.json_values import truthy, unquoted, values
 from decisa.session import materialize
 
 # Fixed values of the wire formats and the limits of a request.
@@ -26,102 +26,185 @@ KNOWN_FIELDS = (
 SERVER_FIELDS = ("previous_response_id", "conversation", "prompt")
 MESSAGE_FIELDS = ("role", "content", "name", "tool_calls", "function_call", "tool_call_id", "type", "id", "status")
 TOOL_FIELDS = ("tool_calls", "function_call", "tool_call_id", "name")
+PART_FIELDS = ("type", "text", "citations", "annotations", "cache_control")
 TEXT_PARTS, TOOL_PARTS = ("text", "input_text", "output_text"), ("tool_use", "tool_result")
 
-SEGMENT = "array<struct<pointer: string, role: string, text: string, protected: boolean>>"
+SEGMENT = "array<struct<pointer: string, role: string, text: string, protected: boolean, start: bigint, stop: bigint>>"
 
 
-def _segment(pointer: Column, role: Column, text: Column, protected: Column) -> Column:
-    return F.struct(pointer.alias("pointer"), role.alias("role"), text.alias("text"), (protected | role.isin(*PROTECTED_ROLES)).alias("protected"))
+def _pick(test: Column, what: Column) -> Column:
+    """The value of a group's only row that passes a test."""
+    return F.max(F.when(test, what))
 
 
-def _none() -> Column:
-    return F.array().cast(SEGMENT)
+def _any(test: Column) -> Column:
+    return F.coalesce(F.max(test), F.lit(False))
 
 
-def _of_part(part: Column, pointer: Column, role: Column, linked: Column) -> Column:
-    type_, null = string_at(part, "$.type"), F.lit(None).cast("string")
-    text = string_at(part, "$.text")
-    pinned = linked | member(part, "$.citations").isNotNull() | member(part, "$.annotations").isNotNull()
-    return F.when(type_.isin(*TOOL_PARTS), _segment(pointer, F.lit("control"), null, F.lit(True))).when(
-        type_.isin(*TEXT_PARTS) & text.isNotNull(), _segment(F.concat(pointer, F.lit("/text")), role, text, pinned)
-    )  # null: a part of another kind
+def _segment(pointer: Column, role: Column, text: Column, protected: Column, span: Column) -> Column:
+    fields = [pointer.alias("pointer"), role.alias("role"), text.alias("text"), (protected | role.isin(*PROTECTED_ROLES)).alias("protected")]
+    return F.struct(*fields, span["start"].alias("start"), span["stop"].alias("stop"))
 
 
-def _of_message(m: Column, i: Column, key: Column) -> Column:
-    """The segments of one message; a null among them is content that isn't supported."""
-    pointer, role, content = F.concat(F.lit("/"), key, F.lit("/"), i), string_at(m, "$.role"), member(m, "$.content")
-    parts = items_at(m, "$.content")
-    tool_part = F.exists(F.coalesce(parts, F.array().cast("array<variant>")), lambda p: F.coalesce(string_at(p, "$.type").isin(*TOOL_PARTS), F.lit(False)))
-    linked = member(m, "$.tool_calls").isNotNull() | member(m, "$.function_call").isNotNull() | member(m, "$.tool_call_id").isNotNull() | tool_part
-    fields = [F.when(member(m, f"$.{f}").isNotNull(), F.array(_segment(F.concat(pointer, F.lit(f"/{f}")), F.lit("control"), F.lit(None).cast("string"), F.lit(True)))).otherwise(_none()) for f in TOOL_FIELDS]
-    nothing = F.coalesce(kind(content) == "null", F.lit(True))
-    own = (
-        F.when(nothing & linked, _none())
-        .when(kind(content) == "string", F.array(_segment(F.concat(pointer, F.lit("/content")), role, string_at(m, "$.content"), linked)))
-        .when(F.size(parts) > 0, F.transform(parts, lambda p, k: _of_part(p, F.concat(pointer, F.lit("/content/"), k), role, linked)))
-        .otherwise(F.array(F.lit(None)).cast(SEGMENT))
-    )
-    return F.concat(*fields, own)
+def _some(test: Column, segment: Column) -> Column:
+    """A segment as an array of one where a test holds, else an empty one."""
+    return F.when(F.coalesce(test, F.lit(False)), F.array(segment)).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast(SEGMENT)
 
 
-def _links(messages: Column, format_: Column) -> Column:
-    """Whether every tool call has an id of its own and one later result, and every result a call before it."""
-    ids = lambda m, path, type_, id_: F.transform(F.filter(F.coalesce(items_at(m, path), F.array().cast("array<variant>")), lambda p: F.lit(True) if type_ is None else F.coalesce(string_at(p, "$.type") == type_, F.lit(False))), lambda p: string_at(p, id_))
-    empty = F.array().cast("array<string>")
-    chat, parts = format_ == "openai_chat", format_ == "anthropic_messages"
-    calls = lambda m: F.when(chat, ids(m, "$.tool_calls", None, "$.id")).when(parts, ids(m, "$.content", "tool_use", "$.id")).otherwise(empty)
-    results = lambda m: F.when(chat, F.when(string_at(m, "$.role") == "tool", F.array(string_at(m, "$.tool_call_id"))).otherwise(empty)).when(parts, ids(m, "$.content", "tool_result", "$.tool_use_id")).otherwise(empty)
-    at = lambda of: F.flatten(F.transform(messages, lambda m, i: F.transform(of(m), lambda x: F.struct(F.coalesce(x, F.lit("")).alias("id"), i.alias("i")))))
-    called, answered = at(calls), at(results)
-    names = F.transform(called, lambda c: c["id"])
-    once = (F.size(F.array_distinct(names)) == F.size(names)) & ~F.array_contains(names, "") & (F.size(called) == F.size(answered))
-    return once & F.forall(called, lambda c: F.exists(answered, lambda r: (r["id"] == c["id"]) & (r["i"] >= c["i"])))
+def _nothing() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _control(at: Column, span: Column, test: Column | None = None) -> Column:
+    """A control segment, if its value is there."""
+    return _some(span.isNotNull() if test is None else test, _segment(at, F.lit("control"), _nothing(), F.lit(True), span))
+
+
+def _parts(v: DataFrame, ids: list[str]) -> DataFrame:
+    """A row a message and part (j; null for the message's other values): what is needed of each."""
+    p, lv, kind, string = (lambda k: F.get("path", F.lit(k - 1))), F.col("lv"), F.col("kind"), F.col("kind") == "string"
+    span = F.struct("start", "stop")
+    content = p(3) == "content"
+    own = lambda name: content & (lv == 5) & (p(5) == name)
+    field = lambda name: (lv == 3) & (p(3) == name)
+    true = truthy(kind, F.col("token"), F.col("empty"))
+    block = content & (p(5) == "content")
+    part = {
+        "p_kind": _pick(content & (lv == 4), kind), "p_span": _pick(content & (lv == 4), span),
+        "p_type": _pick(own("type") & string, unquoted(F.col("token"))), "p_text": _pick(own("text") & string, unquoted(F.col("token"))), "p_text_span": _pick(own("text") & string, span),
+        "p_fields": _any(content & (lv == 5) & ~p(5).isin(*PART_FIELDS)), "p_pinned": _any((own("citations") | own("annotations")) & true),
+        "p_citations": _pick(own("citations"), span), "p_annotations": _pick(own("annotations"), span),
+        "p_id": _pick(own("id") & string, unquoted(F.col("token"))), "p_use_id": _pick(own("tool_use_id") & string, unquoted(F.col("token"))),
+        "p_content": _pick(own("content"), kind), "p_blocks": F.count_if(block & (lv == 6)),
+        "p_fine": F.least(F.count_if(block & (lv == 6) & (kind == "object")), F.count_if(block & (lv == 7) & (p(7) == "type") & string & (unquoted(F.col("token")) == "text")), F.count_if(block & (lv == 7) & (p(7) == "text") & string)),
+    }
+    message = {
+        "m_kind": _pick(lv == 2, kind), "m_span": _pick(lv == 2, span), "m_fields": _any((lv == 3) & ~p(3).isin(*MESSAGE_FIELDS)),
+        "m_role": _pick(field("role") & string, unquoted(F.col("token"))), "m_item": _any(field("type") & ~(string & F.coalesce(unquoted(F.col("token")) == "message", F.lit(False)))),
+        "m_content": _pick(field("content"), kind), "m_text": _pick(field("content") & string, unquoted(F.col("token"))), "m_text_span": _pick(field("content"), span), "m_empty": _any(field("content") & F.col("empty")),
+        "m_calls": _pick(field("tool_calls"), kind), "m_calling": _any(field("tool_calls") & true), "m_legacy": _any(field("function_call") & true), "m_answering": _any(field("tool_call_id") & true),
+        "m_call_id": _pick(field("tool_call_id") & string, unquoted(F.col("token"))), "m_n_calls": F.count_if((lv == 4) & (p(3) == "tool_calls")),
+        "m_call_ids": F.sort_array(F.collect_list(F.when((lv == 5) & (p(3) == "tool_calls") & (p(5) == "id") & string, F.struct(p(4).try_cast("int").alias("k"), unquoted(F.col("token")).alias("id"))))),
+        **{f"m_{f}": _pick(field(f), span) for f in TOOL_FIELDS},
+    }
+    body = {
+        "b_kind": _pick(lv == 0, kind), "b_keys": F.collect_set(F.when(lv == 1, p(1))), "b_server": _any((lv == 1) & p(1).isin(*SERVER_FIELDS) & true),
+        "b_list": _pick((lv == 1) & (p(1) == F.col("_name")), kind), "b_none": _any((lv == 1) & (p(1) == F.col("_name")) & F.col("empty")), "b_input": _pick((lv == 1) & (p(1) == F.col("_name")) & string, unquoted(F.col("token"))),
+        "b_input_span": _pick((lv == 1) & (p(1) == F.col("_name")), span),
+        **{f"b_{f}": _pick((lv == 1) & (p(1) == f), span) for f in CONTROL_FIELDS},
+    }
+    at = v.withColumn("i", F.when((lv >= 2) & (p(1) == F.col("_name")), p(2).try_cast("int"))).withColumn("j", F.when((lv >= 4) & content & F.col("i").isNotNull(), p(4).try_cast("int")))
+    return at.groupBy(*ids, "i", "j").agg(*[c.alias(n) for n, c in (part | message | body).items()])
+
+
+def _part_reason() -> Column:
+    type_ = F.col("p_type")
+    result = (F.coalesce("p_content", F.lit("string")) == "string") | ((F.col("p_content") == "array") & (F.col("p_fine") == F.col("p_blocks")))
+    return (
+        F.when(F.coalesce(F.col("p_kind") != "object", F.lit(True)), "unsupported_content").when(type_ == "tool_use", _nothing())
+        .when(type_ == "tool_result", F.when(~result, "unsupported_content")).when(type_.isin(*TEXT_PARTS) & F.col("p_text").isNotNull(), F.when(F.col("p_fields"), "unsupported_content_fields"))
+        .otherwise("unsupported_content")
+    )
+
+
+def _messages(parts: DataFrame, ids: list[str], format_: Column) -> DataFrame:
+    """A row a message (i; null for what is outside of messages): its segments, its reasons, its calls and results."""
+    firsts = [c for c in parts.columns if c[:2] in ("m_", "b_")]
+    of_row = F.col("j").isNull()
+    tool = F.col("p_type").isin(*TOOL_PARTS)
+    part = F.struct("j", *[c for c in parts.columns if c[:2] == "p_"], _part_reason().alias("reason"))
+    m = parts.groupBy(*ids, "i").agg(*[F.first(F.when(of_row, F.col(c)), True).alias(c) for c in firsts], F.sort_array(F.collect_list(F.when(~of_row, part))).alias("parts"), _any(~of_row & tool).alias("m_tool"))
+    chat, anthropic, role = format_ == "openai_chat", format_ == "anthropic_messages", F.coalesce("m_role", F.lit(""))
+    linked = F.col("m_calling") | F.col("m_legacy") | F.col("m_answering") | F.col("m_tool")
+    pointer = F.concat(F.lit("/"), F.col("_name"), F.lit("/"), F.col("i"))
+
+    def of_part(x: Column) -> Column:
+        text = x["p_type"].isin(*TEXT_PARTS) & x["p_text"].isNotNull()
+        at = F.concat(pointer, F.lit("/content/"), x["j"])
+        notes = [_control(F.concat(at, F.lit(f"/{f}")), x[f"p_{f}"], text & x[f"p_{f}"].isNotNull()) for f in ("citations", "annotations")]
+        own = _some(text, _segment(F.concat(at, F.lit("/text")), role, x["p_text"], linked | x["p_pinned"], x["p_text_span"]))
+        return F.concat(_control(at, x["p_span"], x["p_type"].isin(*TOOL_PARTS)), own, *notes)
+
+    fields = [_control(F.concat(pointer, F.lit(f"/{f}")), F.col(f"m_{f}")) for f in TOOL_FIELDS]
+    own = _some(F.col("m_content") == "string", _segment(F.concat(pointer, F.lit("/content")), role, F.col("m_text"), linked, F.col("m_text_span")))
+    segments = F.concat(*fields, own, F.when(F.col("m_content") == "array", F.flatten(F.transform("parts", of_part))).otherwise(_none()))
+    no_content = F.coalesce(F.col("m_content"), F.lit("null")) == "null"
+    first_part = F.get(F.filter("parts", lambda x: x["reason"].isNotNull()), F.lit(0))["reason"]
+    roles = F.when(anthropic, role.isin("user", "assistant")).otherwise(role.isin("system", "developer", "user", "assistant", "tool"))
+    reason = (
+        F.when(F.col("m_fields"), "unsupported_message_fields").when((format_ == "openai_responses") & F.col("m_item"), "unsupported_response_item").when(~roles, "unsupported_role")
+        .when(no_content, F.when(~linked, "unsupported_content")).when(F.col("m_content") == "string", _nothing()).when((F.col("m_content") == "array") & ~F.col("m_empty"), first_part).otherwise("unsupported_content")
+    )
+    called = F.when(chat, F.transform("m_call_ids", lambda x: x["id"])).when(anthropic, F.transform(F.filter("parts", lambda x: x["p_type"] == "tool_use"), lambda x: x["p_id"])).otherwise(F.array().cast("array<string>"))
+    answered = (
+        F.when(chat & (role == "tool"), F.array("m_call_id")).when(anthropic, F.transform(F.filter("parts", lambda x: x["p_type"] == "tool_result"), lambda x: x["p_use_id"])).otherwise(F.array().cast("array<string>"))
+    )
+    has = lambda type_: F.exists("parts", lambda x: F.coalesce(x["p_type"] == type_, F.lit(False)))
+    in_chat = chat & F.col("m_calls").isNotNull() & ((F.col("m_calls") != "array") | ((F.col("m_n_calls") > 0) & (role != "assistant")) | (F.size("m_call_ids") != F.col("m_n_calls")))
+    in_parts = anthropic & (F.col("m_content") == "array") & ((has("tool_use") & (role != "assistant")) | (has("tool_result") & (role != "user")))
+    fault = (
+        F.when(F.coalesce(F.col("m_kind") != "object", F.lit(True)), F.lit(0)).when(F.col("m_legacy"), F.lit(1)).when(F.coalesce(in_chat | in_parts, F.lit(False)), F.lit(2))
+    )
+    removable = F.struct(F.col("i"), F.col("m_span").alias("span"), F.when(F.col("m_content") == "array", F.transform("parts", lambda x: x["p_span"])).alias("parts"))
+    return m.select(*ids, "i", *[c for c in m.columns if c[:2] == "b_"], segments.alias("segments"), reason.alias("reason"), fault.alias("fault"), called.alias("called"), answered.alias("answered"), removable.alias("spans"))
 
 
 def parsed_requests(df: DataFrame, key: str, raw: str, format_: str) -> DataFrame:
-    """(key, reason, segments): each request body as segments (pointer, role, text, protected), or why it is passed by:
-    unsupported_format, request_budget_exceeded, invalid_json, invalid_envelope, unsupported_envelope_fields,
-    unresolved_server_context, invalid_messages, unresolved_tool_link, invalid_message, unsupported_message_fields,
-    unsupported_response_item, unsupported_role, unsupported_content or segment_budget_exceeded, whichever is first.
-
-    Passed by requests have no segments. The body is parsed once; everything is column expressions."""
-    body, format_col = F.col("_v"), F.col(format_)
-    rows = df.select(key, format_, F.octet_length(raw).alias("_bytes"), parse(F.col(raw)).alias("_v"))
-    name = F.when(format_col == "openai_responses", "input").otherwise("messages")
-    messages = F.when(format_col == "openai_responses", items_at(body, "$.input")).otherwise(items_at(body, "$.messages"))
-    rows = rows.withColumns({"_keys": F.coalesce(F.json_object_keys(F.to_json(body)), F.array().cast("array<string>")), "_m": messages, "_name": name})
-    m = F.col("_m")
-    roles = F.when(format_col == "anthropic_messages", F.array(*map(F.lit, ("user", "assistant")))).otherwise(F.array(*map(F.lit, ("system", "developer", "user", "assistant", "tool"))))
-    each = lambda test: F.forall(m, lambda x: F.coalesce(test(x), F.lit(False)))
-    known = lambda x: F.size(F.array_except(F.json_object_keys(F.to_json(x)), F.array(*map(F.lit, MESSAGE_FIELDS)))) == 0
-    text_input = (format_col == "openai_responses") & (kind(member(body, "$.input")) == "string")
-    controls = F.concat(*[F.when(F.array_contains("_keys", f), F.array(_segment(F.lit(f"/{f}"), F.lit("control"), F.lit(None).cast("string"), F.lit(True)))).otherwise(_none()) for f in CONTROL_FIELDS])
-    of_messages = F.flatten(F.transform(m, lambda x, i: _of_message(x, i, F.col("_name"))))
-    single = F.array(_segment(F.lit("/input"), F.lit("user"), string_at(body, "$.input"), F.lit(False)))
-    rows = rows.withColumns({"_text": F.coalesce(text_input, F.lit(False)), "_s": F.concat(controls, F.when(text_input, single).otherwise(F.coalesce(of_messages, _none())))})
-    server = F.lit(False)
-    for f in SERVER_FIELDS:
-        server = server | (F.array_contains("_keys", f) & ~F.coalesce(kind(member(body, f"$.{f}")).isin("null") | (F.to_json(member(body, f"$.{f}")).isin('""', "[]", "{}", "0", "false")), F.lit(True)))
-    structured = ~F.col("_text")
+    """(key, reason, segments, spans): each request body as segments (pointer, role, text, protected, start, stop), or why
+    it is passed by: unsupported_format, request_budget_exceeded, invalid_json, invalid_envelope,
+    unsupported_envelope_fields, unresolved_server_context, invalid_messages; then of the first message with a fault
+    invalid_message, unsupported_legacy_tool_call or unresolved_tool_link; then of the first message with one
+    unsupported_message_fields, unsupported_response_item, unsupported_role, unsupported_content or
+    unsupported_content_fields; or segment_budget_exceeded.
+
+    start and stop are the bytes of a segment's value in the body; spans has the bytes of each message and of its content
+    parts. Passed by requests have neither. A body's JSON values become rows once, and reasons and segments are
+    aggregates of them: one shuffle, by body. Rows of equal or null keys stand for themselves."""
+    rows = df.select(F.col(key), F.col(format_).alias("_format"), F.col(raw).cast("string").alias("_body"))
+    size = F.octet_length("_body")
+    rows = rows.select(key, "_format", size.alias("_bytes"), F.when(F.coalesce(F.col("_format").isin(*FORMATS) & (size <= MOST_BYTES), F.lit(False)), F.col("_body")).alias("_body"))
+    rows = rows.withColumn("_name", F.when(F.col("_format") == "openai_responses", "input").otherwise("messages"))
+    ids = ["_row", key, "_format", "_bytes", "_name", "_valid"]
+    m = _messages(_parts(values(rows, "_body"), ids), ids, F.col("_format"))
+    facts = [c for c in m.columns if c[:2] == "b_"]
+    outside = F.col("i").isNull()
+    message = F.struct("i", "reason", "fault", "segments", "called", "answered", "spans")
+    g = m.groupBy(*ids).agg(*[F.first(F.when(outside, F.col(c)), True).alias(c) for c in facts], F.sort_array(F.collect_list(F.when(~outside, message))).alias("m"))
+    numbered = lambda name: F.flatten(F.transform("m", lambda x: F.transform(x[name], lambda id_: F.struct(x["i"].alias("i"), id_.alias("id")))))
+    g = g.withColumns({"_called": numbered("called"), "_answered": numbered("answered")})
+    nameless = lambda x: F.coalesce(x["id"] == "", F.lit(True))
+    again = lambda of, x, k: F.exists(F.slice(of, F.lit(1), k), lambda y: y["id"] == x["id"])
+    wrong_call = F.filter("_called", lambda x, k: nameless(x) | again("_called", x, k))
+    wrong_answer = F.filter("_answered", lambda x, k: nameless(x) | again("_answered", x, k) | ~F.exists("_called", lambda y: (y["id"] == x["id"]) & (y["i"] <= x["i"])))
+    at = lambda x, code: F.struct(x["i"].alias("i"), F.lit(code).alias("code"))
+    faults = F.concat(F.transform(F.filter("m", lambda x: x["fault"].isNotNull()), lambda x: F.struct(x["i"].alias("i"), x["fault"].alias("code"))), F.transform(wrong_call, lambda x: at(x, 2)), F.transform(wrong_answer, lambda x: at(x, 2)))
+    pending = F.size("_called") > F.size("_answered")
+    fault = F.coalesce(F.array_min(faults)["code"], F.when(pending, F.lit(2)))
+    first = F.get(F.filter("m", lambda x: x["reason"].isNotNull()), F.lit(0))["reason"]
+    format_col, single = F.col("_format"), (F.col("_format") == "openai_responses") & (F.coalesce(F.col("b_list"), F.lit("")) == "string")
+    controls = [_control(F.lit(f"/{f}"), F.col(f"b_{f}")) for f in CONTROL_FIELDS]
+    only = _some(single, _segment(F.lit("/input"), F.lit("user"), F.col("b_input"), F.lit(False), F.col("b_input_span")))
+    g = g.withColumn("_s", F.concat(*controls, only, F.when(single, _none()).otherwise(F.flatten(F.transform("m", lambda x: x["segments"])))))
+    structured = F.when(fault == 0, "invalid_message").when(fault == 1, "unsupported_legacy_tool_call").when(fault == 2, "unresolved_tool_link").otherwise(first)
     reason = (
         F.when(~F.coalesce(format_col.isin(*FORMATS), F.lit(False)), "unsupported_format")
         .when(F.col("_bytes") > MOST_BYTES, "request_budget_exceeded")
-        .when(body.isNull(), "invalid_json")
-        .when(kind(body) != "object", "invalid_envelope")
-        .when(F.size(F.array_except("_keys", F.array(*map(F.lit, KNOWN_FIELDS)))) > 0, "unsupported_envelope_fields")
-        .when(server, "unresolved_server_context")
-        .when(structured & (F.coalesce(F.size(m), F.lit(-1)) <= 0), "invalid_messages")
-        .when(structured & ~_links(m, format_col), "unresolved_tool_link")
-        .when(structured & ~each(lambda x: kind(x) == "object"), "invalid_message")
-        .when(structured & ~each(known), "unsupported_message_fields")
-        .when(structured & (format_col == "openai_responses") & ~each(lambda x: F.coalesce(string_at(x, "$.type"), F.lit("message")) == "message"), "unsupported_response_item")
-        .when(structured & ~each(lambda x: F.array_contains(roles, string_at(x, "$.role"))), "unsupported_role")
-        .when(F.exists("_s", lambda s: s.isNull()), "unsupported_content")
+        .when(~F.col("_valid"), "invalid_json")
+        .when(F.col("b_kind") != "object", "invalid_envelope")
+        .when(F.size(F.array_except("b_keys", F.array(*map(F.lit, KNOWN_FIELDS)))) > 0, "unsupported_envelope_fields")
+        .when(F.col("b_server"), "unresolved_server_context")
+        .when(~single & (F.coalesce(F.col("b_list") != "array", F.lit(True)) | F.col("b_none")), "invalid_messages")
+        .when(~single & structured.isNotNull(), structured)
         .when(F.size("_s") > MOST_SEGMENTS, "segment_budget_exceeded")
     )
-    rows = rows.withColumn("reason", reason)
-    return rows.select(key, "reason", F.when(F.col("reason").isNull(), F.col("_s")).otherwise(_none()).alias("segments"))
+    g = g.withColumn("reason", reason)
+    spans = F.transform("m", lambda x: x["spans"])
+    passed = F.col("reason").isNull()
+    return g.select(key, "reason", F.when(passed, F.col("_s")).otherwise(_none()).alias("segments"), F.when(passed & ~single, spans).otherwise(F.slice(spans, F.lit(1), F.lit(0))).alias("spans"))
 
 
 def wire_segments(parsed: DataFrame, key: str) -> DataFrame:

@@ -64,6 +64,30 @@ CASES = [
     ("content", "openai_chat", chat({"role": "user", "content": [{"type": "image"}]}), "unsupported_content", []),
     ("nothing", "openai_chat", chat({"role": "user", "content": []}), "unsupported_content", []),
     ("many", "openai_chat", chat(*[U] * 129), "segment_budget_exceeded", []),
+    ("user calls", "openai_chat", chat({**CALL, "role": "user"}, ANSWER), "unresolved_tool_link", []),
+    ("calls null", "openai_chat", chat(U, {**A, "tool_calls": None}), "unresolved_tool_link", []),
+    ("calls object", "openai_chat", chat(U, {**A, "tool_calls": {"id": "c"}}), "unresolved_tool_link", []),
+    ("no calls", "openai_chat", chat(U, {**A, "tool_calls": []}), None, ["/messages/0/content", "/messages/1/tool_calls", "/messages/1/content"]),
+    ("nameless call", "openai_chat", chat(U, {**CALL, "tool_calls": [{"id": "c1"}, {"id": 3}]}, ANSWER), "unresolved_tool_link", []),
+    ("call twice", "openai_chat", chat(U, CALL, ANSWER, CALL, ANSWER), "unresolved_tool_link", []),
+    ("answer twice", "openai_chat", chat(U, CALL, ANSWER, ANSWER), "unresolved_tool_link", []),
+    ("assistant answers", "anthropic_messages", chat(U, {"role": "assistant", "content": PARTS}, {**RESULT, "role": "assistant"}), "unresolved_tool_link", []),
+    ("user uses", "anthropic_messages", chat({"role": "user", "content": PARTS}, RESULT), "unresolved_tool_link", []),
+    ("legacy", "openai_chat", chat(U, {**A, "function_call": {"name": "f"}}), "unsupported_legacy_tool_call", []),
+    ("legacy first", "openai_chat", chat({**A, "function_call": {"name": "f"}}, 5), "unsupported_legacy_tool_call", []),
+    ("no legacy", "openai_chat", chat(U, {**A, "function_call": None}), None, ["/messages/0/content", "/messages/1/function_call", "/messages/1/content"]),
+    ("surrogate", "openai_chat", '{"messages":[{"role":"user","content":"\\ud800"}]}', "invalid_json", []),
+    ("pair", "openai_chat", '{"messages":[{"r\\u006fle":"us\\u0065r","content":"\\ud83d\\ude00\\n"}]}', None, ["/messages/0/content"]),
+    ("control character", "openai_chat", '{"messages":[{"role":"user","content":"a\tb"}]}', "invalid_json", []),
+    ("infinite", "openai_chat", '{"n":1e999,"messages":[{"role":"user","content":"x"}]}', "invalid_json", []),
+    ("part field", "openai_chat", chat({"role": "user", "content": [{"type": "text", "text": "x", "zzz": 1}]}), "unsupported_content_fields", []),
+    ("image result", "anthropic_messages", chat(U, {"role": "assistant", "content": PARTS}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "a"}, {"type": "image"}]}]}), "unsupported_content", []),
+    ("text result", "anthropic_messages", chat(U, {"role": "assistant", "content": PARTS}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "a"}]}]}), None, ["/messages/0/content", "/messages/1/content/0/text", "/messages/1/content/1", "/messages/2/content/0"]),
+    ("cited", "openai_chat", chat({"role": "assistant", "content": [{"type": "text", "text": "x", "citations": [1], "annotations": []}, {"type": "text", "text": "y"}]}, U), None, ["/messages/0/content/0/text", "/messages/0/content/0/citations", "/messages/0/content/0/annotations", "/messages/0/content/1/text", "/messages/1/content"]),
+    ("object content", "openai_chat", chat({"role": "user", "content": {"type": "text"}}), "unsupported_content", []),
+    ("first of two", "openai_chat", chat({"role": "user", "content": 3}, {**U, "weird": 1}), "unsupported_content", []),
+    ("role kind", "openai_chat", chat({"role": 5, "content": "x"}), "unsupported_role", []),
+    ("messages object", "openai_chat", '{"messages":{"0":{"role":"user","content":"x"}}}', "invalid_messages", []),
 ]
 
 
@@ -75,7 +99,16 @@ def test_request_reasons_and_segments(spark):
     rows = {(r["name"], r["pointer"]): r for r in R.wire_segments(parsed, "name").collect()}
     assert rows[("fine", "/messages/1/content")]["text"] == "say" and not rows[("fine", "/messages/1/content")]["protected"]
     assert rows[("parts", "/messages/1/content/0/text")]["protected"] and rows[("parts", "/messages/1/content/1")]["role"] == "control"
+    assert rows[("cited", "/messages/0/content/0/text")]["protected"] and not rows[("cited", "/messages/0/content/1/text")]["protected"]
+    bodies = {n: raw for n, _, raw, _, _ in CASES}
+    for (name, pointer), r in rows.items():
+        value = json.loads(bodies[name])
+        for step in pointer.split("/")[1:]:
+            value = value[int(step)] if isinstance(value, list) else value[step]
+        assert json.loads(bodies[name].encode()[r["start"] : r["stop"]]) == value and r["text"] in (None, value)
     assert R.parsed_requests(df.limit(0), "name", "raw", "wire").collect() == []
+    twice = df.filter("name = 'fine'").unionAll(df.filter("name = 'fine'")).select(F.lit(None).cast("string").alias("name"), "raw", "wire")
+    assert [(r["name"], len(r["segments"])) for r in R.parsed_requests(twice, "name", "raw", "wire").collect()] == [(None, 2)] * 2
 
 
 def test_score_contract(spark):
