@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from decisa.llm.repair import LINE, Encoder, _Pieces
+from decisa.llm.repair import LINE, Encoder, _cut, _Pieces
 from decisa.llm.words import Block
 
+APART = "\x01"
+
 
 class WordEncoder(Encoder):
     """Ids by a tokenizers file that drops white space and splits at it, as BPE with word ends does: a text's ids are
@@ -20,11 +22,21 @@ class WordEncoder(Encoder):
         self.splits = all(self._sum(x, y) for x, y in (("a", " b"), ("a", "\nb c"), ("a.", " b"), ("a b", "\n"), ("A", " Bc")))
         self.marks = all(self._sum(x, y) for x in ("a", " a") for y in ("!", ",", ".", "...", "!!?", "***", '".', "),", "--", "'", "',"))
         self.old, self.new = _Pieces(), _Pieces()
+        #: the id of a character that keeps words apart; a word that holds it is encoded alone
+        self.apart = self.whole(APART)
 
     def _learn(self, b: Block, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, keys: np.ndarray) -> None:
-        data = b.bytes.tobytes()
+        data, apart = b.bytes.tobytes(), f" {APART} "
         words = [data[x:y].decode(errors="replace") for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-        self._keep(keys, [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        if len(self.apart) != 1 or APART.encode() in data:
+            found = [self.whole(w).astype("<u4").tobytes() for w in words]
+        else:
+            found = []
+            for k in range(0, len(words), 8192):
+                texts = [apart.join(words[j : min(j + 256, k + 8192)]) for j in range(k, min(k + 8192, len(words)), 256)]
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                    found += _cut(np.asarray(e.ids, "<u4"), int(self.apart[0]))
+        self._keep(keys, found)
 
 
 class SpacedEncoder(Encoder):
