@@ -1,9 +1,11 @@
-"""JSON text in column expressions: canonical form, keys at any depth, types and members, by way of VARIANT."""
+"""JSON text as columns: exact canonical form, keys at any depth, and types and members by way of VARIANT."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,41 @@ def parse(text: Column) -> Column:
     return F.when(tokens(text) == tokens(F.to_json(value)), value)
 
 
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    """An object's members, if no key is repeated."""
+    if len({k for k, _ in pairs}) != len(pairs):
+        raise ValueError("repeated key")
+    return dict(pairs)
+
+
+def _refused(constant: str) -> None:
+    raise ValueError(constant)
+
+
+def canonical_text(text: str | None) -> str | None:
+    """canonical() of one text."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text, object_pairs_hook=_once, parse_constant=_refused)
+        out = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+        out.encode()
+    except (ValueError, RecursionError):
+        return None
+    return out
+
+
 def canonical(text: Column) -> Column:
-    """Canonical JSON of a text: keys sorted, no spaces, non-ASCII as it is; null for what isn't JSON."""
-    return F.to_json(parse(text))
+    """Canonical JSON of a text: keys sorted by code point, no spaces, non-ASCII as it is, integers digit for digit and
+    other numbers as the shortest text of their double, so that 100, 100.0 and -0.0 differ, and 1E-7 is 1e-07. Null for
+    what isn't JSON or can't be kept: repeated keys, NaN, infinities and numbers beyond a double, lone surrogates.
+
+    No built-in function keeps numbers exactly, so this runs in Python on Arrow batches."""
+
+    def of_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(canonical_text, na_action="ignore")
+
+    return F.pandas_udf(of_batch, "string")(text)
 
 
 def identity(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from decisa.functions.jsons import canonical
+
 # Names and patterns of the secret scan, in the order that decides which one is reported.
 SECRETS = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -155,3 +157,22 @@ def fit_budget(text: Column, budget: int, ladder: tuple[int, ...] = (2000, 500,
     options = [F.when(F.octet_length(text) <= budget, text)]
     options += [F.when(F.octet_length(F.substring(text, 1, k)) <= budget, F.substring(text, 1, k)) for k in ladder]
     return F.when(text.isNotNull(), F.coalesce(*options, F.lit("")))
+
+
+def visible_input(state: Column, type_: Column, instructions: Column, criteria: Column) -> Column:
+    """Canonical JSON of what a model sees of a question. state and criteria are JSON texts, criteria {} where it is null;
+    null where they aren't JSON or another part is null."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    parts = [F.lit('{"state":'), state, F.lit(',"type":'), quoted(type_), F.lit(',"instructions":'), quoted(instructions), F.lit(',"criteria":'), F.coalesce(criteria, F.lit("{}")), F.lit("}")]
+    return F.when(type_.isNotNull() & instructions.isNotNull(), canonical(F.concat(*parts)))
+
+
+#: What provenance of evaluation sets is called.
+EVALUATION_NAMES = ("abstention survey", "workflow challenge", "workflow v2 evaluation", "context relevance test", "context relevance ood")
+
+
+def evaluation_derived(provenance: Column) -> Column:
+    """Whether a provenance holds the name of an evaluation set, in any case and with any run of spaces, hyphens and
+    underscores between its words. A null one doesn't."""
+    plain = F.regexp_replace(F.lower(F.coalesce(provenance, F.lit(""))), r"[-_\s]+", " ")
+    return F.exists(F.array(*map(F.lit, EVALUATION_NAMES)), lambda n: F.contains(plain, n))

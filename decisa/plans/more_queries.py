@@ -25,9 +25,15 @@ def leakage_safe_projection(spark, sf_dir):
     return rounded(r.select("asset", F.col("dn").alias("day"), f["close"].alias("close"), f["qv"].alias("qv")))
 
 
-@query("""SELECT conv_id, turn, sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) AS visible FROM conversations""")
+@query("""SELECT conv_id, turn, sha256('{"criteria":' || CASE turn % 3 WHEN 0 THEN '{}' ELSE '{"a":[2.0,1],"b":null}' END || ',"instructions":' || to_json('about ' || coalesce(role, '')) || ',"state":{"text":' || coalesce(to_json(text), 'null') || ',"turn":' || turn || '},"type":"boolean"}') AS visible FROM conversations""")
 def visible_input_hash(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("visible"))
+    """The identity of what a model sees of a question: state, type, instructions and criteria, whatever the order of
+    their fields; ids and answers have no part in it."""
+    t = table(spark, sf_dir, "conversations")
+    state = F.to_json(F.struct("turn", "text"), {"ignoreNullFields": "false"})
+    criteria = F.when(F.col("turn") % 3 == 1, F.lit('{"b":null, "a":[2.0, 1]}')).when(F.col("turn") % 3 == 2, F.lit('{"a":[2.0,1],"b":null}'))
+    visible = text.visible_input(state, F.lit("boolean"), F.concat(F.lit("about "), F.coalesce("role", F.lit(""))), criteria)
+    return t.select("conv_id", "turn", F.sha2(visible, 256).alias("visible"))
 
 
 @query("""SELECT conv_id, md5(max(text) FILTER (turn = 1)) AS candidate FROM conversations GROUP BY conv_id""")
@@ -44,10 +50,13 @@ def label_veto(spark, sf_dir):
     return d.select("doc_id", F.when(F.col("text").rlike(r"(?i)\b(not found|failed|error|no results?)\b"), "vetoed").when(F.col("quality") == 0, "drop").otherwise("keep").alias("verdict"))
 
 
-@query(r"""SELECT source, contains(regexp_replace(lower(source), '[-_\s]+', ' ', 'g'), 'src1') AS derived, count(*) AS n FROM documents GROUP BY 1, 2""")
+@query(r"""WITH d AS (SELECT doc_id, lang, coalesce(source, '') || CASE doc_id % 5 WHEN 0 THEN '/Workflow_challenge' WHEN 1 THEN '/context  relevance-OOD' WHEN 2 THEN '/workflow_v2' WHEN 3 THEN '/abstention' ELSE '' END AS provenance FROM documents)
+SELECT doc_id, provenance FROM d WHERE NOT regexp_matches(regexp_replace(lower(provenance), '[-_\s]+', ' ', 'g'), 'abstention survey|workflow challenge|workflow v2 evaluation|context relevance test|context relevance ood')""")
 def provenance_filter(spark, sf_dir):
-    marker = F.regexp_replace(F.lower("source"), r"[-_\s]+", " ")
-    return table(spark, sf_dir, "documents").groupBy("source", F.contains(marker, F.lit("src1")).alias("derived")).agg(F.count("*").alias("n"))
+    """Documents that don't come from an evaluation set, by the names that their provenance may hold in any spelling."""
+    names = F.array(*map(F.lit, ("/Workflow_challenge", "/context  relevance-OOD", "/workflow_v2", "/abstention", "")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.get(names, F.pmod("doc_id", F.lit(5)).cast("int"))).alias("provenance"))
+    return d.filter(~text.evaluation_derived(F.col("provenance")))
 
 
 @query("SELECT event_id, json_exists(props, '$.secret') AS forbidden, len(json_keys(props)) AS keys FROM events")

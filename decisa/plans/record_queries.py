@@ -24,11 +24,15 @@ def _turns(spark, sf_dir):
 TURNS = "turns AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)"
 
 
-@query("""SELECT conv_id, turn, sha256('{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '}') AS identity FROM conversations""")
+@query("""WITH n AS (SELECT *, CASE turn % 7 WHEN 0 THEN '100.0' WHEN 1 THEN '100' WHEN 2 THEN '-0.0' WHEN 3 THEN '1e-07' WHEN 4 THEN repeat('1234567890', 5) WHEN 5 THEN '1.5' ELSE '1e+16' END AS n FROM conversations)
+SELECT conv_id, turn, sha256('{"n":' || n || ',"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || ',"' || chr(65518) || '":1,"' || chr(128512) || '":2}') AS identity FROM n""")
 def canonical_identity(spark, sf_dir):
-    """A turn's identity is the hash of its canonical JSON, whatever the order of its fields."""
-    t = table(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", jsons.identity(F.to_json(F.struct("turn", "text", "role"))).alias("identity"))
+    """A turn's identity is the hash of its canonical JSON, whatever the order of its fields and the spaces; numbers of
+    all spellings keep their value and kind, and keys are in the order of code points."""
+    t, spelt = table(spark, sf_dir, "conversations"), F.array(*map(F.lit, ("100.0", "100", "-0.0", "1E-7", "1234567890" * 5, "1.50", "1E16")))
+    said = F.to_json(F.struct("turn", "text", "role"))
+    raw = F.concat(F.lit('{ "\U0001f600" : 2 ,\n"\uffee":1, "n":'), F.get(spelt, (F.col("turn") % 7).cast("int")), F.lit(" , "), F.substring(said, F.lit(2), F.length(said)))
+    return t.select("conv_id", "turn", jsons.identity(raw).alias("identity"))
 
 
 @query("""WITH d AS (SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY lang, source, text ORDER BY doc_id) AS k FROM documents) SELECT doc_id FROM d WHERE k = 1""")

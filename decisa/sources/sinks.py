@@ -13,18 +13,34 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def append_unseen(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append rows whose key the ledger doesn't have yet; a repeated run appends nothing. Returns the rows appended."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(keys)
+def _unseen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df whose key isn't in seen; null keys are equal to each other."""
+    known = seen.select(*[F.col(k).alias(f"_seen_{i}") for i, k in enumerate(keys)])
+    same = [df[k].eqNullSafe(known[f"_seen_{i}"]) for i, k in enumerate(keys)]
+    return df.join(known, same, "leftanti")
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a path holds; None before the first write."""
     try:
-        seen = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # the first run
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        seen = None
-    if seen is not None:
-        fresh = fresh.join(seen, keys, "leftanti")
+        return None
+
+
+def append_unseen(df: DataFrame, path: str, keys: list[str]) -> int:
+    """Append rows whose key the ledger doesn't have yet; a repeated run appends nothing. Returns the rows appended.
+
+    Null keys are keys like others. Of several new rows of one key, that with the smallest JSON text is taken, so a rerun
+    takes the same one."""
+    spark = df.sparkSession
+    row = F.struct(*df.columns)
+    fresh = df.groupBy(*keys).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("_row")).select("_row.*")
+    ledger = _written(spark, path)
+    if ledger is not None:
+        fresh = _unseen(fresh, ledger, keys)
     from decisa.session import materialize
 
     fresh = materialize(fresh, "unseen")  # the ledger is read to the end before it grows
@@ -56,10 +72,10 @@ def verify_manifest(spark: SparkSession, path: str, expected: DataFrame) -> Data
 def receipt(df: DataFrame, drop: list[str] | None = None) -> DataFrame:
     """One row (rows, identity): a hash of the content that doesn't depend on row order or on the named columns.
 
-    Rows are hashed over their columns by name; the identity hashes the count and four sums of the rows' digest parts,
-    so it is one small aggregate."""
+    Rows are hashed over the JSON of their columns by name, in which no two rows that differ are alike; the identity
+    hashes the count and four sums of the rows' digest parts, so it is one small aggregate."""
     cols = sorted(c for c in df.columns if c not in (drop or []))
-    h = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), 256)
+    h = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(h, 1 + 14 * k, 14), 16, 10).cast("decimal(38,0)")) for k in range(4)]
     g = df.agg(F.count("*").alias("rows"), *[p.alias(f"p{k}") for k, p in enumerate(parts)])
     return g.select("rows", F.sha2(F.concat_ws("|", F.lit(",".join(cols)), F.col("rows").cast("string"), *[F.col(f"p{k}").cast("string") for k in range(4)]), 256).alias("identity"))
@@ -74,20 +90,15 @@ def canonical_receipt(df: DataFrame, drop: list[str] | None = None) -> DataFrame
 
 
 def resume(df: DataFrame, done: DataFrame, key: str, shards: int) -> DataFrame:
-    """Rows not done yet, dealt to shards by key."""
-    return df.join(done.select(key), key, "leftanti").withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    """Rows not done yet, dealt to shards by key; null keys are equal to each other."""
+    return _unseen(df, done, [key]).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
 
 
 def write_remaining(df: DataFrame, path: str, key: str, shards: int) -> None:
     """resume() against what a path holds, appended below it in folders by shard; a repeated run writes nothing. Keys are
-    unique in df; a key's shard never changes."""
-    spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-    except Exception as e:  # the first run
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = df.select(key).limit(0)
+    unique in df, null among them; a key's shard never changes."""
+    done = _written(df.sparkSession, path)
+    done = df.select(key).limit(0) if done is None else done.select(key)
     from decisa.session import materialize
 
     left = materialize(resume(df, done, key, shards), "remaining")  # the folder is read to the end before it grows

@@ -216,6 +216,15 @@ def test_sinks(spark, tmp_path):
     m = sinks.manifest(spark, str(tmp_path / "out"))
     m.write.parquet(str(tmp_path / "manifest"))
     assert sinks.verify_manifest(spark, str(tmp_path / "out"), spark.read.parquet(str(tmp_path / "manifest"))).collect() == []
+    holes = spark.createDataFrame([(None, None, "x"), (None, 1, "y"), (1, None, "z"), (1, None, "a")], "k int, j int, v string")
+    path = str(tmp_path / "null-keys")
+    assert [sinks.append_unseen(holes, path, ["k", "j"]) for _ in range(3)] == [3, 0, 0]
+    assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, holes.filter("v <> 'z'").collect()))
+    for _ in range(3):
+        sinks.write_remaining(holes.filter("v < 'z' and v > 'a'"), str(tmp_path / "null-shards"), "k", 3)
+    assert spark.read.parquet(str(tmp_path / "null-shards")).count() == 2
+    sly = [spark.createDataFrame([r], "a string, b string") for r in (("x\x1fy", "z"), ("x", "y\x1fz"), ("\x00", "z"), (None, "z"))]
+    assert len({sinks.receipt(x).first() for x in sly}) == 4
     assert sinks.receipt(df).first() == sinks.receipt(df.orderBy(F.desc("k"))).first()
     assert "| 2 | b |" in sinks.markdown(df, [F.desc("k")])
 

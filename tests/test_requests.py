@@ -27,6 +27,16 @@ def test_canonical_json_and_keys(spark):
             assert got[i][1] == all_keys(x) and got[i][2] == bool({"z", "k"} & set(all_keys(x)))
 
 
+def test_canonical_numbers_and_key_order(spark):
+    cases = [
+        ("[100.0]", "[100.0]"), ("[100]", "[100]"), ("[-0.0]", "[-0.0]"), ("[-0]", "[0]"), ("[1E-7]", "[1e-07]"), ("[1e+16,1E22,1.50]", "[1e+16,1e+22,1.5]"), ("[" + "1234567890" * 5 + "]", "[" + "1234567890" * 5 + "]"),
+        ('{"\U0001f600":1,"\uffee":2,"b":3}', '{"b":3,"\uffee":2,"\U0001f600":1}'), ('["\\u00e9\\/"]', '["é/"]'), ("[1e400]", None), ('["\\ud800"]', None), ("[" * 100_000 + "]" * 100_000, None), ("[01]", None), ("\ufeff[]", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert {r["i"]: r["c"] for r in df.select("i", jsons.canonical(F.col("t")).alias("c")).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+    assert len({r[0] for r in df.filter("i < 3").select(jsons.identity(F.col("t"))).collect()}) == 3
+
+
 def chat(*messages, **more):
     return json.dumps({"model": "m", "messages": list(messages), **more})
 
