@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from decisa.llm.repair import LINE, Encoder, _cut, _Pieces
+from decisa.llm.repair import LINE, RECENT, Encoder, _Pieces
 from decisa.llm.words import Block
 
 APART = "\x01"
@@ -26,17 +26,27 @@ class WordEncoder(Encoder):
         self.apart = self.whole(APART)
 
     def _learn(self, b: Block, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, keys: np.ndarray) -> None:
-        data, apart = b.bytes.tobytes(), f" {APART} "
-        words = [data[x:y].decode(errors="replace") for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if len(self.apart) != 1 or APART.encode() in data:
-            found = [self.whole(w).astype("<u4").tobytes() for w in words]
-        else:
-            found = []
-            for k in range(0, len(words), 8192):
-                texts = [apart.join(words[j : min(j + 256, k + 8192)]) for j in range(k, min(k + 8192, len(words)), 256)]
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                    found += _cut(np.asarray(e.ids, "<u4"), int(self.apart[0]))
-        self._keep(keys, found)
+        sizes = ends - starts
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        words = b.bytes[np.repeat(starts, sizes) + inner]
+        if len(self.apart) != 1 or (words == ord(APART)).any():
+            self._keep(keys, [self.whole(b.bytes[x:y].tobytes().decode(errors="replace")).astype("<u4").tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+            return
+        at = np.cumsum(sizes + 3) - sizes - 3  # a space, the character and a space after each word
+        joined = np.full(int((sizes + 3).sum()), 0x20, np.uint8)
+        joined[np.repeat(at, sizes) + inner] = words
+        joined[at + sizes + 1] = ord(APART)
+        edges = np.append(at[::256], len(joined)).tolist()
+        texts = [joined[x:y].tobytes().decode(errors="replace") for x, y in zip(edges, edges[1:], strict=False)]
+        found = [np.asarray(e.ids, np.uint32) for k in range(0, len(texts), 32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False)]
+        ids = np.concatenate(found)
+        stops = np.flatnonzero(ids == self.apart[0])
+        counts = np.diff(stops, prepend=-1) - 1
+        order = np.argsort(keys)
+        pieces = _Pieces()._take(keys, np.cumsum(counts) - counts, counts, ids[ids != self.apart[0]], np.zeros(len(keys), bool), order)
+        if len(self.new.keys) + len(keys) > RECENT:
+            self.old, self.new = self.old.with_(self.new), _Pieces()
+        self.new = self.new.with_(pieces)
 
 
 class SpacedEncoder(Encoder):
