@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from decisa.llm.repair import LINE, RECENT, Encoder, _Pieces
@@ -11,12 +13,13 @@ APART = "\x01"
 
 
 class WordEncoder(Encoder):
-    """Ids by a tokenizers file that drops white space and splits at it, as BPE with word ends does: a text's ids are
-    those of its words one after another. Special tokens' strings are ordinary text."""
+    """Ids by a tokenizers file that lowers letters, drops white space and splits at it, as BPE with word ends does: a
+    text's ids are those of its words one after another. Special tokens' strings are ordinary text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.splits = all(self._sum(x, y) for x, y in (("a", " b"), ("a", "\nb c"), ("a.", " b"), ("a b", "\n"), ("A", " Bc")))
@@ -24,6 +27,10 @@ class WordEncoder(Encoder):
         self.old, self.new = _Pieces(), _Pieces()
         #: the id of a character that keeps words apart; a word that holds it is encoded alone
         self.apart = self.whole(APART)
+        self.lowers = np.array_equal(self.whole("ABC xYZ"), self.whole("abc xyz"))
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return super().__call__([t.lower() for t in texts] if self.lowers else texts)  # A-Z only: fewer words to learn
 
     def _learn(self, b: Block, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, keys: np.ndarray) -> None:
         sizes = ends - starts

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisa.llm.encoders import WordEncoder
-from decisa.llm.words import CACHES, groups, tidy
+from decisa.llm.words import CACHES, groups, release_caches, tidy
 from decisa.session import materialize, own_batches
 
 LENGTH = 2048
@@ -49,7 +49,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, key: s
         encode, at = _encoders[tokenizer_path], TaskContext.get().partitionId() << 36
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for low, high in groups(texts, 1 << 20):
+            for low, high in groups(texts, 1 << 19):
                 ids = [np.append(x, np.zeros(1, np.uint32)).astype("<u4") for x in encode(texts[low:high])]
                 owner, piece, start, size, crc, data = [], [], [], [], [], []
                 for i, x in enumerate(ids):
@@ -197,6 +197,7 @@ def _pack_blocks(pieces: DataFrame, length: int, islands: int, population: int,
     packing, its best."""
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        release_caches()  # the worker may hold an encoder
         pdf = pdf.sort_values("piece_key")
         keys, sizes = pdf["piece_key"].to_numpy(), pdf["length"].to_numpy(np.int64)
         block, island = int(pdf["block"].iloc[0]), int(pdf["island"].iloc[0])
@@ -239,6 +240,7 @@ def _places(islands: DataFrame, length: int, opened: float) -> DataFrame:
     marked as opened, unless they are full."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_caches()
         for pdf in batches:
             for row in pdf.itertuples():
                 sizes, packings = _read(row)
