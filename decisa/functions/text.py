@@ -176,3 +176,30 @@ def evaluation_derived(provenance: Column) -> Column:
     underscores between its words. A null one doesn't."""
     plain = F.regexp_replace(F.lower(F.coalesce(provenance, F.lit(""))), r"[-_\s]+", " ")
     return F.exists(F.array(*map(F.lit, EVALUATION_NAMES)), lambda n: F.contains(plain, n))
+
+
+#: Spans that a perturbation may change, in the order in which one text is read as one of them.
+SPANS = (("path", r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+"), ("version", r"v?[0-9]+[.][0-9]+(?:[.][0-9]+)+"), ("number", r"[0-9]+(?:[.][0-9]+)?"))
+
+
+def perturbed(text: Column, draw: Column) -> Column:
+    """(kind, start, before, after, text): a text with one of its paths, versions or numbers changed, and nothing else.
+
+    draw, a number from 0, picks the span: the (draw modulo their number)-th from the left. A path's last part gets `_x`
+    before its extension; the last digit of a version or number becomes the next one, 9 becomes 0. start counts
+    characters from 0. Null for a text without spans."""
+    pattern = "|".join(p for _, p in SPANS)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    k = F.pmod(draw, F.size(found)).cast("int")
+    before = F.get(found, k)
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    start = total(F.slice(gaps, F.lit(1), k + 1)) + total(F.slice(found, F.lit(1), k))
+    kind = F.lit(None).cast("string")
+    for name, p in reversed(SPANS):
+        kind = F.when(before.rlike(f"^(?:{p})$"), name).otherwise(kind)
+    digit = F.regexp_extract(before, "([0-9])$", 1)
+    moved = F.concat(F.substring(before, F.lit(1), F.length(before) - 1), ((digit.try_cast("int") + 1) % 10).cast("string"))
+    part = F.concat(F.regexp_extract(before, "^(.*/)", 1), F.regexp_replace(F.regexp_extract(before, "([^/]*)$", 1), r"^([^.]*)(.*)$", "$1_x$2"))
+    after = F.when(kind == "path", part).otherwise(moved)
+    whole = F.concat(F.substring(text, F.lit(1), start), after, F.substring(text, start + F.length(before) + 1, F.length(text)))
+    return F.when(F.size(found) > 0, F.struct(kind.alias("kind"), start.cast("long").alias("start"), before.alias("before"), after.alias("after"), whole.alias("text")))

@@ -148,3 +148,23 @@ def spaced(df: DataFrame, by: list[str], time: str, gap: int) -> DataFrame:
     g = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(time).cast("long"))).alias("_t"))
     fold = F.aggregate("_t", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap), F.concat(a, F.array(t))).otherwise(a))
     return g.select(*by, F.explode(F.when(F.size("_t") > 0, fold)).alias(time))
+
+
+def two_pass_pairs(df: DataFrame, id_: str, label: str, near: list[str], far: list[str]) -> DataFrame:
+    """(positive, negative, passed): records with label 1 paired with records with label 0, each in one pair at most.
+
+    First the k-th positive and the k-th negative of a group of equal `near` columns are a pair, in the order of ids; what
+    is left over there is paired in the same way within equal `far` columns (passed 2), and what is left then stays
+    alone. Nulls are equal to each other. Places come from ranges, so a large group is no single task, and a pair is met
+    by its place, so no two records are compared. Ids are unique and not null; other labels are left out."""
+    rows = df.select(F.col(id_).alias("_id"), F.col(label).cast("int").alias("_label"), *dict.fromkeys([*near, *far])).filter("_label in (0, 1)")
+    out = None
+    for number, by in ((1, near), (2, far)):
+        placed = materialize(numbered(rows, [*by, "_label"], [F.col("_id")], "_k"), "pairs")
+        both = placed.groupBy("_k", *by).agg(F.max(F.when(F.col("_label") == 1, F.col("_id"))).alias("positive"), F.max(F.when(F.col("_label") == 0, F.col("_id"))).alias("negative"))
+        both = materialize(both, "pairs")
+        met = both.filter("positive is not null and negative is not null").select("positive", "negative", F.lit(number).alias("passed"))
+        out = met if out is None else out.unionByName(met)
+        left = both.filter("positive is null or negative is null").select(F.coalesce("positive", "negative").alias("_id"))
+        rows = rows.join(left, "_id", "leftsemi")
+    return out

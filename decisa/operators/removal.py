@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisa.operators.ranks import numbered
+
 
 def prove(df: DataFrame, by: str, pos: str, text: str, drop: Column, damage: Column | None = None) -> DataFrame:
     """(by, restored, dropped, turns): segments are dropped, and a manifest keeps only where they stood and a hash.
@@ -106,3 +109,40 @@ def pack(df: DataFrame, by: str, pos: str, cost: str, budget: int) -> DataFrame:
     more = lambda a, x: F.struct(top(a)["first"].alias("first"), x["p"].alias("last"), (top(a)["used"] + x["c"]).alias("used"))
     fold = F.aggregate("s", empty, lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["used"] + x["c"] <= budget), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["first"].alias("first"), x["p"].alias("last"), (F.get(a, F.size(a) - 1)["used"] + x["c"]).alias("used"))))).otherwise(F.concat(a, F.array(new(x)))))
     return g.select(by, F.posexplode(fold).alias("row", "r")).select(by, "row", "r.first", "r.last", "r.used")
+
+
+#: Token arrays that are packed together at most.
+PACKED_TOGETHER = 4096
+
+
+def pack_prefixes(df: DataFrame, by: str, id_: str, tokens: str, budget: int, together: int = PACKED_TOGETHER) -> DataFrame:
+    """(by, id, block, row, shared, cost): token arrays packed into rows of at most `budget` tokens, in which a prefix that
+    neighbours share counts once.
+
+    Arrays stand in their order, which puts those with long common prefixes side by side, then by id. One costs its tokens
+    without the `shared` first ones that it has in common with the one before it in its row; a new row begins, where
+    nothing is shared, when the cost would pass the budget. An array longer than the budget has a row of its own. Each
+    group's order is cut into blocks of `together` arrays, in which rows are filled in one pass, so a group of any size is
+    spread over tasks and a block costs at most one row that isn't full. A null array is empty."""
+    rows = df.select(by, F.col(id_).alias("id"), F.coalesce(F.col(tokens), F.array().cast(df.schema[tokens].dataType)).alias("tokens"))
+    placed = numbered(rows, [by], [F.col("tokens"), F.col("id")], "_place").withColumn("block", F.floor((F.col("_place") - 1) / together))
+    by_type, id_type = df.schema[by].dataType.simpleString(), df.schema[id_].dataType.simpleString()
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place")
+        row, used, before, out = -1, budget + 1, (), []
+        for x in pdf["tokens"].tolist():
+            same = 0
+            for a, b in zip(before, x, strict=False):
+                if a != b:
+                    break
+                same += 1
+            if row < 0 or used + len(x) - same > budget:
+                row, used, same = row + 1, 0, 0
+            used += len(x) - same
+            out.append((row, same, len(x) - same))
+            before = x
+        filled = pd.DataFrame(out, columns=["row", "shared", "cost"])
+        return pd.concat([pdf[[by, "id", "block"]].reset_index(drop=True), filled], axis=1)
+
+    return placed.groupBy(by, "block").applyInPandas(fill, f"`{by}` {by_type}, id {id_type}, block long, row long, shared long, cost long")

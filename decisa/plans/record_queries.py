@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decisa.functions import jsons, text, windows
 from decisa.operators import panel as books
-from decisa.operators import ranks, requests, resample, transcripts
+from decisa.operators import gate, ranks, removal, requests, resample, transcripts
 from decisa.plans.base import PANEL, SCORED, panel, query, rounded, scored, table
 from decisa.session import fresh_path
 from decisa.sources import readers, sinks
@@ -100,23 +100,100 @@ def score_contract(spark, sf_dir):
     return s.select("id", requests.score_reason(F.array(F.lit("irrelevant_0")), answers).alias("reason"))
 
 
-@query(f"""WITH {TURNS}, ok AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u FROM turns WHERE conv_id % 3 = 0 GROUP BY 1),
-s AS (SELECT t.conv_id, i, role, u, CAST(('0x' || substring(md5(t.conv_id || ':' || i), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS p FROM turns t JOIN ok USING (conv_id)),
-o AS (SELECT *, CASE WHEN u = 0 THEN 'missing_user_intent' WHEN role <> 'assistant' THEN 'protected' WHEN p <= 0.4 THEN 'model_retain' WHEN p < 0.6 THEN 'uncertain_score' END AS own FROM s),
+SEG = f"""{TURNS}, ok AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u FROM turns GROUP BY 1 HAVING NOT (conv_id % 3 = 2 AND count(*) FILTER (role = 'system') > 0)),
+seg AS (SELECT t.conv_id, CASE WHEN t.conv_id % 3 = 1 THEN 1 ELSE 0 END + i AS pos, i, role, text, u, CAST(('0x' || substring(md5(t.conv_id || ':' || i), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS p,
+  CASE t.conv_id % 3 WHEN 0 THEN '/messages/' || i || '/content' WHEN 1 THEN '/input/' || i || '/content/0/text' ELSE '/messages/' || i || '/content/0/text' END AS pointer FROM turns t JOIN ok USING (conv_id))"""
+
+
+def _scores(t):
+    """Scores of turns as hashes, and the pointers of turns and of those three before, in the format of a conversation."""
+    pointer = lambda i: F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("/messages/"), i, F.lit("/content"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("/input/"), i, F.lit("/content/0/text"))).otherwise(F.concat(F.lit("/messages/"), i, F.lit("/content/0/text")))
+    p = F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "i").cast("binary")), 1, 8), 16, 10).cast("double") / float(16**8)
+    return t.select("conv_id", "i", "role", pointer(F.col("i")).alias("pointer"), F.when(F.col("i") >= 3, pointer(F.col("i") - 3)).alias("needs"), p.alias("p"))
+
+
+@query(f"""WITH {SEG},
+o AS (SELECT *, CASE WHEN u = 0 THEN 'missing_user_intent' WHEN role <> 'assistant' THEN 'protected' WHEN p <= 0.4 THEN 'model_retain' WHEN p < 0.6 THEN 'uncertain_score' END AS own FROM seg),
 n AS (SELECT conv_id, i FROM o x WHERE EXISTS (SELECT 1 FROM o y WHERE y.conv_id = x.conv_id AND y.own IS NOT NULL AND y.i > x.i AND (y.i - x.i) % 3 = 0))
-SELECT o.conv_id, o.i AS pos, CASE WHEN own IS NULL AND n.i IS NULL THEN 'drop' ELSE 'retain' END AS suggestion, coalesce(own, CASE WHEN n.i IS NOT NULL THEN 'dependency' END, 'high_irrelevance_score') AS reason FROM o LEFT JOIN n ON n.conv_id = o.conv_id AND n.i = o.i""")
+SELECT o.conv_id, o.pos, CASE WHEN own IS NULL AND n.i IS NULL THEN 'drop' ELSE 'retain' END AS suggestion, coalesce(own, CASE WHEN n.i IS NOT NULL THEN 'dependency' END, 'high_irrelevance_score') AS reason FROM o LEFT JOIN n ON n.conv_id = o.conv_id AND n.i = o.i
+UNION ALL SELECT conv_id, 0, 'retain', CASE WHEN u = 0 THEN 'missing_user_intent' ELSE 'protected' END FROM ok WHERE conv_id % 3 = 1""")
 def shadow_gate(spark, sf_dir):
-    """What a gate at 0.6 would drop of the chat bodies, scores being hashes; each turn needs the one three before it."""
-    b = _bodies(spark, sf_dir).filter("wire = 'openai_chat'")
-    t = _turns(spark, sf_dir).filter("conv_id % 3 = 0")
-    pointer = lambda i: F.concat(F.lit("/messages/"), i, F.lit("/content"))
-    p = F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "i").cast("binary")), 1, 8), 16, 10).cast("double") / float(16**8)
-    scores = t.select("conv_id", pointer(F.col("i")).alias("pointer"), p.alias("p"))
-    needs = t.filter("i >= 3").select("conv_id", pointer(F.col("i")).alias("pointer"), pointer(F.col("i") - 3).alias("needs"))
-    out = requests.shadow_gate(requests.parsed_requests(b, "conv_id", "raw", "wire"), scores, needs, "conv_id", 0.6)
+    """What a gate at 0.6 would drop of all bodies, scores being hashes; each turn needs the one three before it."""
+    t = _scores(_turns(spark, sf_dir))
+    parsed = requests.parsed_requests(_bodies(spark, sf_dir), "conv_id", "raw", "wire")
+    out = requests.shadow_gate(parsed, t.select("conv_id", "pointer", "p"), t.filter("needs is not null").select("conv_id", "pointer", "needs"), "conv_id", 0.6)
     return out.select("conv_id", F.col("pos").cast("long").alias("pos"), "suggestion", "reason")
 
 
+#: What the policies and scores of the active gate's query get wrong, by every third part of the conversation's number.
+GATED = f"""{SEG}, f AS (SELECT *, (conv_id // 3) % 9 AS f FROM seg),
+a AS (SELECT *, CASE WHEN role <> 'assistant' THEN 'protected_structure' WHEN f = 8 AND i % 4 = 1 THEN 'caller_protected' WHEN f = 5 OR f = 8 AND i % 4 = 3 THEN 'not_explicitly_eligible' END AS own FROM f),
+b AS (SELECT *, coalesce(own, CASE WHEN f <> 5 AND EXISTS (SELECT 1 FROM a y WHERE y.conv_id = a.conv_id AND y.own IS NOT NULL AND y.i > a.i AND (y.i - a.i) % 3 = 0) THEN 'required_dependency' END) AS early FROM a),
+r AS (SELECT conv_id, any_value(f) AS f, count(*) FILTER (early IS NULL) AS candidates, any_value(u) AS u, min(i) FILTER (early IS NULL) AS first FROM b GROUP BY 1),
+q AS (SELECT conv_id, CASE WHEN f = 1 THEN 'invalid_sidecar' WHEN f = 2 THEN 'caller_bypass' WHEN f = 3 THEN 'unknown_segment_reference' WHEN f = 4 THEN 'unresolved_dependency' WHEN u = 0 THEN 'missing_user_intent' WHEN candidates = 0 THEN 'no_eligible_segments' WHEN f = 7 THEN 'scorer_unavailable' WHEN f = 6 THEN 'invalid_score_response' END AS stop FROM r),
+c AS (SELECT b.*, stop, CASE WHEN stop IN ('invalid_sidecar', 'caller_bypass', 'unknown_segment_reference', 'unresolved_dependency') THEN 'whole_request_fallback' WHEN early IS NOT NULL THEN early WHEN stop IS NOT NULL THEN 'whole_request_fallback' WHEN p <= 0.4 THEN 'model_retain' WHEN p < 0.6 THEN 'uncertain_score' END AS late FROM b JOIN q USING (conv_id)),
+g AS (SELECT *, coalesce(late, CASE WHEN f <> 5 AND EXISTS (SELECT 1 FROM c y WHERE y.conv_id = c.conv_id AND y.late IS NOT NULL AND y.i > c.i AND (y.i - c.i) % 3 = 0) THEN 'required_dependency' END, 'high_irrelevance_score') AS reason FROM c)"""
+
+
+def _gated(spark, sf_dir):
+    """The active gate over all conversations: policies and scores of which each kind of fault has a share."""
+    t = _scores(_turns(spark, sf_dir)).withColumn("f", F.floor(F.col("conv_id") / 3) % 9)
+    note = F.struct(F.lit(True).alias("eligible"), F.when(F.col("f") == 4, F.array(F.lit("/x"))).otherwise(F.when(F.col("needs").isNotNull(), F.array("needs"))).alias("depends_on"), F.when((F.col("f") == 8) & (F.col("i") % 4 == 1), F.lit(True)).alias("cited"))
+    note = F.when((F.col("f") == 8) & (F.col("i") % 4 == 3), note.withField("eligible", F.lit(False))).otherwise(note)
+    notes = F.map_from_entries(F.collect_list(F.struct(F.when(F.col("f") == 3, F.concat("pointer", F.lit("/x"))).otherwise(F.col("pointer")), note)))
+    f = F.first("f")
+    side = F.when(f == 1, "[]").when(f == 2, '{"bypass":true}').when(f == 5, F.lit(None).cast("string")).otherwise(F.to_json(F.struct(notes.alias("segments"))))
+    bodies = _bodies(spark, sf_dir).join(t.groupBy("conv_id").agg(side.alias("side")), "conv_id")
+    scores = t.filter("f <> 7").select("conv_id", "pointer", F.when(F.col("f") == 6, F.col("p") + 2).otherwise(F.col("p")).alias("p"))
+    return gate.active_gate(bodies, scores, "conv_id", "raw", "wire", "side", 0.6)
+
+
+@query(f"""WITH {GATED}, x AS (
+  SELECT conv_id, any_value(stop) AS stop, count(*) FILTER (reason = 'high_irrelevance_score') AS gone,
+    string_agg(CASE WHEN reason = 'high_irrelevance_score' THEN NULL WHEN conv_id % 3 = 0 THEN '{{"role":' || to_json(role) || ',"content":' || to_json(text) || '}}'
+      ELSE '{{"role":' || to_json(role) || ',"content":[{{"type":"' || CASE WHEN conv_id % 3 = 1 THEN 'input_text' ELSE 'text' END || '","text":' || to_json(text) || '}}]}}' END, ',' ORDER BY i) AS m FROM g GROUP BY 1)
+SELECT conv_id, CASE WHEN stop IS NULL THEN 'scored' ELSE 'bypass' END AS status, coalesce(stop, 'shadow_only') AS reason, gone > 0 AS applied,
+  sha256(CASE conv_id % 3 WHEN 0 THEN '{{"model":"x","messages":[' || m || ']}}' WHEN 1 THEN '{{"input":[' || m || '],"instructions":"short"}}' ELSE '{{"messages":[' || m || '],"max_tokens":10}}' END) AS forwarded, CAST(gone AS BIGINT) AS segments, true AS restored FROM x
+UNION ALL SELECT conv_id, 'bypass', 'unsupported_role', false, sha256('{{"messages":[' || string_agg('{{"role":' || to_json(role) || ',"content":[{{"type":"text","text":' || to_json(text) || '}}]}}', ',' ORDER BY i) || '],"max_tokens":10}}'), 0, true FROM turns WHERE conv_id NOT IN (SELECT conv_id FROM ok) GROUP BY 1""")
+def active_gate(spark, sf_dir):
+    """What the gate sends on, by bytes, of the bodies of all conversations, and whether the original comes back."""
+    g = _gated(spark, sf_dir)
+    back = removal.restored_bytes(F.col("forwarded"), F.col("held"), F.struct("receipt.bytes", "receipt.sha256", "receipt.reduced_bytes", "receipt.reduced_sha256", "receipt.cuts"))
+    gone = F.size(F.filter("receipt.segments", lambda s: s["applied"]))
+    g = g.withColumn("back", back)
+    return g.select("conv_id", "status", "reason", "applied", F.sha2("forwarded", 256).alias("forwarded"), gone.cast("long").alias("segments"), (F.sha2("back.body", 256) == F.col("receipt.sha256")).alias("restored"))
+
+
+@query(f"""WITH {GATED} SELECT conv_id, pointer, role, sha256(to_json(text)) AS digest, reason, reason = 'high_irrelevance_score' AS applied FROM g
+UNION ALL SELECT conv_id, '/instructions', 'control', sha256('"short"'), CASE WHEN stop IN ('invalid_sidecar', 'caller_bypass', 'unknown_segment_reference', 'unresolved_dependency') THEN 'whole_request_fallback' ELSE 'protected_structure' END, false FROM q WHERE conv_id % 3 = 1""")
+def gate_receipt(spark, sf_dir):
+    """The receipt of the active gate: every segment's pointer, hash and reason, without content."""
+    return _gated(spark, sf_dir).select("conv_id", F.inline("receipt.segments")).select("conv_id", "pointer", "role", F.col("sha256").alias("digest"), "reason", "applied")
+
+
+SPACED = """SELECT conv_id, i, role, '{ "role" :' || chr(10) || to_json(role) || ', "content":[ {"type":"text" , "text":' || to_json(text) || '}]}' AS m, (i * 7 + conv_id) % 3 = 0 AS gone FROM turns"""
+
+
+@query(f"""WITH {TURNS}, s AS ({SPACED}), g AS (SELECT conv_id, bool_and(gone) AS none, count(*) FILTER (gone) AS n,
+  '[ ' || string_agg(m, ' ,' || chr(9) ORDER BY i) || ' ]' AS w, '[ ' || string_agg(m, ' ,' || chr(9) ORDER BY i) FILTER (NOT gone) || ' ]' AS k FROM s GROUP BY 1)
+SELECT conv_id, sha256('{{"messages":' || w || ' , "model":"x" }}') AS original, sha256('{{"messages":' || k || ' , "model":"x" }}') AS reduced, CASE WHEN NOT none THEN octet_length(encode(w)) - octet_length(encode(k)) END AS cut_bytes,
+  CASE WHEN NOT none THEN sha256('{{"messages":' || w || ' , "model":"x" }}') END AS restored, CASE WHEN none THEN 'damaged_reduced' WHEN n > 0 THEN 'damaged_segment' END AS fault FROM g""")
+def byte_removal(spark, sf_dir):
+    """Messages cut out of oddly spaced bodies by bytes and put back; a byte of the first held cut is then changed, which
+    must be noticed. A body that would lose all its messages isn't cut."""
+    t = _turns(spark, sf_dir)
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    m = F.concat(F.lit('{ "role" :\n'), quoted(F.col("role")), F.lit(', "content":[ {"type":"text" , "text":'), quoted(F.col("text")), F.lit("}]}"))
+    gone = F.when((F.col("i") * 7 + F.col("conv_id")) % 3 == 0, F.concat(F.lit("/messages/"), "i", F.lit("/content/0/text")))
+    g = t.select("conv_id", F.struct("i", m.alias("m")).alias("m"), gone.alias("gone")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"), F.collect_list("gone").alias("gone"))
+    b = g.select("conv_id", "gone", F.lit("openai_chat").alias("wire"), F.concat(F.lit('{"messages":[ '), F.array_join(F.transform("m", lambda x: x["m"]), " ,\t"), F.lit(' ] , "model":"x" }')).alias("raw"))
+    parsed = requests.parsed_requests(b, "conv_id", "raw", "wire").select("conv_id", "spans")
+    cut = parsed.join(b, "conv_id").withColumn("r", removal.removed_bytes(F.col("raw"), removal.request_cuts(F.col("spans"), F.col("gone"))))
+    worse = F.transform("r.held", lambda h, k: F.when(k == 0, F.concat(F.substring(h, F.lit(1), F.octet_length(h) - 1), F.lit(b"?"))).otherwise(h))
+    cut = cut.withColumns({"back": removal.restored_bytes(F.col("r.reduced"), F.col("r.held"), F.col("r.manifest")), "bad": removal.restored_bytes(F.col("r.reduced"), worse, F.col("r.manifest"))})
+    return cut.select("conv_id", F.sha2("raw", 256).alias("original"), F.sha2("r.reduced", 256).alias("reduced"), (F.col("r.manifest.bytes") - F.col("r.manifest.reduced_bytes")).alias("cut_bytes"), F.sha2("back.body", 256).alias("restored"), F.col("bad.fault").alias("fault"))
+
+
 def _sessions(spark, sf_dir):
     """Session events of each conversation, a JSON line a turn: users say texts, and even ones a tool result too;
     assistants say a text and call a tool on a file that follows from the turn; system turns are meta events."""
