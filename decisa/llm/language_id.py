@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisa.llm.words import U64, Block, blocks, mix, tidy
-from decisa.session import short_batches
+from decisa.session import materialize, short_batches
 
 #: Labelled rows that a language is fitted on at most: those whose hashed ids are smallest.
 SAMPLE_ROWS = 1500
-#: Languages that are learnt at most, the most frequent ones.
-LANGUAGES = 200
+#: Rows and bytes of text of the whole sample at most; every language has an equal part, and a row at least.
+ALL_ROWS, ALL_BYTES = 300_000, 64 << 20
+#: Languages whose shares are broadcast at most; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Words kept for all languages together, the most frequent ones; rarer words are read by n-grams.
 WORDS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -139,19 +141,24 @@ def predictor(model: dict):
     return names, predict
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
+def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, all_rows: int = ALL_ROWS, all_bytes: int = ALL_BYTES) -> dict:
     """Count on at most `rows` rows of each language of labelled (key, text, lang), in one task; the model is a few MB.
 
     They are the rows with the smallest hashed keys. A language's hashes below rows / its number of keys (and a tenth
-    for chance) are cut off first, so no task sorts a whole language. A key with several texts in a language gives its
-    smallest; rows with a null key, text or lang teach nothing; an empty table gives a model without languages."""
+    for chance) are cut off first, so no task sorts a whole language. All languages are learnt: where there are many, each
+    gives its part of all_rows and all_bytes, and one text at least, whole. A key with several texts in a language gives
+    its smallest; rows with a null key, text or lang teach nothing; an empty table gives a model without languages."""
     fine = labelled.filter("key is not null and lang is not null and text is not null")
     unit = (F.shiftrightunsigned(F.xxhash64("key"), 11)).cast("double") / float(1 << 53)
-    langs = fine.groupBy("lang").agg((F.lit(1.1 * rows + 100) / F.approx_count_distinct("key", 0.02)).alias("share"))
-    langs = F.broadcast(langs.orderBy(F.asc("share"), "lang").limit(LANGUAGES))
-    low = fine.select("key", "lang").join(langs, "lang").filter(unit <= F.col("share")).select("key", "lang").distinct()
+    langs = materialize(fine.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("keys")), "languages")
+    n = max(1, langs.count())
+    rows, most = max(1, min(rows, all_rows // n)), all_bytes // n
+    shares = langs.select("lang", (F.lit(1.1 * rows + 100) / F.col("keys")).alias("share"))
+    shares = F.broadcast(shares) if n <= BROADCAST_LANGUAGES else shares
+    low = fine.join(shares, "lang").filter(unit <= F.col("share")).groupBy("key", "lang").agg(F.min(F.octet_length("text")).alias("size"))
     least = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    ids = low.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= rows).drop("k")  # at most `rows` a language
+    before = F.coalesce(F.sum("size").over(least.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = low.withColumns({"k": F.row_number().over(least), "before": before}).filter((F.col("k") <= rows) & (F.col("before") <= most)).select("key", "lang")
     sample = fine.join(F.broadcast(ids), ["key", "lang"], "leftsemi").groupBy("key", "lang").agg(F.min("text").alias("text"))
 
     def run(batches):
@@ -182,8 +189,11 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from tidy(run)(batches)
 
-    docs = docs.drop("lang_pred", "score").withColumn("_got", of(F.lower("text").cast("binary")))
+    got = "_got"
+    while got in docs.columns:
+        got += "_"
+    docs = docs.drop("lang_pred", "score").withColumn(got, of(F.lower("text").cast("binary")))
     return docs.withColumns({
-        "lang_pred": F.when(has_letter, F.col("_got.lang_pred")).otherwise("und"),
-        "score": F.when(has_letter, F.col("_got.score")).otherwise(1.0),
-    }).drop("_got")
+        "lang_pred": F.when(has_letter, F.col(f"{got}.lang_pred")).otherwise("und"),
+        "score": F.when(has_letter, F.col(f"{got}.score")).otherwise(1.0),
+    }).drop(got)

@@ -79,7 +79,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
             words[row["block"]] = row["word"]
         table = F.array(*[F.lit(w).cast("long") for w in words])
         keys = F.filter(keys, lambda k: F.element_at(table, (_block(k["h"], blocks) + 1).cast("int")).bitwiseAND(_bits(k["h"])) == _bits(k["h"]))
-    urls = named.select(F.col(url).alias("key_url"), "host", "path").filter("key_url is not null").distinct()
+    passed = F.coalesce((F.size(keys) > 0 if blocks <= LITERAL_BLOCKS else F.col("host") != "") & F.col(url).isNotNull(), F.lit(False))
+    urls = named.filter(passed).select(F.col(url).alias("key_url"), "host", "path").distinct()
     hits = urls.select("key_url", F.inline(keys))
     if blocks > LITERAL_BLOCKS:
         hits = hits.withColumn("block", _block(F.col("h"), blocks)).join(bloom, "block")
@@ -96,8 +97,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         out = named.join(F.broadcast(best), named[url] == best["key_url"], "left").drop(best["key_url"])
         return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     # too many to broadcast: rows that no rule can fit stay where they are, the others meet their URL's verdict
-    passed = F.size(keys) > 0 if blocks <= LITERAL_BLOCKS else F.col("host") != ""
-    maybe = named.filter(F.coalesce(passed & F.col(url).isNotNull(), F.lit(False)))
-    rest = named.filter(~F.coalesce(passed & F.col(url).isNotNull(), F.lit(False))).withColumns(none)
+    maybe, rest = named.filter(passed), named.filter(~passed).withColumns(none)
     joined = maybe.join(best, maybe[url] == best["key_url"], "left").drop(best["key_url"])
     return rest.unionByName(joined.withColumn("verdict", F.coalesce("verdict", F.lit(default))))

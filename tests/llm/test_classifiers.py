@@ -174,3 +174,15 @@ def test_repeated_keys_teach_the_same_in_any_order(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "key long, label int")
     scored = [quality.fit(spark.createDataFrame(random.Random(s).sample(data, len(data)), "key long, text string, lang string").repartition(s), labels) for s in (2, 5)]
     assert all(np.array_equal(scored[0][n], scored[1][n]) for n in scored[0])
+
+
+def test_all_languages_are_learnt_within_the_bounds(spark):
+    rows = [(k, f"word{k % 230} other{k % 230} " * 3, f"l{k % 230:03d}") for k in range(460)] + [(1000, "longest " * 5000, "one"), (1001, "remaining " * 5000, "one")]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    model = language_id.fit(docs, all_rows=462, all_bytes=231 * 300)
+    assert len(model["names"]) == 231  # one of the long texts is learnt whole, the other one is beyond the bytes
+    asked = spark.createDataFrame([(k, f"word{k} other{k}", "kept", 1) for k in range(230)], "doc_id long, text string, _got string, _got_ int")
+    out = language_id.identify(asked, model)
+    assert out.columns == ["doc_id", "text", "_got", "_got_", "lang_pred", "score"]
+    got = out.collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03d}" and r["_got"] == "kept" for r in got)
