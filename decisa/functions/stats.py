@@ -99,9 +99,11 @@ def fisher_z_diff(r1: Column, n1: Column, r2: Column, n2: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str, alpha: float = 0.05) -> DataFrame:
-    """Each p against its own threshold alpha * rank / m; there is no step-up over larger ranks."""
-    w, all_ = Window.partitionBy(*by).orderBy(p, name), Window.partitionBy(*by)
-    ranked = df.filter(F.col(p).isNotNull()).withColumn("rank", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(all_))
+    """Each p against its own threshold alpha * rank / m; there is no step-up over larger ranks. Ranks come from ranges,
+    so a family of any size is spread over tasks."""
+    from decisa.operators.ranks import numbered
+
+    ranked = numbered(df.filter(F.col(p).isNotNull()), by, [F.col(p), F.col(name)], "rank", "m").withColumn("rank", F.col("rank").cast("int"))
     ranked = ranked.withColumn("threshold", F.lit(alpha) * F.col("rank") / F.col("m"))
     return ranked.withColumn("passes", F.col(p) <= F.col("threshold"))
 

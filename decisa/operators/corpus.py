@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,10 +145,18 @@ def drop_oldest(df: DataFrame, by: list[str], pos: str, cost: str, protected: st
 
 
 def spaced(df: DataFrame, by: list[str], time: str, gap: int) -> DataFrame:
-    """Greedy: a time is kept if it lies at least `gap` after the last kept one; a fold over each group's sorted times."""
-    g = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(time).cast("long"))).alias("_t"))
-    fold = F.aggregate("_t", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap), F.concat(a, F.array(t))).otherwise(a))
-    return g.select(*by, F.explode(F.when(F.size("_t") > 0, fold)).alias(time))
+    """Greedy: a time is kept if it lies at least `gap` after the last kept one; one pass over each group's sorted times."""
+    rows = df.select(*by, F.col(time).cast("long").alias(time)).dropna(subset=[time])
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time)
+        kept, last = [], None
+        for t in pdf[time].tolist():
+            kept.append(last is None or t - last >= gap)
+            last = t if kept[-1] else last
+        return pdf[kept]
+
+    return rows.groupBy(*by).applyInPandas(keep, rows.schema)
 
 
 def two_pass_pairs(df: DataFrame, id_: str, label: str, near: list[str], far: list[str]) -> DataFrame:

@@ -208,15 +208,46 @@ def overlay_labels(rows: DataFrame, labels: DataFrame, key: str, shared: list[st
     return both.drop("_k", *[f"_s_{c}" for c in shared])
 
 
-def closure(edges: DataFrame, seeds: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", group: str = "group") -> DataFrame:
-    """(group, node): what seeds reach along edges within their group, seeds included; ends when no round adds a node."""
+#: Edges of a group that one task follows by itself at most.
+FOLLOWED_AT_ONCE = 100_000
+
+
+def closure(edges: DataFrame, seeds: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", group: str = "group", at_once: int = FOLLOWED_AT_ONCE) -> DataFrame:
+    """(group, node): what seeds reach along edges within their group, seeds included.
+
+    A group of up to `at_once` edges is followed to its end in one task, so chains cost no rounds. Larger groups go on in
+    rounds over all tasks, each a step along the edges, until none adds a node: as many as their longest path has steps."""
     known = materialize(seeds.select(group, node).distinct(), "closure")
-    fresh, e = known, edges.select(group, F.col(src).alias(node), F.col(dst).alias("_to")).distinct()
+    e = materialize(edges.select(group, F.col(src).alias(node), F.col(dst).alias("_to")).distinct(), "closure-edges")
+    sizes = e.groupBy(group).agg(F.count("*").alias("_n"))
+    small, large = sizes.filter(F.col("_n") <= at_once).select(group), materialize(sizes.filter(F.col("_n") > at_once).select(group), "closure-large")
+    types = {f.name: f.dataType.simpleString() for f in known.schema}
+
+    def follow(edges_: pd.DataFrame, seeds_: pd.DataFrame) -> pd.DataFrame:
+        to: dict = {}
+        for x, y in edges_[[node, "_to"]].itertuples(index=False, name=None):
+            to.setdefault(x, []).append(y)
+        seen = set(seeds_[node])
+        open_ = list(seen)
+        while open_:
+            for y in to.get(open_.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    open_.append(y)
+        return pd.DataFrame({group: [seeds_[group].iloc[0]] * len(seen), node: list(seen)}) if len(seeds_) else seeds_[[group, node]]
+
+    followed = e.join(small, group, "leftsemi").groupBy(group).cogroup(known.join(small, group, "leftsemi").groupBy(group)).applyInPandas(follow, f"`{group}` {types[group]}, `{node}` {types[node]}")
+    alone = known.join(sizes.select(group), group, "leftanti")
+    done = materialize(followed.unionByName(alone), "closure")
+    if large.isEmpty():
+        return done
+    known, e = known.join(large, group, "leftsemi"), e.join(large, group, "leftsemi")
+    fresh = known
     while True:
         found = fresh.join(e, [group, node]).select(group, F.col("_to").alias(node)).distinct().join(known, [group, node], "leftanti")
         fresh = materialize(found, "closure")
         if fresh.isEmpty():
-            return known
+            return done.unionByName(known)
         known = materialize(known.unionByName(fresh), "closure")
 
 

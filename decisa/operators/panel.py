@@ -87,11 +87,13 @@ def daily_ledger(df: DataFrame, day: str, asset: str, score: str, close: str, ed
 
 
 def round_robin(df: DataFrame, by: list[str], stratum: str, order: list[str], cap: int) -> DataFrame:
-    """Up to cap rows of a group, one of each stratum in turn."""
+    """Up to cap rows of a group, one of each stratum in turn. A stratum gives cap rows at most, which are cut off before
+    they are sorted; the turns are counted by ranges."""
+    from decisa.operators.ranks import numbered
+
     k = F.row_number().over(Window.partitionBy(*by, stratum).orderBy(*order))
-    pick = df.withColumn("_k", k)
-    n = F.row_number().over(Window.partitionBy(*by).orderBy("_k", stratum, *order))
-    return pick.withColumn("_n", n).filter(F.col("_n") <= cap).drop("_k", "_n")
+    pick = df.withColumn("_k", k).filter(F.col("_k") <= cap)
+    return numbered(pick, by, [F.col("_k"), F.col(stratum), *[F.col(o) if isinstance(o, str) else o for o in order]], "_n").filter(F.col("_n") <= cap).drop("_k", "_n")
 
 
 def evenly_spaced(df: DataFrame, by: list[str], order: str, cap: int) -> DataFrame:

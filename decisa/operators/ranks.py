@@ -51,3 +51,13 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, shares: dict[str, fl
         part = F.max(at - F.floor(at))
         out += [(low + (high - low) * part).alias(name), near.alias(f"{name}_rounded")]
     return rows.groupBy(*by).agg(*out)
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """df with the rank of value in its group, equal values sharing their average rank; rows with a null value go."""
+    rows = numbered(df.filter(F.col(value).isNotNull()), by, [F.col(value)], "_place")
+    shared = rows.groupBy(*by, F.col(value).alias("_v")).agg(((F.min("_place") + F.max("_place")) / 2).alias(out))
+    same = F.col(f"r.{value}") == F.col("s._v")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return rows.alias("r").join(shared.alias("s"), same).select(*[F.col(f"r.{c}") for c in df.columns], F.col(f"s.{out}"))

@@ -32,16 +32,24 @@ def prove(df: DataFrame, by: str, pos: str, text: str, drop: Column, damage: Col
 CUTS = "array<struct<start: bigint, stop: bigint>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), in which value is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def list_cuts(items: Column, gone: Column) -> Column:
     """The bytes to cut so that a JSON array loses items: items holds every item's (start, stop) in order, gone the indices
     to drop. An item goes with the comma after it; those behind the last kept one go with the comma before them. Null when
     none is kept."""
     kept = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda k: ~F.array_contains(gone, k))
-    last = F.when(F.size(kept) > 0, F.element_at(kept, -1))
     cut = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"))
-    inner = F.transform(F.filter(F.array_sort(F.array_distinct(gone)), lambda k: k < last), lambda k: cut(F.get(items, k)["start"], F.get(items, k + 1)["start"]))
-    tail = F.when(last < F.size(items) - 1, F.array(cut(F.get(items, last)["stop"], F.element_at(items, -1)["stop"]))).otherwise(F.array().cast(CUTS))
-    return F.when(last.isNotNull(), F.concat(inner, tail))
+
+    def cuts(last: Column) -> Column:
+        inner = F.transform(F.filter(F.array_sort(F.array_distinct(gone)), lambda k: k < last), lambda k: cut(F.get(items, k)["start"], F.get(items, k + 1)["start"]))
+        tail = F.when(last < F.size(items) - 1, F.array(cut(F.get(items, last)["stop"], F.element_at(items, -1)["stop"]))).otherwise(F.array().cast(CUTS))
+        return F.when(last.isNotNull(), F.concat(inner, tail))
+
+    return _let(F.array_max(kept), cuts)
 
 
 def request_cuts(spans: Column, pointers: Column) -> Column:
@@ -52,11 +60,15 @@ def request_cuts(spans: Column, pointers: Column) -> Column:
     parts = lambda m: F.coalesce(m["parts"], F.array().cast(CUTS))
     lost = lambda m: F.filter(F.transform(parts(m), lambda s, j: F.when(part(m, j), j)), lambda j: j.isNotNull())
     seen = F.transform(spans, lambda m: F.struct(m["i"].alias("i"), m["span"].alias("span"), parts(m).alias("parts"), lost(m).alias("lost"), named(m["i"], lambda p: F.size(F.split(p, "/")) == 4).alias("named")))
-    whole = F.filter(F.transform(seen, lambda m: F.when(m["named"] | ((F.size(m["lost"]) > 0) & (F.size(m["lost"]) == F.size(m["parts"]))), m["i"])), lambda i: i.isNotNull())
-    within = F.filter(seen, lambda m: (F.size(m["lost"]) > 0) & ~F.array_contains(whole, m["i"]))
-    inner = F.flatten(F.transform(within, lambda m: list_cuts(m["parts"], m["lost"])))
-    outer = F.when(F.size(whole) > 0, list_cuts(F.transform(spans, lambda m: m["span"]), whole)).otherwise(F.array().cast(CUTS))
-    return F.array_sort(F.concat(outer, inner))
+
+    def cuts(seen: Column, whole: Column) -> Column:
+        within = F.filter(seen, lambda m: (F.size(m["lost"]) > 0) & ~F.array_contains(whole, m["i"]))
+        inner = F.flatten(F.transform(within, lambda m: list_cuts(m["parts"], m["lost"])))
+        outer = F.when(F.size(whole) > 0, list_cuts(F.transform(seen, lambda m: m["span"]), whole)).otherwise(F.array().cast(CUTS))
+        return F.array_sort(F.concat(outer, inner))
+
+    whole = lambda seen: F.filter(F.transform(seen, lambda m: F.when(m["named"] | ((F.size(m["lost"]) > 0) & (F.size(m["lost"]) == F.size(m["parts"]))), m["i"])), lambda i: i.isNotNull())
+    return _let(seen, lambda s: _let(whole(s), lambda w: cuts(s, w)))
 
 
 def removed_bytes(raw: Column, cuts: Column) -> Column:
@@ -64,51 +76,62 @@ def removed_bytes(raw: Column, cuts: Column) -> Column:
     and a manifest without content: sizes and SHA-256 of both bodies, and start, stop and SHA-256 of each cut.
 
     Cuts are disjoint and in order; there are at most a few hundred, as each one copies what was put together before."""
-    body = raw.cast("binary")
-    size = F.octet_length(body).cast("long")
-    bytes_of = lambda start, stop: F.substring(body, (start + 1).cast("int"), (stop - start).cast("int"))
+    bytes_of = lambda body, start, stop: F.substring(body, (start + 1).cast("int"), (stop - start).cast("int"))
     zero = F.struct(F.lit(b"").alias("body"), F.lit(0).cast("long").alias("at"))
-    walk = F.aggregate(cuts, zero, lambda a, c: F.struct(F.concat(a["body"], bytes_of(a["at"], c["start"])).alias("body"), c["stop"].alias("at")))
-    reduced = F.concat(walk["body"], bytes_of(walk["at"], size))
-    held = F.transform(cuts, lambda c: bytes_of(c["start"], c["stop"]))
-    records = F.transform(cuts, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.sha2(bytes_of(c["start"], c["stop"]), 256).alias("sha256")))
-    manifest = F.struct(size.alias("bytes"), F.sha2(body, 256).alias("sha256"), F.octet_length(reduced).cast("long").alias("reduced_bytes"), F.sha2(reduced, 256).alias("reduced_sha256"), records.alias("cuts"))
-    return F.struct(reduced.alias("reduced"), held.alias("held"), manifest.alias("manifest"))
+    size = lambda body: F.octet_length(body).cast("long")
+
+    def reduced(body: Column, cuts: Column) -> Column:
+        walk = F.aggregate(cuts, zero, lambda a, c: F.struct(F.concat(a["body"], bytes_of(body, a["at"], c["start"])).alias("body"), c["stop"].alias("at")), lambda a: F.concat(a["body"], bytes_of(body, a["at"], size(body))))
+        held = F.transform(cuts, lambda c: bytes_of(body, c["start"], c["stop"]))
+        records = F.transform(cuts, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.sha2(bytes_of(body, c["start"], c["stop"]), 256).alias("sha256")))
+        manifest = lambda r: F.struct(size(body).alias("bytes"), F.sha2(body, 256).alias("sha256"), size(r).alias("reduced_bytes"), F.sha2(r, 256).alias("reduced_sha256"), records.alias("cuts"))
+        return _let(walk, lambda r: F.struct(r.alias("reduced"), held.alias("held"), manifest(r).alias("manifest")))
+
+    return _let(F.struct(raw.cast("binary").alias("body"), cuts.alias("cuts")), lambda x: reduced(x["body"], x["cuts"]))
 
 
 def restored_bytes(reduced: Column, held: Column, manifest: Column) -> Column:
     """(body, fault): the original bytes out of what is left, what the caller kept, and the manifest; body is null with a
     fault: damaged_reduced, wrong_segment_count, damaged_segment, damaged_manifest, whichever is first. A null is a fault
     of its part."""
-    cuts = manifest["cuts"]
-    body = reduced.cast("binary")
     zero = F.struct(F.lit(b"").alias("body"), F.lit(0).cast("long").alias("at"))
+    true = lambda c: F.coalesce(c, F.lit(False))
 
-    def put(a: Column, x: Column) -> Column:
-        more = x["cuts"]["start"] - F.octet_length(a["body"])
-        return F.struct(F.concat(a["body"], F.substring(body, (a["at"] + 1).cast("int"), F.greatest(more, F.lit(0)).cast("int")), x["held"]).alias("body"), (a["at"] + more).alias("at"))
+    def checked(body: Column, held: Column, m: Column) -> Column:
+        both = F.arrays_zip(m["cuts"].alias("cuts"), held.alias("held"))
 
-    walk = F.aggregate(F.arrays_zip(cuts.alias("cuts"), held.alias("held")), zero, put)
-    whole = F.concat(walk["body"], F.substring(body, (walk["at"] + 1).cast("int"), F.octet_length(body)))
-    true = lambda c: F.coalesce(c, F.lit(False))
-    fine = F.forall(F.arrays_zip(cuts.alias("cuts"), held.alias("held")), lambda x: true((F.octet_length(x["held"]) == x["cuts"]["stop"] - x["cuts"]["start"]) & (F.sha2(x["held"], 256) == x["cuts"]["sha256"])))
-    fault = (
-        F.when(~true((F.octet_length(body) == manifest["reduced_bytes"]) & (F.sha2(body, 256) == manifest["reduced_sha256"])), "damaged_reduced")
-        .when(~true(F.size(held) == F.size(cuts)), "wrong_segment_count").when(~true(fine), "damaged_segment")
-        .when(~true((F.octet_length(whole) == manifest["bytes"]) & (F.sha2(whole, 256) == manifest["sha256"])), "damaged_manifest")
-    )
-    return F.struct(F.when(fault.isNull(), whole).alias("body"), fault.alias("fault"))
+        def put(a: Column, x: Column) -> Column:
+            more = x["cuts"]["start"] - F.octet_length(a["body"])
+            return F.struct(F.concat(a["body"], F.substring(body, (a["at"] + 1).cast("int"), F.greatest(more, F.lit(0)).cast("int")), x["held"]).alias("body"), (a["at"] + more).alias("at"))
+
+        whole = F.aggregate(both, zero, put, lambda a: F.concat(a["body"], F.substring(body, (a["at"] + 1).cast("int"), F.octet_length(body))))
+        fine = F.forall(both, lambda x: true((F.octet_length(x["held"]) == x["cuts"]["stop"] - x["cuts"]["start"]) & (F.sha2(x["held"], 256) == x["cuts"]["sha256"])))
+        fault = lambda w: (
+            F.when(~true((F.octet_length(body) == m["reduced_bytes"]) & (F.sha2(body, 256) == m["reduced_sha256"])), "damaged_reduced")
+            .when(~true(F.size(held) == F.size(m["cuts"])), "wrong_segment_count").when(~true(fine), "damaged_segment")
+            .when(~true((F.octet_length(w) == m["bytes"]) & (F.sha2(w, 256) == m["sha256"])), "damaged_manifest")
+        )
+        return _let(whole, lambda w: _let(fault(w), lambda f: F.struct(F.when(f.isNull(), w).alias("body"), f.alias("fault"))))
+
+    return _let(F.struct(reduced.cast("binary").alias("body"), held.alias("held"), manifest.alias("manifest")), lambda x: checked(x["body"], x["held"], x["manifest"]))
 
 
 def pack(df: DataFrame, by: str, pos: str, cost: str, budget: int) -> DataFrame:
-    """(by, row, first, last, used): segments in order, a new row where the next one would pass the budget."""
-    g = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("c")))).alias("s"))
-    empty = F.array().cast("array<struct<first: bigint, last: bigint, used: bigint>>")
-    new = lambda x: F.struct(x["p"].alias("first"), x["p"].alias("last"), x["c"].alias("used"))
-    top = lambda a: F.element_at(a, -1)
-    more = lambda a, x: F.struct(top(a)["first"].alias("first"), x["p"].alias("last"), (top(a)["used"] + x["c"]).alias("used"))
-    fold = F.aggregate("s", empty, lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["used"] + x["c"] <= budget), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["first"].alias("first"), x["p"].alias("last"), (F.get(a, F.size(a) - 1)["used"] + x["c"]).alias("used"))))).otherwise(F.concat(a, F.array(new(x)))))
-    return g.select(by, F.posexplode(fold).alias("row", "r")).select(by, "row", "r.first", "r.last", "r.used")
+    """(by, row, first, last, used): segments in order, a new row where the next one would pass the budget. One pass over
+    a conversation's positions and costs."""
+    rows = df.select(by, F.col(pos).cast("long").alias("p"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("c"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["p", "c"])
+        out: list[list[int]] = []
+        for p, c in zip(pdf["p"].tolist(), pdf["c"].tolist(), strict=True):
+            if out and out[-1][3] + c <= budget:
+                out[-1][2:] = [p, out[-1][3] + c]
+            else:
+                out.append([len(out), p, p, c])
+        return pd.DataFrame(out, columns=["row", "first", "last", "used"]).assign(**{by: pdf[by].iloc[0]})[[by, "row", "first", "last", "used"]]
+
+    return rows.groupBy(by).applyInPandas(fill, f"`{by}` {df.schema[by].dataType.simpleString()}, row int, first long, last long, used long")
 
 
 #: Token arrays that are packed together at most.

@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisa.functions.stats import ridge_grams, spearman
+from decisa.functions.stats import ridge_grams
+from decisa.operators.ranks import average_ranks
 
 
 def _grams(df: DataFrame, day: str, features: list[str], target: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +71,8 @@ def evaluate_fold(df: DataFrame, day: str, asset: str, features: list[str], targ
         F.count("*").alias("n"), (F.avg((y - p) * (y - p)) / F.avg((y - F.lit(float(mean))) * (y - F.lit(float(mean))))).alias("mse_ratio"),
         (F.avg(F.when(p >= F.col("q"), y)) - F.avg(y)).alias("top_spread"), F.avg(((y > mean) == (p > mean)).cast("double")).alias("sign_accuracy"),
     )
-    rho = spearman(test.withColumn("_one", F.lit(1)), ["_one"], "pred", target).select("rho")
-    return got.join(F.broadcast(rho))
+    ranked = average_ranks(average_ranks(test.select("pred", target), [], "pred", "_p"), [], target, "_t")
+    return got.join(F.broadcast(ranked.agg(F.corr("_p", "_t").alias("rho"))))
 
 
 def refit_policies(df: DataFrame, day: str, features: list[str], target: str, start: int, every: int, window: int, lam: float) -> DataFrame:

@@ -96,15 +96,21 @@ def word_shingles(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(text.shingles(F.col("text"))).alias("shingles"))
 
 
+#: Distinct hashes of benchmark shingles that are broadcast at most, 16 bytes each.
+BROADCAST_HASHES = 1_000_000
 SHINGLES = r"""s(id, s) AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i+5], ' ')))) FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM {table}))"""
 
 
 @query("WITH " + SHINGLES.format(id="doc_id", table="documents").replace("s(id, s)", "d(id, s)") + ", " + SHINGLES.format(id="item_id", table="benchmark").replace("s(id, s)", "b(id, s)") + """, n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared, round(count(*) / any_value(n.n)::DOUBLE, 6) AS contained FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id""")
 def shingle_containment(spark, sf_dir):
-    """Documents against benchmark items by shared six-word shingles."""
+    """Documents against benchmark items by shared six-word shingles. The benchmark's shingles are broadcast, as hashes
+    and only up to a counted number, so a document's others aren't shuffled."""
     d = docs(spark, sf_dir).select("doc_id", F.explode(text.shingles(F.col("text"))).alias("s"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.shingles(F.col("text"))).alias("s"))
+    hashes = b.select(F.xxhash64("s").alias("h")).distinct()
+    if hashes.count() <= BROADCAST_HASHES:
+        d = d.withColumn("h", F.xxhash64("s")).join(F.broadcast(hashes), "h", "leftsemi").drop("h")
     n = b.groupBy("item_id").agg(F.count("*").alias("n"))
     out = d.join(b, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(n, "item_id")
     return rounded(out.select("doc_id", "item_id", "shared", (F.col("shared") / F.col("n")).alias("contained")))

@@ -216,8 +216,8 @@ def review_queue(spark, sf_dir):
 SELECT doc_id, CASE WHEN frozen THEN 'frozen' WHEN k <= 5 THEN 'reserved' ELSE 'train' END AS pool FROM r""")
 def pool_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), F.sha2(F.col("doc_id").cast("string"), 256)))
-    return d.select("doc_id", F.when(text.hash_bucket(F.col("doc_id").cast("string"), "p", 10) == 0, "frozen").when(k <= 5, "reserved").otherwise("train").alias("pool"))
+    d = ranks.numbered(d.withColumn("h", F.sha2(F.col("doc_id").cast("string"), 256)), ["source"], [F.desc("n_chars"), F.col("h")], "k")
+    return d.select("doc_id", F.when(text.hash_bucket(F.col("doc_id").cast("string"), "p", 10) == 0, "frozen").when(F.col("k") <= 5, "reserved").otherwise("train").alias("pool"))
 
 
 @query(f"""WITH {PANEL}, r AS (SELECT asset, dn, CASE WHEN dn - lag(dn) OVER ({W}) = 1 THEN close / lag(close) OVER ({W}) - 1 END AS r FROM panel WHERE close > 0)
