@@ -155,17 +155,20 @@ def perturbation_deltas(spark, sf_dir):
     return rounded(out.select(F.substring("record_id", 2, 20).cast("long").alias("id"), "flipped", "l1", "max_delta"))
 
 
-@query(f"""WITH {SCORED}, a AS (SELECT id, p FROM scored WHERE id % 2 = 0), b AS (SELECT id, p FROM scored WHERE id % 3 = 0)
-SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_a' WHEN a.id IS NULL THEN 'only_b' ELSE 'shared' END AS status, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN true END AS agree FROM a FULL JOIN b USING (id)""".replace("coalesce(a.id, b.id)", "id"))
+@query(f"""WITH {SCORED}, a AS (SELECT id, y AS label FROM scored WHERE u < 0.7), b AS (SELECT id, (p >= 0.5)::INT AS label FROM scored WHERE u > 0.2 OR toxic = 1)
+SELECT id, CASE WHEN b.label IS NULL THEN 'only_a' WHEN a.label IS NULL THEN 'only_b' ELSE 'shared' END AS status, a.label = b.label AS agree FROM a FULL JOIN b USING (id)""")
 def rater_overlap(spark, sf_dir):
+    """Two raters that each saw a part of the rows, by what these hold, and judge in their own way."""
     s = scored(spark, sf_dir)
-    return joins.label_overlap(s.filter("id % 2 = 0"), s.filter("id % 3 = 0"), "id", "label").select("id", "status", "agree")
+    other = s.filter("u > 0.2 or toxic = 1").withColumn("label", (F.col("p") >= 0.5).cast("int").cast("string"))
+    return joins.label_overlap(s.filter("u < 0.7"), other, "id", "label").select("id", "status", "agree")
 
 
-@query(f"""WITH {SCORED}, r AS (SELECT id, p FROM scored WHERE id % 5 <> 0), q AS (SELECT id FROM scored WHERE id % 7 <> 0) SELECT id, CASE WHEN q.id IS NULL THEN 'missing' WHEN r.id IS NULL THEN 'extra' ELSE 'ok' END AS status FROM r FULL JOIN q USING (id)""")
+@query(f"""WITH {SCORED}, r AS (SELECT id, p FROM scored WHERE conf < 0.7), q AS (SELECT id FROM scored WHERE u > 0.1) SELECT id, CASE WHEN r.id IS NULL THEN 'missing' WHEN q.id IS NULL THEN 'extra' ELSE 'ok' END AS status FROM r FULL JOIN q USING (id)""")
 def prediction_alignment(spark, sf_dir):
+    """Predictions and references that each lack some rows, by what these hold."""
     s = scored(spark, sf_dir)
-    return joins.align_predictions(s.filter("id % 7 <> 0"), s.filter("id % 5 <> 0"), ["id"], "p").select("id", "status")
+    return joins.align_predictions(s.filter("conf < 0.7"), s.filter("u > 0.1"), ["id"], "p").select("id", "status")
 
 
 @query(f"""WITH {SCORED}, m AS (SELECT id, p, least(1, p * 1.1::DOUBLE) AS p2 FROM scored) SELECT count(*) AS n, round(avg(p2 - p), 6) AS delta, round(stddev_samp(p2 - p), 6) AS sd FROM m""")

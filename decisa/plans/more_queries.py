@@ -75,12 +75,12 @@ def state_predicates(spark, sf_dir):
     return p.select("asset", F.col("dn").alias("day"), ((c < m) & (c > b)).alias("pullback"), (c > 1.5 * m).alias("extended"), (c < 0.5 * m).alias("breaking"), F.when(b.isNotNull(), c < b * 0.92).alias("fires"))
 
 
-@query(f"""WITH {SCORED}, m AS (SELECT id, y AS label, 1 AS pri FROM scored WHERE id % 2 = 0 UNION ALL SELECT id, 1 - y, 2 FROM scored WHERE id % 6 = 0), l AS (SELECT id, arg_max(label, pri) AS label FROM m GROUP BY id)
+@query(f"""WITH {SCORED}, m AS (SELECT id, y AS label, 1 AS pri FROM scored WHERE u < 0.8 UNION ALL SELECT id, 1 - y, 2 FROM scored WHERE toxic = 1), l AS (SELECT id, arg_max(label, pri) AS label FROM m GROUP BY id)
 SELECT count(*) AS n, count(l.label) AS labeled, count(*) - count(l.label) AS unlabeled, count(*) FILTER ((p >= 0.5)::INT = l.label) AS right_ FROM scored LEFT JOIN l USING (id)""")
 def results_to_labels(spark, sf_dir):
     """Results with the last label map that knows them; the unlabeled are counted."""
     s = scored(spark, sf_dir).drop("label")
-    maps = s.filter("id % 2 = 0").select("id", F.col("y").alias("label"), F.lit(1).alias("pri")).unionByName(s.filter("id % 6 = 0").select("id", (1 - F.col("y")).alias("label"), F.lit(2).alias("pri")))
+    maps = s.filter("u < 0.8").select("id", F.col("y").alias("label"), F.lit(1).alias("pri")).unionByName(s.filter("toxic = 1").select("id", (1 - F.col("y")).alias("label"), F.lit(2).alias("pri")))
     j = s.join(maps.groupBy("id").agg(F.max_by("label", "pri").alias("label")), "id", "left")
     return j.agg(F.count("*").alias("n"), F.count("label").alias("labeled"), (F.count("*") - F.count("label")).alias("unlabeled"), F.count_if((F.col("p") >= 0.5).cast("int") == F.col("label")).alias("right_"))
 
@@ -196,12 +196,23 @@ def multi_seed_summary(spark, sf_dir):
     return rounded(s.agg(F.count("*").alias("runs"), F.avg("acc").alias("mean"), F.stddev_samp("acc").alias("sd"), F.avg(F.col("acc") - F.col("p")).alias("contrast")))
 
 
-@query(f"""WITH {SCORED}, a AS (SELECT id, toxic = 1 AS want, a.arm, CASE a.arm WHEN 'p' THEN p ELSE u END >= 0.6 AS got FROM scored, (VALUES ('p'), ('u')) a(arm))
-SELECT arm, count(*) FILTER (want AND got) AS right_drops, count(*) FILTER (NOT want AND got) AS false_drops, count(*) FILTER (want AND NOT got) AS missed FROM a GROUP BY arm""")
+@query(f"""WITH {SCORED}, a AS (SELECT id, toxic = 1 AS want, a.arm, CASE a.arm WHEN 'p' THEN p ELSE u END >= 0.6 AS got, ceil(length(coalesce(text, '')) / 4) AS tokens, CASE a.arm WHEN 'p' THEN 5 + 100 * u ELSE 1 + 10 * p END AS ms
+  FROM scored JOIN documents ON doc_id = id, (VALUES ('p'), ('u')) a(arm)), r AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY ms) AS k, count(*) OVER (PARTITION BY arm) AS n FROM a)
+SELECT arm, count(*) FILTER (want AND got) AS right_drops, count(*) FILTER (NOT want AND got) AS false_drops, count(*) FILTER (want AND NOT got) AS missed, CAST(coalesce(sum(tokens) FILTER (got), 0) AS BIGINT) AS tokens_cut, CAST(coalesce(sum(tokens) FILTER (got AND NOT want), 0) AS BIGINT) AS tokens_lost,
+  CAST(sum(tokens) AS BIGINT) AS tokens, round(max(ms) FILTER (k = ceil(0.5 * n)), 6) AS p50_ms, round(max(ms) FILTER (k = ceil(0.95 * n)), 6) AS p95_ms FROM r GROUP BY arm""")
 def filter_value_arms(spark, sf_dir):
-    s = scored(spark, sf_dir).select((F.col("toxic") == 1).alias("want"), F.inline(F.array(*[F.struct(F.lit(c).alias("arm"), (F.col(c) >= 0.6).alias("got")) for c in ("p", "u")])))
-    w, g = F.col("want"), F.col("got")
-    return s.groupBy("arm").agg(F.count_if(w & g).alias("right_drops"), F.count_if(~w & g).alias("false_drops"), F.count_if(w & ~g).alias("missed"))
+    """What two filters cut, rightly and wrongly, in rows and tokens, and the nearest-rank percentiles of their latency."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens"))
+    arm = lambda name, c, ms: F.struct(F.lit(name).alias("arm"), (F.col(c) >= 0.6).alias("got"), ms.alias("ms"))
+    s = scored(spark, sf_dir).join(d, "id").select((F.col("toxic") == 1).alias("want"), "tokens", F.inline(F.array(arm("p", "p", 5 + 100 * F.col("u")), arm("u", "u", 1 + 10 * F.col("p")))))
+    w, g, t = F.col("want"), F.col("got"), F.col("tokens")
+    s = ranks.numbered(s, ["arm"], [F.col("ms")], "k", "n")
+    at = lambda q: F.max(F.when(F.col("k") == F.ceil(q * F.col("n")), F.col("ms")))
+    out = s.groupBy("arm").agg(
+        F.count_if(w & g).alias("right_drops"), F.count_if(~w & g).alias("false_drops"), F.count_if(w & ~g).alias("missed"), F.coalesce(F.sum(F.when(g, t)), F.lit(0)).alias("tokens_cut"),
+        F.coalesce(F.sum(F.when(g & ~w, t)), F.lit(0)).alias("tokens_lost"), F.sum(t).alias("tokens"), at(F.lit(0.5)).alias("p50_ms"), at(F.lit(0.95)).alias("p95_ms"),
+    )
+    return rounded(out)
 
 
 @query(f"""WITH {SCORED}, v AS (SELECT id, CASE WHEN y <> toxic THEN 1 ELSE 0 END + CASE WHEN y <> (p >= 0.5)::INT THEN 1 ELSE 0 END AS flips, abs(p - u) AS spread FROM scored)

@@ -1,13 +1,16 @@
-"""Queries on mined outcomes, prefix packing, running scorers, hierarchical bootstraps, pairs and perturbations."""
+"""Queries on mined outcomes, prefix packing, running scorers, hierarchical bootstraps, pairs, perturbations and streams."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from decisa.functions import text
 from decisa.operators import corpus, miners, removal, requests, resample, scorer
-from decisa.plans.base import SCORED, query, rounded, scored, table
-from decisa.plans.record_queries import SEG, TURNS, _bodies, _turns
+from decisa.plans.base import PANEL, SCORED, panel, query, rounded, scored, table
+from decisa.plans.record_queries import DAILY, SEG, TURNS, _bodies, _turns
+from decisa.session import fresh_path, materialize
+from decisa.streaming import counters, daybook
 
 
 @query(f"""WITH {TURNS}, s AS (SELECT conv_id, i, CASE role WHEN 'user' THEN 'user_turn' WHEN 'assistant' THEN 'assistant_text' ELSE 'tool_result' END AS kind, text || ' https://x.org/' || (length(text) % 5) || '/abcdefgh, ' || substring(md5(CAST(i // 3 AS VARCHAR)), 1, 12) AS text FROM turns),
@@ -162,3 +165,51 @@ def entity_perturbation(spark, sf_dir):
     x = F.concat(F.coalesce("url", F.lit("")), F.lit(" v1.2."), i, F.lit(" and "), i * 7, F.lit(" of a/b.c"), i % 9)
     draw = F.conv(F.substring(F.md5(i.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", text.perturbed(x, draw).alias("p")).select("page_id", "p.*")
+
+
+CLOSED = DAILY.replace("panel AS (", "panel0 AS (", 1).replace(", k AS (", """, panel AS (SELECT * FROM panel0 WHERE dn < (SELECT greatest(min(m), max(m) - 3) FROM (SELECT max(dn) AS m FROM panel0 GROUP BY asset))), k AS (""", 1)
+
+
+@query(f"""WITH {CLOSED}, l AS (SELECT d.dn, EXISTS (SELECT 1 FROM book b WHERE b.dn = d.dn) AS rebalanced, greatest(ins, outs) AS changed, greatest(ins, outs) / 4.0::DOUBLE * 5 AS cost, CASE WHEN coalesce(legs, 0) = 0 THEN 0 WHEN priced = legs THEN gross END AS gross FROM d JOIN c USING (dn) LEFT JOIN r USING (dn))
+SELECT dn AS day, CASE WHEN rebalanced THEN 'rebalance' ELSE 'skipped_insufficient_universe' END AS event, CAST(changed AS BIGINT) AS changed, round(cost, 4) AS cost_bps, round(gross, 3) AS gross_bps, round(coalesce(sum(gross) OVER (ORDER BY dn), 0) - sum(cost) OVER (ORDER BY dn), 3) AS booked_bps FROM l""")
+def closed_date_book(spark, sf_dir):
+    """The daily book decided date by date as three micro-batches come in, in which some assets are up to two days late,
+    and the second one twice; a date is closed when all have passed it, or three days after."""
+    rows = panel(spark, sf_dir).select(F.col("asset").cast("string").alias("asset"), F.col("dn").alias("day"), "close", (F.col("dn") + F.pmod("asset", F.lit(3))).alias("came"))
+    ends = rows.agg(F.min("came").alias("low"), F.max("came").alias("high")).first()
+    path = fresh_path(spark, "daybook")
+    batch = F.least(F.floor((F.col("came") - ends["low"]) * 3 / (ends["high"] - ends["low"] + 1)), F.lit(2))
+    for k in (0, 1, 1, 2):
+        daybook.decide_closed(rows.filter(batch == k), k, path, 2, 6, 5.0, 3)
+    out = spark.read.schema(daybook.LEDGER).parquet(f"{path}/ledger")
+    return out.select("day", "event", "changed", F.round("cost_bps", 4).alias("cost_bps"), F.round("gross_bps", 3).alias("gross_bps"), F.round("booked_bps", 3).alias("booked_bps"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000000 AS second, value, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms FROM events),
+w AS (SELECT *, count(*) OVER p AS orders, sum(abs(value)) OVER p AS turnover FROM e WINDOW p AS (PARTITION BY user_id ORDER BY second RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id AS id, second, orders, round(turnover, 4) AS turnover FROM w WHERE second < (SELECT (max(ms) - 3600000) // 1000 FROM e)""")
+def expiring_counters(spark, sf_dir):
+    """Events and turnover of the day before each event, counted by a stream whose state forgets; events within the last
+    hour are still waiting."""
+    e, source, out, cp = table(spark, sf_dir, "events"), *[fresh_path(spark, n) for n in ("events", "counters", "counters-log")]
+    e = e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    e.write.parquet(source)
+    stream = spark.readStream.schema(e.schema).parquet(source)
+    told = counters.stream_counters(stream, "user_id", "event_id", "ts", "value", 86_400, "1 hour")
+    told.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(told.schema).parquet(out)
+    return rows.select("user_id", "id", "second", "orders", F.round("turnover", 4).alias("turnover"))
+
+
+@query(f"""WITH {PANEL}, d AS (SELECT DISTINCT dn FROM panel) SELECT dn AS day, 'lost_date' AS issue FROM d WHERE dn % 11 = 3 UNION ALL SELECT dn, 'rewritten' FROM d WHERE dn % 11 = 5 UNION ALL SELECT dn, 'not_resummed' FROM d WHERE dn % 11 = 5""")
+def saved_state_probe(spark, sf_dir):
+    """A ledger of days probed twice: between, some dates are lost and some booked sums moved."""
+    d = panel(spark, sf_dir).groupBy(F.col("dn").alias("day")).agg(F.round(F.avg("close"), 4).alias("g"))
+    empty = F.col("day") % 11 == 3
+    d = d.select("day", F.when(~empty, F.col("g")).alias("gross_bps"), F.when(empty, 0.0).otherwise(1.0).alias("cost_bps"))
+    run = Window.orderBy("day")  # a row a day
+    d = materialize(d.withColumn("booked_bps", F.coalesce(F.sum("gross_bps").over(run), F.lit(0.0)) - F.sum("cost_bps").over(run)), "ledger")
+    state = fresh_path(spark, "probe-state")
+    daybook.probe(d, state)
+    moved = d.filter("day % 11 <> 3").withColumn("booked_bps", F.col("booked_bps") + F.when(F.col("day") % 11 == 5, 1.0).otherwise(0.0))
+    return daybook.probe(moved, state).select("day", "issue")

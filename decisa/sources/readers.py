@@ -51,10 +51,11 @@ def read_splits(spark: SparkSession, folder: str, splits: list[str], schema: Str
 def read_contract_csv(spark: SparkSession, path: str, header: list[str], schema: StructType | str) -> DataFrame:
     """CSV files whose header line starts with the contract; files with another header are left out whole, malformed
     rows are dropped."""
-    head = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.substring(F.col("content"), 1, 4096).cast("string").alias("head"))
-    good = head.filter(F.regexp_extract("head", r"^\ufeff?([^\r\n]*)", 1).startswith(",".join(header))).select("file")
+    lines = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.filter("at = 0").groupBy(F.col("file_path").alias("file")).agg(F.min_by("value", "n").alias("head"))  # ids of a file's block are in its order
+    good = first.filter(F.ltrim("head", F.lit("\ufeff")).startswith(",".join(header))).select("file")
     rows = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", True).csv(path)
-    rows = rows.withColumn("file", F.input_file_name())
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"))
     return rows.join(F.broadcast(good) if good.count() <= BROADCAST_FILES else good, "file", "leftsemi").drop("file")
 
 

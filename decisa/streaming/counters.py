@@ -48,7 +48,7 @@ def stream_counters(events: DataFrame, key: str, id_: str, ts: str, value: str,
             state.update((table["second"].astype(int).tolist(), table["id"].astype(int).tolist(), table["amount"].astype(float).tolist(), table["told"].astype(bool).tolist()))
             waiting = table.loc[~table["told"], "second"]
             due = int(waiting.min()) + 1 if len(waiting) else int(table["second"].max()) + span + 1
-            state.setTimeoutTimestamp(max(due, passed + 1) * 1000)
+            state.setTimeoutTimestamp(due * 1000 - 1)  # a timer goes off once the watermark is beyond it
         yield pd.DataFrame(out, columns=[key, "id", "second", "orders", "turnover", "held"])
 
     schema = f"{key} {types[key]}, id long, second long, orders long, turnover double, held long"
