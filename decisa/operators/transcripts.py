@@ -12,6 +12,11 @@ CONTROL_PREFIXES = (
     "<local-command-caveat", "<local-command-stdout", "<local-command-stderr", "<command-name", "<command-message", "<command-args", "<command-contents",
     "<task-notification", "<bash-input", "<bash-stdout", "<bash-stderr", "<ide_opened_file", "<ide_selection",
 )
+# Prefixes of message parts that a harness writes in the second grammar.
+RESPONSE_CONTROL_PREFIXES = (
+    "<codex_internal_context", "<environment_context", "<turn_aborted", "<recommended_plugins", "<subagent_notification", "<in-app-browser-context",
+    "<image", "</image", "<permissions", "<app-context", "<collaboration", "# AGENTS.md instructions", "# Files mentioned", "# In app browser",
+)
 MOST_SEGMENTS, MOST_BYTES = 4_000, 1_000_000
 
 # Names of tools, in lower case, and what marks reading and listing in a command line.
@@ -31,11 +36,11 @@ LISTS = r"\b(?:ls|dir|find|tree|fd)\b|--files\b"
 BLOCKS = "array<struct<role: string, kind: string, text: string>>"
 
 
-def is_control(text: Column) -> Column:
+def is_control(text: Column, prefixes: tuple[str, ...] = CONTROL_PREFIXES) -> Column:
     """Whether a text begins, after white space, as a harness's own."""
     bare = F.regexp_replace(text, r"^\s+", "")
     out = F.lit(False)
-    for prefix in CONTROL_PREFIXES:
+    for prefix in prefixes:
         out = out | bare.startswith(prefix)
     return out
 
@@ -51,32 +56,78 @@ def _result_text(block: Column) -> Column:
     return F.coalesce(string_at(block, "$.content"), F.when(F.size(parts) > 0, lines), F.to_json(member(block, "$.content")), F.lit(""))
 
 
-def transcript_segments(lines: DataFrame, key: str, pos: str, line: str, most: int = MOST_SEGMENTS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(key, place, role, kind, text): the ordered segments of session events, one JSON event a line.
+def _call(name: Column, input_: Column) -> Column:
+    """A tool call's JSON, keys in order."""
+    return F.concat(F.lit('{"tool_use":{"input":'), F.coalesce(F.to_json(input_), F.lit("null")), F.lit(',"name":'), F.coalesce(F.to_json(name), F.lit("null")), F.lit("}}"))
+
 
-    An assistant's text and tool_use blocks, a user's texts and tool results; other events, lines that aren't JSON,
-    compact summaries, meta and system prompts, blank texts and texts that a harness writes for a user are left out.
-    A transcript with more than `most` segments or more than most_bytes of text gives none. place counts from 0."""
-    v = parse(F.col(line))
-    rows = lines.select(key, pos, v.alias("_v")).filter("_v is not null")
-    v, content = F.col("_v"), member(F.col("_v"), "$.message.content")
+def _of_events(v: Column) -> Column:
+    """The blocks of one session event: an assistant's text and tool_use blocks, a user's texts and tool results; other
+    events, compact summaries, meta and system prompts and texts that a harness writes for a user give none."""
+    content, type_ = member(v, "$.message.content"), lambda p: string_at(p, "$.type")
     parts = F.coalesce(items_at(v, "$.message.content"), F.array().cast("array<variant>"))
     truthy = lambda path: F.coalesce(member(v, path, "boolean"), F.lit(False))
-    type_ = lambda p: string_at(p, "$.type")
     none = F.lit(None).cast("struct<role: string, kind: string, text: string>")
-    call = lambda p: F.concat(F.lit('{"tool_use":{"input":'), F.coalesce(F.to_json(member(p, "$.input")), F.lit("null")), F.lit(',"name":'), F.coalesce(F.to_json(member(p, "$.name")), F.lit("null")), F.lit("}}"))
-    said = F.transform(parts, lambda p: F.when(type_(p) == "text", _block("assistant", "assistant_text", string_at(p, "$.text"))).when(type_(p) == "tool_use", _block("assistant", "tool_use", call(p))).otherwise(none))
+    said = F.transform(parts, lambda p: F.when(type_(p) == "text", _block("assistant", "assistant_text", string_at(p, "$.text"))).when(type_(p) == "tool_use", _block("assistant", "tool_use", _call(member(p, "$.name"), member(p, "$.input")))).otherwise(none))
     turn = lambda t: F.when(~is_control(t), _block("user", "user_turn", t)).otherwise(none)
     asked = F.when(kind(content) == "string", F.array(turn(string_at(v, "$.message.content")))).otherwise(
         F.transform(parts, lambda p: F.when(type_(p) == "tool_result", _block("tool", "tool_result", _result_text(p))).when(type_(p) == "text", turn(string_at(p, "$.text"))).otherwise(none))
     )
     event = string_at(v, "$.type")
     meta = truthy("$.isMeta") | truthy("$.isCompactSummary") | F.coalesce(string_at(v, "$.promptSource") == "system", F.lit(False))
-    blocks = F.when((event == "assistant") & ~truthy("$.isCompactSummary"), said).when((event == "user") & ~meta, asked).otherwise(F.array().cast(BLOCKS))
-    flat = rows.select(key, pos, F.posexplode(blocks).alias("_b", "_s")).filter("_s.text rlike r'\\S'")
-    whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy(pos, "_b")
-    flat = flat.withColumns({"_n": F.count(F.lit(1)).over(whole), "_bytes": F.sum(F.octet_length("_s.text")).over(whole), "place": F.row_number().over(order) - 1})
-    return flat.filter((F.col("_n") <= most) & (F.col("_bytes") <= most_bytes)).select(key, "place", "_s.role", "_s.kind", "_s.text")
+    return F.when((event == "assistant") & ~truthy("$.isCompactSummary"), said).when((event == "user") & ~meta, asked).otherwise(F.array().cast(BLOCKS))
+
+
+def _of_responses(v: Column) -> Column:
+    """The blocks of one response item: a user's message is what its parts say beside a harness's own; an assistant's its
+    parts, those of a harness only where there are no others; calls and their outputs, web searches and images. Parts are
+    joined by empty lines; other roles and items give none."""
+    type_, role = string_at(v, "$.payload.type"), string_at(v, "$.payload.role")
+    parts = F.filter(F.coalesce(items_at(v, "$.payload.content"), F.array().cast("array<variant>")), lambda p: F.coalesce(string_at(p, "$.text").rlike(r"\S"), F.lit(False)))
+    own = lambda p: F.coalesce(string_at(p, "$.type").isin("input_text", "output_text", "text"), F.lit(False)) & ~is_control(string_at(p, "$.text"), RESPONSE_CONTROL_PREFIXES)
+    joined = lambda some: F.array_join(F.transform(some, lambda p: string_at(p, "$.text")), "\n\n")
+    real, control = joined(F.filter(parts, own)), joined(F.filter(parts, lambda p: ~own(p)))
+    at = lambda path: member(v, f"$.payload.{path}")
+    input_ = F.coalesce(at("arguments"), at("input"))
+    output = F.coalesce(string_at(v, "$.payload.output"), F.to_json(at("output")), F.lit(""))
+    named = lambda name, what: _block("assistant", "tool_use", F.concat(F.lit('{"tool_use":{"input":'), F.coalesce(F.to_json(what), F.lit("null")), F.lit(f',"name":"{name}"}}}}')))
+    block = (
+        F.when((type_ == "message") & (role == "user"), _block("user", "user_turn", real)).when((type_ == "message") & (role == "assistant"), _block("assistant", "assistant_text", F.when(real != "", real).otherwise(control)))
+        .when(type_.isin("function_call", "custom_tool_call"), _block("assistant", "tool_use", _call(at("name"), input_))).when(type_.isin("function_call_output", "custom_tool_call_output"), _block("tool", "tool_result", output))
+        .when(type_ == "web_search_call", named("web_search", at("action"))).when(type_ == "image_generation_call", named("image_generation", at("revised_prompt")))
+    )
+    return F.when(string_at(v, "$.type") == "response_item", F.array(block)).otherwise(F.array().cast(BLOCKS))
+
+
+GRAMMARS = {"events": _of_events, "responses": _of_responses}
+
+
+def _flat(lines: DataFrame, key: str, pos: str, line: str, grammar: str) -> DataFrame:
+    """(key, place, role, kind, text, _upto): blocks in order with the bytes of text up to each; blank texts are left out."""
+    rows = lines.select(key, pos, parse(F.col(line)).alias("_v")).filter("_v is not null")
+    flat = rows.select(key, pos, F.posexplode(GRAMMARS[grammar](F.col("_v"))).alias("_b", "_s")).filter("_s.text rlike r'\\S'")
+    order = Window.partitionBy(key).orderBy(pos, "_b")
+    return flat.select(key, (F.row_number().over(order) - 1).alias("place"), "_s.role", "_s.kind", "_s.text", F.sum(F.octet_length("_s.text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+
+
+def transcript_segments(lines: DataFrame, key: str, pos: str, line: str, most: int = MOST_SEGMENTS, most_bytes: int = MOST_BYTES, grammar: str = "events") -> DataFrame:
+    """(key, place, role, kind, text): the ordered segments of sessions, one JSON event a line, in one of two GRAMMARS.
+
+    Lines that aren't JSON and blank texts are left out. A transcript with more than `most` segments or more than
+    most_bytes of text gives none; dropped_transcripts() names it. place counts from 0."""
+    flat, whole = _flat(lines, key, pos, line, grammar), Window.partitionBy(key)
+    flat = flat.withColumns({"_n": F.count(F.lit(1)).over(whole), "_bytes": F.max("_upto").over(whole)})
+    return flat.filter((F.col("_n") <= most) & (F.col("_bytes") <= most_bytes)).select(key, "place", "role", "kind", "text")
+
+
+def dropped_transcripts(lines: DataFrame, key: str, pos: str, line: str, most: int = MOST_SEGMENTS, most_bytes: int = MOST_BYTES, grammar: str = "events") -> DataFrame:
+    """(key, reason, place): each transcript that transcript_segments() leaves out, by the limit that it meets first:
+    segment_count_hard_cap or extracted_text_over_cap, at the segment where it does; no_segments where there is none."""
+    flat = _flat(lines, key, pos, line, grammar)
+    over = F.when(F.col("place") >= most, "segment_count_hard_cap").when(F.col("_upto") > most_bytes, "extracted_text_over_cap")
+    capped = flat.withColumn("reason", over).filter("reason is not null").groupBy(key).agg(F.min_by("reason", "place").alias("reason"), F.min("place").alias("place"))
+    silent = lines.select(key).distinct().join(flat.select(key), key, "leftanti").select(key, F.lit("no_segments").alias("reason"), F.lit(None).cast("int").alias("place"))
+    return capped.unionByName(silent)
 
 
 def tool_ops(text: Column) -> Column:

@@ -230,6 +230,38 @@ def tool_operations(spark, sf_dir):
     return t.select("conv_id", "i", F.inline(transcripts.tool_ops(call))).select("conv_id", F.col("i").cast("long").alias("i"), "op", F.explode("paths").alias("path"))
 
 
+def _items(spark, sf_dir):
+    """Response items of each conversation, a JSON line a turn: users speak beside a harness's part, assistants call and
+    get their text as an output, system turns are instructions."""
+    t, null = _turns(spark, sf_dir), F.lit(None).cast("string")
+    part = lambda kind, words: F.struct(F.lit(kind).alias("type"), words.alias("text"))
+    of = lambda **fields: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]).alias("payload")))
+    asked = of(type="message", role="user", content=F.array(part("input_text", F.lit("<environment_context>here")), part("input_text", F.col("text")), part("input_text", F.concat(F.lit("turn "), "i"))))
+    told = F.when(F.col("i") % 4 == 1, of(type="function_call_output", output=F.col("text"))).when(F.col("i") % 4 == 3, of(type="function_call", name="shell", arguments=F.col("text"))).otherwise(of(type="message", role="assistant", content=F.array(part("output_text", F.col("text")))))
+    line = F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", told).otherwise(of(type="message", role="developer", content=F.array(part("input_text", F.col("text")))))
+    return t.select("conv_id", "i", line.alias("line"))
+
+
+ITEMS = f"""{TURNS}, b AS (SELECT conv_id, i, CASE WHEN role = 'user' THEN 'user_turn' WHEN i % 4 = 1 THEN 'tool_result' WHEN i % 4 = 3 THEN 'tool_use' ELSE 'assistant_text' END AS kind,
+  CASE WHEN role = 'user' THEN text || chr(10) || chr(10) || 'turn ' || i WHEN i % 4 = 3 THEN '{{"tool_use":{{"input":' || to_json(text) || ',"name":"shell"}}}}' ELSE text END AS text FROM turns WHERE role <> 'system'),
+f AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS place, kind, text, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM b)"""
+
+
+@query(f"""WITH {ITEMS}, g AS (SELECT conv_id, count(*) AS n, max(upto) AS bytes FROM f GROUP BY 1) SELECT conv_id, place, kind, md5(text) AS digest FROM f JOIN g USING (conv_id) WHERE n <= 6 AND bytes <= 3000""")
+def response_segments(spark, sf_dir):
+    """Sessions in the grammar of response items, without those of more than six segments or 3,000 bytes."""
+    s = transcripts.transcript_segments(_items(spark, sf_dir), "conv_id", "i", "line", most=6, most_bytes=3000, grammar="responses")
+    return s.select("conv_id", F.col("place").cast("long").alias("place"), "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {ITEMS}, o AS (SELECT conv_id, place, CASE WHEN place >= 6 THEN 'segment_count_hard_cap' WHEN upto > 3000 THEN 'extracted_text_over_cap' END AS reason FROM f)
+SELECT conv_id, arg_min(reason, place) AS reason, min(place) AS place FROM o WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT DISTINCT conv_id, 'no_segments', NULL FROM turns WHERE conv_id NOT IN (SELECT conv_id FROM f)""")
+def dropped_transcripts(spark, sf_dir):
+    """Why sessions of response items are left out."""
+    d = transcripts.dropped_transcripts(_items(spark, sf_dir), "conv_id", "i", "line", most=6, most_bytes=3000, grammar="responses")
+    return d.select("conv_id", "reason", F.col("place").cast("long").alias("place"))
+
+
 @query(f"""WITH {TURNS}, o AS (SELECT conv_id, i, 'src/f' || length(text) % 3 || '.py' AS path, i % 4 = 3 AS edit FROM turns WHERE role = 'assistant'),
 n AS (SELECT a.conv_id, a.i, a.path, min(b.i) FILTER (b.edit) AS e, min(b.i) FILTER (NOT b.edit) AS r FROM o a LEFT JOIN o b ON a.conv_id = b.conv_id AND a.path = b.path AND b.i > a.i WHERE NOT a.edit GROUP BY 1, 2, 3)
 SELECT conv_id, path, CASE WHEN e IS NOT NULL THEN 'stale_read' WHEN r IS NOT NULL THEN 'repeated_read' ELSE 'wanted_read' END AS strategy, CASE WHEN coalesce(e, r) IS NULL THEN 'keep' ELSE 'drop' END AS label, count(*) AS n FROM n GROUP BY ALL""")

@@ -184,3 +184,34 @@ def test_rereads_stitches_and_contrasts(spark):
     segs = spark.createDataFrame([("a", 0, "same"), ("b", 0, "same"), ("c", 0, "own"), ("d", 0, "same")], "k string, place int, text string")
     labels = spark.createDataFrame([("a", 0, 1), ("b", 0, 0), ("c", 0, 1)], "k string, place int, label int")
     assert sorted((r["k"], r["label"]) for r in T.contrast_records(segs, "k", "place", "text", labels).collect()) == [("a", 1), ("b", 0)]
+
+
+def item(type_, **payload):
+    return json.dumps({"type": "response_item", "payload": {"type": type_, **payload}})
+
+
+def part(text, type_="input_text"):
+    return {"type": type_, "text": text}
+
+
+def test_response_items_and_dropped_transcripts(spark):
+    lines = [
+        item("message", role="user", content=[part(" <environment_context>x"), part("hello"), part("there"), part(" "), part("pic", "other")]), item("message", role="user", content=[part("# AGENTS.md instructions")]),
+        item("message", role="assistant", content=[part("<image>")]), item("message", role="assistant", content=[part("say", "output_text"), part("<turn_aborted>")]), item("message", role="developer", content=[part("no")]),
+        item("function_call", name="shell", arguments='{"a":1}'), item("custom_tool_call", name="p", input="x"), item("function_call_output", output={"b": 2, "a": 1}), item("custom_tool_call_output", output="done"),
+        item("web_search_call", action={"q": "z"}), item("image_generation_call", revised_prompt="cat"), item("reasoning", content="hidden"), json.dumps({"type": "other", "payload": {"type": "message"}}), "broken", json.dumps({"type": "response_item", "payload": 3}),
+    ]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)] + [("quiet", 0, "{}"), ("bytes", 0, item("function_call_output", output="y" * 200)), ("bytes", 1, item("function_call_output", output="z"))], "session string, seq int, line string")
+    got = T.transcript_segments(df, "session", "seq", "line", most_bytes=150, grammar="responses").orderBy("place").collect()
+    want = [
+        ("user_turn", "hello\n\nthere"), ("assistant_text", "<image>"), ("assistant_text", "say"), ("tool_use", '{"tool_use":{"input":"{\\"a\\":1}","name":"shell"}}'), ("tool_use", '{"tool_use":{"input":"x","name":"p"}}'), ("tool_result", '{"a":1,"b":2}'),
+        ("tool_result", "done"), ("tool_use", '{"tool_use":{"input":{"q":"z"},"name":"web_search"}}'), ("tool_use", '{"tool_use":{"input":"cat","name":"image_generation"}}'),
+    ]
+    total = sum(len(t) for _, t in want)
+    assert got == [] and total > 150
+    got = T.transcript_segments(df, "session", "seq", "line", most_bytes=1000, grammar="responses").filter("session = 's'").orderBy("place").collect()
+    assert [(r["kind"], r["text"]) for r in got] == want and [r["place"] for r in got] == list(range(9))
+    dropped = lambda **limits: {(r["session"], r["reason"], r["place"]) for r in T.dropped_transcripts(df, "session", "seq", "line", grammar="responses", **limits).collect()}
+    assert dropped() == {("quiet", "no_segments", None)}
+    assert dropped(most=4) == {("quiet", "no_segments", None), ("s", "segment_count_hard_cap", 4)}
+    assert dropped(most_bytes=199, most=1) == {("quiet", "no_segments", None), ("bytes", "extracted_text_over_cap", 0), ("s", "segment_count_hard_cap", 1)}
