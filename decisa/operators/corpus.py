@@ -177,3 +177,28 @@ def two_pass_pairs(df: DataFrame, id_: str, label: str, near: list[str], far: li
         left = both.filter("positive is null or negative is null").select(F.coalesce("positive", "negative").alias("_id"))
         rows = rows.join(left, "_id", "leftsemi")
     return out
+
+
+# Roles of open corpora as those of requests.
+ROLES = {"human": "user", "gpt": "assistant", "system": "system", "user": "user", "assistant": "assistant", "tool": "tool", "function": "tool"}
+#: Messages that a history must have, and those at its end that stay.
+LEAST_HISTORY, KEPT_TAIL = 5, 3
+
+
+def open_histories(df: DataFrame, key: str, pos: str, role: str, text: str) -> DataFrame:
+    """(key, messages, reference, eligible): conversations of an open corpus as requests with their answer split off.
+
+    Roles are mapped by ROLES; messages of other roles, and blank ones, go. An assistant's last message is the reference,
+    null where there is none. What is left must have LEAST_HISTORY messages, end with a user or a tool, and have an
+    assistant or a tool before its last KEPT_TAIL; else the conversation is left out. messages: array of (role, content);
+    eligible: the pointers of those before the tail that an assistant or a tool said."""
+    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    rows = df.select(key, pos, F.col(text).alias("content"), F.try_element_at(known, F.col(role)).alias("role")).filter("role is not null and content rlike '\\\\S'")
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(pos, "role", "content"))).alias("m"))
+    g = g.withColumn("m", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+    answer = (F.size("m") >= 2) & (F.element_at("m", -1)["role"] == "assistant")
+    g = g.select(key, F.when(answer, F.element_at("m", -1)["content"]).alias("reference"), F.when(answer, F.slice("m", F.lit(1), F.size("m") - 1)).otherwise(F.col("m")).alias("messages"))
+    said = lambda m: m["role"].isin("assistant", "tool")
+    eligible = F.filter(F.transform("messages", lambda m, i: F.when((i < F.size("messages") - KEPT_TAIL) & said(m), F.concat(F.lit("/messages/"), i, F.lit("/content")))), lambda p: p.isNotNull())
+    g = g.filter(F.size("messages") >= LEAST_HISTORY).withColumn("eligible", eligible)
+    return g.filter(F.element_at("messages", -1)["role"].isin("user", "tool") & (F.size("eligible") > 0)).select(key, "messages", "reference", "eligible")

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from decisa.functions import stats, text, windows
-from decisa.operators import asof
+from decisa.operators import asof, corpus
 from decisa.operators import panel as books
 from decisa.operators import ranks, removal, resample, walkforward
 from decisa.plans.base import PANEL, SCORED, panel, query, rounded, scored, table
 from decisa.session import fresh_path
-from decisa.sources import sinks
+from decisa.sources import readers, sinks
 
 W = "PARTITION BY asset ORDER BY day"
 
@@ -332,20 +332,34 @@ def frozen_selection(spark, sf_dir):
     return j.agg(F.count("found").alias("rows"), F.countDistinct(F.sha2("text", 256)).alias("texts"), (F.count("found") == F.count("*")).alias("whole"))
 
 
-@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'true' WHEN quality = 0 AND toxic = 1 THEN 'false' ELSE 'uncertain' END AS label FROM labels""")
+@query(f"""WITH {SCORED} SELECT id, CASE WHEN u > 0.9 AND y = 1 THEN 'false' WHEN u > 0.9 OR u < 0.05 THEN NULL WHEN y = 1 THEN 'true' WHEN toxic = 1 THEN 'false' ELSE 'uncertain' END AS label,
+CASE WHEN y = 1 THEN CASE WHEN u > 0.9 THEN 'old' ELSE 'n' || id END END AS note, CASE WHEN u > 0.9 AND y = 0 THEN 'empty' WHEN u < 0.05 THEN 'unrecognized' END AS fault FROM scored""")
 def label_normalization(spark, sf_dir):
-    """Label spellings of a CSV source to true, false or uncertain."""
-    l = table(spark, sf_dir, "labels").withColumn("raw", F.when(F.col("quality") == 1, " YES").when(F.col("toxic") == 1, "0").otherwise("maybe"))
-    v = F.lower(F.trim("raw"))
-    return l.select("doc_id", F.when(v.isin("true", "yes", "y", "1"), "true").when(v.isin("false", "no", "n", "0"), "false").otherwise("uncertain").alias("label"))
-
-
-@query("""WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS a, arg_max(role, turn) AS last FROM conversations GROUP BY conv_id) SELECT conv_id, n - CASE WHEN last = 'assistant' THEN 1 ELSE 0 END AS history, last = 'assistant' AS has_reference FROM c WHERE n >= 5""")
+    """Labels in two CSV files whose columns have other names and another order, in all spellings, with empty and strange
+    ones, and rows that a later one replaces."""
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), F.floor(F.col("u") * len(words)).cast("int"))
+    word = F.when(F.col("u") > 0.9, "").when(F.col("u") < 0.05, "hm").when(F.col("y") == 1, F.concat(F.lit(" "), F.upper(pick(readers.TRUE_WORDS)))).when(F.col("toxic") == 1, pick(readers.FALSE_WORDS)).otherwise(pick(readers.UNCERTAIN_WORDS))
+    rows = scored(spark, sf_dir).select(F.col("id").cast("string").alias("id"), word.alias("word"), F.when(F.col("y") == 1, F.concat(F.lit("n"), "id")).otherwise("").alias("n"), "y")
+    folder = fresh_path(spark, "labels")
+    first = lambda word_, note: rows.filter("y = 1").select(word_.alias("Label (owner)"), F.col("id").alias("Record_ID "), note.alias("Notes"))
+    first(F.lit("keep"), F.lit("old")).coalesce(1).write.option("header", True).csv(f"{folder}/a/1")
+    first(F.col("word"), F.col("n")).write.option("header", True).csv(f"{folder}/a/2")
+    rows.filter("y = 0").select(F.col("id").alias("record_id_of"), F.col("n").alias("evidence"), F.col("word").alias("LABEL")).write.option("header", True).csv(f"{folder}/b")
+    got = readers.read_label_csv(spark, f"{folder}/a/*").unionByName(readers.read_label_csv(spark, f"{folder}/b"))
+    return got.select(F.col("record_id").cast("long").alias("id"), "label", "note", "fault")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN CASE length(text) % 3 WHEN 0 THEN 'tool' ELSE 'assistant' END WHEN role = 'user' THEN CASE length(text) % 7 WHEN 0 THEN NULL ELSE 'user' END ELSE role END AS role FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, last(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS end_role FROM r WHERE role IS NOT NULL AND regexp_matches(text, '\\S')),
+m AS (SELECT *, n - CASE WHEN n >= 2 AND end_role = 'assistant' THEN 1 ELSE 0 END AS h FROM k),
+g AS (SELECT conv_id, any_value(h) AS h, max(role) FILTER (i = h - 1) AS tail, md5(max(text) FILTER (i = h)) AS reference, string_agg('/messages/' || i || '/content', ' ' ORDER BY i) FILTER (i < h - 3 AND role IN ('assistant', 'tool')) AS eligible FROM m GROUP BY 1)
+SELECT conv_id, h AS history, reference, eligible FROM g WHERE h >= 5 AND tail IN ('user', 'tool') AND eligible IS NOT NULL""")
 def corpus_history(spark, sf_dir):
-    """Conversations of five turns or more, the reference answer popped off the end."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t")).filter(F.size("t") >= 5)
-    ref = F.element_at("t", -1)["role"] == "assistant"
-    return c.select("conv_id", (F.size("t") - F.when(ref, 1).otherwise(0)).cast("long").alias("history"), ref.alias("has_reference"))
+    """Conversations in an open corpus' roles as histories with the reference answer popped off, and what may be cut."""
+    n = F.length("text")
+    role = F.when(F.col("role") == "assistant", F.when(n % 3 == 0, "function").otherwise("gpt")).when(F.col("role") == "user", F.when(n % 7 == 0, "moderator").otherwise("human")).otherwise(F.col("role"))
+    h = corpus.open_histories(table(spark, sf_dir, "conversations").withColumn("role", role), "conv_id", "turn", "role", "text")
+    return h.select("conv_id", F.size("messages").cast("long").alias("history"), F.md5(F.col("reference").cast("binary")).alias("reference"), F.array_join("eligible", " ").alias("eligible"))
 
 
 @query(f"""WITH {SCORED}, v AS (SELECT id, CASE WHEN y <> toxic THEN 1 ELSE 0 END + CASE WHEN y <> (p >= 0.5)::INT THEN 1 ELSE 0 END AS flips FROM scored)

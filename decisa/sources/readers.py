@@ -127,3 +127,31 @@ def request_segments(df: DataFrame, key: str, body: str, most_bytes: int = 128_0
 def date_spine(spark: SparkSession, start: str, end: str, step: str = "1 month") -> DataFrame:
     """(day): the first days of an archive's periods from start to end."""
     return spark.range(1).select(F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval {step})")).alias("day"))
+
+
+# How a label may be spelt.
+TRUE_WORDS = ("yes", "y", "d", "drop", "true", "1", "irrelevant")
+FALSE_WORDS = ("no", "n", "k", "keep", "false", "0", "relevant")
+UNCERTAIN_WORDS = ("uncertain", "u", "unsure", "?", "skip")
+
+
+def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, label, note, fault) of label files whose columns are found by what their names begin with: record_id,
+    label, and note or evidence, in any case and order, spaces around them aside.
+
+    label: true, false or uncertain, of any of their spellings. A row without an id is left out; of several rows of one id
+    that have a label the last one counts, files in order of their names. fault: empty, or unrecognized; then the label is
+    null. A file without the first two columns is an error."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    plain = {c: c.strip().lower().removeprefix("\ufeff") for c in rows.columns}
+    found = lambda *starts: next((F.col(f"`{c}`") for c, name in plain.items() if name.startswith(starts)), None)
+    record, label, note = found("record_id"), found("label"), found("note", "evidence")
+    if record is None or label is None:
+        raise ValueError(f"{path} needs the columns record_id and label, not {rows.columns}")
+    trimmed = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.select(trimmed(record).alias("record_id"), F.lower(trimmed(label)).alias("word"), trimmed(note if note is not None else F.lit("")).alias("note"), order.alias("o")).filter("record_id <> ''")
+    last = rows.groupBy("record_id").agg(F.max_by(F.struct("word", "note"), F.struct((F.col("word") != "").alias("said"), "o")).alias("r")).select("record_id", "r.*")
+    known = F.when(F.col("word").isin(*TRUE_WORDS), "true").when(F.col("word").isin(*FALSE_WORDS), "false").when(F.col("word").isin(*UNCERTAIN_WORDS), "uncertain")
+    fault = F.when(F.col("word") == "", "empty").when(known.isNull(), "unrecognized")
+    return last.select("record_id", known.alias("label"), F.nullif("note", F.lit("")).alias("note"), fault.alias("fault"))
