@@ -9,7 +9,9 @@ import numpy as np
 from decisa.llm.repair import LINE, RECENT, Encoder, _Pieces
 from decisa.llm.words import Block
 
-APART = "\x01"
+APART, BAR = "\x01", "|"
+SMALL = np.zeros(256, bool)
+SMALL[97:123] = True
 
 
 class WordEncoder(Encoder):
@@ -17,7 +19,7 @@ class WordEncoder(Encoder):
     text's ids are those of its words one after another. Special tokens' strings are ordinary text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
@@ -28,29 +30,45 @@ class WordEncoder(Encoder):
         #: the id of a character that keeps words apart; a word that holds it is encoded alone
         self.apart = self.whole(APART)
         self.lowers = np.array_equal(self.whole("ABC xYZ"), self.whole("abc xyz"))
+        # words of a to z are what they are in every normal form, and one match of the splitting pattern
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.bar = np.asarray(self.plain.encode(BAR, add_special_tokens=False).ids, np.uint32)
+        same = all(self.plain.encode(w, add_special_tokens=False).ids == self.whole(w).tolist() for w in ("a", "the", "qzx", "anthematically", "s", "zzzzzzzzzzzz", "don t"))
+        self.plainly = same and len(self.bar) == 1 and np.array_equal(self.bar, self.whole(BAR))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         return super().__call__([t.lower() for t in texts] if self.lowers else texts)  # A-Z only: fewer words to learn
 
     def _learn(self, b: Block, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, keys: np.ndarray) -> None:
         sizes = ends - starts
+        plain = np.zeros(len(starts), bool)
+        if self.plainly and len(starts):
+            other = np.concatenate(([0], np.cumsum(~SMALL[b.bytes])))
+            plain = other[ends] == other[starts]
+        for some, tokenizer, apart, id_ in ((plain, self.plain, BAR, self.bar), (~plain, self.tokenizer, APART, self.apart)):
+            if some.any():
+                self._learn_some(b, starts[some], sizes[some], keys[some], tokenizer, apart, id_)
+
+    def _learn_some(self, b: Block, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, tokenizer, apart: str, id_: np.ndarray) -> None:
         inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         words = b.bytes[np.repeat(starts, sizes) + inner]
-        if len(self.apart) != 1 or (words == ord(APART)).any():
+        if len(id_) != 1 or (words == ord(apart)).any():
+            ends = starts + sizes
             self._keep(keys, [self.whole(b.bytes[x:y].tobytes().decode(errors="replace")).astype("<u4").tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
             return
         at = np.cumsum(sizes + 3) - sizes - 3  # a space, the character and a space after each word
         joined = np.full(int((sizes + 3).sum()), 0x20, np.uint8)
         joined[np.repeat(at, sizes) + inner] = words
-        joined[at + sizes + 1] = ord(APART)
+        joined[at + sizes + 1] = ord(apart)
         edges = np.append(at[::256], len(joined)).tolist()
         texts = [joined[x:y].tobytes().decode(errors="replace") for x, y in zip(edges, edges[1:], strict=False)]
-        found = [np.asarray(e.ids, np.uint32) for k in range(0, len(texts), 32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False)]
+        found = [np.asarray(e.ids, np.uint32) for k in range(0, len(texts), 32) for e in tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False)]
         ids = np.concatenate(found)
-        stops = np.flatnonzero(ids == self.apart[0])
+        stops = np.flatnonzero(ids == id_[0])
         counts = np.diff(stops, prepend=-1) - 1
         order = np.argsort(keys)
-        pieces = _Pieces()._take(keys, np.cumsum(counts) - counts, counts, ids[ids != self.apart[0]], np.zeros(len(keys), bool), order)
+        pieces = _Pieces()._take(keys, np.cumsum(counts) - counts, counts, ids[ids != id_[0]], np.zeros(len(keys), bool), order)
         if len(self.new.keys) + len(keys) > RECENT:
             self.old, self.new = self.old.with_(self.new), _Pieces()
         self.new = self.new.with_(pieces)
