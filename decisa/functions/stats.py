@@ -57,6 +57,14 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
     return df.withColumn(out, (F.rank().over(w) - 1).cast("double") + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0))
 
 
+def ordered_sum(value: str, *order: str) -> Column:
+    """Aggregate: the sum of a group's doubles added up one by one in an order; null without any. A plain sum adds in the
+    order in which tasks and shuffles deliver, so equal amounts differ in the last bit from group to group and from run
+    to run. For groups that fit a row."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).cast("double").alias("_v")))))
+    return F.when(F.count(value) > 0, F.aggregate(rows, F.lit(0.0), lambda total, r: total + r["_v"]))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 10) -> DataFrame:
     """Per group: Spearman's rho, its t and n over rows with both values; null below `least` or without spread."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
