@@ -27,3 +27,16 @@ def test_fdr_table_ranks_equal_assets_by_name(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {u: u + 1 for u in range(60)}
+
+
+def test_panel_adds_up_in_the_order_of_events(spark, tmp_path):
+    values = [15.19, 45.23, 27.22, 4.36, 19.95]
+    rows = [(k, f"2024-01-01 0{k}:00:00", 1, v) for k, v in enumerate(values)]
+    write_events(spark, tmp_path, [rows[k] for k in (0, 1, 3, 2, 4)])
+    got = panel(spark, str(tmp_path)).first()
+    total = 0.0
+    for v in values:
+        total += v
+    assert got["qv"] == total and got["n"] == 5
+    write_events(spark, tmp_path / "nulls", [(1, "2024-01-01 01:00:00", 1, None), (2, "2024-01-02 01:00:00", 1, None), (3, "2024-01-02 02:00:00", 1, 2.0)])
+    assert sorted(r["qv"] or -1.0 for r in panel(spark, str(tmp_path / "nulls")).collect()) == [-1.0, 2.0]
