@@ -175,7 +175,7 @@ SELECT dn AS day, CASE WHEN rebalanced THEN 'rebalance' ELSE 'skipped_insufficie
 def closed_date_book(spark, sf_dir):
     """The daily book decided date by date as three micro-batches come in, in which some assets are up to two days late,
     and the second one twice; a date is closed when all have passed it, or three days after."""
-    rows = panel(spark, sf_dir).select(F.col("asset").cast("string").alias("asset"), F.col("dn").alias("day"), "close", (F.col("dn") + F.pmod("asset", F.lit(3))).alias("came"))
+    rows = panel(spark, sf_dir).select("asset", F.col("dn").alias("day"), "close", (F.col("dn") + F.pmod("asset", F.lit(3))).alias("came"))
     ends = rows.agg(F.min("came").alias("low"), F.max("came").alias("high")).first()
     path = fresh_path(spark, "daybook")
     batch = F.least(F.floor((F.col("came") - ends["low"]) * 3 / (ends["high"] - ends["low"] + 1)), F.lit(2))

@@ -31,16 +31,17 @@ def decide_closed(batch: DataFrame, batch_id: int, path: str, edge: int, least:
     the way can run again, as every part is appended by key and the log last. Work follows the rows from the last decided
     date on, and a row an asset."""
     spark = batch.sparkSession
+    kind = batch.schema["asset"].dataType.simpleString()  # kept as it is: equal closes are ranked by asset, numbers as numbers
     if not _read(spark, f"{path}/log", "batch long").filter(F.col("batch") == batch_id).isEmpty():
         return
-    rows = materialize(batch.select(F.col("asset").cast("string").alias("asset"), F.col("day").cast("int").alias("day"), F.col("close").cast("double").alias("close")).dropna(subset=["asset", "day"]), "day-batch")
+    rows = materialize(batch.select("asset", F.col("day").cast("int").alias("day"), F.col("close").cast("double").alias("close")).dropna(subset=["asset", "day"]), "day-batch")
     ledger = _read(spark, f"{path}/ledger", LEDGER)
     last = ledger.agg(F.max("day").alias("day"), F.max_by("booked_bps", "day").alias("booked")).first()
     decided = F.lit(last["day"]).cast("int")
     fresh = F.coalesce(F.col("day") > decided, F.lit(True))
     append_unseen(rows.filter(~fresh).withColumn("batch", F.lit(batch_id).cast("long")), f"{path}/late", ["asset", "day", "batch"])
     append_unseen(rows.filter(fresh), f"{path}/rows", ["asset", "day"])
-    known = _read(spark, f"{path}/rows", "asset string, day int, close double")
+    known = _read(spark, f"{path}/rows", f"asset {kind}, day int, close double")
     newest = known.groupBy("asset").agg(F.max("day").alias("day")).agg(F.min("day").alias("all"), F.max("day").alias("any")).first()
     if newest["all"] is not None:
         until = newest["all"] if grace is None else max(newest["all"], newest["any"] - grace)

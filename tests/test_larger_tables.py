@@ -40,3 +40,14 @@ def test_panel_adds_up_in_the_order_of_events(spark, tmp_path):
     assert got["qv"] == total and got["n"] == 5
     write_events(spark, tmp_path / "nulls", [(1, "2024-01-01 01:00:00", 1, None), (2, "2024-01-02 01:00:00", 1, None), (3, "2024-01-02 02:00:00", 1, 2.0)])
     assert sorted(r["qv"] or -1.0 for r in panel(spark, str(tmp_path / "nulls")).collect()) == [-1.0, 2.0]
+
+
+def test_closed_dates_rank_numbers_as_numbers(spark, tmp_path):
+    from decisa.streaming.daybook import LEDGER, decide_closed
+
+    rows = [(a, d, 1.0 if d == 0 else float(a)) for d in range(3) for a in (2, 9, 10, 11)]
+    df = spark.createDataFrame(rows, "asset long, day int, close double")
+    decide_closed(df, 0, str(tmp_path), 1, 2, 5.0)
+    got = spark.read.schema(LEDGER).parquet(f"{tmp_path}/ledger").orderBy("day").collect()
+    want = books.daily_ledger(df.filter("day < 2"), "day", "asset", "close", "close", 1, 2, 5.0).orderBy("day").collect()
+    assert [(r["day"], r["changed"], r["gross_bps"], r["booked_bps"]) for r in got] == [(r["day"], r["changed"], r["gross_bps"], r["booked_bps"]) for r in want] and len(got) == 2
