@@ -4,6 +4,10 @@ import contextlib
 import io
 import random
 
+from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
+
+from decisa.operators import joins, miners
 from decisa.operators import panel as books
 from decisa.plans import registry
 from decisa.plans.base import panel
@@ -70,3 +74,37 @@ def test_turnover_forms_no_row_of_a_whole_book(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         out.explain()
     assert "collect_" not in plan.getvalue() and "map_zip_with" not in plan.getvalue()
+
+
+def plan_of(df):
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        df.explain()
+    return plan.getvalue()
+
+
+def test_phrases_split_a_text_once(spark):
+    df = spark.createDataFrame([("The quick brown foxes jump high today",), ("a b",), (None,)], "t string").select(miners._phrases(F.col("t"), 6).alias("p"))
+    assert [r["p"] for r in df.collect()] == [["the quick brown foxes jump high", "quick brown foxes jump high today"], [], []]
+    assert plan_of(df).count("split(") == 1
+
+
+def test_donors_come_from_a_running_window(spark):
+    df = spark.createDataFrame([(k, k // 3, "u") for k in range(30)], "key long, g long, role string")
+    assert "unboundedfollowing" not in plan_of(joins.donor_join(df, "role", "g", "key", "s")).lower()
+
+
+def test_closure_follows_many_groups_in_one_call(spark, monkeypatch):
+    seen, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: seen.append(self._jgd.toString()) or cogroup(self, other))
+    edges = spark.range(500).selectExpr("id as group", "1L as src", "2L as dst").unionByName(spark.range(500).selectExpr("id as group", "2L as src", "3L as dst"))
+    seeds = spark.range(400).selectExpr("id as group", "if(id % 2 = 0, 1L, 2L) as node").unionByName(spark.createDataFrame([(None, 7), (5, None), (999, 1)], "group long, node long"))
+    got = {tuple(r) for r in joins.closure(edges, seeds).collect()}
+    assert got == {(g, n) for g in range(400) for n in (1, 2, 3) if g % 2 == 0 or n > 1} | {(None, 7), (5, None), (999, 1)}
+    assert len(seen) == 1 and "_lot" in seen[0]
+
+
+def test_canonical_receipt_is_dealt_to_any_number_of_tasks(spark, tmp_path):
+    spark.range(20).selectExpr("id as o_orderkey", "id % 3 as o_custkey", "'O' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    out = registry.QUERIES["canonical_receipt"](spark, str(tmp_path))
+    assert tuple(out.first()) == (20, True, False)
+    assert "REPARTITION_BY_NUM" not in plan_of(out)
