@@ -29,9 +29,14 @@ def _each(df: DataFrame, key: str, kind: str, found: Column) -> DataFrame:
 
 def _phrases(text: Column, words: int) -> Column:
     """Every run of some words with one of five letters or more, in lower case."""
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    runs = F.transform(F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - words + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(w, i, words))
-    return F.transform(F.filter(runs, lambda r: F.exists(r, lambda x: F.length(x) >= 5)), lambda r: F.array_join(r, " "))
+
+    def runs(w: Column) -> Column:
+        return F.transform(F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - words + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(w, i, words))
+
+    # the words are an item of a list, so that a text is split once and not again for each run
+    split = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    found = F.flatten(F.transform(F.array(split), runs))
+    return F.transform(F.filter(found, lambda r: F.exists(r, lambda x: F.length(x) >= 5)), lambda r: F.array_join(r, " "))
 
 
 def evidence_units(segments: DataFrame, key: str, rare: int = RARE, words: int = PHRASE) -> DataFrame:
