@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from decisa.llm.repair import LINE, RECENT, Encoder, _Pieces
+from decisa.llm.repair import LINE, Encoder, _Pieces
 from decisa.llm.words import Block
 
 APART, BAR = "\x01", "|"
@@ -55,7 +55,7 @@ class WordEncoder(Encoder):
         words = b.bytes[np.repeat(starts, sizes) + inner]
         if len(id_) != 1 or (words == ord(apart)).any():
             ends = starts + sizes
-            self._keep(keys, [self.whole(b.bytes[x:y].tobytes().decode(errors="replace")).astype("<u4").tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+            self._keep(_Pieces(keys, [self.whole(b.bytes[x:y].tobytes().decode(errors="replace")).astype("<u4").tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]))
             return
         at = np.cumsum(sizes + 3) - sizes - 3  # a space, the character and a space after each word
         joined = np.full(int((sizes + 3).sum()), 0x20, np.uint8)
@@ -68,10 +68,7 @@ class WordEncoder(Encoder):
         stops = np.flatnonzero(ids == id_[0])
         counts = np.diff(stops, prepend=-1) - 1
         order = np.argsort(keys)
-        pieces = _Pieces()._take(keys, np.cumsum(counts) - counts, counts, ids[ids != id_[0]], np.zeros(len(keys), bool), order)
-        if len(self.new.keys) + len(keys) > RECENT:
-            self.old, self.new = self.old.with_(self.new), _Pieces()
-        self.new = self.new.with_(pieces)
+        self._keep(_Pieces()._take(keys, np.cumsum(counts) - counts, counts, ids[ids != id_[0]], np.zeros(len(keys), bool), order))
 
 
 class SpacedEncoder(Encoder):
@@ -125,7 +122,7 @@ class PieceEncoder(Encoder):
         words = [("\n" if line else "") + data[x:y].decode(errors="replace") for x, y, line in zip(starts.tolist(), ends.tolist(), lines.tolist(), strict=True)]
         skip = len(self.blank)
         found = self.model.encode(words, num_threads=1)
-        self._keep(keys, [np.asarray(ids[skip:] if line else ids, "<u4").tobytes() for ids, line in zip(found, lines.tolist(), strict=True)])
+        self._keep(_Pieces(keys, [np.asarray(ids[skip:] if line else ids, "<u4").tobytes() for ids, line in zip(found, lines.tolist(), strict=True)]))
 
     def token_bytes(self) -> list[bytes]:
         """Each id's bytes; empty for ids that stand for none."""

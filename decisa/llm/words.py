@@ -7,6 +7,7 @@ prefix sums, then mixed to 64 bits. Texts longer than a block are cut at white s
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -17,6 +18,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII's letters.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 _codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _lowered = _codes.copy()
 _lowered[65:91] = _codes[97:123]
@@ -120,6 +124,17 @@ class Block:
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
 
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """Which bytes belong to ASCII's or Latin-1's letters."""
+        x = self.bytes
+        letter = LETTER[x]
+        at = np.flatnonzero(x[:-1] == 0xC3)
+        tail = x[at + 1]
+        at = at[((tail & 0xC0) == 0x80) & (tail != 0x97) & (tail != 0xB7)]  # not the signs of times and division
+        letter[at] = letter[at + 1] = True
+        return letter
+
     def characters(self) -> tuple[np.ndarray, np.ndarray]:
         """The byte at which each UTF-8 character starts, and the number of the character at each byte."""
         first = (self.bytes & 0xC0) != 0x80

@@ -28,6 +28,20 @@ def test_pieces_give_the_tokenizers_ids():
         assert [x.tolist() for x in encode([t.encode() for t in texts])] == whole(texts)
 
 
+def test_words_of_letters_skip_the_splitting_pattern(monkeypatch):
+    rng, others = random.Random(4), []
+    encode = repair.Encoder(PATH)
+    learn = encode._learn_others
+    monkeypatch.setattr(encode, "_learn_others", lambda b, starts, *rest: (others.append(len(starts)), learn(b, starts, *rest)))
+    words = ["".join(rng.choices("abcdefgXYZ\u00e9\u00df\u00ff\u00c0", k=rng.randrange(1, 12))) for _ in range(3000)]
+    texts = ["\n".join(" ".join(words[k : k + 7]) for k in range(a, a + 100, 7)) for a in range(0, 2900, 100)]
+    assert [x.tolist() for x in encode([t.encode() for t in texts])] == whole(texts)
+    assert encode.by_words and sum(others) == 0
+    texts = ["".join(rng.choices("a\u00e9\u00df\u00d7\u00f7\u0100\u0130\u0301\u4e2d ,.'s\n1", k=rng.randrange(30))) for _ in range(900)]
+    assert [x.tolist() for x in encode([t.encode() for t in texts])] == whole(texts)
+    assert sum(others) > 0
+
+
 @pytest.mark.parametrize(("cache", "recent"), [(5, 3), (40, 10), (1000, 7)])
 def test_small_cache(monkeypatch, cache, recent):
     monkeypatch.setattr(repair, "CACHE", cache)
@@ -63,6 +77,17 @@ def test_grammar_round_trip(monkeypatch):
         assert repair.decode_document(shard, k).tolist() == [*texts[k].tolist(), 0]
 
 
+def test_rounds_count_only_what_can_have_changed(monkeypatch):
+    rng, looked, bucket = np.random.default_rng(5), [], repair._bucket
+    phrases = [rng.integers(0, 3000, n) for n in (2, 3, 5, 9, 17, 33, 65)]
+    ids = np.concatenate([x for _ in range(3000) for x in (phrases[rng.integers(0, 7)], rng.integers(0, 40_000, 60))]).astype(np.uint32)
+    monkeypatch.setattr(repair, "_bucket", lambda a, b: (looked.append(len(a)), bucket(a, b))[1])
+    symbols, of_doc, rules, lengths = repair.compress(ids, np.array([len(ids) // 3, len(ids)]), 40_000)
+    assert np.array_equal(repair.expand(symbols, rules, lengths, 40_000), ids) and of_doc.sum() == len(symbols)
+    assert max(pair_counts(symbols, of_doc.astype(int)).values()) < repair.LEAST
+    assert lengths.max() >= 65 and sum(looked) < 3 * len(ids)
+
+
 @pytest.mark.parametrize("width", [1, 7, 8, 16, 17, 31])
 def test_packed_symbols(width):
     x = np.random.default_rng(width).integers(0, 1 << width, 1003).astype(np.uint32)
