@@ -18,9 +18,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: ASCII's letters.
-LETTER = np.zeros(256, bool)
-LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: What may follow a word as a split of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Kinds of bytes: marks, ASCII's letters, and the first bytes of characters some of which are white space.
+MARKED, LETTER, WIDE = 1, 2, 4
+_kinds = np.zeros(256, np.uint8)
+_kinds[list(MARKS.encode())] = MARKED
+_kinds[[*range(65, 91), *range(97, 123)]] = LETTER
+_kinds[[0xC2, 0xE1, 0xE2, 0xE3]] = WIDE
 _codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _lowered = _codes.copy()
 _lowered[65:91] = _codes[97:123]
@@ -124,11 +129,18 @@ class Block:
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
 
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        return np.frombuffer(self.bytes.tobytes().translate(_kinds.tobytes()), np.uint8)
+
+    def of(self, kind: int) -> np.ndarray:
+        """Which bytes are of a kind."""
+        return self.kinds == kind
+
     @cached_property
     def letters(self) -> np.ndarray:
         """Which bytes belong to ASCII's or Latin-1's letters."""
-        x = self.bytes
-        letter = LETTER[x]
+        x, letter = self.bytes, self.of(LETTER)
         at = np.flatnonzero(x[:-1] == 0xC3)
         tail = x[at + 1]
         at = at[((tail & 0xC0) == 0x80) & (tail != 0x97) & (tail != 0xB7)]  # not the signs of times and division
