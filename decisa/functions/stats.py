@@ -106,12 +106,14 @@ def fisher_z_diff(r1: Column, n1: Column, r2: Column, n2: Column) -> Column:
     return F.when((n1 > 3) & (n2 > 3) & (F.abs(r1) < 1) & (F.abs(r2) < 1), (F.atanh(r1) - F.atanh(r2)) / F.sqrt(F.lit(1.0) / (n1 - 3) + F.lit(1.0) / (n2 - 3)))
 
 
-def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str, alpha: float = 0.05) -> DataFrame:
-    """Each p against its own threshold alpha * rank / m; there is no step-up over larger ranks. Ranks come from ranges,
-    so a family of any size is spread over tasks."""
+def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str, alpha: float = 0.05, untested: bool = False) -> DataFrame:
+    """Each p against its own threshold alpha * rank / m; there is no step-up over larger ranks. Rows without a p are left
+    out; with `untested` they rank last, count in m and neither pass nor fail. Ranks come from ranges, so a family of any
+    size is spread over tasks."""
     from decisa.operators.ranks import numbered
 
-    ranked = numbered(df.filter(F.col(p).isNotNull()), by, [F.col(p), F.col(name)], "rank", "m").withColumn("rank", F.col("rank").cast("int"))
+    family = df if untested else df.filter(F.col(p).isNotNull())
+    ranked = numbered(family, by, [F.asc_nulls_last(p), F.asc_nulls_last(name)], "rank", "m").withColumn("rank", F.col("rank").cast("int"))
     ranked = ranked.withColumn("threshold", F.lit(alpha) * F.col("rank") / F.col("m"))
     return ranked.withColumn("passes", F.col(p) <= F.col("threshold"))
 

@@ -382,7 +382,7 @@ SELECT asset, r AS rank, round(0.05::DOUBLE * r / m, 6) AS threshold, p <= 0.05:
 def fdr_table(spark, sf_dir):
     mean = stats.ordered_sum("close", "dn") / F.count("close")  # assets tie, so the last bit decides a rank
     g = panel(spark, sf_dir).groupBy("asset").agg(F.exp(-F.abs(mean - 50)).alias("p")).withColumn("family", F.lit(1))
-    return rounded(stats.benjamini_hochberg(g, ["family"], "p", "asset").select("asset", "rank", "threshold", "passes"))
+    return rounded(stats.benjamini_hochberg(g, ["family"], "p", "asset", untested=True).select("asset", "rank", "threshold", "passes"))
 
 
 @query(f"""WITH {PANEL} SELECT asset, dn AS day FROM (SELECT asset, dn, count(*) OVER (PARTITION BY asset) AS n, row_number() OVER (PARTITION BY asset ORDER BY dn) - 1 AS i FROM panel) WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda k: CAST(round_even(k * (n - 1) / 4.0::DOUBLE, 0) AS INT)), i)""")

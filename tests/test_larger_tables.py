@@ -131,3 +131,9 @@ def test_regimes_count_days_without_a_value_as_the_sql(spark, tmp_path):
     odd_events(spark, tmp_path)
     got, want = same_rows_as_sql(spark, "causal_regimes", tmp_path)
     assert got == want and len(got) > 30
+
+
+def test_fdr_table_ranks_assets_without_a_close_last_as_the_sql(spark, tmp_path):
+    odd_events(spark, tmp_path)
+    got, want = same_rows_as_sql(spark, "fdr_table", tmp_path)
+    assert got == want and len(got) == 6
