@@ -406,8 +406,10 @@ def greedy_spacing(spark, sf_dir):
 
 @query(f"""WITH {PANEL}, d AS (SELECT asset, dn, list_sort(list(qv) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS h FROM panel) SELECT asset, dn AS day, round(list_aggregate(h, 'median'), 6) AS median, list_aggregate(h, 'median') >= 100 AS liquid FROM d WHERE len(h) = 5""")
 def liquidity_screen(spark, sf_dir):
-    out = panel(spark, sf_dir).select("asset", F.col("dn").alias("day"), windows.trailing_median("asset", "day", "qv", 5, 5, inclusive=True).alias("median"))
-    return rounded(out.filter("median is not null").withColumn("liquid", F.col("median") >= 100))
+    """Five days are needed, not five amounts: days without one count as days, and five such days have no median."""
+    days = F.count(F.lit(1)).over(Window.partitionBy("asset").orderBy("day").rowsBetween(-4, 0))
+    out = panel(spark, sf_dir).select("asset", F.col("dn").alias("day"), days.alias("days"), windows.trailing_median("asset", "day", "qv", 5, 1, inclusive=True).alias("median"))
+    return rounded(out.filter("days = 5").drop("days").withColumn("liquid", F.col("median") >= 100))
 
 
 @query(f"""WITH {PANEL}, q AS (SELECT asset, dn, close, fund IS NOT NULL AS on_ FROM panel) SELECT year(DATE '1970-01-01' + CAST(dn AS INT)) AS year, round(avg(close) FILTER (on_), 6) AS "on", round(avg(close) FILTER (NOT on_), 6) AS off, count(*) AS n, avg(close) FILTER (on_) > avg(close) FILTER (NOT on_) AS positive FROM q GROUP BY 1""")

@@ -137,3 +137,9 @@ def test_fdr_table_ranks_assets_without_a_close_last_as_the_sql(spark, tmp_path)
     odd_events(spark, tmp_path)
     got, want = same_rows_as_sql(spark, "fdr_table", tmp_path)
     assert got == want and len(got) == 6
+
+
+def test_liquidity_screen_needs_days_not_amounts_as_the_sql(spark, tmp_path):
+    odd_events(spark, tmp_path)
+    got, want = same_rows_as_sql(spark, "liquidity_screen", tmp_path)
+    assert got == want and len(got) == 6 * 24
